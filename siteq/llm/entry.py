@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteq.llm import line_dedup
+from siteq.llm import chat, line_dedup, quality
 
-QUERIES = {"op10_line_dedup": line_dedup.op10_line_dedup}
-ORACLES = {"op10_line_dedup": line_dedup.OP10_SQL}
+QUERIES = {"op1_quality": quality.op1_quality, "op8_chat": chat.op8_chat, "op10_line_dedup": line_dedup.op10_line_dedup}
+ORACLES = {"op8_chat": chat.OP8_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
