@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from siteq.llm import chat, jaccard_join, line_dedup, quality, substring_dedup, token_counts, topk
+from siteq.llm import chat, decontaminate, jaccard_join, line_dedup, mixing, quality, secrets, substring_dedup, token_counts, topk
 
-QUERIES = {"op1_quality": quality.op1_quality, "op2_topk": topk.op2_topk, "op3_token_counts": token_counts.op3_token_counts, "op7_substring_dedup": substring_dedup.op7_substring_dedup, "op6_jaccard": jaccard_join.op6_jaccard, "op8_chat": chat.op8_chat, "op10_line_dedup": line_dedup.op10_line_dedup}
-ORACLES = {"op6_jaccard": jaccard_join.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op2_topk": topk.OP2_SQL, "op8_chat": chat.OP8_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_topk": topk.op2_topk,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_jaccard": jaccard_join.op6_jaccard,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_chat": chat.op8_chat,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+}
+ORACLES = {
+    "op2_topk": topk.OP2_SQL,
+    "op6_jaccard": jaccard_join.OP6_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
+    "op8_chat": chat.OP8_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
+}
