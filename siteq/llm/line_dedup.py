@@ -191,12 +191,13 @@ def _probe_all(doc_ids: list, texts: list[bytes], shards: dict, n: int, least: i
     return drops
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, lines_a_shard: int = 500_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, lines_a_shard: int = 500_000, broadcast_bytes: int = 64 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop the lines that many documents hold, except in the document with the largest doc_id.
 
     Takes doc_id and text; returns doc_id, n_lines, n_dropped, kept (the text left) and kept_sha256, a row for each
     row of docs. A null text is one empty line. Rows without a doc_id hold no line in anyone's count and lose none.
-    Rows with the same doc_id count as one document. An empty table gives no rows. Other columns are ignored.
+    Rows with the same doc_id count as one document. An empty table gives no rows. Columns named in carry come along;
+    others are ignored.
     """
     spark = docs.sparkSession
     frequent = written(frequent_lines(docs, min_chars, min_docs))
@@ -204,15 +205,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, lines_a
     n = max(1, -(-total // lines_a_shard))
     built = written(_shards(frequent, n))
     size = built.agg(F.sum("size")).first()[0] or 0
-    base = plain(docs, "doc_id", "text")
-    out = "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string"
+    base = plain(docs, "doc_id", "text", *carry)
+    out = ", ".join(["doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     if size <= broadcast_bytes:
         arrays = spark.sparkContext.broadcast({r["shard"]: _unpack(bytes(r["body"])) for r in built.collect()})
         return base.mapInArrow(_drop_by_probe(arrays, n, min_chars), out)
-    return _drop_by_shard(base, built, n, min_chars, out)
+    return _drop_by_shard(base, built, n, min_chars, out, carry)
 
 
-def _rows_out(doc_ids, texts: list[bytes], drops: list[list[int]]) -> pa.RecordBatch:
+def _rows_out(doc_ids, texts: list[bytes], drops: list[list[int]], carried: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = [_kept(d, t, x) for d, t, x in zip(doc_ids, texts, drops, strict=True)]
     return pa.record_batch(
         {
@@ -221,6 +222,7 @@ def _rows_out(doc_ids, texts: list[bytes], drops: list[list[int]]) -> pa.RecordB
             "n_dropped": pa.array([len(x) for x in drops], pa.int64()),
             "kept": pa.array([t.decode() for t, _ in kept], pa.string()),
             "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t, _ in kept], pa.string()),
+            **carried,
         }
     )
 
@@ -229,12 +231,12 @@ def _drop_by_probe(arrays, n: int, least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 4 << 20):
             ids, raw = batch.column(0).to_pylist(), [x.encode() for x in texts.to_pylist()]
-            yield _rows_out(ids, raw, _probe_all(ids, raw, arrays.value, n, least))
+            yield _rows_out(ids, raw, _probe_all(ids, raw, arrays.value, n, least), dict(zip(batch.schema.names[2:], batch.columns[2:], strict=True)))
 
     return rows
 
 
-def _drop_by_shard(base: DataFrame, built: DataFrame, n: int, least: int, out: str) -> DataFrame:
+def _drop_by_shard(base: DataFrame, built: DataFrame, n: int, least: int, out: str, carry: tuple[str, ...]) -> DataFrame:
     """The way beyond the broadcast limit: line occurrences go to the shard that may hold them and come back by document."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +274,7 @@ def _drop_by_shard(base: DataFrame, built: DataFrame, n: int, least: int, out: s
 
     salts = 16  # a shard's lines go to several tasks, each with a copy of its arrays
     base = base.withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = base.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(occurrences, "doc_id long, row long, line long, check long, number int, shard int")
+    lines = plain(base, "doc_id", "text", "row").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(occurrences, "doc_id long, row long, line long, check long, number int, shard int")
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).withColumn("body", F.lit(None).cast("binary"))
     copies = built.select("shard", "body").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = lines.unionByName(copies, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("body").isNull())
@@ -280,9 +282,9 @@ def _drop_by_shard(base: DataFrame, built: DataFrame, n: int, least: int, out: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", 4 << 20):
-            yield _rows_out(batch.column(0).to_pylist(), [x.encode() for x in texts.to_pylist()], [sorted(x or []) for x in batch.column(2).to_pylist()])
+            yield _rows_out(batch.column(0).to_pylist(), [x.encode() for x in texts.to_pylist()], [sorted(x or []) for x in batch.column(2).to_pylist()], dict(zip(batch.schema.names[3:], batch.columns[3:], strict=True)))
 
-    return base.join(drops, "row", "left").select("doc_id", "text", "drops").mapInArrow(cut, out)
+    return base.join(drops, "row", "left").select("doc_id", "text", "drops", *carry).mapInArrow(cut, out)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
