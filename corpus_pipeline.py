@@ -1,7 +1,68 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: documents are rejected, trimmed, deduplicated, decontaminated and mixed.
+
+Every stage takes the documents its predecessor kept and all but the last return the columns of documents, so a stage
+can be written as Parquet and reread as the next one's input.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siteq.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
+from siteq.llm.common import shared_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.7 or more."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many share. One that held nothing else stays, with an empty text."""
+    return line_dedup.dedup_lines(docs, carry=("lang", "source")).select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    groups = jaccard_join.jaccard_components(docs, n=5, num=4, den=5)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
+    return mixing.mix(docs)[0]
+
+
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_test_items),
+    ("mixing sources", mix_sources),
+]
+
+#: The first stage is a compression model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every stage is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}-{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
