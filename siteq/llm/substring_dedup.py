@@ -310,15 +310,17 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFr
     it loses nothing. Rows that share a doc_id are compared with other documents only, never with each other. An empty table gives no rows. Other columns are ignored.
     """
     base = plain(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))  # tells rows with one doc_id apart
-    known = base.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    known = base.where("doc_id IS NOT NULL")
     anchors = known.mapInArrow(_anchors(window, gram), ANCHOR)
     shared = anchors.repartition("route").sortWithinPartitions("anchor").mapInArrow(_shared, "anchor long, doc_id long")
     lists = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    # both joins deal the texts by doc_id: Spark plans that exchange once and uses it twice
-    pieces = base.join(lists, "doc_id").select("doc_id", "text", "anchors", "row").mapInArrow(_pieces(window, gram), PIECE)
+    # both joins read the same exchange of the texts by doc_id: Spark plans it once and uses it twice
+    pieces = known.join(lists, "doc_id", "left").select("doc_id", "text", "anchors", "row").mapInArrow(_pieces(window, gram), PIECE)
     cuts = pieces.repartition("route").sortWithinPartitions("anchor", "doc_id").mapInArrow(_matched(window), "doc_id long, row long, start int, stop int")
     cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "stop")).alias("cuts"))
-    return base.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts", "row").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    out = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+    nameless = base.where("doc_id IS NULL").withColumn("cuts", F.lit(None).cast("array<struct<row bigint, start int, stop int>>"))
+    return known.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts", "row").mapInArrow(_cut, out).union(nameless.select("doc_id", "text", "cuts", "row").mapInArrow(_cut, out))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
