@@ -1,4 +1,7 @@
 """Every registered query by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from siteq.plans import site_queries
+
+_MODULES = (site_queries,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
