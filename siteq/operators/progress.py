@@ -36,7 +36,7 @@ def monotone(df: DataFrame, part: str, order: list[str], ratio: str = "ratio") -
     return df.withColumn("top", F.max(ratio).over(w))
 
 
-def eta(df: DataFrame, part: str, ts: str, window_s: float = 600.0) -> DataFrame:
+def eta(df: DataFrame, part: str, ts: str, window_s: int = 600) -> DataFrame:
     """Adds remaining seconds after each observation (ts in seconds, ratio, skip).
 
     Work is the sum of increases that aren't skips; speed is work over the last window, from the observation at or just
