@@ -16,19 +16,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     reduced by map-side minima, and the number of links never grows. Rounds grow with the logarithm of the longest path.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    count = edges.count()
-    for _ in range(most_rounds if count else 0):
+    before = _mark(edges)
+    for _ in range(most_rounds if before[0] else 0):
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        joined = large.join(least, "v")
-        small = joined.select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        after = written(small)
-        same = after.count() == edges.count() and edges.join(after, ["v", "u"], "left_anti").isEmpty()
-        edges = after
-        if same:
+        small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        edges = written(small)
+        after = _mark(edges)
+        if after == before:
             break
+        before = after
     ends = edges.groupBy("v").agg(F.min("u").alias("u"))
     roots = edges.select(F.col("u").alias("v")).distinct().join(edges.select("v"), "v", "left_anti").select("v", F.col("v").alias("u"))
     return ends.union(roots).select(F.col("v").alias("id"), F.col("u").alias("component"))
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number and hash sums of the links: equal for equal sets of links."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first())

@@ -8,7 +8,8 @@ similar documents instead of single ones:
 2. Leaders: among the documents of a shingle one of about their size leads; documents are compared with their leaders
    only, and those that link form groups.
 3. Matrix: a shingle's row names the groups, in blocks of similar size, whose union of listed shingles holds it.
-   Counting a document's hits on a block bounds its overlap with any member; only blocks with enough hits are opened.
+   Counting a document's hits on a block bounds its overlap with any member, and so does what a document lists alone
+   before a shingle; only blocks with enough hits are opened.
 4. An opened block keeps the union of its members' whole sets. A document whose overlap with that union is too small
    for the threshold is done; otherwise it is compared with the members, up to the first link, since all members are one
    component already.
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siteq.llm.common import Words, mix, plain, slices, table, written
 from siteq.llm.components import components
@@ -100,6 +102,10 @@ class Rule:
         need = self.overlap(size)
         return size - need + min(self.hits, need)
 
+    def may(self, n: int, best: int, m: int, other: int) -> bool:
+        """Whether sets of sizes n and m can link when they overlap in `best` and `other` at most."""
+        return (self.num + self.den) * min(best, other) >= self.num * (n + m)
+
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
         if len(a) > len(b):
             a, b = b, a
@@ -109,11 +115,11 @@ class Rule:
         return self.den * both >= self.num * (len(a) + len(b) - both)
 
 
-LISTED = "shingle long, doc_id long, n int"
+LISTED = "shingle long, doc_id long, n int, pos int"
 
 
 def _list(n: int, rule: Rule, order):
-    """(shingle, doc_id, n) of the listed shingles of each document; equal sets of one task are listed once."""
+    """(shingle, doc_id, n, pos) of the listed shingles of each document in order; equal sets of one task are listed once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = order.value
@@ -138,32 +144,49 @@ def _list(n: int, rule: Rule, order):
                 out.append(s[:p])
             if out:
                 lengths = [len(x) for x in out]
-                yield pa.record_batch({"shingle": pa.array(np.concatenate(out).view(np.int64)), "doc_id": pa.array(np.repeat(np.array(ids, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths))})
+                yield pa.record_batch({"shingle": pa.array(np.concatenate(out).view(np.int64)), "doc_id": pa.array(np.repeat(np.array(ids, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)), "pos": pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]))})
 
     return rows
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops the shingles that only one row lists; rows come by shingle."""
+    held, seen = None, None  # a shingle's only row so far; the last shingle of which rows have gone on
+    for batch in batches:
+        if held is not None and batch.num_rows:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        shingle = batch.column(0).to_numpy()
+        new = np.append(True, shingle[1:] != shingle[:-1])
+        alone = new & np.append(new[1:], True)
+        if seen is not None:
+            alone &= shingle != seen
+        held = batch.slice(batch.num_rows - 1) if alone[-1] else None
+        seen = None if alone[-1] else shingle[-1]
+        yield batch.filter(pa.array(~alone))
+
+
+MATRIX = "shingle long, doc_id long, n int, best int"
+
+
 def _lead(rule: Rule):
-    """Adds to the rows of each shingle, which come by size, the leader: the first row of about the same size. Shingles of one row are dropped."""
+    """Adds the leader to the rows of each shingle: the first row that it may link with. Those that share most come first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = lead = size = None  # shingle, leader and its size
-        pending = None  # a shingle's first row, until a second one comes
+        last, leaders = None, []
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shingle, doc, n = row
+            out: list[int] = []
+            for shingle, doc, n, best in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if shingle != last:
-                    last, lead, size, pending = shingle, doc, n, row
-                    continue
-                if pending:
-                    out.append((*pending, pending[1]))
-                    pending = None
-                if rule.den * size < rule.num * n:
-                    lead, size = doc, n
-                out.append((*row, lead))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["shingle", "doc_id", "n", "leader"])
+                    last, leaders = shingle, []
+                lead = next((d for d, size, most in leaders if rule.may(n, best, size, most)), None)
+                if lead is None:
+                    lead = doc
+                    if len(leaders) < 8:
+                        leaders.append((doc, n, best))
+                out.append(lead)
+            yield pa.record_batch([*batch.columns[:4], pa.array(out, pa.int64())], names=["shingle", "doc_id", "n", "best", "leader"])
 
     return rows
 
@@ -206,7 +229,7 @@ def _compare(asked: DataFrame, members: DataFrame, texts: DataFrame, n: int, rul
     return written(rows.repartition("block", "cell").sortWithinPartitions("block", "cell", "is_query").mapInArrow(_open(n, rule), "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hits: int = 3, order_size: int = 1 << 18, min_count: int = 24, a_block: int = 128, leader_rounds: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hits: int = 3, order_size: int = 1 << 18, min_count: int = 24, a_block: int = 128, leader_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each document's set, and the least doc_id that links reach.
 
     Takes doc_id and text. Words are runs of anything but ASCII white space, with A-Z folded; a set holds the distinct
@@ -232,36 +255,45 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     at = np.argsort(shingle)
     order = spark.sparkContext.broadcast((shingle[at], many[at]))
     listed = known.mapInArrow(_list(n, rule, order), LISTED)
-    matrix = written(listed.repartition("shingle").sortWithinPartitions("shingle", "n", "doc_id").mapInArrow(_lead(rule), LISTED + ", leader long"))
+    shared = written(_by_shingle(listed))
     need = F.least(F.lit(hits), F.ceil(F.col("n") * num / den)).cast("int")
-    alive = matrix.groupBy("doc_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("doc_id").distinct()
-    texts = written(known.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    matrix = matrix.withColumn("group", F.col("doc_id"))
+    alive = shared.groupBy("doc_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("doc_id", "k")
+    # what a document lists alone before a shingle is in no other that lists this shingle: it bounds their overlap
+    alone = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) + 1
+    bounded = shared.join(alive, "doc_id").withColumn("best", F.col("n") - alone).where(F.col("best") * den >= F.col("n") * num)
+    matrix = written(bounded.repartition("shingle").sortWithinPartitions("shingle", F.desc("k"), "doc_id").select("shingle", "doc_id", "n", "best").mapInArrow(_lead(rule), MATRIX + ", leader long"))
+    texts = written(known.join(matrix.select("doc_id").distinct(), "doc_id", "left_semi"))
     for turn in range(leader_rounds):
-        asked = matrix.where("doc_id <> leader").groupBy("doc_id", "n", F.col("leader").alias("block")).agg(F.count("*").alias("k")).where(F.col("k") >= need).select("block", "doc_id")
-        asked = written(asked)
+        asked = written(matrix.where("doc_id <> leader").groupBy("doc_id", "n", F.col("leader").alias("block")).agg(F.count("*").alias("k")).where(F.col("k") >= need).select("block", "doc_id"))
         members = asked.select("block").distinct().select("block", F.col("block").alias("doc_id"))
         links = written(links.union(_compare(asked, members, texts, n, rule)))
-        group = components(links)
-        matrix = _regroup(matrix.select("shingle", "doc_id", "n"), group)
-        work = matrix.groupBy("shingle").agg(F.count("*").alias("m"), F.count_distinct("group").alias("g")).agg(F.sum("m"), F.sum(F.col("m") * (F.col("g") - 1))).first()
-        if not work[0] or work[1] <= 2_000_000 + 4 * work[0] or turn == leader_rounds - 1:
+        matrix = _regroup(matrix.select("shingle", "doc_id", "n", "best"), links)
+        m = matrix.groupBy("shingle").agg(F.count("*").alias("m"), F.count_distinct("group").alias("g")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * (F.col("g") - 1)).alias("work")).first()
+        if not m["rows"] or m["work"] <= 64 * m["rows"] or turn == leader_rounds - 1:
             break
         # other leaders: in each shingle and size the row with the least hash for this turn
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
         lead = matrix.groupBy("shingle", band.alias("band")).agg(F.min_by(F.struct("doc_id", "group"), F.xxhash64("group", F.lit(turn))).alias("x"))
-        matrix = matrix.withColumn("band", band).join(lead, ["shingle", "band"]).withColumn("leader", F.when(F.col("group") == F.col("x.group"), F.col("doc_id")).otherwise(F.col("x.doc_id"))).drop("x", "band")
-        matrix = written(matrix)
-    links = written(links.union(_across(matrix, texts, n, rule, need, a_block)))
-    reach = components(links)
-    return _answer(base, sets, reach)
+        matrix = written(matrix.withColumn("band", band).join(lead, ["shingle", "band"]).withColumn("leader", F.when(F.col("group") == F.col("x.group"), F.col("doc_id")).otherwise(F.col("x.doc_id"))).drop("x", "band"))
+    if m["rows"]:
+        links = written(links.union(_across(matrix, texts, n, rule, need, a_block)))
+    return _answer(base, sets, components(links))
+
+
+def _by_shingle(listed: DataFrame) -> DataFrame:
+    return listed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_several, LISTED)
 
 
-def _regroup(matrix: DataFrame, group: DataFrame) -> DataFrame:
-    """The rows of shingles that several groups list, with each document's group."""
-    labelled = matrix.join(group.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component")
-    open_ = labelled.groupBy("shingle").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("shingle")
-    return written(labelled.join(open_, "shingle"))
+def _regroup(matrix: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of shingles that several groups list, with each document's group.
+
+    A group is what links reach from a document in two steps to the least end, so equal groups are one component.
+    """
+    to = links.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("one"))
+    two = to.join(to.select(F.col("doc_id").alias("one"), F.col("one").alias("two")), "one", "left").select("doc_id", F.coalesce("two", "one").alias("group"))
+    labelled = matrix.join(two, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
+    several = labelled.groupBy("shingle").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("shingle")
+    return written(labelled.join(several, "shingle"))
 
 
 def _across(matrix: DataFrame, texts: DataFrame, n: int, rule: Rule, need, a_block: int) -> DataFrame:
@@ -270,11 +302,13 @@ def _across(matrix: DataFrame, texts: DataFrame, n: int, rule: Rule, need, a_blo
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(rule.den / rule.num)))
     rows = matrix.join(sizes, "group").withColumn("band", band)
     per = rows.select("doc_id", "group", "band").distinct().groupBy("group", "band").agg(F.ceil(F.count("*") / a_block).cast("int").alias("parts"))
-    rows = written(rows.join(per, ["group", "band"]).withColumn("block", F.xxhash64("group", "band", F.pmod(F.xxhash64("doc_id"), "parts"))).select("shingle", "doc_id", "n", "group", "size", "band", "block"))
-    unions = rows.select("shingle", "block", F.col("group").alias("to"), F.col("size").alias("to_size"), F.col("band").alias("to_band")).distinct()
-    asks = rows.select("shingle", "doc_id", "n", "group", "size", "band")
+    rows = written(rows.join(per, ["group", "band"]).withColumn("block", F.xxhash64("group", "band", F.pmod(F.xxhash64("doc_id"), "parts"))).select("shingle", "doc_id", "n", "best", "group", "size", "band", "block"))
+    least = rows.groupBy("block").agg(F.min("n").alias("to_n"))
+    unions = rows.groupBy("shingle", "block", F.col("group").alias("to"), F.col("size").alias("to_size"), F.col("band").alias("to_band")).agg(F.max("best").alias("to_best")).join(least, "block")
+    asks = rows.select("shingle", "doc_id", "n", "best", "group", "size", "band")
     smaller = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("group") > F.col("to")))
-    asked = asks.join(unions, "shingle").where(smaller & (F.abs(F.col("band") - F.col("to_band")) <= 1)).groupBy("doc_id", "n", "block").agg(F.count("*").alias("k")).where(F.col("k") >= need)
+    may = (rule.num + rule.den) * F.least("best", "to_best") >= rule.num * (F.col("n") + F.col("to_n"))
+    asked = asks.join(unions, "shingle").where(smaller & may & (F.abs(F.col("band") - F.col("to_band")) <= 1)).groupBy("doc_id", "n", "block").agg(F.count("*").alias("k")).where(F.col("k") >= need)
     return _compare(written(asked.select("block", "doc_id").distinct()), rows.select("block", "doc_id").distinct(), texts, n, rule)
 
 
@@ -291,7 +325,8 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, CASE WHEN len(words) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
