@@ -77,14 +77,27 @@ class Index:
         """(text, first word, end word, item, score) of passages and items with a score of `least` or more."""
         at = np.minimum(np.searchsorted(self.terms, words.hashes), len(self.terms) - 1)
         term = np.where(self.terms[at] == words.hashes, at, len(self.terms))
-        step, span = self.longest, 2 * self.longest
-        counts = np.maximum(1, -(-(np.diff(words.first) - step) // step)) * (np.diff(words.first) > 0)
+        step, span, sizes = self.longest, 2 * self.longest, np.diff(words.first)
+        counts = np.maximum(1, -(-(sizes - step) // step)) * (sizes > 0)
         text = np.repeat(np.arange(len(counts)), counts)
         start = words.first[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
-        end = np.minimum(start + span, words.first[text + 1])
+        middle, end = (np.minimum(start + k, words.first[text + 1]) for k in (step, span))
+        # a passage is two steps of words; a term counts once: where it is new in the first step, or new in both
+        at = np.arange(len(term))
+        own = at - (at - np.repeat(words.first[:-1], sizes)) % step
+        order = np.argsort(term.astype(np.uint16) if len(self.terms) < 1 << 16 else term, kind="stable")
+        before = np.full(len(term), -1)
+        same = term[order[1:]] == term[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        known = term < len(self.terms)
+        one, two = np.flatnonzero(known & (before < own)), np.flatnonzero(known & (before < own - step))
+        cuts = [np.searchsorted(one, x) for x in (start, middle)], [np.searchsorted(two, x) for x in (middle, end)]
         for b in range(self.n_blocks):
-            sums = np.concatenate([[0.0], np.cumsum(self.bounds[term, b])])
-            for k in np.flatnonzero(sums[end] - sums[start] >= least - 1e-9):
+            bound = 0.0
+            for places, (x, y) in zip((one, two), cuts, strict=True):
+                sums = np.concatenate([[0.0], np.cumsum(self.bounds[term[places], b])])
+                bound = bound + sums[y] - sums[x]
+            for k in np.flatnonzero(bound >= least - 1e-9):
                 held = np.zeros(len(self.terms) + 1, bool)
                 held[term[start[k] : end[k]]] = True
                 t, item, weight = self.blocks[b]
