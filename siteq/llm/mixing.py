@@ -99,8 +99,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     slots = each.select(F.expr(f"slot div {shard_slots}").alias("shard"), "slot", "source", "number", "pass", "block")
 
     times = slots.groupBy("number", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(times, ["number", "block"]).groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    some = placed.where("size > 0").join(taken, ["number", "start"], "left")
+    # Spark takes exploded rows for as few as their source, so it is told to shuffle both joins
+    taken = pieces.join(times.hint("merge"), ["number", "block"]).groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    some = placed.where("size > 0").join(taken.hint("merge"), ["number", "start"], "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     documents = some.unionByName(none).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return documents, slots, pieces
