@@ -15,7 +15,7 @@ similar documents instead of single ones:
    component already.
 
 The order of shingles comes from counts over all documents, of which the `order_size` largest are kept; it moves work
-about but any order gives the same links. Leaders are chosen anew while the matrix would still be large.
+about but any order gives the same links. A second round of leaders, drawn by hash, joins groups that the first left apart.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from siteq.llm.components import components
 
 #: Sets that a task remembers as sent, and shingles that it counts at once.
 MEMORY, AT_ONCE = 200_000, 6 << 20
+#: Rows of a shingle that later ones are compared with; those beyond lead themselves and are left to the matrix.
+LEADERS = 8
 
 
 def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
@@ -171,22 +173,31 @@ MATRIX = "shingle long, doc_id long, n int, best int"
 
 
 def _lead(rule: Rule):
-    """Adds the leader to the rows of each shingle: the first row that it may link with. Those that share most come first."""
+    """Adds the leader to the rows of each shingle: the first row that it may link with. Those that share most come first.
+
+    A shingle all of whose rows were compared and of which no two may link is dropped.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders = None, []
+        last, leaders, waiting = None, [], []
         for batch in batches:
-            out: list[int] = []
-            for shingle, doc, n, best in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            out: list[tuple] = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                shingle, doc, n, best = row
                 if shingle != last:
-                    last, leaders = shingle, []
+                    last, leaders, waiting = shingle, [], []
                 lead = next((d for d, size, most in leaders if rule.may(n, best, size, most)), None)
-                if lead is None:
-                    lead = doc
-                    if len(leaders) < 8:
-                        leaders.append((doc, n, best))
-                out.append(lead)
-            yield pa.record_batch([*batch.columns[:4], pa.array(out, pa.int64())], names=["shingle", "doc_id", "n", "best", "leader"])
+                if lead is None and len(leaders) < LEADERS:
+                    leaders.append((doc, n, best))
+                    if len(leaders) < LEADERS and (waiting or len(leaders) == 1):
+                        waiting.append((*row, doc))
+                        continue
+                out += waiting
+                waiting = []
+                out.append((*row, doc if lead is None else lead))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shingle", "doc_id", "n", "best", "leader"])
 
     return rows
 
@@ -268,15 +279,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         members = asked.select("block").distinct().select("block", F.col("block").alias("doc_id"))
         links = written(links.union(_compare(asked, members, texts, n, rule)))
         matrix = _regroup(matrix.select("shingle", "doc_id", "n", "best"), links)
-        m = matrix.groupBy("shingle").agg(F.count("*").alias("m"), F.count_distinct("group").alias("g")).agg(F.sum("m").alias("rows"), F.sum(F.col("m") * (F.col("g") - 1)).alias("work")).first()
-        if not m["rows"] or m["work"] <= 64 * m["rows"] or turn == leader_rounds - 1:
+        if turn == leader_rounds - 1:
             break
         # other leaders: in each shingle and size the row with the least hash for this turn
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
         lead = matrix.groupBy("shingle", band.alias("band")).agg(F.min_by(F.struct("doc_id", "group"), F.xxhash64("group", F.lit(turn))).alias("x"))
         matrix = written(matrix.withColumn("band", band).join(lead, ["shingle", "band"]).withColumn("leader", F.when(F.col("group") == F.col("x.group"), F.col("doc_id")).otherwise(F.col("x.doc_id"))).drop("x", "band"))
-    if m["rows"]:
-        links = written(links.union(_across(matrix, texts, n, rule, need, a_block)))
+    links = written(links.union(_across(matrix, texts, n, rule, need, a_block)))
     return _answer(base, sets, components(links))
 
 
