@@ -246,7 +246,7 @@ def _matched(window: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = doc = None
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, list[tuple[int, int]]]] = {}  # first document with these words, and the spans found there
         automaton, waiting = Automaton(), []
 
         def settle():
@@ -267,15 +267,15 @@ def _matched(window: int):
                 elif d != doc:
                     settle()
                     doc = d
-                if (first := known.get(text)) is not None:
-                    if first < d:
-                        out.append((d, row, start, start + n))
-                    continue
-                known[text] = d
-                words = text.split(" ")
-                if len(automaton.next) > 1:
-                    out += [(d, row, start + x, start + y) for x, y in spans(automaton.statistics(words), window)]
-                waiting.append(words)
+                first, found = known.get(text, (None, []))
+                if first is None:
+                    words = text.split(" ")
+                    found = spans(automaton.statistics(words), window) if len(automaton.next) > 1 else []
+                    known[text] = d, found
+                    waiting.append(words)
+                elif first < d:
+                    found = [(0, n)]
+                out += [(d, row, start + x, start + y) for x, y in found]
             ids, rows_, starts, stops = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [], [])
             yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "row": pa.array(rows_, pa.int64()), "start": pa.array(starts, pa.int32()), "stop": pa.array(stops, pa.int32())})
 

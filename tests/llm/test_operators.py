@@ -137,6 +137,15 @@ def test_substring_dedup_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (5, 0), (5, 0), (6, 0), (7, 0)]
 
 
+def test_substring_dedup_passage_repeated_inside_a_document(spark):
+    passage, part = [[f"{x}{k}" for k in range(16)] for x in "pq"]
+    line = lambda k, w: " ".join([f"left{k}", *w, f"right{k}"])
+    texts = {1: line(1, passage) + " " + line(2, part), 2: line(3, passage) + " " + line(3, passage), 3: " ".join([line(4, passage)] * 3 + [line(5, part)] * 2)}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(frame(spark, texts.values(), texts)).collect()}
+    assert got == windows_by_hand(texts)
+    assert [got[d][1] for d in texts] == [0, 32, 80]
+
+
 def test_automaton():
     a = substring_dedup.Automaton()
     r = random.Random(2)
