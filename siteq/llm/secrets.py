@@ -29,13 +29,18 @@ CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", "[0-9a-fA-F]", 3.2),
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "[A-Za-z0-9+/_=-]", 3.7),
 }
-# Runs that are no secrets: without a digit or without a letter, placeholders, UUIDs, digits or letters in order, paths of words.
+# Parts of a run, divided by / _ = or -: words of three letters or more in lower or camel case, one or two lower-case letters, digits, or what holds
+# a placeholder. Each part has to be one of these up to the next divider, so that none excuses what stands beside it; possessive, as long runs
+# would overflow the stack of Java's regular expressions.
+_WORDS = r"[a-z]{1,2}|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*+|[0-9]+"
+_PLACEHOLDER = r"[A-Za-z0-9+]*(?i:example|sample|dummy|placeholder|changeme|xxxx|0{8}|1234567|abcdefg)[A-Za-z0-9+]*"
+_PART = rf"(?:{_WORDS}|{_PLACEHOLDER})?(?=[/_=-]|$)"
+# Runs that are no secrets: without a digit or without a letter, UUIDs, paths of words, digits and placeholders.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0{8}|1234567|abcdefg",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^(?:[a-z]*[/_=-]|[A-Z]?[a-z]+|[0-9]{1,4})+$",
+    rf"^{_PART}(?:[/_=-]{_PART})*+$",
 )
 WINDOW = 20
 _UNIT = 1_000_000

@@ -362,6 +362,19 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_secrets_allow_list(spark):
+    r = random.Random(7)
+    tokens = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz", n // 2) + r.sample("0123456789", 10) + r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n - n // 2 - 10)) for n in range(20, 41)]
+    for k, t in enumerate(tokens):
+        tokens[k] = "".join(r.sample(t, len(t)))
+    tokens += ["k3j9x0z8q7w2v5b1n4m6", "key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "9f86d081884c7d659a2f", "k3j9x-0z8q7-w2v5b-1n4m6"]
+    beside = [f"{a}{d}{t}" for a in ("sample", "example", "1234567") for d in "/_=-" for t in ("k3j9x0z8q7w2v5b1n4m6", "Qz7Rk2Wm9Xt4Lp8Vb3Nc")]
+    fine = ["docs/2024/how-to-get-it-done/chapter_12", "static/myCamelCase/fontWeight-400", "3f2b8c1e-9d47-4a6b-8e05-71c2d9a4f6b3", "example4f9k2mzq8w3rt7yxb", "your-secret-key_1234567_goes/here", "path/of/words=" * 20_000 + "2024"]
+    cases = tokens + beside + fine
+    got = {x.doc_id: x.n_entropy for x in secrets.scan(frame(spark, [f"x {c} y" for c in cases], range(len(cases)))).collect()}
+    assert [c for k, c in enumerate(cases) if (got[k] > 0) != (c not in fine)] == []
+
+
 # ---------------------------------------------------------------- 5
 
 
