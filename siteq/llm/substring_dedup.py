@@ -11,6 +11,10 @@ themselves, so hashes decide only where pieces meet.
 Hot passages are thinned before both shuffles without losing a case: a task that has seen a minimiser in two documents
 knows that it is shared and sends it on once, and a piece whose very words the task has seen in a smaller document is
 settled there and then.
+
+A minimiser whose pieces hold more than HOT words together is hot: its pieces fall into their windows, and each window
+is a piece under the hash of its very words. So a place never holds more than HOT words that differ, while the copies
+of one window are thinned to about one a task.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from siteq.llm.common import Words, plain, slices, table
 
 #: Most pieces that a task remembers; then it starts anew, which only sends more on.
 MEMORY = 200_000
+#: Most words of all pieces of a minimiser that meet in one place.
+HOT = 50_000
 
 
 class Automaton:
@@ -115,15 +121,18 @@ def _minimisers(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.nd
     return at, least[at]
 
 
-ANCHOR = "route long, anchor long, doc_id long, known boolean"
+ANCHOR = "route long not null, anchor long not null, doc_id long, n int"
 
 
 def _anchors(window: int, gram: int):
-    """(route, anchor, doc_id, known): distinct minimisers of each document. Known ones are shared; one of each goes to its own place, the rest anywhere."""
+    """(route, anchor, doc_id, n): distinct minimisers of each document. One row of each goes to its own place, the rest anywhere.
+
+    n in that one row is how many words the pieces here have, negative where several documents share the minimiser; it's 0 in the rest.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _portions(slices(batches, "text"), 48 << 20):
-            docs, found = [], []
+            docs, found, lengths = [], [], []
             for ids, words in ((i, Words(t)) for i, t in zip(batch, texts, strict=True)):
                 at, least = _minimisers(words, window, gram)
                 owner = np.searchsorted(words.first, at, "right") - 1
@@ -131,18 +140,21 @@ def _anchors(window: int, gram: int):
                 keep[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
                 docs.append(ids[owner[keep]])
                 found.append(least[keep])
-            doc, anchor = np.concatenate(docs), np.concatenate(found)
+                lengths.append(np.diff(np.append(np.flatnonzero(keep), len(at))) + window - 1)
+            doc, anchor, length = np.concatenate(docs), np.concatenate(found), np.concatenate(lengths)
             order = np.lexsort((doc, anchor))
-            doc, anchor = doc[order], anchor[order]
+            doc, anchor, length = doc[order], anchor[order], length[order]
+            words_of = np.add.reduceat(length, np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))) if len(anchor) else length
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
             doc, anchor = doc[new], anchor[new]
             lead = np.ones(len(doc), bool)
             lead[1:] = anchor[1:] != anchor[:-1]
             sizes = np.diff(np.append(np.flatnonzero(lead), len(lead)))
-            known = np.repeat(sizes > 1, sizes)
+            n = np.zeros(len(lead), np.int32)
+            n[lead] = np.where(sizes > 1, -words_of, words_of)
             route = np.where(lead, anchor.view(np.int64), doc)
-            yield pa.record_batch({"route": pa.array(route), "anchor": pa.array(anchor.view(np.int64)), "doc_id": pa.array(doc), "known": pa.array(known)})
+            yield pa.record_batch({"route": pa.array(route), "anchor": pa.array(anchor.view(np.int64)), "doc_id": pa.array(doc), "n": pa.array(n)})
 
     return rows
 
@@ -169,7 +181,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held = None
     for batch in batches:
-        anchor, doc, known = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (1, 2, 3))
+        anchor, doc, n = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (1, 2, 3))
+        known = n <= 0
         if held is not None:
             anchor, doc, known = np.append(held[0], anchor), np.append(held[1], doc), np.append(held[2], known)
         if not len(anchor):
@@ -197,42 +210,61 @@ PIECE = "route long, anchor long, doc_id long, row long, start int, n int, words
 
 
 def _pieces(window: int, gram: int):
-    """Runs of windows under a shared minimiser: (route, anchor, doc_id, start, n words, words); without words where they're settled."""
+    """Runs of windows under a shared minimiser: (route, anchor, doc_id, start, n words, words); without words where they're settled. Those of hot minimisers by window."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[bytes, int] = {}
+
+        def settled(raw: bytes, doc: int) -> bool:
+            seen = memory.get(raw)
+            if seen is not None and seen < doc:
+                return True
+            if len(memory) >= MEMORY:
+                memory.clear()
+            memory[raw] = doc
+            return False
+
         for batch, texts in slices(batches, "text"):
             words = Words(texts)
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts_of = batch.column(3).to_pylist()
-            lists = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+            texts_of = batch.column(4).to_pylist()
+            lists, hot_lists = batch.column(2), batch.column(3)
             at, least = _minimisers(words, window, gram)
             owner = np.searchsorted(words.first, at, "right") - 1
-            shared = np.zeros(len(at), bool)
+            shared, hot = np.zeros(len(at), bool), np.zeros(len(at), bool)
             ends = np.searchsorted(owner, np.arange(len(ids) + 1))
             for k in range(len(ids)):
                 a, b = ends[k], ends[k + 1]
                 if a < b and lists[k].is_valid:
                     shared[a:b] = np.isin(least[a:b], lists[k].values.to_numpy().view(np.uint64))
+                    if len(hot_lists[k].values):
+                        hot[a:b] = np.isin(least[a:b], hot_lists[k].values.to_numpy().view(np.uint64))
             run = np.ones(len(at), bool)
             run[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
             first = np.flatnonzero(run)
             last = np.append(first[1:], len(at)) - 1 if len(first) else first
             keep = shared[first] if len(first) else np.zeros(0, bool)
             first, last = first[keep], last[keep]
+            order = np.argsort(ids[owner[first]], kind="stable")  # the smallest document first settles the most
+            first, last = first[order], last[order]
             out: list[tuple] = []
             for f, t in zip(first.tolist(), last.tolist(), strict=True):
                 doc, a, n = int(ids[owner[f]]), int(at[f]), int(at[t] - at[f] + window)
-                raw = b" ".join(words.text(a, a + n).split())
-                seen = memory.get(raw)
-                start, anchor = a - int(words.first[owner[f]]), int(least[f].view(np.int64))
-                if seen is not None and seen < doc:
-                    out.append((doc, 0, doc, texts_of[owner[f]], start, n, None))
-                    continue
-                if len(memory) >= MEMORY:
-                    memory.clear()
-                memory[raw] = doc
-                out.append((anchor, anchor, doc, texts_of[owner[f]], start, n, raw))
+                parts = words.text(a, a + n).split()
+                raw = b" ".join(parts)
+                start, anchor, row = a - int(words.first[owner[f]]), int(least[f].view(np.int64)), texts_of[owner[f]]
+                if settled(raw, doc):
+                    out.append((doc, 0, doc, row, start, n, None))
+                elif not hot[f]:
+                    out.append((anchor, anchor, doc, row, start, n, raw))
+                else:
+                    for k in range(n - window + 1):
+                        raw = b" ".join(parts[k : k + window])
+                        if n > window and settled(raw, doc):
+                            out.append((doc, 0, doc, row, start + k, window, None))
+                        else:
+                            place = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+                            out.append((place, place, doc, row, start + k, window, raw))
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
@@ -301,7 +333,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept]), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
+def placed_pieces(known: DataFrame, window: int, gram: int, hot_words: int) -> DataFrame:
+    """PIECE rows of documents that have ids (doc_id, text, row), each piece where those that it has to be compared with are."""
+    anchors = known.mapInArrow(_anchors(window, gram), ANCHOR)
+    routed = anchors.repartition("route")
+    shared = routed.sortWithinPartitions("anchor").mapInArrow(_shared, "anchor long, doc_id long")
+    # an anchor's own place has all its counts; every column is used and keys are not null, so no filter or projection keeps both from reading one exchange
+    hot = routed.groupBy("route", "anchor").agg(F.sum(F.abs("n")).alias("words"), F.min("n").alias("least"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    hot = hot.where((F.col("words") > hot_words) & ((F.col("least") < 0) | (F.col("low") < F.col("high")))).select("anchor", F.col("anchor").alias("hot"))
+    # at most one row for hot_words words of the documents' pieces
+    lists = shared.join(F.broadcast(hot), "anchor", "left").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
+    # both joins read the same exchange of the texts by doc_id: Spark plans it once and uses it twice
+    return known.join(lists, "doc_id", "left").select("doc_id", "text", "anchors", "hot", "row").mapInArrow(_pieces(window, gram), PIECE)
+
+
+def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, hot_words: int = HOT) -> DataFrame:
     """Remove the words covered by a window of words that also occurs in a document with a smaller doc_id.
 
     Takes doc_id and text; words are runs of anything but ASCII white space, unchanged. Returns doc_id, n_words,
@@ -311,11 +357,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFr
     """
     base = plain(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))  # tells rows with one doc_id apart
     known = base.where("doc_id IS NOT NULL")
-    anchors = known.mapInArrow(_anchors(window, gram), ANCHOR)
-    shared = anchors.repartition("route").sortWithinPartitions("anchor").mapInArrow(_shared, "anchor long, doc_id long")
-    lists = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    # both joins read the same exchange of the texts by doc_id: Spark plans it once and uses it twice
-    pieces = known.join(lists, "doc_id", "left").select("doc_id", "text", "anchors", "row").mapInArrow(_pieces(window, gram), PIECE)
+    pieces = placed_pieces(known, window, gram, hot_words)
     cuts = pieces.repartition("route").sortWithinPartitions("anchor", "doc_id").mapInArrow(_matched(window), "doc_id long, row long, start int, stop int")
     cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("row", "start", "stop")).alias("cuts"))
     out = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"

@@ -146,6 +146,18 @@ def test_substring_dedup_passage_repeated_inside_a_document(spark):
     assert [got[d][1] for d in texts] == [0, 32, 80]
 
 
+@pytest.mark.parametrize("hot_words", [0, 300])
+def test_substring_dedup_hot_minimisers(spark, docs, texts, hot_words):
+    phrase, r = [f"p{k}" for k in range(14)], random.Random(4)
+    many = {1000 + k: " ".join([f"a{k}", "b", *phrase[r.randrange(5) :], f"c{k}", *phrase, "d"]) for k in range(150)}
+    both = docs.select("doc_id", "text").union(frame(spark, many.values(), many).select("doc_id", "text"))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(both, hot_words=hot_words).collect()}
+    assert got == windows_by_hand(texts | many)
+    pieces = substring_dedup.placed_pieces(both.selectExpr("doc_id", "text", "xxhash64(text) AS row"), 13, 5, hot_words).where("words IS NOT NULL")
+    differ = pieces.groupBy("anchor").agg({"words": "collect_set"}).collect()
+    assert max(sum(len(w.split()) for w in r[1]) for r in differ) <= max(hot_words, 13)
+
+
 def test_automaton():
     a = substring_dedup.Automaton()
     r = random.Random(2)
