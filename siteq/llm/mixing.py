@@ -4,10 +4,11 @@ Each source's words are packed into blocks of a fixed length, in the order of a
 fills as many output slots as its target asks for. Slots belong to output shards: a keyed permutation of all slot
 numbers deals the slots of all sources over the shards, so the source counts of a shard are a multinomial draw given the
 totals of the whole mix, and the totals meet the targets to within a block. The j-th slot of a source takes block
-permutation(j mod blocks) of a permutation of its own for each pass, and slots join blocks on (source, block).
+permutation(j mod blocks) of a permutation of its own for each pass. The inverse permutations tell each piece of a block
+the slots that it goes to, so the words are dealt with one shuffle by shard and no join, and written shard by shard.
 
 The permutations are swap-or-not networks: every round maps x to key - x or leaves it, by a hash of the larger of the
-two. They need no table, work for any size, and each row computes its own place.
+two. They need no table, work for any size, each row computes its own place, and the rounds backwards are the inverse.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from siteq.llm.common import plain, table, written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def permuted(x: Column, size: Column, key: Column, rounds: int = 8) -> Column:
-    """The place of x, 0 <= x < size, in the pseudorandom permutation of 0 to size - 1 that key names."""
+def permuted(x: Column, size: Column, key: Column, rounds: int = 8, inverse: bool = False) -> Column:
+    """The place of x, 0 <= x < size, in the pseudorandom permutation of 0 to size - 1 that key names, or in its inverse."""
     size, key = size.cast("long"), F.xxhash64(key)
     keys = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.pmod(F.xxhash64(key, r), size))
 
@@ -31,7 +32,7 @@ def permuted(x: Column, size: Column, key: Column, rounds: int = 8) -> Column:
         swap = F.xxhash64(k, F.greatest(place, other)).bitwiseAND(F.lit(1)) == 1
         return F.when(swap, other).otherwise(place)
 
-    return F.aggregate(keys, x.cast("long"), turn)
+    return F.aggregate(F.reverse(keys) if inverse else keys, x.cast("long"), turn)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -57,15 +58,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 32, shard_slots: int = 8192, docs_a_bucket: int = 20_000, seed: int = 5, few_sources: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix as (documents, slots, pieces).
 
-    documents: doc_id, source, size, source_size, target, taken for each row of docs. slots: shard, slot, source, number,
-    pass, block. pieces: number, block, doc_id, first word, words: which words of which documents make up a block.
+    documents: doc_id, source, size, source_size, target, taken for each row of docs, where taken is counted in slots.
+    slots: the mixed text, read from the shared folder: shard, slot, source, number, pass, block, text (the block's words
+    joined by one space) and parts (doc_id, start of the document in its source, words) in the order of the text. A shard lies
+    in one file, in order of slot. pieces: number, block, doc_id, first word, words: which words of which documents make up a block.
     Takes doc_id, source and text. A null or empty text has size 0 and is never taken; a null source is a source of its
     own; repeated rows count as often as they come. All sources together are the total to fill. The same input gives
     the same mix. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    counted = plain(docs, "doc_id", "source", "text").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
-    counted = written(counted)
+    sized = plain(docs, "doc_id", "source", "text").select("doc_id", "source", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
+    counted = written(sized.drop("text"))
     sizes = counted.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     plan = targets(sizes, weights, most)
     n_blocks = F.ceil(F.col("source_size") / block_words).cast("long")
@@ -76,31 +78,47 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     small = F.broadcast(plan) if plan.count() <= few_sources else plan
 
     # where each document's words start in its source: prefix sums over buckets, then within a bucket
-    rows = counted.join(small, counted["source"].eqNullSafe(plan["source"])).select("doc_id", counted["source"], "size", "draw", "number", "source_size", "target", F.pmod("draw", "buckets").alias("bucket"))
-    totals = rows.groupBy("number", "bucket").agg(F.sum("size").alias("in_bucket"))
+    def numbered(rows: DataFrame, *more: str) -> DataFrame:
+        keys = ("number", "source_size", "target", "n_blocks", "n_slots", "first_slot", "all_slots")
+        return rows.join(small, rows["source"].eqNullSafe(plan["source"])).select("doc_id", rows["source"], "size", "draw", *keys, F.pmod("draw", "buckets").alias("bucket"), *more)
+
+    totals = numbered(counted).groupBy("number", "bucket").agg(F.sum("size").alias("in_bucket"))
     earlier = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("number", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("bucket_start"))
+    starts = written(totals.select("number", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("bucket_start")))
+    # rows that tie have the same words, so the starts of both calls go to the same texts
     within = Window.partitionBy("number", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = written(rows.join(starts, ["number", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("bucket", "bucket_start", "draw"))
+    started = lambda rows: rows.join(starts, ["number", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("bucket", "bucket_start", "draw")
+    placed = written(started(numbered(counted)).select("doc_id", "source", "size", "number", "source_size", "target", "start"))
 
+    # pieces: a document's words cut at the ends of blocks
     end = F.col("start") + F.col("size")
-    blocks = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))))
-    first = F.greatest("start", F.col("block") * block_words)
-    pieces = blocks.select("number", "block", "doc_id", "start", (first - F.col("start")).alias("first_word"), (F.least(end, (F.col("block") + 1) * block_words) - first).alias("words"))
-
-    # slots: runs of a source's slots, so that a large source is dealt out like many small ones
-    run = 4096
-    runs = plan.where("n_slots > 0").select("source", "number", "n_blocks", "n_slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {run}"))).alias("run"))
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    each = runs.repartition(tasks, "number", "run").select("source", "number", "n_blocks", "first_slot", "all_slots", F.explode(F.sequence(F.col("run") * run, F.least(F.col("n_slots"), (F.col("run") + 1) * run) - 1)).alias("j"))
-    each = each.withColumns({"pass": F.expr("j div n_blocks"), "_at": F.expr("j % n_blocks"), "_slot": F.col("first_slot") + F.col("j")})
+    numbers = F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))
+    first = lambda b: F.greatest(F.col("start"), b * block_words) - F.col("start")
+    count = lambda b: F.least(end, (b + 1) * block_words) - F.col("start") - first(b)
+    blocks = placed.where("size > 0").withColumn("block", F.explode(numbers))
+    pieces = blocks.select("number", "block", "doc_id", "start", first(F.col("block")).alias("first_word"), count(F.col("block")).alias("words"))
+
+    # the same pieces with their words; one array a document, bound once by the outer transform
+    cut = lambda w: F.transform(numbers, lambda b: F.struct(b.alias("block"), first(b).alias("first_word"), count(b).alias("words"), F.array_join(F.slice(w, (first(b) + 1).cast("int"), count(b).cast("int")), " ").alias("text")))
+    whole = started(numbered(sized.where("size > 0"), "text"))
+    words = F.flatten(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), cut))
+    keys = ("doc_id", "source", "number", "start", "n_blocks", "n_slots", "first_slot", "all_slots")
+    filled = whole.select(*keys, F.explode(words).alias("piece")).select(*keys, "piece.*")
+
+    # each piece goes to its block's slot of every pass that the source still fills
+    filled = filled.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n_slots - 1) div n_blocks")))).where("n_slots > 0")
     own = F.concat_ws(" ", F.lit(seed), "number", "pass")
-    each = each.withColumns({"slot": permuted(F.col("_slot"), F.col("all_slots"), F.lit(f"{seed} slots")), "block": permuted(F.col("_at"), F.col("n_blocks"), own)})
-    slots = each.select(F.expr(f"slot div {shard_slots}").alias("shard"), "slot", "source", "number", "pass", "block")
-
-    times = slots.groupBy("number", "block").agg(F.count("*").alias("times"))
-    # Spark takes exploded rows for as few as their source, so it is told to shuffle both joins
-    taken = pieces.join(times.hint("merge"), ["number", "block"]).groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    filled = filled.withColumn("_j", F.col("pass") * F.col("n_blocks") + permuted(F.col("block"), F.col("n_blocks"), own, inverse=True)).where("_j < n_slots")
+    filled = filled.withColumn("slot", permuted(F.col("first_slot") + F.col("_j"), F.col("all_slots"), F.lit(f"{seed} slots"))).withColumn("shard", F.expr(f"slot div {shard_slots}"))
+    dealt = filled.select("shard", "slot", "source", "number", "pass", "block", "start", "first_word", "doc_id", "words", "text").repartition("shard")
+    parts = F.array_sort(F.collect_list(F.struct("start", "first_word", "doc_id", "words", "text")))
+    dealt = dealt.groupBy("shard", "slot").agg(*(F.first(c).alias(c) for c in ("source", "number", "pass", "block")), parts.alias("parts"))
+    part = lambda p: F.struct(p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["words"].alias("words"))
+    dealt = dealt.select("shard", "slot", "source", "number", "pass", "block", F.array_join("parts.text", " ").alias("text"), F.transform("parts", part).alias("parts"))
+    slots = written(dealt.sortWithinPartitions("shard", "slot"))
+
+    taken = slots.select("number", F.explode("parts").alias("part")).groupBy("number", "part.start").agg(F.sum("part.words").alias("taken"))
+    # Spark takes exploded rows for as few as their source, so it is told to shuffle the join
     some = placed.where("size > 0").join(taken.hint("merge"), ["number", "start"], "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     documents = some.unionByName(none).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

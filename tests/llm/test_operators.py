@@ -420,6 +420,22 @@ def test_mixing(spark, docs, texts):
     assert again == {d: r.taken for d, r in rows.items()}
 
 
+def test_mixing_writes_the_mixed_text(docs, texts):
+    out, slots, pieces = mixing.mix(docs, block_words=8, docs_a_bucket=5, shard_slots=64)
+    words, blocks, taken = {d: re.findall(WORD, t or "") for d, t in texts.items()}, defaultdict(list), Counter()
+    for p in sorted(pieces.collect(), key=lambda p: (p.number, p.block, p.start)):
+        blocks[p.number, p.block] += words[p.doc_id][p.first_word : p.first_word + p.words]
+    rows = slots.collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and rows
+    for r in rows:
+        assert r.text == " ".join(blocks[r.number, r.block]) and r.shard == r.slot // 64
+        taken.update({p.doc_id: 0 for p in r.parts})
+        for p in r.parts:
+            taken[p.doc_id] += p.words
+    assert slots.inputFiles()
+    assert {r.doc_id: r.taken for r in out.collect()} == {d: taken[d] for d in texts}
+
+
 def test_mixing_odd_tables(spark):
     assert mixing.mix(empty(spark))[0].count() == 0
     got = mixing.mix(frame(spark, [None, "", " "], [1, 1, None]))[0].collect()
