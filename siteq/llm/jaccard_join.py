@@ -1,18 +1,20 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word shingles. Sets that are equal are one class. The rest is filter and verify, over groups of
-similar documents instead of single ones:
+Documents are sets of word shingles. Equal sets are one node, named by a 64-bit sum over the set, whichever document
+holds it. The rest is filter and verify, over groups of similar nodes instead of single ones:
 
-1. Every document lists the first few of its shingles in one order of all shingles, the rare ones first: as many that
-   two documents that link share at least `hits` of them. Shingles that no other document lists are dropped.
-2. Leaders: among the documents of a shingle one of about their size leads; documents are compared with their leaders
+1. Every node lists the first few of its shingles in one order of all shingles, the rare ones first: as many that
+   two sets that link share at least `hits` of them. Shingles that no other node lists are dropped.
+2. Leaders: among the nodes of a shingle one of about their size leads; nodes are compared with their leaders
    only, and those that link form groups.
 3. Matrix: a shingle's row names the groups, in blocks of similar size, whose union of listed shingles holds it.
-   Counting a document's hits on a block bounds its overlap with any member, and so does what a document lists alone
+   Counting a node's hits on a block bounds its overlap with any member, and so does what a node lists alone
    before a shingle; only blocks with enough hits are opened.
-4. An opened block keeps the union of its members' whole sets. A document whose overlap with that union is too small
-   for the threshold is done; otherwise it is compared with the members, up to the first link, since all members are one
-   component already.
+4. An opened block first compares sketches: the number of shingles in each of `BINS` bins of their hash. The sum of the
+   smaller counts is never less than the overlap, so no link is lost, and few pairs that do not link pass.
+5. Texts are read for what passed only. A block keeps the union of its members' whole sets. A node whose overlap
+   with that union is too small for the threshold is done; otherwise it is compared with the members, up to the first
+   link, since all members are one component already.
 
 The order of shingles comes from counts over all documents, of which the `order_size` largest are kept; it moves work
 about but any order gives the same links. A second round of leaders, drawn by hash, joins groups that the first left apart.
@@ -35,6 +37,12 @@ from siteq.llm.components import components
 MEMORY, AT_ONCE = 200_000, 6 << 20
 #: Rows of a shingle that later ones are compared with; those beyond lead themselves and are left to the matrix.
 LEADERS = 8
+#: Bins of a sketch, and the largest count that one holds; a set with more in a bin has no sketch and always passes.
+BINS, MOST = 64, (1 << 16) - 1
+#: Bits of the filter that keeps texts nobody asked for out of a join, in pieces of one row each. It only saves work.
+FILTER_BITS, PIECE_BITS = 1 << 25, 1 << 15
+#: Shares of the rows of a hot group in a join.
+SALTS = 16
 
 
 def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
@@ -59,14 +67,24 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
 
 
+def _sketch(s: np.ndarray) -> bytes | None:
+    """Shingles in each bin of the hash's lowest bits, as 16-bit counts."""
+    counts = np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return counts.astype("<u2").tobytes() if counts.max(initial=0) <= MOST else None
+
+
+DESCRIBED = "doc_id long, n long, s1 long, s2 long, sketch binary"
+
+
 def _describe(n: int, least: int = 3):
-    """Rows (doc_id, shingles, s1, s2) of documents; rows (null, count, shingle, null) of shingles that come up `least` times in what a task counts at once."""
+    """Rows (doc_id, shingles, s1, s2, sketch) of documents; rows (null, count, shingle, null, null) of shingles that come up `least` times in what a task counts at once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
-        def batch_of(doc, size, s1, s2):
-            return pa.record_batch([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], names=["doc_id", "n", "s1", "s2"])
+        def batch_of(doc, size, s1, s2, sketch):
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.record_batch([pa.array(c, k) for c, k in zip((doc, size, s1, s2, sketch), kinds, strict=True)], names=["doc_id", "n", "s1", "s2", "sketch"])
 
         def counts():
             g = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
@@ -74,12 +92,13 @@ def _describe(n: int, least: int = 3):
             at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
             many = np.diff(np.append(at, len(g)))
             keep = many >= least
-            return batch_of([None] * int(keep.sum()), many[keep], g[at[keep]].view(np.int64), [None] * int(keep.sum()))
+            none = [None] * int(keep.sum())
+            return batch_of(none, many[keep], g[at[keep]].view(np.int64), none, none)
 
         for batch, texts in slices(batches, "text"):
             sets = list(shingle_sets(Words(texts, lower=True), n))
             signs = [_signature(s) for s in sets]
-            yield batch_of(batch.column(0), [len(s) for s in sets], [x[0] for x in signs], [x[1] for x in signs])
+            yield batch_of(batch.column(0), [len(s) for s in sets], [x[0] for x in signs], [x[1] for x in signs], [_sketch(s) for s in sets])
             held += sets
             total += sum(map(len, sets))
             if total >= AT_ONCE:
@@ -117,24 +136,24 @@ class Rule:
         return self.den * both >= self.num * (len(a) + len(b) - both)
 
 
-LISTED = "shingle long, doc_id long, n int, pos int"
+LISTED = "shingle long, node long, n int, pos int"
 
 
 def _list(n: int, rule: Rule, order):
-    """(shingle, doc_id, n, pos) of the listed shingles of each document in order; equal sets of one task are listed once."""
+    """(shingle, node, n, pos) of the listed shingles of each set in order; equal sets of one task are listed once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = order.value
         sent: set[tuple[int, int]] = set()
         for batch, texts in slices(batches, "text"):
             out, ids, sizes = [], [], []
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(Words(texts, lower=True), n), strict=True):
+            for s in shingle_sets(Words(texts, lower=True), n):
                 if not len(s) or (sign := _signature(s)) in sent:
                     continue
                 if len(sent) >= MEMORY:
                     sent.clear()
                 sent.add(sign)
-                ids.append(doc)
+                ids.append(sign[0])
                 sizes.append(len(s))
                 p = rule.listed(len(s))
                 if len(common):
@@ -146,30 +165,34 @@ def _list(n: int, rule: Rule, order):
                 out.append(s[:p])
             if out:
                 lengths = [len(x) for x in out]
-                yield pa.record_batch({"shingle": pa.array(np.concatenate(out).view(np.int64)), "doc_id": pa.array(np.repeat(np.array(ids, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)), "pos": pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]))})
+                yield pa.record_batch({"shingle": pa.array(np.concatenate(out).view(np.int64)), "node": pa.array(np.repeat(np.array(ids, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)), "pos": pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]))})
 
     return rows
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops the shingles that only one row lists; rows come by shingle."""
-    held, seen = None, None  # a shingle's only row so far; the last shingle of which rows have gone on
+    """Drops repeated rows and the shingles that only one node lists; rows come by shingle and node."""
+    held, seen = None, None  # a shingle's only row so far; the shingle and node of the last row that has gone on
     for batch in batches:
         if held is not None and batch.num_rows:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if not batch.num_rows:
             continue
-        shingle = batch.column(0).to_numpy()
+        shingle, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        first = np.append(seen is None or seen != (shingle[0], node[0]), (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]))
+        if not first.any():
+            continue
+        batch, shingle, node = batch.filter(pa.array(first)), shingle[first], node[first]
         new = np.append(True, shingle[1:] != shingle[:-1])
         alone = new & np.append(new[1:], True)
         if seen is not None:
-            alone &= shingle != seen
+            alone &= shingle != seen[0]
         held = batch.slice(batch.num_rows - 1) if alone[-1] else None
-        seen = None if alone[-1] else shingle[-1]
+        seen = None if alone[-1] else (shingle[-1], node[-1])
         yield batch.filter(pa.array(~alone))
 
 
-MATRIX = "shingle long, doc_id long, n int, best int"
+MATRIX = "shingle long, node long, n int, best int"
 
 
 def _lead(rule: Rule):
@@ -183,21 +206,49 @@ def _lead(rule: Rule):
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                shingle, doc, n, best = row
+                shingle, node, n, best = row
                 if shingle != last:
                     last, leaders, waiting = shingle, [], []
                 lead = next((d for d, size, most in leaders if rule.may(n, best, size, most)), None)
                 if lead is None and len(leaders) < LEADERS:
-                    leaders.append((doc, n, best))
+                    leaders.append((node, n, best))
                     if len(leaders) < LEADERS and (waiting or len(leaders) == 1):
-                        waiting.append((*row, doc))
+                        waiting.append((*row, node))
                         continue
                 out += waiting
                 waiting = []
-                out.append((*row, doc if lead is None else lead))
+                out.append((*row, node if lead is None else lead))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shingle", "doc_id", "n", "best", "leader"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shingle", "node", "n", "best", "leader"])
+
+    return rows
+
+
+def _near(rule: Rule):
+    """(block, a, b) of a query and each member of its cell that its sketch lets it link with; a cell's members come before its queries."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, nodes, sizes, counts = None, [], [], []
+        stacked = None
+        for batch in batches:
+            found: list[tuple[int, int, int]] = []
+            for block, part, is_query, node, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, part) != cell:
+                    cell, nodes, sizes, counts, stacked = (block, part), [], [], [], None
+                own = np.frombuffer(sketch, "<u2").astype(np.int64) if sketch is not None else np.full(BINS, 1 << 40)
+                if not is_query:
+                    nodes.append(node)
+                    sizes.append(n)
+                    counts.append(own)
+                    continue
+                if not nodes:
+                    continue
+                if stacked is None:
+                    stacked = np.array(nodes, np.int64), np.array(sizes, np.int64), np.stack(counts)
+                most = np.minimum(np.minimum(stacked[2], own).sum(axis=1), np.minimum(stacked[1], n))
+                found += [(block, node, b) for b in stacked[0][(rule.num + rule.den) * most >= rule.num * (stacked[1] + n)].tolist() if b != node]
+            yield pa.record_batch({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate(("block", "a", "b"))})
 
     return rows
 
@@ -210,33 +261,56 @@ def _open(n: int, rule: Rule):
         for batch, texts in slices(batches, "text"):
             found: list[tuple[int, int]] = []
             keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-            for (block, part, is_query, doc), s in zip(keys, shingle_sets(Words(texts, lower=True), n), strict=True):
+            for (block, part, is_query, node), s in zip(keys, shingle_sets(Words(texts, lower=True), n), strict=True):
                 if (block, part) != cell:
                     cell, members, union = (block, part), [], None
+                if not len(s) or _signature(s)[0] != node:
+                    continue  # another row of the document that stands for the node
                 if not is_query:
-                    members.append((doc, s))
+                    members.append((node, s))
                     continue
-                if not members or not len(s):
+                if not members:
                     continue
                 if union is None:
                     union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([m for _, m in members]))
                     smallest = min(len(m) for _, m in members)
-                bound = int((union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s).sum()) if len(union) else 0
+                bound = int((union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s).sum())
                 if rule.den * bound < rule.num * max(len(s), smallest):
                     continue
-                if (b := next((d for d, m in members if d != doc and rule.links(s, m)), None)) is not None:
-                    found.append((doc, b))
+                if (b := next((d for d, m in members if d != node and rule.links(s, m)), None)) is not None:
+                    found.append((node, b))
             yield pa.record_batch({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return rows
 
 
-def _compare(asked: DataFrame, members: DataFrame, texts: DataFrame, n: int, rule: Rule, a_cell: int = 128) -> DataFrame:
-    """Links (a, b) of asked (block, doc_id) with members (block, doc_id): a block's queries go to cells of about a_cell, each with the members' texts."""
+def _cells(asked: DataFrame, members: DataFrame, a_cell: int) -> DataFrame:
+    """(block, cell, is_query, node): a block's queries go to cells of about a_cell, each with the members."""
     cells = asked.groupBy("block").agg(F.ceil(F.count("*") / a_cell).cast("int").alias("cells"))
-    queries = asked.join(cells, "block").select("block", F.pmod(F.xxhash64("doc_id"), "cells").cast("int").alias("cell"), F.lit(1).alias("is_query"), "doc_id")
-    held = members.join(cells, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("is_query"), "doc_id")
-    rows = queries.union(held).join(texts, "doc_id").select("block", "cell", "is_query", "doc_id", "text")
+    queries = asked.join(cells, "block").select("block", F.pmod(F.xxhash64("node"), "cells").cast("int").alias("cell"), F.lit(1).alias("is_query"), "node")
+    held = members.join(cells, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("is_query"), "node")
+    return queries.union(held)
+
+
+def _texts_of(nodes: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, text) of the documents that stand for the nodes. A bit filter of fixed size keeps most other texts out of the join."""
+    wanted = written(nodes.distinct().join(reps.select("node", "doc_id"), "node"))
+    place = f"pmod(xxhash64(doc_id), {FILTER_BITS}L)"
+    piece = F.expr(f"{place} div {PIECE_BITS}L").alias("piece")
+    bits = wanted.groupBy(piece).agg(F.bitmap_construct_agg(F.expr(f"{place} % {PIECE_BITS}L")).alias("bits"))
+    byte = f"conv(hex(substring(bits, cast({place} % {PIECE_BITS}L div 8 as int) + 1, 1)), 16, 10)"
+    here = F.expr(f"cast({byte} as int) & shiftleft(1, cast({place} % 8 as int)) <> 0")
+    some = known.select("*", piece).join(F.broadcast(bits), "piece").where(here).select("doc_id", "text")
+    return some.join(wanted, "doc_id").select("node", "text")
+
+
+def _compare(asked: DataFrame, members: DataFrame, reps: DataFrame, known: DataFrame, n: int, rule: Rule, a_cell: int = 128) -> DataFrame:
+    """Links (a, b) of asked (block, node) with members (block, node): by sketches first, then by the texts of what they left."""
+    rows = _cells(asked, members, a_cell).join(reps.select("node", "n", "sketch"), "node").select("block", "cell", "is_query", "node", "n", "sketch")
+    near = written(rows.repartition("block", "cell").sortWithinPartitions("block", "cell", "is_query").mapInArrow(_near(rule), "block long, a long, b long"))
+    asked, members = near.select("block", F.col("a").alias("node")).distinct(), near.select("block", F.col("b").alias("node")).distinct()
+    texts = _texts_of(near.select(F.explode(F.array("a", "b")).alias("node")), reps, known)
+    rows = _cells(asked, members, a_cell).join(texts, "node").select("block", "cell", "is_query", "node", "text")
     return written(rows.repartition("block", "cell").sortWithinPartitions("block", "cell", "is_query").mapInArrow(_open(n, rule), "a long, b long"))
 
 
@@ -245,20 +319,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     Takes doc_id and text. Words are runs of anything but ASCII white space, with A-Z folded; a set holds the distinct
     n-word shingles, or the whole sequence of fewer words. Two sets link when den * intersection >= num * union. A null
-    text or one without words is the empty set, linked with nothing. Rows with one doc_id are one node, linked by the
+    text or one without words is the empty set, linked with nothing. Rows with one doc_id are one document, linked by the
     links of all of them, with a row each. A null doc_id takes no part and has a null component. An empty table
-    gives no rows. Other columns are ignored. Shingles are compared by 64-bit hashes, whole sets by two of them.
+    gives no rows. Other columns are ignored. Shingles are compared by 64-bit hashes, whole sets by two of them and their size.
     """
     spark = docs.sparkSession
     rule = Rule(num, den, hits)
     base = plain(docs, "doc_id", "text")
     known = base.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    described = written(known.mapInArrow(_describe(n), "doc_id long, n long, s1 long, s2 long"))
+    described = written(known.mapInArrow(_describe(n), DESCRIBED))
     sets = described.where("doc_id IS NOT NULL")
-    # equal sets link with the least of them
-    classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    equal = sets.join(classes, ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
-    links = written(equal)
+    # equal sets are one node, for which the least document stands
+    reps = written(sets.where("n > 0").groupBy(F.col("s1").alias("node")).agg(F.min_by(F.struct("doc_id", F.col("n").cast("int").alias("n"), "sketch"), "doc_id").alias("x")).select("node", "x.*"))
     # the most common shingles, order_size at most, go to the end of the order
     common = described.where("doc_id IS NULL").groupBy("s1").agg(F.sum("n").alias("many")).where(F.col("many") >= min_count)
     common = common.orderBy(F.desc("many"), "s1").limit(order_size).toArrow()
@@ -266,69 +338,86 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     at = np.argsort(shingle)
     order = spark.sparkContext.broadcast((shingle[at], many[at]))
     listed = known.mapInArrow(_list(n, rule, order), LISTED)
-    shared = written(_by_shingle(listed))
+    shared = written(listed.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_several, LISTED))
     need = F.least(F.lit(hits), F.ceil(F.col("n") * num / den)).cast("int")
-    alive = shared.groupBy("doc_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("doc_id", "k")
-    # what a document lists alone before a shingle is in no other that lists this shingle: it bounds their overlap
-    alone = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) + 1
-    bounded = shared.join(alive, "doc_id").withColumn("best", F.col("n") - alone).where(F.col("best") * den >= F.col("n") * num)
-    matrix = written(bounded.repartition("shingle").sortWithinPartitions("shingle", F.desc("k"), "doc_id").select("shingle", "doc_id", "n", "best").mapInArrow(_lead(rule), MATRIX + ", leader long"))
-    texts = written(known.join(matrix.select("doc_id").distinct(), "doc_id", "left_semi"))
+    alive = shared.groupBy("node", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("node", "k")
+    # what a node lists alone before a shingle is in no other that lists this shingle: it bounds their overlap
+    alone = F.col("pos") - F.row_number().over(Window.partitionBy("node").orderBy("pos")) + 1
+    bounded = shared.join(alive, "node").withColumn("best", F.col("n") - alone).where(F.col("best") * den >= F.col("n") * num)
+    matrix = written(bounded.repartition("shingle").sortWithinPartitions("shingle", F.desc("k"), "node").select("shingle", "node", "n", "best").mapInArrow(_lead(rule), MATRIX + ", leader long"))
+    links = None
     for turn in range(leader_rounds):
-        asked = written(matrix.where("doc_id <> leader").groupBy("doc_id", "n", F.col("leader").alias("block")).agg(F.count("*").alias("k")).where(F.col("k") >= need).select("block", "doc_id"))
-        members = asked.select("block").distinct().select("block", F.col("block").alias("doc_id"))
-        links = written(links.union(_compare(asked, members, texts, n, rule)))
-        matrix = _regroup(matrix.select("shingle", "doc_id", "n", "best"), links)
+        asked = written(matrix.where("node <> leader").groupBy("node", "n", F.col("leader").alias("block")).agg(F.count("*").alias("k")).where(F.col("k") >= need).select("block", "node"))
+        members = asked.select("block").distinct().select("block", F.col("block").alias("node"))
+        more = _compare(asked, members, reps, known, n, rule)
+        links = more if links is None else written(links.union(more))
+        matrix = _regroup(matrix.select("shingle", "node", "n", "best"), links)
         if turn == leader_rounds - 1:
             break
         # other leaders: in each shingle and size the row with the least hash for this turn
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
-        lead = matrix.groupBy("shingle", band.alias("band")).agg(F.min_by(F.struct("doc_id", "group"), F.xxhash64("group", F.lit(turn))).alias("x"))
-        matrix = written(matrix.withColumn("band", band).join(lead, ["shingle", "band"]).withColumn("leader", F.when(F.col("group") == F.col("x.group"), F.col("doc_id")).otherwise(F.col("x.doc_id"))).drop("x", "band"))
-    links = written(links.union(_across(matrix, texts, n, rule, need, a_block)))
-    return _answer(base, sets, components(links))
-
-
-def _by_shingle(listed: DataFrame) -> DataFrame:
-    return listed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_several, LISTED)
+        lead = matrix.groupBy("shingle", band.alias("band")).agg(F.min_by(F.struct("node", "group"), F.xxhash64("group", F.lit(turn))).alias("x"))
+        matrix = written(matrix.withColumn("band", band).join(lead, ["shingle", "band"]).withColumn("leader", F.when(F.col("group") == F.col("x.group"), F.col("node")).otherwise(F.col("x.node"))).drop("x", "band"))
+    links = links.union(_across(matrix, reps, known, n, rule, need, a_block))
+    return _answer(base, sets, reps, links)
 
 
 def _regroup(matrix: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of shingles that several groups list, with each document's group.
+    """The rows of shingles that several groups list, with each node's group.
 
-    A group is what links reach from a document in two steps to the least end, so equal groups are one component.
+    A group is what links reach from a node in two steps to the least end, so equal groups are one component.
     """
-    to = links.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("one"))
-    two = to.join(to.select(F.col("doc_id").alias("one"), F.col("one").alias("two")), "one", "left").select("doc_id", F.coalesce("two", "one").alias("group"))
-    labelled = matrix.join(two, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
+    to = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("one"))
+    two = to.join(to.select(F.col("node").alias("one"), F.col("one").alias("two")), "one", "left").select("node", F.coalesce("two", "one").alias("group"))
+    labelled = matrix.join(two, "node", "left").withColumn("group", F.coalesce("group", "node"))
     several = labelled.groupBy("shingle").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("shingle")
     return written(labelled.join(several, "shingle"))
 
 
-def _across(matrix: DataFrame, texts: DataFrame, n: int, rule: Rule, need, a_block: int) -> DataFrame:
-    """Links between groups: documents of the smaller group ask the blocks of the larger one that enough of their shingles hit."""
-    sizes = matrix.select("doc_id", "group", "n").distinct().groupBy("group").agg(F.count("*").alias("size"))
+def _salted(rows: DataFrame, per_group: DataFrame, keys: list[str], by: str = "node", how: str = "inner") -> DataFrame:
+    """rows joined with one row for each group; a hot group's rows go to SALTS tasks, dealt by the column `by`."""
+    spread = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(spread, [*keys, "salt"], how).drop("salt")
+
+
+def _across(matrix: DataFrame, reps: DataFrame, known: DataFrame, n: int, rule: Rule, need, a_block: int) -> DataFrame:
+    """Links between groups: nodes of the smaller group ask the blocks of the larger one that enough of their shingles hit."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(rule.den / rule.num)))
-    rows = matrix.join(sizes, "group").withColumn("band", band)
-    per = rows.select("doc_id", "group", "band").distinct().groupBy("group", "band").agg(F.ceil(F.count("*") / a_block).cast("int").alias("parts"))
-    rows = written(rows.join(per, ["group", "band"]).withColumn("block", F.xxhash64("group", "band", F.pmod(F.xxhash64("doc_id"), "parts"))).select("shingle", "doc_id", "n", "best", "group", "size", "band", "block"))
+    nodes = written(matrix.select("node", "group", "n").distinct().withColumn("band", band))
+    sizes = written(nodes.groupBy("group").agg(F.count("*").alias("size")))
+    per = written(nodes.groupBy("group", "band").agg(F.ceil(F.count("*") / a_block).cast("int").alias("parts")))
+    place = F.xxhash64("group", "band", F.pmod(F.xxhash64("node"), "parts"))
+    nodes = written(_salted(_salted(nodes, sizes, ["group"]), per, ["group", "band"]).select("node", "group", "size", "band", place.alias("block")))
+    rows = written(matrix.drop("group").join(nodes, "node").select("shingle", "node", "n", "best", "group", "size", "band", "block"))
     least = rows.groupBy("block").agg(F.min("n").alias("to_n"))
     unions = rows.groupBy("shingle", "block", F.col("group").alias("to"), F.col("size").alias("to_size"), F.col("band").alias("to_band")).agg(F.max("best").alias("to_best")).join(least, "block")
-    asks = rows.select("shingle", "doc_id", "n", "best", "group", "size", "band")
+    asks = rows.select("shingle", "node", "n", "best", "group", "size", "band")
     smaller = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("group") > F.col("to")))
     may = (rule.num + rule.den) * F.least("best", "to_best") >= rule.num * (F.col("n") + F.col("to_n"))
-    asked = asks.join(unions, "shingle").where(smaller & may & (F.abs(F.col("band") - F.col("to_band")) <= 1)).groupBy("doc_id", "n", "block").agg(F.count("*").alias("k")).where(F.col("k") >= need)
-    return _compare(written(asked.select("block", "doc_id").distinct()), rows.select("block", "doc_id").distinct(), texts, n, rule)
+    asked = asks.join(unions, "shingle").where(smaller & may & (F.abs(F.col("band") - F.col("to_band")) <= 1)).groupBy("node", "n", "block").agg(F.count("*").alias("k")).where(F.col("k") >= need)
+    return _compare(written(asked.select("block", "node")), nodes.select("block", "node"), reps, known, n, rule)
 
 
-def _answer(base: DataFrame, sets: DataFrame, reach: DataFrame) -> DataFrame:
-    """A row for each row of base: those that have a set from `sets`, the others as the empty set."""
-    empty = base.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.lit(0).cast("long").alias("n"))
-    rows = sets.select("doc_id", "n").union(empty)
-    return rows.join(reach.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+def _answer(base: DataFrame, sets: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
+    """A row for each row of base: those that have a set from `sets`, the others as the empty set.
+
+    Components are those of the documents that stand for nodes, and of documents with several rows, which tie their sets together.
+    """
+    of = reps.select("node", "doc_id")
+    between = links.join(of.withColumnRenamed("doc_id", "x"), F.col("a") == F.col("node")).drop("node").join(of.withColumnRenamed("doc_id", "y"), F.col("b") == F.col("node")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rows = sets.withColumnRenamed("s1", "node")
+    copies = rows.where("n > 0").groupBy("node", "n", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    rows = written(_salted(rows, copies, ["node", "n", "s2"], "doc_id", "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("first")))
+    again = rows.groupBy("doc_id").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x <> y")
+    again = again.select(F.col("doc_id").alias("a"), F.explode(F.array("x", "y")).alias("b"))
+    reach = components(between.union(again)).withColumnRenamed("id", "first")
+    some = rows.join(reach, "first", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
+    empty = base.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.union(empty)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_components of all documents, with the four-word shingles and the similarity of 0.85 that the query asks for."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
