@@ -51,19 +51,33 @@ def _none() -> Column:
     return F.array().cast(SPAN)
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Matches whose lengths one fold sums up, and characters of a run that one fold reads: Spark copies a fold's state at every step, so it has to stay small.
+PART, PIECE = 64, 4096
+
+
 def located(text: Column, pattern: str) -> Column:
     """Array of (start, match) of the leftmost non-overlapping matches, in code points."""
+    size = lambda x: (F.length(x["gap"]) + F.length(x["match"])).cast("bigint")
+    grown = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+
+    def places(part: Column, base: Column) -> Column:
+        before = F.aggregate(part, F.array(base), lambda acc, x: grown(acc, size(x)))
+        return _bound(before, lambda before: F.transform(part, lambda x, k: F.struct((F.get(before, k) + F.length(x["gap"])).alias("start"), x["match"].alias("match"))))
+
+    def by_parts(both: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / PART).cast("int")), lambda k: F.slice(both, k * PART + 1, F.lit(PART)))
+        sums = lambda parts: F.transform(parts, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + size(x)))
+        bases = lambda parts: F.aggregate(sums(parts), F.array(F.lit(0).cast("bigint")), grown)
+        return _bound(parts, lambda parts: _bound(bases(parts), lambda bases: F.flatten(F.transform(parts, lambda c, k: places(c, F.get(bases, k))))))
+
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(matches), F.lit(1))).alias("gap"), matches.alias("match"))
-    found = F.aggregate(
-        both,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start: bigint, match: string>>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["match"].alias("match")))).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
+    found = _bound(both, lambda both: F.when(F.size(both) <= PART, places(both, F.lit(0).cast("bigint"))).otherwise(by_parts(both)))
     return F.when(F.size(matches) > 0, found).otherwise(F.array().cast("array<struct<start: bigint, match: string>>"))
 
 
@@ -78,30 +92,45 @@ def _rule(text: Column, kind: str, pattern: str, keep=None) -> Column:
 
 
 def high_entropy(run: Column, letters: str, least_bits: float, window: int = WINDOW) -> Column:
-    """Array of (a, b): maximal unions of the windows of the run, a string of `letters`, with least_bits or more."""
+    """Array of (a, b): maximal unions of the windows of the run, a string of `letters`, with least_bits or more.
+
+    The run is read in pieces; each starts with the window before its first character, so it finds the windows that end in it.
+    """
     weigh = F.array(*(F.lit(round(c * math.log2(c) * _UNIT) if c else 0).cast("bigint") for c in range(window + 2)))
     most = F.lit(int((math.log2(window) - least_bits) * window * _UNIT)).cast("bigint")  # entropy = log2(window) - sum / window
     pairs = "array<struct<a: bigint, b: bigint>>"
-    places = F.transform(F.split(run, ""), lambda ch: F.instr(F.lit(letters), ch))
 
-    def step(acc: Column, i: Column) -> Column:
-        enter, leave = F.get(acc["places"], i - 1), F.coalesce(F.get(acc["places"], i - window - 1), F.lit(0))
-        c_in, c_out = F.get(acc["counts"], enter - 1), F.get(acc["counts"], leave - 1)
-        change = F.get(weigh, c_in + 1) - F.get(weigh, c_in) + F.coalesce(F.get(weigh, c_out - 1) - F.get(weigh, c_out), F.lit(0))
-        total = F.when(enter == leave, acc["sum"]).otherwise(acc["sum"] + change)
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == enter - 1, 1).otherwise(0) - F.when(k == leave - 1, 1).otherwise(0))
-        last = F.element_at(acc["spans"], -1)
-        here = lambda a: F.array(F.struct(a.cast("bigint").alias("a"), i.cast("bigint").alias("b")))
-        grown = F.when((F.size(acc["spans"]) > 0) & (F.get(acc["spans"], F.size(acc["spans"]) - 1)["b"] >= i - window), F.concat(F.slice(acc["spans"], 1, F.size(acc["spans"]) - 1), here(last["a"]))).otherwise(F.concat(acc["spans"], here(i - window)))
-        return F.struct(
-            acc["places"].alias("places"),
-            F.when(enter == leave, acc["counts"]).otherwise(counts).alias("counts"),
-            total.alias("sum"),
-            F.when((i >= window) & (total <= most), grown).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    zero = F.struct(places.alias("places"), F.array_repeat(F.lit(0), len(letters)).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.array().cast(pairs).alias("spans"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), zero, step, lambda acc: acc["spans"])
+    def piece(places: Column, k: Column) -> Column:
+        first, low, high = F.greatest(k * PIECE - window + 1, F.lit(1)), k * PIECE, F.least((k + 1) * PIECE, F.size(places))
+        moves = F.transform(F.sequence(first, high), lambda i: F.struct(i.alias("i"), F.get(places, i - 1).alias("enter"), F.when(i - window >= first, F.get(places, i - window - 1)).otherwise(0).alias("leave")))
+
+        def step(acc: Column, x: Column) -> Column:
+            i, enter, leave = x["i"], x["enter"], x["leave"]
+            c_in, c_out = F.get(acc["counts"], enter - 1), F.get(acc["counts"], leave - 1)
+            change = F.get(weigh, c_in + 1) - F.get(weigh, c_in) + F.coalesce(F.get(weigh, c_out - 1) - F.get(weigh, c_out), F.lit(0))
+            total = F.when(enter == leave, acc["sum"]).otherwise(acc["sum"] + change)
+            counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == enter - 1, 1).otherwise(0) - F.when(k == leave - 1, 1).otherwise(0))
+            n = F.size(acc["spans"])
+            here = lambda a: F.array(F.struct(a.cast("bigint").alias("a"), i.cast("bigint").alias("b")))
+            grown = F.when((n > 0) & (F.get(acc["spans"], n - 1)["b"] >= i - window), F.concat(F.slice(acc["spans"], F.lit(1), n - 1), here(F.get(acc["spans"], n - 1)["a"]))).otherwise(F.concat(acc["spans"], here(i - window)))
+            return F.struct(
+                F.when(enter == leave, acc["counts"]).otherwise(counts).alias("counts"),
+                total.alias("sum"),
+                F.when((i > low) & (i >= window) & (total <= most), grown).otherwise(acc["spans"]).alias("spans"),
+            )
+
+        zero = F.struct(F.array_repeat(F.lit(0), len(letters)).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.array().cast(pairs).alias("spans"))
+        return F.aggregate(moves, zero, step, lambda acc: acc["spans"])
+
+    def joined(spans: Column) -> Column:
+        """Spans of two pieces that touch are one."""
+        opens = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: (k == 0) | (F.get(spans, k)["a"] > F.get(spans, k - 1)["b"]))
+        whole = _bound(opens, lambda opens: F.transform(opens, lambda at, j: F.struct(F.get(spans, at)["a"].alias("a"), F.get(spans, F.coalesce(F.get(opens, j + 1), F.size(spans)) - 1)["b"].alias("b"))))
+        return F.when(F.size(spans) > 0, whole).otherwise(F.array().cast(pairs))
+
+    places = F.transform(F.split(run, ""), lambda ch: F.instr(F.lit(letters), ch))
+    pieces = lambda places: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(places) - 1) / PIECE).cast("int")), lambda k: piece(places, k)))
+    return _bound(places, lambda places: _bound(pieces(places), joined))
 
 
 def _entropy(text: Column, kind: str, allowed: tuple[str, ...], window: int) -> Column:
@@ -152,4 +181,5 @@ def scan(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, window: int = WIND
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan of all documents, without the span arrays."""
     return scan(table(spark, sf_dir, "documents")).drop("base", "found")
