@@ -88,8 +88,8 @@ def _curve(gain: np.ndarray, size: np.ndarray, y: np.ndarray, prior: float) -> t
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, fit_bytes: int = 8 << 20, dict_bytes: int = 1 << 20, held_fold: int | None = 2) -> Model:
     """Fit on labelled rows outside the held-out fold.
 
-    At most `fit_rows` rows a class, those with the smallest hash of doc_id, and of these as many whole texts as fit
-    `fit_bytes`; half of them fill the dictionary, half fit the curve, by another bit of the hash. A doc_id whose
+    At most `fit_rows` rows a class, those with the smallest hash of doc_id, and of these as many whole texts (the least of rows
+    that share a doc_id) as fit `fit_bytes`; half of them fill the dictionary, half fit the curve, by another bit of the hash. A doc_id whose
     labels differ or that has none, and rows without a text, aren't used. With a class missing, every document gets
     the share of good labels (0.5 without labels). Labels other than 0 and 1 play no part.
     """
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, fit_bytes: int
     if not picked:
         return Model(b"", b"", 0.0, 0.0, 0.0)
     few = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
-    sample = plain(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").withColumn("size", F.octet_length("text"))
+    sample = plain(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").groupBy("quality", "doc_id").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text"))
     sized = sample.select("quality", "doc_id", draw.alias("draw"), "size").distinct().orderBy("draw", "doc_id", "size").collect()
     keep, room, rows = set(), {0: fit_bytes, 1: fit_bytes}, {0: fit_rows, 1: fit_rows}
     for r in sized:
@@ -129,20 +129,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, fit_bytes: int
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """All columns of docs, then score and predicted. A null or empty text gets the share of good labels."""
+    """All columns of docs, then score and predicted (score >= threshold), a row for each row of docs.
+
+    A null or empty text gets the share of good labels. A text is compressed whole, however long. Equal texts get equal
+    scores, repeated rows one each. Columns named score or predicted are replaced, all others carried. An empty table gives no rows.
+    """
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of dict_bytes at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = shared.value.gains()
-        for batch, texts in slices(batches, "_text", 4 << 20):
+        for batch, texts in slices(batches, hidden, 4 << 20):
             raw = [t.encode() for t in texts.to_pylist()]
             s = shared.value.score(np.array([gain(t) for t in raw], float), np.array([len(t) for t in raw], float))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
 
     base = docs.drop("score", "predicted")
+    hidden = max(["text", *base.columns], key=len) + "_"  # no column's name
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.withColumn("_text", F.col("text")).mapInArrow(rows, f"{schema}, score double, predicted int")
+    return base.withColumn(hidden, F.col("text")).mapInArrow(rows, f"{schema}, score double, predicted int")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
