@@ -7,7 +7,7 @@ there by Spark; a conversation longer than `part_bytes` goes out as several numb
 fit in memory.
 
 Template. User-like turns: `[INST] role\\ntext[/INST]`; assistant turns: `<s> role\\ntext</s>`. In texts and roles a
-backslash is doubled and the control strings become two-character codes, so a control string in the output is always
+backslash is doubled and the control strings become two-character codes, as does a line end in a role, so a control string in the output is always
 the template's own and unescape() gives back every text. The loss mask covers exactly the escaped assistant texts.
 """
 
@@ -31,7 +31,9 @@ OPEN = {True: b"<s> ", False: b"[INST] "}
 CLOSE = {True: b"</s>", False: b"[/INST]"}
 ASSISTANT = "assistant"
 
-_CODES = {v[1]: k for k, v in CONTROL.items()} | {"\\": "\\"}
+#: Fixed value: the code of a line end in a role, which ends at one.
+LINE_END = "\\n"
+_CODES = {v[1]: k for k, v in CONTROL.items()} | {"\\": "\\", LINE_END[1]: "\n"}
 
 
 def escape(texts: pa.Array) -> pa.Array:
@@ -66,7 +68,7 @@ def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def assemble(role: pa.Array, text: pa.Array, first: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Formatted parts of the turns first[i] to first[i + 1]; the assistant turns, and where their texts start and end in the part."""
     assistant = np.array(pc.equal(role, ASSISTANT).to_numpy(zero_copy_only=False), bool)
-    roles, texts = _bytes(escape(role)), _bytes(escape(text))
+    roles, texts = _bytes(pc.replace_substring(escape(role), "\n", LINE_END)), _bytes(escape(text))
     heads = np.frombuffer(OPEN[True] + OPEN[False], np.uint8)
     tails = np.frombuffer(CLOSE[True] + CLOSE[False], np.uint8)
     head = np.where(assistant, 0, len(OPEN[True])), np.where(assistant, len(OPEN[True]), len(OPEN[False]))
