@@ -39,11 +39,12 @@ def encoder(path: str, vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("siteq", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def token_files(docs: DataFrame, tokenizers: str = TOKENIZERS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def token_files(docs: DataFrame, tokenizers: str = TOKENIZERS, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u2") -> DataFrame:
     """(file, block, data, doc_ids): a flat token file for each task, in blocks of block_tokens ids.
 
     doc_ids of a block names the documents whose end is in it, in order: the list of what was written, not of where.
-    A null text is an empty document. The result is written once, so later reads see one order of documents.
+    A null text is an empty document; ids are of `dtype`, which has to hold the vocabulary's largest. A text is encoded whole, however
+    long. The result is written once, so later reads see one order of documents.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +58,7 @@ def token_files(docs: DataFrame, tokenizers: str = TOKENIZERS, block_tokens: int
 
         for batch, texts in slices(batches, "text"):
             for d, text in zip(batch.column(0).to_pylist(), texts.to_pylist(), strict=True):
-                tokens = np.array([*encode(text), END], "<u2")
+                tokens = np.array([*encode(text), END], dtype)
                 while n + len(tokens) >= block_tokens:
                     room = block_tokens - n
                     held.append(tokens[:room])
@@ -98,15 +99,18 @@ def count_tokens(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataF
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), lists], names=["file", "block", "size", "ends"])
 
     assert width in (1, 2, 4, 8)
-    found = plain(blocks, "file", "block", "data").mapInArrow(scan, "file long, block long, size long, ends array<long>")
+    found = written(plain(blocks, "file", "block", "data").mapInArrow(scan, "file long, block long, size long, ends array<long>"))
+    # the prefix scan sees a block's summary only, a row of five numbers
+    summaries = found.select("file", "block", "size", F.size("ends").alias("n_ends"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last_end"))
     w = Window.partitionBy("file").orderBy("block")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    base = found.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    base = base.withColumns({
-        "n_before": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)),
-        "open": F.coalesce(F.max(F.when(F.size("ends") > 0, F.col("start") + F.element_at("ends", -1) + 1)).over(before), F.lit(0)),
-        "is_last": F.lead("block").over(w).isNull(),
-    })
+    summaries = summaries.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    summaries = summaries.select(
+        "file", "block", "start", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("n_before"),
+        F.coalesce(F.max(F.col("start") + F.col("last_end") + 1).over(before), F.lit(0)).alias("open"), F.lead("block").over(w).isNull().alias("is_last"),
+    )
+    same = found["file"].eqNullSafe(summaries["file"]) & found["block"].eqNullSafe(summaries["block"])
+    base = found.join(summaries, same).drop(summaries["file"], summaries["block"])
     # a file's unended tail is a document of its last block
     stop = F.col("start") + F.col("size")
     closed = F.transform("ends", lambda e: F.col("start") + e)
