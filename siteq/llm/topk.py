@@ -3,8 +3,9 @@
 Vectors are packed into bounded blocks; a block holds, for each dimension, its rows in the order of their values. A
 query reads all lists in step, from the end that its own sign prefers, scores each row that it meets for the first
 time, and stops once the sum of the values at the reading depth, times the query, is below its k-th result: no unread
-row can beat it. Every query block meets every candidate block in a task of its own through an equi-join on block
-numbers; the k best of each block are merged by a window over at most k rows a block.
+row can beat it. Candidate blocks are dealt to slots and query blocks to parts; every part meets every slot through an
+equi-join on their numbers. Within a slot a query takes its k-th score so far from block to block, which stops the later
+ones sooner. The k best of each slot are merged by a window over at most k rows a slot.
 """
 
 from __future__ import annotations
@@ -74,8 +75,8 @@ class Lists:
         self.up = np.argsort(x, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(x, self.up, 0)
 
-    def best(self, query: np.ndarray, own: int, k: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best, by score and then id; x is self.x in a type that is exact for this query."""
+    def best(self, query: np.ndarray, own: int, k: int, x: np.ndarray, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of the k best, by score and then id; x is self.x in a type that is exact for this query. Rows below floor may be missing."""
         n = len(self.ids)
         used = np.flatnonzero(query)
         q, typed = query[used], query.astype(x.dtype)
@@ -105,7 +106,7 @@ class Lists:
             if last >= n or seen.all():
                 break
             bound = int((self.values[np.where(down, n - last, last - 1), used] * q).sum())
-            if len(rows) == k and bound < scores.min():
+            if len(rows) == k and bound < scores.min() or floor is not None and bound < floor:
                 break
             depth, last = last, min(n, 2 * last)
         order = np.lexsort((self.ids[rows], -scores))[:k]
@@ -116,43 +117,53 @@ def _match(k: int):
     import pandas as pd
 
     def rows(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """The k best of one candidate block for each query of a bounded group of query blocks."""
-        out = []
-        for c in candidates.itertuples() if len(queries) else ():
+        """The k best of a slot's candidate blocks for each query of a bounded part of the query blocks."""
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        blocks = [(np.frombuffer(r.ids, np.int64), _wide(r.body, r.n, r.dims)) for r in queries.itertuples()]
+        for c in candidates.sort_values("block").itertuples() if blocks else ():
             lists = Lists(np.frombuffer(c.ids, np.int64), _wide(c.body, c.n, c.dims))
-            for r in queries.itertuples():
-                own, q = np.frombuffer(r.ids, np.int64), _wide(r.body, r.n, r.dims)
-                q = np.pad(q, ((0, 0), (0, max(0, c.dims - r.dims))))[:, : c.dims]
+            for own, q in blocks:
+                q = np.pad(q, ((0, 0), (0, max(0, c.dims - q.shape[1]))))[:, : c.dims]
                 x = lists.x.astype(_exact_type(lists.x, q))
-                for i, v in zip(own, q, strict=True):
-                    at, score = lists.best(v, i, k, x)
-                    out.append((np.full(len(at), i), lists.ids[at], score))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
+                for i, v in zip(own.tolist(), q, strict=True):
+                    ids, scores = best.get(i, (np.zeros(0, np.int64),) * 2)
+                    at, more = lists.best(v, i, k, x, int(scores[-1]) if len(scores) == k else None)
+                    ids, scores = np.concatenate([ids, lists.ids[at]]), np.concatenate([scores, more])
+                    order = np.lexsort((ids, -scores))[:k]
+                    best[i] = ids[order], scores[order]
+        cols = [np.repeat(list(best), [len(x[0]) for x in best.values()]), *(np.concatenate([x[c] for x in best.values()]) for c in (0, 1))] if best else [np.zeros(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.asarray(c, np.int64) for c in cols), strict=True)))
 
     return rows
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, rows_a_block: int = 8192, blocks_a_task: int = 16) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, rows_a_block: int = 2048, blocks_a_slot: int = 4, blocks_a_part: int = 2, most_tasks: int = 10_000) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller vec_id.
 
     Takes vec_id and embedding. A row whose vector is null or holds null or non-finite components, or whose vec_id is
     null, takes no part. Repeated rows with one vec_id and vector are one; a query is never its own candidate, by
-    vec_id. Shorter vectors count as zero where they end. Scores are longs. An empty table gives no rows.
+    vec_id. Rows with one vec_id and several vectors are a candidate each; as queries they share one list. Shorter vectors
+    count as zero where they end; a vector of any length is used whole. Scores are longs. An empty table gives no rows.
+    Other columns are ignored.
     """
     base = plain(vectors, "vec_id", "embedding").withColumn("vector", quantised(F.col("embedding"), scale)).where("vec_id IS NOT NULL AND vector IS NOT NULL").select("vec_id", "vector").distinct()
     packed = written(base.mapInArrow(_blocks(rows_a_block), BLOCK))
-    asked = written(base.where(is_query).mapInArrow(_blocks(rows_a_block // 4), BLOCK))
-    numbers = [r["block"] for r in packed.select("block").collect()]  # one number a block, no vectors
-    groups = max(1, -(-asked.count() // blocks_a_task))
-    queries = asked.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<bigint>")))
-    candidates = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = candidates.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(_match(k), "query_id long, vec_id long, score long")
+    asked = written(base.where(is_query).mapInArrow(_blocks(rows_a_block), BLOCK))
+    slots = max(1, -(-packed.count() // blocks_a_slot))
+    parts = max(1, -(-asked.count() // blocks_a_part))
+    deal = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = asked.withColumn("part", deal(parts)).withColumn("slot", each(slots))
+    candidates = packed.withColumn("slot", deal(slots)).withColumn("part", each(parts))
+    tasks = min(2 * slots * parts, most_tasks)  # by number, so that Spark does not merge small but costly partitions
+    candidates, queries = (x.repartition(tasks, "slot", "part") for x in (candidates, queries))
+    found = candidates.groupBy("slot", "part").cogroup(queries.groupBy("slot", "part")).applyInPandas(_match(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all embeddings for each whose vec_id is divisible by 20."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
