@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siteq.llm.common import Words, mix, plain, slices, table, written
+from siteq.llm.common import Words, mix, mostly, plain, slices, table, written
 from siteq.llm.components import components
 
 #: Sets that a task remembers as sent, and shingles that it counts at once.
@@ -39,8 +39,6 @@ MEMORY, AT_ONCE = 200_000, 6 << 20
 LEADERS = 8
 #: Bins of a sketch, and the largest count that one holds; a set with more in a bin has no sketch and always passes.
 BINS, MOST = 64, (1 << 16) - 1
-#: Bits of the filter that keeps texts nobody asked for out of a join, in pieces of one row each. It only saves work.
-FILTER_BITS, PIECE_BITS = 1 << 25, 1 << 15
 #: Shares of the rows of a hot group in a join.
 SALTS = 16
 
@@ -293,15 +291,9 @@ def _cells(asked: DataFrame, members: DataFrame, a_cell: int) -> DataFrame:
 
 
 def _texts_of(nodes: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
-    """(node, text) of the documents that stand for the nodes. A bit filter of fixed size keeps most other texts out of the join."""
+    """(node, text) of the documents that stand for the nodes."""
     wanted = written(nodes.distinct().join(reps.select("node", "doc_id"), "node"))
-    place = f"pmod(xxhash64(doc_id), {FILTER_BITS}L)"
-    piece = F.expr(f"{place} div {PIECE_BITS}L").alias("piece")
-    bits = wanted.groupBy(piece).agg(F.bitmap_construct_agg(F.expr(f"{place} % {PIECE_BITS}L")).alias("bits"))
-    byte = f"conv(hex(substring(bits, cast({place} % {PIECE_BITS}L div 8 as int) + 1, 1)), 16, 10)"
-    here = F.expr(f"cast({byte} as int) & shiftleft(1, cast({place} % 8 as int)) <> 0")
-    some = known.select("*", piece).join(F.broadcast(bits), "piece").where(here).select("doc_id", "text")
-    return some.join(wanted, "doc_id").select("node", "text")
+    return mostly(known, wanted).join(wanted, "doc_id").select("node", "text")
 
 
 def _compare(asked: DataFrame, members: DataFrame, reps: DataFrame, known: DataFrame, n: int, rule: Rule, a_cell: int = 128) -> DataFrame:

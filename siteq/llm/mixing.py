@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siteq.llm.common import plain, table, written
+from siteq.llm.common import mostly, plain, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,19 +55,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     return rows.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")))).select("source", "source_size", "n_docs", "number", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 32, shard_slots: int = 8192, docs_a_bucket: int = 20_000, seed: int = 5, few_sources: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block_words: int = 256, shard_slots: int = 1024, docs_a_bucket: int = 5_000, seed: int = 5, few_sources: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix as (documents, slots, pieces).
 
     documents: doc_id, source, size, source_size, target, taken for each row of docs, where taken is counted in slots.
-    slots: the mixed text, read from the shared folder: shard, slot, source, number, pass, block, text (the block's words
-    joined by one space) and parts (doc_id, start of the document in its source, words) in the order of the text. A shard lies
+    slots: the mixed text, read from the shared folder: number, shard, slot, pass, block, text (the block's words
+    joined by one space) parts (doc_id, start of the document in its source, words) in the order of the text, and source. A shard lies
     in one file, in order of slot. pieces: number, block, doc_id, first word, words: which words of which documents make up a block.
     Takes doc_id, source and text. A null or empty text has size 0 and is never taken; a null source is a source of its
     own; repeated rows count as often as they come. All sources together are the total to fill. The same input gives
     the same mix. An empty table gives no rows. Other columns are ignored.
     """
-    sized = plain(docs, "doc_id", "source", "text").select("doc_id", "source", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
-    counted = written(sized.drop("text"))
+    sized = plain(docs, "doc_id", "source", "text").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
+    counted = written(sized)
     sizes = counted.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     plan = targets(sizes, weights, most)
     n_blocks = F.ceil(F.col("source_size") / block_words).cast("long")
@@ -78,17 +78,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     small = F.broadcast(plan) if plan.count() <= few_sources else plan
 
     # where each document's words start in its source: prefix sums over buckets, then within a bucket
-    def numbered(rows: DataFrame, *more: str) -> DataFrame:
-        keys = ("number", "source_size", "target", "n_blocks", "n_slots", "first_slot", "all_slots")
-        return rows.join(small, rows["source"].eqNullSafe(plan["source"])).select("doc_id", rows["source"], "size", "draw", *keys, F.pmod("draw", "buckets").alias("bucket"), *more)
-
-    totals = numbered(counted).groupBy("number", "bucket").agg(F.sum("size").alias("in_bucket"))
+    keys = ("number", "source_size", "target", "n_blocks", "n_slots", "first_slot", "all_slots")
+    numbered = counted.join(small, counted["source"].eqNullSafe(plan["source"])).select("doc_id", counted["source"], "size", "draw", *keys, F.pmod("draw", "buckets").alias("bucket"))
+    totals = numbered.groupBy("number", "bucket").agg(F.sum("size").alias("in_bucket"))
     earlier = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(totals.select("number", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("bucket_start")))
-    # rows that tie have the same words, so the starts of both calls go to the same texts
     within = Window.partitionBy("number", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    started = lambda rows: rows.join(starts, ["number", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("bucket", "bucket_start", "draw")
-    placed = written(started(numbered(counted)).select("doc_id", "source", "size", "number", "source_size", "target", "start"))
+    placed = numbered.join(starts, ["number", "bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = written(placed.drop("bucket", "bucket_start"))
 
     # pieces: a document's words cut at the ends of blocks
     end = F.col("start") + F.col("size")
@@ -98,32 +95,45 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     blocks = placed.where("size > 0").withColumn("block", F.explode(numbers))
     pieces = blocks.select("number", "block", "doc_id", "start", first(F.col("block")).alias("first_word"), count(F.col("block")).alias("words"))
 
-    # the same pieces with their words; one array a document, bound once by the outer transform
-    cut = lambda w: F.transform(numbers, lambda b: F.struct(b.alias("block"), first(b).alias("first_word"), count(b).alias("words"), F.array_join(F.slice(w, (first(b) + 1).cast("int"), count(b).cast("int")), " ").alias("text")))
-    whole = started(numbered(sized.where("size > 0"), "text"))
+    # the same pieces with their words; one array a document, bound once by the outer transform. Spark broadcasts the places
+    # while they are small and else shuffles the texts by doc_id, of those documents that the mix takes something of.
+    # Equal rows have one text and several places.
+    own = lambda turn: F.concat_ws(" ", F.lit(seed), "number", turn)
+    in_first = F.exists(numbers, lambda b: permuted(b, F.col("n_blocks"), own(F.lit(0)), inverse=True) < F.col("n_slots"))
+    some = placed.where("size > 0 AND n_slots > 0").where((F.col("n_slots") >= F.col("n_blocks")) | in_first)
+    at = written(some.groupBy("doc_id", "draw", "size", *keys).agg(F.collect_list("start").alias("starts")))
+    named, nameless = plain(docs, "doc_id", "text").where("text IS NOT NULL"), F.col("doc_id").isNull()
+    texts = mostly(named, at).union(named.where(nameless)).select(F.col("doc_id").alias("_id"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_draw"), "text")
+    whole = texts.join(at, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_draw") == F.col("draw"))).drop("_id", "_draw")
+    again = F.size("starts") > 1
+    whole = whole.where(~again).union(whole.where(again).dropDuplicates(["doc_id", "draw"])).withColumn("start", F.explode("starts"))
+    cut = lambda w: F.transform(numbers, lambda b: F.struct(b.alias("block"), count(b).alias("words"), F.array_join(F.slice(w, (first(b) + 1).cast("int"), count(b).cast("int")), " ").alias("text")))
     words = F.flatten(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), cut))
-    keys = ("doc_id", "source", "number", "start", "n_blocks", "n_slots", "first_slot", "all_slots")
-    filled = whole.select(*keys, F.explode(words).alias("piece")).select(*keys, "piece.*")
+    held = ("doc_id", "number", "start", "n_blocks", "n_slots", "first_slot", "all_slots")
+    filled = whole.select(*held, F.explode(words).alias("piece")).select(*held, "piece.*")
 
     # each piece goes to its block's slot of every pass that the source still fills
-    filled = filled.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n_slots - 1) div n_blocks")))).where("n_slots > 0")
-    own = F.concat_ws(" ", F.lit(seed), "number", "pass")
-    filled = filled.withColumn("_j", F.col("pass") * F.col("n_blocks") + permuted(F.col("block"), F.col("n_blocks"), own, inverse=True)).where("_j < n_slots")
+    filled = filled.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n_slots - 1) div n_blocks"))))
+    filled = filled.withColumn("_j", F.col("pass") * F.col("n_blocks") + permuted(F.col("block"), F.col("n_blocks"), own(F.col("pass")), inverse=True)).where("_j < n_slots")
     filled = filled.withColumn("slot", permuted(F.col("first_slot") + F.col("_j"), F.col("all_slots"), F.lit(f"{seed} slots"))).withColumn("shard", F.expr(f"slot div {shard_slots}"))
-    dealt = filled.select("shard", "slot", "source", "number", "pass", "block", "start", "first_word", "doc_id", "words", "text").repartition("shard")
-    parts = F.array_sort(F.collect_list(F.struct("start", "first_word", "doc_id", "words", "text")))
-    dealt = dealt.groupBy("shard", "slot").agg(*(F.first(c).alias(c) for c in ("source", "number", "pass", "block")), parts.alias("parts"))
+    # a document has one piece of a block at most, so starts give the order of a block's pieces
+    dealt = filled.select("shard", "slot", "number", "pass", "block", "start", "doc_id", "words", "text").repartition("shard")
+    parts = F.array_sort(F.collect_list(F.struct("start", "doc_id", "words", "text")))
+    dealt = dealt.groupBy("shard", "slot").agg(*(F.first(c).alias(c) for c in ("number", "pass", "block")), parts.alias("parts"))
     part = lambda p: F.struct(p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["words"].alias("words"))
-    dealt = dealt.select("shard", "slot", "source", "number", "pass", "block", F.array_join("parts.text", " ").alias("text"), F.transform("parts", part).alias("parts"))
-    slots = written(dealt.sortWithinPartitions("shard", "slot"))
+    dealt = dealt.select("shard", "slot", "number", "pass", "block", F.array_join("parts.text", " ").alias("text"), F.transform("parts", part).alias("parts"))
+    slots = written(dealt.sortWithinPartitions("shard", "slot"), level=9)
 
     taken = slots.select("number", F.explode("parts").alias("part")).groupBy("number", "part.start").agg(F.sum("part.words").alias("taken"))
     # Spark takes exploded rows for as few as their source, so it is told to shuffle the join
     some = placed.where("size > 0").join(taken.hint("merge"), ["number", "start"], "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     documents = some.unionByName(none).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    names = plan.select("number", "source")
+    slots = slots.join(F.broadcast(names) if small is not plan else names, "number")
     return documents, slots, pieces
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes, counted in the written mix."""
     return mix(table(spark, sf_dir, "documents"))[0].drop("source")
