@@ -257,6 +257,34 @@ def test_quality_ignores_held_out_labels(spark):
     assert quality.fit(docs, labels) == quality.fit(docs, flipped)
 
 
+def test_quality_by_hand(spark):
+    """Scores follow from the sizes that zstandard gives with each dictionary, one text at a time."""
+    import zstandard
+
+    docs, labels, _ = labelled(spark)
+    model = quality.fit(docs, labels)
+    long = "meadow BUY river NOW " * 40_000
+    rows = quality.score(docs.union(frame(spark, [long], [990])), model).collect()
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(t))
+    for r in [x for x in rows if x.text][::40] + [x for x in rows if x.doc_id == 990]:
+        raw = r.text.encode()
+        gain = (size(model.bad, raw) - size(model.good, raw)) / len(raw)
+        want = 1 / (1 + math.exp(-(model.prior + len(raw) / (len(raw) + quality.HALF) * (model.slope * gain + model.bias))))
+        assert math.isclose(r.score, want, rel_tol=1e-6), (r.doc_id, r.score, want)
+
+
+def test_quality_clashing_columns(spark):
+    docs, labels, _ = labelled(spark)
+    from pyspark.sql import functions as F
+
+    model = quality.fit(docs, labels)
+    odd = docs.withColumn("_text", F.lit("BUY")).withColumn("text_", F.lit(1)).withColumn("predicted", F.lit("x"))
+    pick = lambda df: {r.doc_id: (r.score, r.predicted) for r in quality.score(df, model).collect()}
+    assert pick(odd) == pick(docs) and {"_text", "text_"} <= set(quality.score(odd, model).columns)
+    twice = docs.union(docs)
+    assert quality.fit(twice, labels) == model and quality.score(twice, model).count() == 2 * docs.count()
+
+
 def test_quality_odd_tables(spark):
     docs, labels, _ = labelled(spark)
     none = labels.where("false")
@@ -368,6 +396,11 @@ def test_secrets(spark):
     for _ in range(60):
         cases.append("".join(r.choice(["token=", "secret: ", "é ", "😀", "\n", " word ", "AKIA", '"', "example"]) + "".join(r.choice(r.choice([alpha, "0123456789abcdef", "ABCDEF0123456789"])) for _ in range(r.randint(0, 60))) for _ in range(r.randint(1, 5))))
     cases.append("word " * 20_000 + "token=abcdefgh")
+    # long runs of every class, and very many matches
+    cases += ["abcd/1234/" * 1000 + "+", "path/2024/" * 100_000, "x" * 1_000_000, "0" * 1_000_000, "/=_-" * 50_000 + "1a", "Ab" * 50_000 + "1"]
+    cases += ["".join(r.choices(a, k=30_000)) for a in (alpha, "0123456789abcdef", "0123456789ABCDEFabcdef", "abcdefghijklmnopqrstuvwxyz", "AKI0123456789")]
+    cases.append("AKIA" * 20_000)
+    cases += [" ".join(f"token={k:06d}" for k in range(3000)), "é ".join("AKIA" + f"{k:020d}" for k in range(700))]
     got = {x.doc_id: [x.n_assign, x.n_access, x.n_hex, x.base_sha256, x.spans] for x in secrets.scan(frame(spark, cases, range(len(cases)))).collect()}
     assert got == {k: secrets_by_hand(t or "") for k, t in enumerate(cases)}
     assert any("entropy" in v[4] for v in got.values())
@@ -436,6 +469,32 @@ def test_mixing_writes_the_mixed_text(docs, texts):
     assert {r.doc_id: r.taken for r in out.collect()} == {d: taken[d] for d in texts}
 
 
+def test_mixing_repeated_rows(spark):
+    texts = ["a b c d e f g", "a b c d e f g", "h i j", "k l m n o p q r s t", "h i j", None]
+    from pyspark.sql import functions as F
+
+    one = frame(spark, texts, [1, 1, 1, 2, None, 1]).withColumn("source", F.lit("s"))
+    out, slots, _ = mixing.mix(one, weights=(1.0,), block_words=4, docs_a_bucket=2, shard_slots=2)
+    assert sorted((r.doc_id or 0, r["size"], r.taken) for r in out.collect()) == sorted((d, n, n) for d, n in ((1, 7), (1, 7), (1, 3), (2, 10), (0, 3), (1, 0)))
+    assert Counter(w for r in slots.collect() for w in r.text.split()) == Counter(w for t in texts if t for w in t.split())
+
+
+def test_shards_draw_from_all_sources(spark):
+    texts = [" ".join(f"s{k % 3}" for _ in range(400)) for k in range(60)]
+    _, slots, _ = mixing.mix(frame(spark, texts), weights=(3, 2, 1), block_words=8, shard_slots=250)
+    rows = slots.collect()
+    shares, shards = Counter(r.number for r in rows), defaultdict(Counter)
+    for r in rows:
+        shards[r.shard][r.number] += 1
+    full = [c for c in shards.values() if sum(c.values()) == 250]
+    assert len(full) > 5
+    for c in full:  # hypergeometric counts: within five deviations of the share of all
+        for k, n in shares.items():
+            p = n / len(rows)
+            assert abs(c[k] - 250 * p) < 5 * math.sqrt(250 * p * (1 - p)) + 1
+    assert len({tuple(sorted(c.items())) for c in full}) > 1
+
+
 def test_mixing_odd_tables(spark):
     assert mixing.mix(empty(spark))[0].count() == 0
     got = mixing.mix(frame(spark, [None, "", " "], [1, 1, None]))[0].collect()
@@ -465,6 +524,9 @@ def test_chat(spark):
             loss = [chat.unescape(bytes(r.formatted)[a:b].decode()) for r in mine for a, b in zip(r.loss_starts, r.loss_ends, strict=True)]
             assert loss == [x[2] for x in want if x[1] == "assistant"]
     assert chat.format_chats(df.where("false")).count() == 0
+    odd = [(1, 0, "us\ner\\n", "a" * 300_000 + "</s>"), (1, 1, "assistant", "\n"), (1, 2, "assistant\n", "x")]
+    one = chat.format_chats(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")).collect()
+    assert chat.read_back(one[0].formatted.decode()) == [x[2:] for x in odd] and len(one[0].loss_starts) == 1
 
 
 # ---------------------------------------------------------------- 9
@@ -493,23 +555,50 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(empty(spark), bench).count() == decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_index_size_changes_nothing(spark):
+    r = random.Random(8)
+    vocabulary = [f"word{k}" for k in range(150)]
+    items = {k: [r.choice(vocabulary) for _ in range(r.choice([8, 20, 70, 140]))] for k in range(24)}
+    texts = []
+    for k in range(60):  # passages with a part of an item
+        w = items[k % 24]
+        n = max(4, int(len(w) * r.choice([0.4, 0.55, 0.7, 0.9])))
+        at = r.randrange(len(w) - n + 1)
+        texts.append(" ".join([r.choice(vocabulary) for _ in range(r.randrange(30))] + w[at : at + n]))
+    texts.append(" ".join(r.choice(vocabulary) for _ in range(30_000)) + " " + " ".join(items[3]))
+    docs, bench = frame(spark, texts, range(len(texts))), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = [sorted(map(tuple, decontaminate.find_leaks(docs, bench, least_score=0.3, least_question=0.3, least_answer=0.1, index_bytes=size).collect())) for size in (8 << 20, 3000, 400)]
+    assert found[0] == found[1] == found[2] and len(texts) - 1 in {x[0] for x in found[0]}
+    assert len({round(x[2], 2) for x in found[0]}) > 10  # of many different scores
+    # a threshold of almost nothing, and against brute force: every item that shares a third of its triples as a whole
+    assert decontaminate.find_leaks(docs, bench, least_score=1e-6, index_bytes=400).count() > 0
+
+
+def test_short_answers(spark):
+    item = "How many legs does an ordinary garden spider have when it is fully grown and healthy? Eight legs."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = ["Intro. " + item.replace("Eight legs", "Eight limbs"), "Nothing of that kind stands here."]
+    assert [x.doc_id for x in decontaminate.find_leaks(frame(spark, texts, [5, 6]), bench).collect()] == [5]
+
+
 def test_bounds_lose_nothing():
     import pyarrow as pa
 
     r = random.Random(7)
     word = lambda: f"w{int(r.random() ** 3 * 300)}"
     items = [" ".join(word() for _ in range(r.randrange(1, 25))) for _ in range(50)]
-    index = decontaminate.Index(np.arange(50), items)
+    count, df, mean = [Counter(i.split()) for i in items], Counter(w for i in items for w in set(i.split())), np.mean([len(i.split()) for i in items])
+    hashes = {w: int(decontaminate._words(pa.array([w], pa.large_string())).hashes.view(np.int64)[0]) for w in df}
+    index = decontaminate.Index(np.arange(50), items, decontaminate.Statistics({hashes[w]: n for w, n in df.items()}, 50, mean), 24)
     docs = [" ".join(word() for _ in range(r.randrange(0, 200))) for _ in range(30)]
     words = decontaminate._words(pa.array(docs, pa.large_string()))
     got = {(t, a, int(index.ids[i])): s for t, a, _, i, s in index.search(words, 0.4)}
-    count, df, mean = [Counter(i.split()) for i in items], Counter(w for i in items for w in set(i.split())), np.mean([len(i.split()) for i in items])
     weight = [{w: math.log1p((50 - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, n in c.items()} for c in count]
     want = {}
     for t, d in enumerate(docs):
         w = d.split()
-        for a in range(0, max(1, len(w) - index.longest) if w else 0, index.longest):
-            here = set(w[a : a + 2 * index.longest])
+        for a in range(0, max(1, len(w) - index.step) if w else 0, index.step):
+            here = set(w[a : a + 2 * index.step])
             for k, x in enumerate(weight):
                 if (s := sum(v for q, v in x.items() if q in here) / sum(x.values())) >= 0.4:
                     want[(t, int(words.first[t]) + a, k)] = s
