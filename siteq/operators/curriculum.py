@@ -1,4 +1,4 @@
-"""Curriculum pages as column logic over leaf tables (K6, K8, K9, K12-K15): tables are (page_id, idx, label, rows)."""
+"""Curriculum pages as column logic over leaf tables (K6, K8-K15, K18): tables are (page_id, idx, label, title, rows, refs, classes)."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siteq.functions.urls import any_of
 from siteq.operators.pages import numbered_items
-from siteq.operators.text import FOLD, clean, norm, ordinal_no
+from siteq.operators.text import FOLD, clean, first_float, first_int, norm, ordinal_no, split_tul
 
 # Words of folded labels and the field that they mean; the first rule that fits counts.
 PROGRAM_FIELDS = (
@@ -20,7 +21,17 @@ COURSE_FIELDS = (
     ("ogretim sekli", "teaching_mode"), ("ogrenim tur", "delivery_mode"), ("dersin tur", "type"), ("dili", "language"), ("duzey", "level"), ("bolum", "department"), ("amac", "objective"), ("icerig", "content"),
     ("on kosul", "prerequisites"), ("on sart", "prerequisites"), ("koordinator", "coordinator"), ("yardimci", "assistants"), ("veren", "instructors"), ("ogretim eleman", "instructors"),
 )
-SECTIONS = (("ogrenme cikti", "learning_outcomes"), ("katki", "matrix"), ("haftalik", "weekly"), ("is yuk", "workload"), ("degerlendirme", "assessment"), ("kaynak", "resources"))
+# Sections of a course page in the order in which they are tried, and the words that each is known by (groups of which one each has to come up).
+SECTIONS = (
+    ("matrix", (("program",), ("cikti", "yeterlil", "katki", "iliski"))),
+    ("learning_outcomes", (("ogrenme cikti", "kazanim"),)),
+    ("weekly", (("haftalik", "konular", "ders akisi"),)),
+    ("workload", (("is yuku", "isyuku", "akts hesap"),)),
+    ("assessment", (("degerlendirme",),)),
+    ("resources", (("kaynak",),)),
+    ("details", (("detay",),)),
+)
+SUMMARY, CODE, ECTS = ("akts", "ects"), ("kod", "code"), ("akts", "ects")
 OUTCOME_HEADINGS = ("program ogrenme ciktilari", "program ciktilari", "program yeterlilikleri", "(poc)")
 
 
@@ -47,9 +58,38 @@ def outcomes_from_text(texts: DataFrame, key: str, text: str = "content") -> Dat
     return rows.select(key, F.posexplode(numbered_items(F.col("_tail"))).alias("k", "description")).select(key, (F.col("k") + 1).alias("no"), "description")
 
 
-def table_rows(tables: DataFrame) -> DataFrame:
-    """(page_id, idx, label, row, texts): the cells' texts of each row."""
-    return tables.select("page_id", "idx", "label", F.posexplode("rows").alias("row", "_c")).select("page_id", "idx", "label", "row", F.transform("_c", lambda c: c["text"]).alias("texts"))
+def table_rows(tables: DataFrame, *more: str) -> DataFrame:
+    """(page_id, idx, label, more, row, texts, is_header): the cells' texts of each row, and whether all are header cells."""
+    rows = tables.select("page_id", "idx", "label", *more, F.posexplode("rows").alias("row", "_c"))
+    head = (F.size("_c") > 0) & F.forall("_c", lambda c: c["header"])
+    return rows.select("page_id", "idx", "label", *more, "row", F.transform("_c", lambda c: c["text"]).alias("texts"), head.alias("is_header"))
+
+
+def _has(h: Column, words) -> Column:
+    return any_of(h.contains(w) for w in words)
+
+
+def with_header(tables: DataFrame, words) -> DataFrame:
+    """Adds header_row, the first of the first four rows with a cell that holds one of the words (-1 without), and header, its folded cells."""
+    hit = lambda i: F.coalesce(F.exists(F.get("rows", i), lambda c: _has(norm(c["text"]), words)), F.lit(False))
+    at = F.coalesce(*(F.when(hit(F.lit(i)), F.lit(i)) for i in range(4)), F.lit(-1))
+    cells = F.coalesce(F.transform(F.get("rows", F.col("header_row")), lambda c: norm(c["text"])), F.array().cast("array<string>"))
+    return tables.withColumn("header_row", at).withColumn("header", cells)
+
+
+def _column(*tests) -> Column:
+    """Place of the first header cell that a test fits, else -1."""
+    fits = F.transform("header", lambda h: any_of(t(h) for t in tests))
+    return (F.array_position(fits, True) - 1).cast("int")
+
+
+def _named(*words, without: tuple = ()):
+    return lambda h: _has(h, words) & ~_has(h, without) if without else _has(h, words)
+
+
+def _cell(place: Column) -> Column:
+    """Text of a row's cell, null outside of it."""
+    return F.when(place >= 0, F.get("texts", place))
 
 
 def parse_outcomes(tables: DataFrame) -> DataFrame:
@@ -61,42 +101,267 @@ def parse_outcomes(tables: DataFrame) -> DataFrame:
 
 
 def course_sections(tables: DataFrame) -> DataFrame:
-    """Adds section to each table by its label and first row, null for what no rule knows."""
-    head = F.concat_ws(" ", "label", F.array_join(F.transform(F.get("rows", F.lit(0)), lambda c: c["text"]), " "))
-    return tables.withColumn("section", field_of(head, SECTIONS))
+    """Adds section to each table: the page's first one with a summary's header, else the first section whose words its label and title hold.
 
+    Tables of two columns with a key that starts with dersin are details, too; other tables are unknown, or null without any text.
+    """
+    headed = with_header(tables, SUMMARY)
+    could = (F.col("header_row") >= 0) & F.exists("header", lambda h: _has(h, CODE))
+    first = F.min(F.when(could, F.col("idx"))).over(Window.partitionBy("page_id"))  # a page's tables
+    name = norm(F.concat_ws(" ", "label", "title"))
+    rule = F.when(could & (F.col("idx") == first), "summary")
+    for section, groups in SECTIONS:
+        rule = rule.when(reduce(lambda x, y: x & y, (_has(name, g) for g in groups)), section)
+    pairs = (F.array_max(F.transform("rows", F.size)) == 2) & F.exists("rows", lambda r: (F.size(r) == 2) & norm(r[0]["text"]).startswith("dersin"))
+    text = F.exists("rows", lambda r: F.exists(r, lambda c: c["text"] != ""))
+    return headed.withColumn("section", rule.when(pairs, "details").when(text, "unknown")).drop("header_row", "header")
+
+
+def _rows_of(tables: DataFrame, section: str, words=()) -> DataFrame:
+    some = course_sections(tables).where(F.col("section") == section)
+    return table_rows(with_header(some, words) if words else some, *(("header_row", "header") if words else ()))
+
+
+def _ordered(rows: DataFrame, *cols) -> DataFrame:
+    """Numbers a page's rows in the order of the page."""
+    w = Window.partitionBy("page_id").orderBy("idx", "row")
+    return rows.withColumn("ordinal", F.row_number().over(w)).select("page_id", "ordinal", *cols)
+
+
+def _rest(start: int, between: str) -> Column:
+    return F.array_join(F.filter(F.transform(F.slice("texts", start + 1, F.greatest(F.size("texts") - start, F.lit(0))), clean), lambda x: x != ""), between)
+
+
+def _filled(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) != ""
+
+
+def _total(c: Column) -> Column:
+    return norm(c).startswith("toplam") | norm(c).startswith("total")
+
+
+def course_summary(tables: DataFrame) -> DataFrame:
+    """(page_id, semester, code, name, theory, practice, credit, ects) of the row below the summary's header."""
+    rows = _rows_of(tables, "summary", SUMMARY).where("row = header_row + 1")
+    hours = split_tul(_cell(_column(lambda h: h.startswith("t+u"))))
+    pick = lambda *words, **kw: _cell(_column(_named(*words, **kw)))
+    return rows.select(
+        "page_id", first_int(pick("yariyil", "semester", "donem")).alias("semester"), clean(pick(*CODE)).alias("code"), clean(pick("adi", "name", "title", without=("kod",))).alias("name"),
+        hours["t"].alias("theory"), hours["u"].alias("practice"), first_float(pick("kredi", "credit")).alias("credit"), first_float(pick(*ECTS)).alias("ects"),
+    )
+
+
+def course_details(tables: DataFrame) -> DataFrame:
+    """(page_id, key, value): pairs of the details tables, the cells of the summary by their heads, and the text of unknown tables."""
+    found = course_sections(tables)
+    pairs = table_rows(found.where("section = 'details'")).select("page_id", "idx", "row", F.explode(F.sequence(F.lit(0), F.greatest(F.size("texts") - 2, F.lit(0)), F.lit(2))).alias("at"), "texts")
+    pairs = pairs.select("page_id", "idx", "row", "at", clean(F.get("texts", F.col("at"))).alias("key"), F.get("texts", F.col("at") + 1).alias("value")).where("key <> '' AND value IS NOT NULL")
+    s = with_header(found.where("section = 'summary'"), SUMMARY).select("page_id", "idx", F.lit(-1).alias("row"), F.get("rows", F.col("header_row")).alias("h"), F.get("rows", F.col("header_row") + 1).alias("v"))
+    s = s.where("v IS NOT NULL").select("page_id", "idx", "row", F.posexplode(F.arrays_zip("h", "v")).alias("at", "x")).select("page_id", "idx", "row", "at", clean(F.col("x.h.text")).alias("key"), clean(F.col("x.v.text")).alias("value")).where("key <> '' AND value <> ''")
+    line = lambda r: F.array_join(F.filter(F.transform(r, lambda c: c["text"]), lambda x: x != ""), " | ")
+    text = F.array_join(F.filter(F.transform("rows", line), lambda x: x != ""), "\n")
+    name = F.when(_filled(F.col("title")), F.col("title")).when(_filled(F.col("label")), F.col("label")).otherwise(F.concat(F.lit("tablo_"), F.col("idx").cast("string")))
+    other = found.where("section = 'unknown'").select("page_id", "idx", F.lit(0).alias("row"), F.lit(0).alias("at"), F.concat(F.lit("tablo: "), name).alias("key"), text.alias("value"))
+    return pairs.union(s).union(other).groupBy("page_id", "key").agg(F.max_by("value", F.struct("idx", "row", "at")).alias("value"))
+
+
+def learning_outcomes(tables: DataFrame) -> DataFrame:
+    """(page_id, ordinal, no, description, extra): rows of a number and a text, with what follows."""
+    rows = _rows_of(tables, "learning_outcomes").withColumn("no", ordinal_no(F.get("texts", F.lit(0)))).where((F.size("texts") >= 2) & F.col("no").isNotNull() & _filled(F.get("texts", F.lit(1))))
+    return _ordered(rows, "no", clean(F.get("texts", F.lit(1))).alias("description"), F.array_join(F.slice("texts", 3, F.greatest(F.size("texts") - 2, F.lit(0))), " | ").alias("extra"))
+
+
+def weekly_topics(tables: DataFrame) -> DataFrame:
+    """(page_id, ordinal, week, topic, preparation, documents): rows with a week; without columns of their own, preparation is what follows the topic."""
+    prep, doc = _column(_named("hazirlik", "preparation")), _column(_named("dokuman", "document"))
+    rows = _rows_of(tables, "weekly", ("hafta", "konu", "week", "topic")).withColumn("week", first_int(F.get("texts", F.lit(0)))).where(~F.col("is_header") & (F.size("texts") >= 2) & F.col("week").isNotNull())
+    own = (prep >= 0) | (doc >= 0)
+    rows = rows.withColumns({"topic": clean(F.get("texts", F.lit(1))), "preparation": F.when(own, F.coalesce(clean(_cell(prep)), F.lit(""))).otherwise(_rest(2, " | ")), "documents": F.when(own, F.coalesce(clean(_cell(doc)), F.lit(""))).otherwise("")})
+    return _ordered(rows.where("topic <> '' OR preparation <> '' OR documents <> ''"), "week", "topic", "preparation", "documents")
+
+
+def _activities(tables: DataFrame, section: str, words) -> DataFrame:
+    """Rows below the header (all rows without one) with an activity that is no total."""
+    first = F.get("texts", F.lit(0))
+    rows = _rows_of(tables, section, words).where((F.col("row") > F.col("header_row")) & (F.size("texts") >= 2) & _filled(first))
+    return rows.where(~_total(first)).withColumn("activity", clean(first))
 
-def section_rows(tables: DataFrame, section: str) -> DataFrame:
-    """(page_id, ordinal, texts) of a section: without the header, empty rows and totals, numbered again."""
-    rows = table_rows(course_sections(tables).where(F.col("section") == section))
-    t = F.col("texts")
-    body = rows.where((F.size(t) >= 2) & F.exists(F.slice(t, 2, F.size(t)), lambda x: x != "") & ~norm(t[0]).startswith("toplam") & ordinal_no(t[0]).isNotNull())
-    from pyspark.sql.window import Window
 
-    return body.withColumn("ordinal", F.row_number().over(Window.partitionBy("page_id").orderBy("idx", "row"))).select("page_id", "ordinal", "texts")
+def assessments(tables: DataFrame) -> DataFrame:
+    """(page_id, ordinal, activity, count, percentage): activities with a number; without a column of shares the last cell counts."""
+    rows = _activities(tables, "assessment", ("katki", "yuzde", "%", "sayi", "adet"))
+    share = _column(_named("katki", "yuzde", "%", "agirlik"))
+    rows = rows.withColumns({"count": first_int(_cell(_column(_named("sayi", "adet")))), "percentage": first_float(F.when(share >= 0, _cell(share)).otherwise(F.element_at("texts", -1)))})
+    return _ordered(rows.where("count IS NOT NULL OR percentage IS NOT NULL"), "activity", "count", "percentage")
+
+
+def workloads(tables: DataFrame) -> DataFrame:
+    """(page_id, ordinal, activity, count, hours, total): activities with a number."""
+    rows = _activities(tables, "workload", ("sure", "sayi", "toplam", "saat"))
+    number = lambda *words: first_float(_cell(_column(_named(*words))))
+    rows = rows.withColumns({"count": number("sayi", "adet"), "hours": number("sure", "saat"), "total": number("toplam")})
+    return _ordered(rows.where("count IS NOT NULL OR hours IS NOT NULL OR total IS NOT NULL"), "activity", "count", "hours", "total")
+
+
+def resources(tables: DataFrame) -> DataFrame:
+    """(page_id, ordinal, kind, content): a single cell is content without a kind."""
+    rows = _rows_of(tables, "resources").where(~F.col("is_header") & (F.size("texts") > 0))
+    one = F.size("texts") == 1
+    content = F.when(one, F.get("texts", F.lit(0))).otherwise(F.array_join(F.slice("texts", 2, F.greatest(F.size("texts") - 1, F.lit(0))), "\n"))
+    rows = rows.withColumns({"kind": F.when(~one, clean(F.get("texts", F.lit(0)))), "content": content})
+    return _ordered(rows.where(F.trim(F.replace("content", F.lit("\n"), F.lit(""))) != ""), "kind", "content")
+
+
+OUTCOME_HEAD = r"^p[a-z.]{0,4}\s*([0-9]{1,2})$"
+
+
+def _wide(tables: DataFrame) -> DataFrame:
+    """Adds wide_row, the first of the first four rows with two cells or more such as PÇ1, or null, and wide, the numbers of its cells."""
+    number = lambda c: F.regexp_extract(norm(c["text"]), OUTCOME_HEAD, 1).try_cast("int")
+    row = lambda i: F.coalesce(F.transform(F.get("rows", F.lit(i)), number), F.array().cast("array<int>"))
+    several = lambda i: F.size(F.filter(row(i), lambda n: n.isNotNull())) >= 2
+    at = F.coalesce(*(F.when(several(i), F.lit(i)) for i in range(4)))
+    return tables.withColumn("wide_row", at).withColumn("wide", F.transform(F.get("rows", F.col("wide_row")), number))
+
+
+def matrix_cells(tables: DataFrame) -> DataFrame:
+    """(page_id, idx, row, lo_no, po_no, level): cells below wide headers, aligned to the right where a row is longer or shorter than its header.
+
+    lo_no is null for rows that do not start with a number, and for rows shorter than the header.
+    """
+    rows = table_rows(_wide(tables).where("wide_row IS NOT NULL"), "wide_row", "wide").where("row > wide_row")
+    shift = F.size("texts") - F.size("wide")
+    lo = F.when((shift >= 0) & (F.size("texts") > 0), ordinal_no(F.get("texts", F.lit(0))))
+    cells = rows.select("page_id", "idx", "row", lo.alias("lo_no"), shift.alias("shift"), "texts", F.posexplode("wide").alias("col", "po_no")).where("po_no IS NOT NULL")
+    level = first_int(_cell(F.col("col") + F.col("shift")))
+    return cells.withColumn("level", level).where("level <= 5").select("page_id", "idx", "row", "lo_no", "po_no", "level")
 
 
 def course_matrix(tables: DataFrame) -> DataFrame:
-    """(page_id, po_no, level): contributions of three layouts: a number in the last cell, marked columns 0-5 (the highest), or wide PÇ headers (the highest of all rows)."""
+    """(page_id, idx, po_no, description, level) of matrix tables in three layouts; a level may be null.
+
+    Wide headers such as PÇ1: the highest level of all rows. Columns headed 0 to 5, three at least: the highest that is marked. Else
+    the last filled cell of a numbered row.
+    """
+    found = _wide(tables)
+    wide = found.where("wide_row IS NOT NULL").select("page_id", "idx", F.explode("wide").alias("po_no")).where("po_no IS NOT NULL").distinct()
+    best = matrix_cells(tables).groupBy("page_id", "idx", "po_no").agg(F.max("level").alias("level"))
+    wide = wide.join(best, ["page_id", "idx", "po_no"], "left").select("page_id", "idx", "po_no", F.lit("").alias("description"), "level")
     t = F.col("texts")
-    rows = table_rows(tables)
-    head = rows.where("row < 4").select("page_id", "idx", "row", F.posexplode("texts").alias("col", "h"))
-    wide_no = F.regexp_extract(norm(F.col("h")), r"^p[a-z.]{0,4}\s*([0-9]{1,2})$", 1).try_cast("int")
-    wide = head.withColumn("po_no", wide_no).where("po_no IS NOT NULL").withColumn("n", F.count("*").over(_by("page_id", "idx", "row"))).where("n >= 2")
-    marked = head.withColumn("mark", F.when(norm(F.col("h")).rlike("^[0-5]$"), norm(F.col("h")).cast("int"))).where("mark IS NOT NULL").withColumn("n", F.count("*").over(_by("page_id", "idx", "row"))).where("n >= 3")
-    cells = rows.select("page_id", "idx", "row", t[0].alias("first"), F.size(t).alias("width"), F.posexplode("texts").alias("col", "x"))
-    level = lambda c: F.when(ordinal_no(c) <= 5, ordinal_no(c))
-    a = cells.alias("c").join(wide.alias("w"), (F.col("c.page_id") == F.col("w.page_id")) & (F.col("c.idx") == F.col("w.idx")) & (F.col("c.col") == F.col("w.col")) & (F.col("c.row") > F.col("w.row"))).select("c.page_id", "w.po_no", level(F.col("c.x")).alias("level"), "c.idx")
-    b = cells.alias("c").join(marked.alias("m"), (F.col("c.page_id") == F.col("m.page_id")) & (F.col("c.idx") == F.col("m.idx")) & (F.col("c.col") == F.col("m.col")) & (F.col("c.row") > F.col("m.row"))).where("trim(c.x) <> ''").select("c.page_id", ordinal_no(F.col("c.first")).alias("po_no"), F.col("m.mark").alias("level"), "c.idx")
-    taken = wide.select("page_id", "idx").union(marked.select("page_id", "idx")).distinct()
-    plain = rows.join(taken, ["page_id", "idx"], "left_anti").where(F.size(t) >= 2).select("page_id", ordinal_no(t[0]).alias("po_no"), level(F.element_at(t, -1)).alias("level"), "idx")
-    return a.union(b).union(plain).where("po_no IS NOT NULL AND level IS NOT NULL").groupBy("page_id", "po_no").agg(F.max("level").alias("level"))
+    rows = table_rows(with_header(found.where("wide_row IS NULL"), ("katki", "duzey", "no", "cikti", "1", "5")), "header_row", "header").where((F.col("row") > F.col("header_row")) & (F.size(t) >= 2))
+    rows = rows.withColumn("po_no", ordinal_no(t[0])).where("po_no IS NOT NULL")
+    mark = lambda h: F.when(h.rlike("^[0-5]$"), h.cast("int"))
+    marks = F.transform("header", mark)
+    marked = F.size(F.filter(marks, lambda m: m.isNotNull())) >= 3
+    of_marks = F.array_max(F.transform(marks, lambda m, k: F.when(m.isNotNull() & (F.trim(F.coalesce(F.get(t, k), F.lit(""))) != ""), m)))
+    # from the right: the first cell that is a level, unless a filled cell that is none comes before it
+    ends = F.reverse(F.slice(F.transform(t, lambda x, k: F.struct(F.when(ordinal_no(x) <= 5, ordinal_no(x)).alias("level"), ((x != "") & (k > 1)).alias("stops"))), 2, F.size(t) - 1))
+    last = F.get(F.filter(ends, lambda e: e["level"].isNotNull() | e["stops"]), F.lit(0))["level"]
+    level = F.when(marked, of_marks).otherwise(last)
+    text = (ordinal_no(t[1]).isNull() | (F.size(t) > 2)) & F.get(marks, F.lit(1)).isNull()
+    described = F.when(text & ~(~marked & level.isNotNull() & (F.size(t) == 2)), clean(t[1])).otherwise("")
+    return wide.union(rows.select("page_id", "idx", "po_no", described.alias("description"), level.alias("level")))
+
+
+# What a row of a plan leads to, a semester's heading, pages of the site.
+COURSE_ID = r"""(?i)(?:curCourse=|prolizOpenCourseDetails\(\s*['"]?)([0-9]+)"""
+GROUP_ID = r"""(?i)toggleRow\(\s*this\s*,\s*['"]?([0-9]+)"""
+GROUP_ROW = r"(?i)\bcollapse_([0-9]+)\b"
+SEMESTER = r"([0-9]{1,2})\s*\.?\s*(?:yariyil|donem|semester|yy)"
+PAGE_LINK = r"""(?i)([\w./-]+\.aspx(?:\?[^'"\s)]*)?)"""
+
 
+def _first_id(texts: Column, pattern: str) -> Column:
+    """The number of the first of the texts that fits."""
+    return F.get(F.filter(F.transform(texts, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != ""), F.lit(0)).try_cast("long")
 
-def _by(*cols: str):
-    from pyspark.sql.window import Window
 
-    return Window.partitionBy(*cols)
+def _course_type(text: Column) -> Column:
+    n = norm(text)
+    return F.when(n == "", "").when(n.startswith("z") | n.startswith("c"), "zorunlu").when(n.startswith("s") | n.startswith("e"), "secmeli").otherwise(clean(text))
+
+
+def _plan_rows(tables: DataFrame) -> DataFrame:
+    """The rows of plan tables with what each leads to, and the semester that the last heading before them names (K10)."""
+    named = with_header(tables, (*ECTS, *CODE))
+    semester = lambda text: F.regexp_extract(norm(text), SEMESTER, 1).try_cast("int")
+    heads = named.select("page_id", "idx", F.lit(-1).alias("row"), semester(F.concat_ws(" ", "label", "title")).alias("says"))
+    rows = table_rows(named.where("header_row >= 0"), "header_row", "header", "refs", "classes")
+    rows = rows.withColumns({"refs": F.get("refs", F.col("row")), "class": F.coalesce(F.get("classes", F.col("row")), F.lit(""))})
+    course, group = _first_id(F.col("refs"), COURSE_ID), _first_id(F.col("refs"), GROUP_ID)
+    below = F.col("row") > F.col("header_row")
+    rows = rows.withColumn("id", F.when(below, F.coalesce(F.when(course != 0, course), F.when(group != 0, group)))).withColumn("is_group", F.coalesce(course, F.lit(0)) == 0)
+    says = F.when(F.col("id").isNull(), semester(F.array_join("texts", " ")))
+    rows = rows.withColumn("says", says).unionByName(heads, allowMissingColumns=True)
+    before = Window.partitionBy("page_id").orderBy("idx", "row").rowsBetween(Window.unboundedPreceding, 0)  # the rows of a page
+    return rows.withColumn("semester", F.last("says", ignorenulls=True).over(before)).where("row >= 0").withColumn("below", F.col("row") > F.col("header_row"))
+
+
+def plan_entries(tables: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(page_id, ordinal, course_id, semester, code, name, type, theory, practice, lab, credit, ects, delivery, is_group, group_count, group_id) (K10).
+
+    A course comes once, where it stands first; a missing semester is filled from its next row that has one. With pages (page_id, html),
+    courses that are only linked outside of tables follow, without any fields.
+    """
+    pick = lambda *words, **kw: _cell(_column(_named(*words, **kw)))
+    exact = lambda x: _cell(_column(lambda h: h == x))
+    hours_at = _column(lambda h: h.startswith("t+u"))
+    hours = split_tul(_cell(hours_at))
+    name = _cell(_column(lambda h: (_has(h, ("adi", "name", "title")) | h.startswith("ders")) & ~h.contains("kod")))
+    kind = _cell(_column(lambda h: (h == "z/s") | (h == "c/e") | _has(h, ("tur", "zorunlu", "secmeli", "type"))))
+    group_row = F.regexp_extract("class", GROUP_ROW, 1).try_cast("long")
+    text = lambda c: F.coalesce(clean(c), F.lit(""))
+    plain = _course_type(F.coalesce(kind, F.lit("")))
+    rows = _plan_rows(tables).where("id IS NOT NULL").select(
+        "page_id", "idx", "row", F.col("id").alias("course_id"), "semester", text(pick(*CODE)).alias("code"), text(name).alias("name"),
+        F.when((plain == "") & group_row.isNotNull(), "secmeli").otherwise(plain).alias("type"),
+        F.when(hours_at >= 0, hours["t"]).otherwise(first_int(exact("t"))).alias("theory"), F.when(hours_at >= 0, hours["u"]).otherwise(first_int(exact("u"))).alias("practice"), hours["l"].alias("lab"),
+        first_float(pick("kredi", "credit")).alias("credit"), first_float(pick(*ECTS)).alias("ects"), text(pick("ogretim sekli", "delivery")).alias("delivery"),
+        "is_group", F.when(F.col("is_group"), first_int(pick("grup", "group"))).alias("group_count"), group_row.alias("group_id"),
+    )
+    at = F.struct("idx", "row")
+    fields = [c for c in rows.columns if c not in ("page_id", "idx", "row", "course_id", "semester")]
+    once = rows.groupBy("page_id", "course_id").agg(F.min(at).alias("at"), F.min_by(F.struct(*fields), at).alias("x"), F.min_by("semester", F.when(F.col("semester") > 0, at)).alias("semester"))
+    if pages is not None:
+        linked = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(COURSE_ID), F.lit(1))).alias("k", "c")).select("page_id", F.col("c").try_cast("long").alias("course_id"), "k").where("course_id <> 0")
+        linked = linked.join(once.select("page_id", "course_id"), ["page_id", "course_id"], "left_anti").groupBy("page_id", "course_id").agg(F.struct(F.lit(1 << 30).alias("idx"), F.min("k").alias("row")).alias("at"))
+        once = once.unionByName(linked, allowMissingColumns=True)
+    return once.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("at")).alias("ordinal"), "course_id", "semester", *(F.col(f"x.{c}").alias(c) for c in fields))
+
+
+def plan_links(tables: DataFrame) -> DataFrame:
+    """(page_id, link): other pages that the rows of plan tables lead to, such as pools of electives."""
+    rows = _plan_rows(tables).where("below AND id IS NULL AND says IS NULL")
+    links = rows.select("page_id", F.explode(F.flatten(F.transform("refs", lambda r: F.regexp_extract_all(r, F.lit(PAGE_LINK), F.lit(1))))).alias("link"))
+    small = F.lower("link")
+    return links.where(~small.contains("progcoursedetails") & ~small.startswith("index.aspx")).distinct()
+
+
+# The element that names unit and program, and the field of plan years.
+PLAN_HEAD, YEAR_FIELD = "lblProgInfoDers", "cmbYillar"
+
+
+def plan_years(parsed: DataFrame) -> DataFrame:
+    """(page_id, value, year, label, selected): the options of the field of plan years that have a value and a year after 1900 (K11)."""
+    rows = parsed.select("page_id", F.inline("options")).where(F.lower("field") == YEAR_FIELD.lower()).withColumn("year", first_int(F.col("label")))
+    return rows.where("value <> '' AND year > 1900").select("page_id", "value", "year", clean(F.col("label")).alias("label"), "selected")
+
+
+def plan_head(parsed: DataFrame) -> DataFrame:
+    """(page_id, unit_name, program_name, year, plan_id): the heading unit / program - Dersler and the selected plan (K11).
+
+    Without a selected plan the year is that of the first other selected option after 1900.
+    """
+    span = F.get(F.filter("spans", lambda s: F.lower(s["id"]) == PLAN_HEAD.lower()), F.lit(0))["text"]
+    head = F.regexp_replace(clean(span), r"(?i)\s*-\s*(?:dersler|courses)\s*$", "")
+    at = F.instr(head, F.lit(" / "))
+    chosen = F.filter("options", lambda o: o["selected"] & (first_int(o["label"]) > 1900))
+    last = F.try_element_at(F.filter(chosen, lambda o: (F.lower(o["field"]) == YEAR_FIELD.lower()) & (o["value"] != "")), F.lit(-1))
+    other = F.get(F.filter(chosen, lambda o: F.lower(o["field"]) != YEAR_FIELD.lower()), F.lit(0))
+    return parsed.select(
+        "page_id", F.when(at > 0, clean(F.substring(head, F.lit(1), at - 1))).alias("unit_name"), F.when(at > 0, clean(F.substring(head, at + 3, F.length(head)))).otherwise(head).alias("program_name"),
+        first_int(F.coalesce(last["label"], other["label"])).alias("year"), last["value"].alias("plan_id"),
+    )
 
 
 def mark_empty(courses: DataFrame) -> DataFrame:
@@ -113,5 +378,3 @@ def unit_about(header: Column, content: Column) -> Column:
     name = F.trim(F.regexp_replace(clean(header), "Bilgi Paketi Tanımları$", ""))
     return F.struct(F.when(norm(name) != "fakulte", name).alias("name"), content.alias("about"))
 
-
-_ = any_of

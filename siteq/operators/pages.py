@@ -18,11 +18,25 @@ CELL = "struct<text: string, colspan: int, header: boolean>"
 PAGE = (
     f"page_id long, url string, base string, lang string, title string, visible_text string, links array<{LINK}>, images array<struct<src: string, alt: string>>, h1_count int, "
     f"fields array<{FIELD}>, labels array<string>, forms array<struct<action: string, method: string, n_fields: int>>, metas array<struct<name: string, content: string>>, has_media_query boolean, "
-    f"embeds array<string>, tables array<struct<idx: int, label: string, rows: array<array<{CELL}>>>>"
+    f"embeds array<string>, tables array<struct<idx: int, label: string, title: string, rows: array<array<{CELL}>>, refs: array<array<string>>, classes: array<string>>>, "
+    "spans array<struct<id: string, text: string>>, options array<struct<field: string, value: string, label: string, selected: boolean>>"
 )
 # Elements that start a line of text, and elements whose text isn't shown.
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "td", "th", "form", "option", "title", "caption"}
 HIDDEN = {"script", "style", "noscript", "template"}
+# Attributes that lead somewhere.
+REFS = ("href", "onclick", "data-url", "data-href", "value")
+
+
+def _refs(a: dict) -> list[str]:
+    """The attributes that lead somewhere; a value only with a parameter."""
+    found = [(k, a.get(k, "").strip()) for k in REFS]
+    return [v for k, v in found if v and v != "#" and not v.startswith("javascript:void") and (k != "value" or "=" in v)]
+
+
+def _span(text: str) -> int:
+    """A colspan as browsers read it: digits from 1 to 1000, else 1."""
+    return min(int(text), 1000) if text.isascii() and text.isdigit() and len(text) < 10 and int(text) else 1
 
 
 class _Page(HTMLParser):
@@ -30,16 +44,19 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out = {"base": None, "lang": None, "title": None, "links": [], "images": [], "h1_count": 0, "fields": [], "labels": [], "forms": [], "metas": [], "has_media_query": False, "embeds": [], "tables": []}
+        self.out = {"base": None, "lang": None, "title": None, "links": [], "images": [], "h1_count": 0, "fields": [], "labels": [], "forms": [], "metas": [], "has_media_query": False, "embeds": [], "tables": [], "spans": [], "options": []}
         self.text, self.hidden, self.link, self.form, self.in_title = [], [], None, None, False
         self.tables: list[dict] = []
-        self.last_line = ""
+        self.span, self.select, self.option, self.unclosed = None, "", None, frozenset()
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         o = self.out
-        if tag in HIDDEN:
+        if tag in HIDDEN and tag not in self.unclosed:
             self.hidden.append(tag)
+        for t in self.tables:
+            if t["open"] and not (tag == "tr" and t is self.tables[-1]):
+                t["row_refs"] += _refs(a)
         if tag in BLOCKS:
             self.text.append("\n")
         if tag == "html":
@@ -68,17 +85,37 @@ class _Page(HTMLParser):
             o["fields"].append({"id": a.get("id"), "type": a.get("type", "text" if tag == "input" else tag).lower(), "name": a.get("name"), "aria": bool(a.get("aria-label") or a.get("aria-labelledby"))})
             if self.form is not None:
                 self.form["n_fields"] += 1
+            if tag == "select":
+                self.select = a.get("name", "")
         elif tag == "table":
             for t in self.tables:
                 t["nested"] = True
-            self.tables.append({"idx": -1, "label": self.line(), "rows": [], "nested": False, "cell": None})
+            self.tables.append({"label": self.line(), "caption": None, "rows": [], "refs": [], "classes": [], "row_refs": [], "open": False, "nested": False, "cell": None, "head": False})
+        elif tag == "caption" and self.tables:
+            self.tables[-1]["caption"] = ""
+            self.tables[-1]["in_caption"] = True
+        elif tag in ("thead", "tbody", "tfoot") and self.tables:
+            self.tables[-1]["head"] = tag == "thead"
         elif tag == "tr" and self.tables:
-            self.tables[-1]["rows"].append([])
+            t = self.tables[-1]
+            t["row_refs"] = _refs(a)
+            t["rows"].append([])
+            t["refs"].append(t["row_refs"])
+            t["classes"].append(a.get("class", ""))
+            t["open"], t["cell"] = True, None
+        elif tag == "span" and a.get("id"):
+            self.span = {"id": a["id"], "text": ""}
+            self.out["spans"].append(self.span)
+        elif tag == "option":
+            self.option = {"field": self.select, "value": a.get("value", ""), "label": "", "selected": "selected" in a}
+            self.out["options"].append(self.option)
         elif tag in ("td", "th") and self.tables:
             t = self.tables[-1]
             if not t["rows"]:
                 t["rows"].append([])
-            t["cell"] = {"text": "", "colspan": int(a["colspan"]) if a.get("colspan", "").isdigit() else 1, "header": tag == "th"}
+                t["refs"].append(t["row_refs"])
+                t["classes"].append("")
+            t["cell"] = {"text": "", "colspan": _span(a.get("colspan", "")), "header": tag == "th" or t["head"]}
             t["rows"][-1].append(t["cell"])
 
     def line(self) -> str:
@@ -96,12 +133,28 @@ class _Page(HTMLParser):
             self.link = None
         elif tag == "form":
             self.form = None
+        elif tag == "span":
+            self.span = None
+        elif tag in ("option", "select"):
+            self.option = None
+            self.select = "" if tag == "select" else self.select
         elif tag in ("td", "th") and self.tables:
             self.tables[-1]["cell"] = None
+        elif tag == "thead" and self.tables:
+            self.tables[-1]["head"] = False
+        elif tag == "caption" and self.tables:
+            self.tables[-1]["in_caption"] = False
+        elif tag == "tr" and self.tables:
+            self.tables[-1]["open"] = False
         elif tag == "table" and self.tables:
             t = self.tables.pop()
             if not t["nested"]:
-                self.out["tables"].append({"idx": len(self.out["tables"]), "label": t["label"], "rows": [[{**c, "text": " ".join(c["text"].split())} for c in r] for r in t["rows"]]})
+                rows, title = [[{**c, "text": " ".join(c["text"].split())} for c in r] for r in t["rows"]], ""
+                if len(rows) > 1 and len(rows[0]) == 1 and rows[0][0]["colspan"] > 1:  # a first row over the whole width is the title
+                    title = rows[0][0]["text"]
+                    del rows[0], t["refs"][0], t["classes"][0]
+                label = " ".join((t["caption"] or "").split()) or t["label"]
+                self.out["tables"].append({"idx": len(self.out["tables"]), "label": label, "title": title, "rows": rows, "refs": t["refs"], "classes": t["classes"]})
 
     def handle_data(self, data):
         if self.in_title:
@@ -114,13 +167,21 @@ class _Page(HTMLParser):
             self.text.append(data)
         if self.link is not None:
             self.link["text"] += data
+        if self.span is not None:
+            self.span["text"] += data
+        if self.option is not None:
+            self.option["label"] += data
         for t in self.tables:
             if t["cell"] is not None:
                 t["cell"]["text"] += data
+            elif t.get("in_caption"):
+                t["caption"] += data
 
 
 def parse_page(html: str | None) -> dict:
     p = _Page()
+    small = (html or "").lower()
+    p.unclosed = frozenset(t for t in ("noscript", "template") if f"</{t}" not in small)  # hides nothing, for all of the page would be gone
     p.feed(html or "")
     p.close()
     p.out["visible_text"] = "\n".join(x for x in (" ".join(s.split()) for s in "".join(p.text).split("\n")) if x)
@@ -131,7 +192,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """A row for each page (page_id, url, html) with everything that the audits need, so that a page is parsed once. A null html is an empty page."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "url", "base", "lang", "title", "visible_text", "links", "images", "h1_count", "fields", "labels", "forms", "metas", "has_media_query", "embeds", "tables"]
+        names = ["page_id", "url", "base", "lang", "title", "visible_text", "links", "images", "h1_count", "fields", "labels", "forms", "metas", "has_media_query", "embeds", "tables", "spans", "options"]
         for b in batches:
             parsed = [parse_page(h) for h in b["html"]]
             out = pd.DataFrame({n: [p[n] for p in parsed] for n in names[2:]})
@@ -178,7 +239,10 @@ def visible_text(parsed: DataFrame) -> DataFrame:
 
 
 def html_tables(parsed: DataFrame) -> DataFrame:
-    """(page_id, idx, label, rows): the tables without tables inside, in document order."""
+    """(page_id, idx, label, title, rows, refs, classes): the tables without tables inside, in document order.
+
+    label is the caption or the last line before the table, title a first row that spans the table; refs and classes go by row.
+    """
     return parsed.select("page_id", F.inline("tables"))
 
 

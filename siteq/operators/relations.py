@@ -44,10 +44,10 @@ def purge_guesses(outcomes: DataFrame, official: DataFrame) -> DataFrame:
 
 
 def replace_plan(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old plan rows without those of a replaced plan, and the new rows. A plan is replaced by id, or, where an old row has none, by its year (null equals null)."""
+    """Old plan rows without those of a replaced plan, and the new rows. A plan is replaced by id, or, where the old row or the new plan has none, by its year (null equals null)."""
     plans = new.select("program_id", "plan_id", "plan_year").distinct().alias("p")
     o = old.alias("o")
-    same = (F.col("o.plan_id") == F.col("p.plan_id")) | (F.col("o.plan_id").isNull() & F.col("o.plan_year").eqNullSafe(F.col("p.plan_year")))
+    same = (F.col("o.plan_id") == F.col("p.plan_id")) | ((F.col("o.plan_id").isNull() | F.col("p.plan_id").isNull()) & F.col("o.plan_year").eqNullSafe(F.col("p.plan_year")))
     return o.join(plans, (F.col("o.program_id") == F.col("p.program_id")) & same, "left_anti").unionByName(new)
 
 

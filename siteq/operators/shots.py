@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,10 +18,17 @@ DETAIL = r"-n-\d+$"
 BLANK, SHORT, LONG = 4.0, 0.3, 5.0
 
 
-def dhash(values: Column) -> Column:
-    """64-bit hash of 65 grey values: bit set where a value is larger than the next, first pair highest."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get(values, i) > F.get(values, i + 1), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+def dhash(values: Column, width: int = 9, height: int = 8) -> Column:
+    """Hash of a grid of width x height grey values, by row: a bit for each value but a row's last, set where it is larger than the next, the first highest.
+
+    Of 64 bits it is a long, of more an array of longs, the highest first.
+    """
+    words = []
+    pairs = [r * width + c for r in range(height) for c in range(width - 1)]
+    for at in range(0, len(pairs), 64):
+        bits = [F.when(F.get(values, F.lit(i)) > F.get(values, F.lit(i + 1)), F.lit(1)).otherwise(F.lit(0)).cast("long") for i in pairs[at : at + 64]]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(b, len(bits) - 1 - k) for k, b in enumerate(bits))))
+    return words[0] if len(words) == 1 else F.array(*words)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -90,11 +90,18 @@ def sitemap_urls(xml: DataFrame, col: str = "xml") -> tuple[DataFrame, DataFrame
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """URLs that the rules (rule_no, prefix, allow) let through: the first rule whose prefix starts the path decides; none allows."""
-    p = urls.withColumn("_path", F.when(U.path(F.col(url)) == "", F.lit("/")).otherwise(U.path(F.col(url))))
-    hit = p.join(F.broadcast(rules), F.col("_path").startswith(F.col("prefix")), "left")  # robots rules: a few lines a site
-    keep = [c for c in urls.columns]
-    return hit.groupBy(*keep).agg(F.min_by("allow", "rule_no").alias("_allow")).where(F.coalesce("_allow", F.lit(True))).select(*keep)
+    """URLs that the rules (rule_no, prefix, allow; of a host with a column host, else of all) let through: the first rule whose prefix starts the path decides; none allows.
+
+    A host's rules, a few lines, come to each of its URLs as one array, so repeated rows stay and no URL meets another host's rules.
+    """
+    path = F.when(U.path(F.col(url)) == "", F.lit("/")).otherwise(U.path(F.col(url)))
+    packed = F.array_sort(F.collect_list(F.struct("rule_no", "prefix", "allow"))).alias("_rules")
+    if "host" in rules.columns:
+        hit = urls.withColumn("_host", U.host(F.col(url))).join(rules.groupBy(F.col("host").alias("_host")).agg(packed), "_host", "left")
+    else:
+        hit = urls.join(F.broadcast(rules.agg(packed)))  # one row
+    decides = F.get(F.filter("_rules", lambda r: path.startswith(r["prefix"])), F.lit(0))
+    return hit.where(F.coalesce(decides["allow"], F.lit(True))).select(*urls.columns)
 
 
 def clean_urls(df: DataFrame, order: Column, url: str = "url") -> DataFrame:

@@ -26,9 +26,21 @@ def text_patterns(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def text_pattern_samples(df: DataFrame, key: str, pattern: str, text: str = "text") -> DataFrame:
-    """(key, samples): the first three different hits with 25 characters on either side."""
-    hits = F.regexp_extract_all(text, F.lit(f"((?s).{{0,25}}(?:{PATTERNS[pattern]}).{{0,25}})"), F.lit(1))
-    return df.select(key, F.slice(F.array_distinct(F.transform(hits, lambda h: F.trim(F.replace(h, F.lit("\n"), F.lit(" "))))), 1, 3).alias("samples")).where(F.size("samples") > 0)
+    """(key, samples): the first three different hits with 25 characters on either side. Contexts may overlap."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    hits = F.regexp_extract_all(whole, F.lit(PATTERNS[pattern]), F.lit(0))
+    gaps = F.split(whole, PATTERNS[pattern], -1)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("found"))
+
+    def step(acc: Column, k: Column) -> Column:
+        start, size = acc["at"] + F.length(F.get(gaps, k)), F.length(F.get(hits, k))
+        first = F.greatest(start - 25, F.lit(0))
+        context = F.trim(F.replace(F.substring(whole, first + 1, start + size + 25 - first), F.lit("\n"), F.lit(" ")))
+        more = F.when(F.size(acc["found"]) >= 3, acc["found"]).otherwise(F.array_union(acc["found"], F.array(context)))
+        return F.struct((start + size).alias("at"), more.alias("found"))
+
+    samples = F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<string>"))
+    return df.select(key, samples.alias("samples")).where(F.size("samples") > 0)
 
 
 def pattern_by_lang(found: DataFrame) -> DataFrame:

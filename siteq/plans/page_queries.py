@@ -64,10 +64,17 @@ def _(spark, d):
     return G.visible_text(parsed(spark, d))
 
 
-@query("k2_html_tables", "SELECT page_id, 0 AS idx, 'Bilgi' AS label, 3 AS n_rows, 7 AS n_cells FROM pages")
+MARKUP = """'<table><caption>Plan ' || page_id || '</caption><thead><tr><td colspan="3">Baş ' || page_id || '</td></tr><tr><td>a<td colspan="²">b</tr></thead><tr class="k' || page_id || '" onclick="ac(' || page_id || ')"><td colspan="99999999999"><a href="/s?n=1">x</a> y<td><a href="#">z</a></table>'
+|| '<p>dış</p><table><tr><td><table><tr><td>iç ' || page_id || '</td></tr></table></td></tr></table>'"""
+
+
+@query("k2_html_tables", """SELECT page_id, 0 AS idx, 'Plan ' || page_id AS label, 'Baş ' || page_id AS title, 'a:1:true,b:1:true;x y:1:false,z:1:false' AS cells, ';ac(' || page_id || ') /s?n=1' AS refs, ';k' || page_id AS classes FROM pages
+    UNION ALL SELECT page_id, 1, 'dış', '', 'iç ' || page_id || ':1:false', '', '' FROM pages""")
 def _(spark, d):
-    t = G.html_tables(parsed(spark, d))
-    return t.select("page_id", "idx", "label", F.size("rows").alias("n_rows"), F.size(F.flatten("rows")).alias("n_cells"))
+    t = G.html_tables(G.parse_pages(table(spark, d, "pages").select("page_id", "url", F.expr(MARKUP).alias("html"))))
+    lines = lambda c, f, between: F.array_join(F.transform(c, f), between)
+    cell = lambda c: F.concat_ws(":", c["text"], c["colspan"].cast("string"), c["header"].cast("string"))
+    return t.select("page_id", "idx", "label", "title", lines("rows", lambda r: lines(r, cell, ","), ";").alias("cells"), lines("refs", lambda r: F.array_join(r, " "), ";").alias("refs"), F.array_join("classes", ";").alias("classes"))
 
 
 @query("k3_table_kv", "SELECT page_id, 'Ders Kodu' AS key, 'K ' || page_id AS value FROM pages UNION ALL SELECT page_id, 'a', 'b' FROM pages UNION ALL SELECT page_id, 'c', 'd' FROM pages")
@@ -80,10 +87,10 @@ def _(spark, d):
     return G.table_headers(G.html_tables(parsed(spark, d)), ["ders kodu"]).select("page_id", "row", "col", "header")
 
 
-ITEMS = "'Giriş 2. paragraf. 1. Analiz eder' || p_partkey || '. 2.5 puanlık 2) Tasarlar 12. değil' || CASE WHEN p_partkey % 2 = 0 THEN ' 3. Uygular\nsonraki' ELSE '' END"
+ITEMS = "'Bölüm 4. kısım: 1) Kodlar' || p_partkey || ' ve sınar. 3.1 sürüm 2. Ağ kurar 17) ek' || CASE WHEN p_partkey % 2 = 0 THEN ' 3) Sunar\nbaşka satır' ELSE '' END"
 
 
-@query("k7_numbered_items", "SELECT p_partkey, 1 AS no, 'Analiz eder' || p_partkey || '. 2.5 puanlık' AS description FROM part UNION ALL SELECT p_partkey, 2, 'Tasarlar 12. değil' FROM part UNION ALL SELECT p_partkey, 3, 'Uygular' FROM part WHERE p_partkey % 2 = 0")
+@query("k7_numbered_items", "SELECT p_partkey, 1 AS no, 'Kodlar' || p_partkey || ' ve sınar. 3.1 sürüm' AS description FROM part UNION ALL SELECT p_partkey, 2, 'Ağ kurar 17. ek' FROM part UNION ALL SELECT p_partkey, 3, 'Sunar' FROM part WHERE p_partkey % 2 = 0")
 def _(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.expr(ITEMS).alias("text"))
     return rows.select("p_partkey", F.posexplode(G.numbered_items(F.col("text"))).alias("k", "description")).select("p_partkey", (F.col("k") + 1).alias("no"), "description")

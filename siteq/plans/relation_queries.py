@@ -85,10 +85,10 @@ def _(spark, d):
 
 
 OLD_PLAN = "SELECT s_suppkey % 20 AS program_id, s_suppkey AS course_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey % 4 END AS plan_id, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 2020 + s_suppkey % 2 END AS plan_year FROM supplier"
-NEW_PLAN = "SELECT s_suppkey % 20 AS program_id, 100000 + s_suppkey AS course_id, 1 AS plan_id, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 2021 END AS plan_year FROM supplier WHERE s_suppkey <= 12"
+NEW_PLAN = "SELECT s_suppkey % 20 AS program_id, 100000 + s_suppkey AS course_id, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 1 END AS plan_id, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 2021 END AS plan_year FROM supplier WHERE s_suppkey <= 12"
 
 
-@query("l6_replace_plan", f"WITH o AS ({OLD_PLAN}), n AS ({NEW_PLAN}) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.program_id = o.program_id AND (o.plan_id = n.plan_id OR (o.plan_id IS NULL AND o.plan_year IS NOT DISTINCT FROM n.plan_year))) UNION ALL SELECT * FROM n")
+@query("l6_replace_plan", f"WITH o AS ({OLD_PLAN}), n AS ({NEW_PLAN}) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.program_id = o.program_id AND (o.plan_id = n.plan_id OR ((o.plan_id IS NULL OR n.plan_id IS NULL) AND o.plan_year IS NOT DISTINCT FROM n.plan_year))) UNION ALL SELECT * FROM n")
 def _(spark, d):
     return L.replace_plan(rel(spark, d, OLD_PLAN), rel(spark, d, NEW_PLAN))
 

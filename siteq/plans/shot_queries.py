@@ -43,17 +43,27 @@ def flagged(spark, d):
     return S.shot_flags(shots(spark, d), S.device_stats(shots(spark, d)))
 
 
-BITS = "[CASE WHEN embedding[i] > embedding[i + 1] THEN 1 ELSE 0 END for i in range(1, 64)]"
+GRID = "SELECT vec_id, list_concat(embedding, embedding[1:8]) AS v FROM embeddings"
+BITS = "array_to_string([CASE WHEN v[(i // 8) * 9 + i % 8 + 1] > v[(i // 8) * 9 + i % 8 + 2] THEN '1' ELSE '0' END for i in range(64)], '')"
 
 
 def hashes(spark, d):
-    """Hashes of the 64 values of each vector and its first one again."""
-    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("template"), S.dhash(F.concat("embedding", F.slice("embedding", 1, 1))).alias("hash"))
+    """Hashes of grids of the 64 values of each vector and its first eight again."""
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("template"), S.dhash(F.concat("embedding", F.slice("embedding", 1, 8))).alias("hash"))
 
 
-@query("e2_dhash", f"SELECT vec_id, list_sum({BITS}) + CASE WHEN embedding[64] > embedding[1] THEN 1 ELSE 0 END AS ones FROM embeddings")
+@query("e2_dhash", f"SELECT vec_id, {BITS} AS bits FROM ({GRID})")
 def _(spark, d):
-    return hashes(spark, d).select("vec_id", F.bit_count("hash").alias("ones"))
+    return hashes(spark, d).select("vec_id", F.lpad(F.bin("hash"), 64, "0").alias("bits"))
+
+
+WIDE = "array_to_string([CASE WHEN v[((i // 16) * 17 + i % 16) % 64 + 1] > v[((i // 16) * 17 + i % 16 + 1) % 64 + 1] THEN '1' ELSE '0' END for i in range(256)], '')"
+
+
+@query("e2_dhash_256", f"SELECT vec_id, {WIDE} AS bits FROM (SELECT vec_id, embedding AS v FROM embeddings)")
+def _(spark, d):
+    grid = F.slice(F.flatten(F.array_repeat("embedding", 5)), 1, 17 * 16)
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(S.dhash(grid, 17, 16), lambda w: F.lpad(F.bin(w), 64, "0")), "").alias("bits"))
 
 
 @query("e3_parse_shot_name", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'tr-a' || doc_id || '-0123abcd' WHEN 1 THEN 'x' || doc_id ELSE 'y' || doc_id END AS page, CASE doc_id % 3 WHEN 0 THEN 'tr-a' || doc_id WHEN 1 THEN 'x' || doc_id ELSE 'y' || doc_id END AS slug, CASE doc_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE '?' END AS device FROM documents")
@@ -100,9 +110,9 @@ def _(spark, d):
     return flagged(spark, d).select("pos", F.array_join("flags", ",").alias("flags"))
 
 
-@query("e9_missing_pairs", f"WITH {SHOTS}, p AS (SELECT page, list(DISTINCT device) AS have FROM shots WHERE pos % 5 <> 0 GROUP BY page) SELECT page, CASE WHEN list_contains(have, 'desktop') THEN 'mobile' ELSE 'desktop' END AS missing FROM p WHERE len(have) = 1")
+@query("e9_missing_pairs", f"WITH {SHOTS}, p AS (SELECT CASE WHEN pos % 5 = 0 THEN -pos ELSE page END AS page, list(DISTINCT device) AS have FROM shots GROUP BY 1) SELECT page, CASE WHEN list_contains(have, 'desktop') THEN 'mobile' ELSE 'desktop' END AS missing FROM p WHERE len(have) = 1")
 def _(spark, d):
-    return S.missing_pairs(shots(spark, d).where("pos % 5 <> 0"))
+    return S.missing_pairs(shots(spark, d).withColumn("page", F.when(F.col("pos") % 5 == 0, -F.col("pos")).otherwise(F.col("page"))))
 
 
 @query("e10_same_look", f"WITH {SHOTS}, {STATS}, {FLAGS} SELECT device, look, count(*) AS n_images, count(DISTINCT page) AS n_pages FROM (SELECT device, substr(look, 1, 2) AS look, page, flags FROM flagged) WHERE NOT list_contains(flags, 'BOS_SAYFA') GROUP BY device, look HAVING count(DISTINCT page) >= 3")
@@ -127,7 +137,7 @@ def _(spark, d):
 @query("e13_assign_nearest")
 def _(spark, d):
     c = clusters(spark, d)
-    lost = hashes(spark, d).where("vec_id % 7 = 0").select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), F.col("template").cast("int") % 3).alias("section"), "hash")
+    lost = hashes(spark, d).select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), F.col("template").cast("int") % 3).alias("section"), "hash")
     return S.assign_nearest(lost, S.cluster_centres(c).select(F.concat(F.lit("s"), F.col("template").cast("int") % 3).alias("section"), "template", "centre"), 26)
 
 
@@ -138,9 +148,9 @@ def _(spark, d):
     return S.propagate_template(rows, "desktop").select("doc_id", "final")
 
 
-@query("e15_shot_representatives", "WITH c AS (SELECT 't' || o_custkey % 30 AS template, o_orderkey % 7 AS cluster, o_orderkey AS id, o_custkey % 500 AS height FROM orders WHERE o_orderkey % 13 < 6), s AS (SELECT *, count(*) OVER (PARTITION BY template, cluster) AS size, row_number() OVER (PARTITION BY template, cluster ORDER BY height, id) - 1 AS k FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY size DESC, cluster) AS rank FROM s WHERE k = size // 2) SELECT template, cluster, id, size FROM r WHERE (size >= 5 AND rank <= 3) OR rank = 1")
+@query("e15_shot_representatives", "WITH c AS (SELECT 't' || o_custkey % 30 AS template, o_orderkey % 7 AS cluster, o_orderkey AS id, o_custkey % 500 AS height FROM orders), s AS (SELECT *, count(*) OVER (PARTITION BY template, cluster) AS size, row_number() OVER (PARTITION BY template, cluster ORDER BY height, id) - 1 AS k FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY size DESC, cluster) AS rank FROM s WHERE k = size // 2) SELECT template, cluster, id, size FROM r WHERE (size >= 5 AND rank <= 3) OR rank = 1")
 def _(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 13 < 6").select(F.concat(F.lit("t"), F.col("o_custkey") % 30).alias("template"), (F.col("o_orderkey") % 7).alias("cluster"), F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 500).alias("height"))
+    rows = table(spark, d, "orders").select(F.concat(F.lit("t"), F.col("o_custkey") % 30).alias("template"), (F.col("o_orderkey") % 7).alias("cluster"), F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 500).alias("height"))
     return S.shot_representatives(rows)
 
 
@@ -183,7 +193,14 @@ def _(spark, d):
     return hits(spark, d).where("pattern IN ('soru_isareti', 'mojibake')")
 
 
-@query("g3_text_pattern_samples")
+CONTEXTS = f"""WITH {HITS}, parts AS (SELECT doc_id, unnest(string_split(t, '�')) AS p, generate_subscripts(string_split(t, '�'), 1) AS k FROM dmg),
+    pos AS (SELECT doc_id, k, CAST(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) + k - 1 AS BIGINT) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM parts),
+    ctx AS (SELECT doc_id, k, trim(replace(substr(t, greatest(s - 25, 0) + 1, s + 26 - greatest(s - 25, 0)), chr(10), ' ')) AS c FROM pos JOIN dmg USING (doc_id) WHERE k < n),
+    one AS (SELECT doc_id, c, min(k) AS k FROM ctx GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rn FROM one)
+    SELECT doc_id, string_agg(c, '|' ORDER BY k) AS samples FROM r WHERE rn <= 3 GROUP BY doc_id"""
+
+
+@query("g3_text_pattern_samples", CONTEXTS)
 def _(spark, d):
     return X.text_pattern_samples(damaged(spark, d), "doc_id", "yer_tutucu").select("doc_id", F.array_join("samples", "|").alias("samples"))
 

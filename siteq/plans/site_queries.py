@@ -181,6 +181,17 @@ def _(spark, d):
     return S.robots_filter(table(spark, d, "pages").select("page_id", "url"), rules).select("page_id")
 
 
+HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+
+
+@query("a15_robots_by_host", f"SELECT page_id FROM pages WHERE NOT (starts_with({part('url', 3)}, '/en') AND length({HOST}) % 2 = 0)")
+def _(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    hosts = pages.select(U.host(F.col("url")).alias("host")).distinct().where(F.length("host") % 2 == 0)
+    rules = hosts.select("host", F.inline(F.array(F.struct(F.lit(2).alias("rule_no"), F.lit("/e").alias("prefix"), F.lit(True).alias("allow")), F.struct(F.lit(1).alias("rule_no"), F.lit("/en").alias("prefix"), F.lit(False).alias("allow")))))
+    return S.robots_filter(pages, rules).select("page_id")
+
+
 @query("a16_pending", "SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 3 = 0)")
 def _(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")
