@@ -151,13 +151,13 @@ def model_usage(records: DataFrame, found: DataFrame, prices: DataFrame) -> Data
 
 
 # Pixels of a token, tokens of the prompt and of an answer.
-PIXELS, PROMPT, ANSWER = 750, 900, 350
+PIXELS, PROMPT_TOKENS, OUT_TOKENS = 750, 900, 350
 
 
 def estimate_cost(slices: DataFrame, prices: DataFrame) -> DataFrame:
     """Expected tokens and cost of each priced model over all slices, whose width and height are those of the image as it is sent."""
-    t = slices.agg(F.count("*").alias("n"), F.sum(F.floor(F.col("w") * F.col("h") / PIXELS) + PROMPT).alias("tokens_in"))
-    return F.broadcast(prices).crossJoin(t).select("model", "n", "tokens_in", (F.col("tokens_in") * F.col("price_in") / 1e6 + F.col("n") * ANSWER * F.col("price_out") / 1e6).alias("cost"))
+    t = slices.agg(F.count("*").alias("n"), F.sum(F.floor(F.col("w") * F.col("h") / PIXELS) + PROMPT_TOKENS).alias("tokens_in"))
+    return F.broadcast(prices).crossJoin(t).select("model", "n", "tokens_in", (F.col("tokens_in") * F.col("price_in") / 1e6 + F.col("n") * OUT_TOKENS * F.col("price_out") / 1e6).alias("cost"))
 
 
 def agreement(records: DataFrame, found: DataFrame, main: str, arbiter: str) -> DataFrame:
