@@ -1,4 +1,4 @@
-"""Curriculum pages as column logic over leaf tables (K6, K8-K15, K18): tables are (page_id, idx, label, title, rows, refs, classes)."""
+"""Curriculum pages as column logic over leaf tables (K6, K8-K15, K17, K18): tables are (page_id, idx, label, title, rows, refs, classes)."""
 
 from __future__ import annotations
 
@@ -21,6 +21,9 @@ COURSE_FIELDS = (
     ("ogretim sekli", "teaching_mode"), ("ogrenim tur", "delivery_mode"), ("dersin tur", "type"), ("dili", "language"), ("duzey", "level"), ("bolum", "department"), ("amac", "objective"), ("icerig", "content"),
     ("on kosul", "prerequisites"), ("on sart", "prerequisites"), ("koordinator", "coordinator"), ("yardimci", "assistants"), ("veren", "instructors"), ("ogretim eleman", "instructors"),
 )
+# Words of help texts that aren't names of units, and the longest name.
+HELP = ("basiniz", "tiklayiniz", "seciniz", "listelemek", "click", "select")
+LONGEST_UNIT = 80
 # Sections of a course page in the order in which they are tried, and the words that each is known by (groups of which one each has to come up).
 SECTIONS = (
     ("matrix", (("program",), ("cikti", "yeterlil", "katki", "iliski"))),
@@ -378,3 +381,30 @@ def unit_about(header: Column, content: Column) -> Column:
     name = F.trim(F.regexp_replace(clean(header), "Bilgi Paketi Tanımları$", ""))
     return F.struct(F.when(norm(name) != "fakulte", name).alias("name"), content.alias("about"))
 
+
+def unit_selection(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(programs, units) of unit selection pages, once each by page and id.
+
+    programs: page_id, id, unit_id, name, unit_name, pos; the unit is that of the program's own link, else that of the last heading or unit link before it.
+    units: page_id, id, name, url, pos. What lies inside a program, a unit link or a heading that names a unit isn't read again. Without a unit its columns are null.
+    """
+    number = lambda refs, name: F.nullif(F.regexp_extract(F.array_join(refs, " "), rf"(?i){name}=([0-9]+)", 1).try_cast("long"), F.lit(0))
+    m = parsed.select("page_id", F.inline("marks")).withColumn("text", clean(F.col("text")))
+    sunit, unit, deep_unit = number("refs", "curSunit"), number("refs", "curUnit"), number("deep", "curUnit")
+    named = (F.col("text") != "") & (F.length("text") <= LONGEST_UNIT) & ~any_of(norm(F.col("text")).contains(w) for w in HELP)
+    heads = F.col("heading") & (F.col("tag") != "th") & deep_unit.isNotNull() & named & number("deep", "curSunit").isNull()
+    link = F.regexp_extract(F.array_join("refs", " "), r"""([^\s"'<>]+\.aspx[^\s"'<>]*)""", 1)
+    kind = F.when(heads, "head").when(sunit.isNotNull(), "program").when(unit.isNotNull() & (F.col("text") != ""), "unit").when(F.col("heading") & named & ~F.col("links"), "plain").when(F.col("tag") == "optgroup", "group")
+    name = F.when(F.col("kind") == "group", clean(F.col("label"))).otherwise(F.col("text"))
+    rows = m.select("page_id", "pos", "last", "label", "text", kind.alias("kind"), sunit.alias("sunit"), F.when(heads, deep_unit).otherwise(unit).alias("unit"), F.when(~heads & (link != ""), link).alias("url"))
+    w = Window.partitionBy("page_id").orderBy("pos")
+    inside = F.max(F.when(F.col("kind").isin("head", "program", "unit"), F.col("last"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    read = rows.where("kind IS NOT NULL").withColumn("inside", inside).where("inside IS NULL OR inside < pos")
+    heading = F.when(F.col("kind") != "program", F.struct(name.alias("name"), F.when(F.col("kind").isin("head", "unit"), F.col("unit")).alias("unit")))
+    read = read.withColumn("under", F.last(heading, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    programs = read.where("kind = 'program'").groupBy("page_id", F.col("sunit").alias("id")).agg(
+        F.min_by(F.coalesce("unit", "under.unit"), "pos").alias("unit_id"), F.coalesce(F.min_by("text", F.when(F.col("text") != "", F.col("pos"))), F.lit("")).alias("name"),
+        F.min_by("under.name", "pos").alias("unit_name"), F.min("pos").alias("pos"),
+    )
+    units = read.where("kind IN ('head', 'unit')").groupBy("page_id", F.col("unit").alias("id")).agg(F.min_by("text", "pos").alias("name"), F.min_by("url", "pos").alias("url"), F.min("pos").alias("pos"))
+    return programs, units

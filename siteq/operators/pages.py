@@ -19,13 +19,19 @@ PAGE = (
     f"page_id long, url string, base string, lang string, title string, visible_text string, links array<{LINK}>, images array<struct<src: string, alt: string>>, h1_count int, "
     f"fields array<{FIELD}>, labels array<string>, forms array<struct<action: string, method: string, n_fields: int>>, metas array<struct<name: string, content: string>>, has_media_query boolean, "
     f"embeds array<string>, tables array<struct<idx: int, label: string, title: string, rows: array<array<{CELL}>>, refs: array<array<string>>, classes: array<string>>>, "
-    "spans array<struct<id: string, text: string>>, options array<struct<field: string, value: string, label: string, selected: boolean>>"
+    "spans array<struct<id: string, text: string>>, options array<struct<field: string, value: string, label: string, selected: boolean>>, "
+    "marks array<struct<pos: int, last: int, tag: string, heading: boolean, links: boolean, label: string, text: string, refs: array<string>, deep: array<string>>>"
 )
 # Elements that start a line of text, and elements whose text isn't shown.
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "td", "th", "form", "option", "title", "caption"}
 HIDDEN = {"script", "style", "noscript", "template"}
 # Attributes that lead somewhere.
 REFS = ("href", "onclick", "data-url", "data-href", "value")
+# Elements and class words of headings, what the addresses of units and programs hold, elements without an end tag.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "legend", "th", "optgroup"}
+HEADING_CLASSES = ("title", "heading", "header", "baslik", "unit")
+UNIT_REF = "unit="
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 def _refs(a: dict) -> list[str]:
@@ -44,14 +50,46 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out = {"base": None, "lang": None, "title": None, "links": [], "images": [], "h1_count": 0, "fields": [], "labels": [], "forms": [], "metas": [], "has_media_query": False, "embeds": [], "tables": [], "spans": [], "options": []}
+        self.out = {"base": None, "lang": None, "title": None, "links": [], "images": [], "h1_count": 0, "fields": [], "labels": [], "forms": [], "metas": [], "has_media_query": False, "embeds": [], "tables": [], "spans": [], "options": [], "marks": []}
         self.text, self.hidden, self.link, self.form, self.in_title = [], [], None, None, False
         self.tables: list[dict] = []
         self.span, self.select, self.option, self.unclosed = None, "", None, frozenset()
+        self.open_marks: list[dict] = []
+        self.in_head = False
+
+    def mark(self, tag: str, a: dict) -> None:
+        """Headings and elements that lead to a unit or program, with the references inside; `last` is the last mark within."""
+        self.in_head = tag == "head" or (self.in_head and tag != "body")
+        if tag in ("option", "optgroup"):  # these end where the next one starts
+            self.close_mark("option")
+        refs, marks = _refs(a), self.out["marks"]
+        heading = tag in HEADINGS or any(w in a.get("class", "").lower() for w in HEADING_CLASSES)
+        for m in self.open_marks:
+            m["deep"] += refs
+            m["links"] |= tag == "a" or bool(a.get("onclick"))
+            m["depth"] += tag == m["tag"] and tag not in VOID
+            if tag in BLOCKS:
+                m["text"] += "\n"
+        if self.in_head or tag in ("script", "style") or not (heading or any(UNIT_REF in r.lower() for r in refs)):
+            return
+        new = {"pos": len(marks), "last": len(marks), "tag": tag, "heading": heading, "links": False, "label": a.get("label", ""), "text": "", "refs": refs, "deep": list(refs), "depth": 0}
+        for m in self.open_marks:
+            m["last"] = new["pos"]
+        marks.append(new)
+        if tag not in VOID:
+            self.open_marks.append(new)
+
+    def close_mark(self, tag: str) -> None:
+        for m in reversed([m for m in self.open_marks if m["tag"] == tag]):
+            if m["depth"]:
+                m["depth"] -= 1
+            else:
+                del self.open_marks[self.open_marks.index(m) :]
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         o = self.out
+        self.mark(tag, a)
         if tag in HIDDEN and tag not in self.unclosed:
             self.hidden.append(tag)
         for t in self.tables:
@@ -123,6 +161,8 @@ class _Page(HTMLParser):
         return next((x for x in reversed("".join(self.text[-400:]).split("\n")) if x.strip()), "").strip()
 
     def handle_endtag(self, tag):
+        self.in_head &= tag != "head"
+        self.close_mark(tag)
         if self.hidden and tag == self.hidden[-1]:
             self.hidden.pop()
         if tag in BLOCKS:
@@ -171,6 +211,8 @@ class _Page(HTMLParser):
             self.span["text"] += data
         if self.option is not None:
             self.option["label"] += data
+        for m in self.open_marks:
+            m["text"] += data
         for t in self.tables:
             if t["cell"] is not None:
                 t["cell"]["text"] += data
@@ -192,7 +234,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     """A row for each page (page_id, url, html) with everything that the audits need, so that a page is parsed once. A null html is an empty page."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "url", "base", "lang", "title", "visible_text", "links", "images", "h1_count", "fields", "labels", "forms", "metas", "has_media_query", "embeds", "tables", "spans", "options"]
+        names = ["page_id", "url", "base", "lang", "title", "visible_text", "links", "images", "h1_count", "fields", "labels", "forms", "metas", "has_media_query", "embeds", "tables", "spans", "options", "marks"]
         for b in batches:
             parsed = [parse_page(h) for h in b["html"]]
             out = pd.DataFrame({n: [p[n] for p in parsed] for n in names[2:]})

@@ -197,3 +197,20 @@ def _(spark, d):
 def _(spark, d):
     head = F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("Fakülte"), F.lit(" Bilgi Paketi Tanımları"))
     return table(spark, d, "nation").select("n_nationkey", K.unit_about(head, F.lit("metin")).alias("u")).select("n_nationkey", "u.name", "u.about")
+
+
+UNITS = """'<head><title>curUnit=1</title></head><div class="panel-heading">Listelemek için artıya basınız</div><a href="a.aspx?curUnit=5&curSunit=' || (90000 + p_partkey) || '">Yönetim</a><h5 class="panel-title"><a href="#x">Fakülte ' || p_partkey || '</a><a href="tanitim.aspx?curUnit=' || (10 + p_partkey) || '"><i></i></a></h5>'
+|| '<div><a href="a.aspx?curSunit=' || (80000 + p_partkey) || '">Bölüm <b>A</b></a><a href="a.aspx?curUnit=7&curSunit=' || (70000 + p_partkey) || '"></a><a href="a.aspx?curSunit=' || (70000 + p_partkey) || '">Bölüm B</a></div><strong>Enstitü</strong><a onclick="ac(curSunit=' || (60000 + p_partkey) || ')">Anabilim</a>'
+|| '<a href="okul.aspx?curUnit=9">Okul</a><select><optgroup label="Yüksekokul"><option value="curSunit=' || (50000 + p_partkey) || '">Program seçiniz<option value="curSunit=' || (40000 + p_partkey) || '">' || p_brand || '</optgroup></select>'"""
+
+
+@query("k17_programs", """SELECT p_partkey AS page_id, 90000 + p_partkey AS id, 5 AS unit_id, 'Yönetim' AS name, NULL AS unit_name FROM part UNION ALL SELECT p_partkey, 80000 + p_partkey, 10 + p_partkey, 'Bölüm A', 'Fakülte ' || p_partkey FROM part
+    UNION ALL SELECT p_partkey, 70000 + p_partkey, 7, 'Bölüm B', 'Fakülte ' || p_partkey FROM part UNION ALL SELECT p_partkey, 60000 + p_partkey, NULL, 'Anabilim', 'Enstitü' FROM part
+    UNION ALL SELECT p_partkey, 50000 + p_partkey, NULL, 'Program seçiniz', 'Yüksekokul' FROM part UNION ALL SELECT p_partkey, 40000 + p_partkey, NULL, p_brand, 'Yüksekokul' FROM part""")
+def _(spark, d):
+    return K.unit_selection(parsed(spark, d, UNITS))[0].drop("pos")
+
+
+@query("k17_units", "SELECT p_partkey AS page_id, 10 + p_partkey AS id, 'Fakülte ' || p_partkey AS name, NULL AS url FROM part UNION ALL SELECT p_partkey, 9, 'Okul', 'okul.aspx?curUnit=9' FROM part")
+def _(spark, d):
+    return K.unit_selection(parsed(spark, d, UNITS))[1].drop("pos")
