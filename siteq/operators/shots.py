@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siteq.operators.tables import first_by
+from siteq.sources.shared import kept
 
 # Name pattern, detail pages, thresholds of the flags, least sizes.
 NAME = r"^(.*)-([0-9a-f]{8})__([A-Za-z0-9]+)$"
@@ -101,22 +102,32 @@ def same_look(df: DataFrame, min_pages: int = 3) -> DataFrame:
     return rows.groupBy("device", "look").agg(F.count("*").alias("n_images"), F.count_distinct("page").alias("n_pages")).where(F.col("n_pages") >= min_pages)
 
 
-def greedy_clusters(df: DataFrame, eps: int = 10) -> DataFrame:
-    """(template, id, cluster, hash, height): in order of height a shot joins the first centre within eps bits, or opens a cluster. A template is one group: the order is the rule."""
+def greedy_clusters(df: DataFrame, eps: int = 10, block: int = 256, most: int = 4096) -> DataFrame:
+    """(template, id, cluster, hash, height): in order of height a shot joins the first centre within eps bits, or opens a cluster. Shots without a hash are left out.
 
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["height", "id"])
+    Rounds: the first open shots of each template, `block` of them and twice as many each time up to `most`, name the next centres, and every open shot is held against
+    those alone, in order. A centre comes before all shots that it is new to, so the outcome is that of one pass, but no task holds more than a block of a template.
+    """
+
+    def opened(rows: pd.DataFrame) -> pd.DataFrame:
         centres: list[int] = []
-        out = []
-        for h in rows["hash"].astype("int64"):
-            k = next((i for i, c in enumerate(centres) if ((int(h) ^ c) & (2**64 - 1)).bit_count() <= eps), None)
-            if k is None:
+        for h in rows.sort_values(["height", "id"])["hash"]:
+            if not any(((int(h) ^ c) & (2**64 - 1)).bit_count() <= eps for c in centres):
                 centres.append(int(h))
-                k = len(centres) - 1
-            out.append(k)
-        return rows.assign(cluster=out)[["template", "id", "cluster", "hash", "height"]]
-
-    return df.select("template", "id", "hash", "height").groupBy("template").applyInPandas(cluster, "template string, id long, cluster int, hash long, height long")
+        return pd.DataFrame({"of": [rows["template"].iloc[0]], "centres": [centres]})
+
+    order = Window.partitionBy("template").orderBy("height", "id")
+    at = F.array_position(F.transform("centres", lambda c: hamming(c, F.col("hash")) <= eps), True)  # the first that is near, 0 without one
+    rows = kept(df.where("hash IS NOT NULL").select("template", "id", "hash", "height", F.lit(0).alias("base")))
+    done = rows.limit(0).select("template", "id", F.col("base").alias("cluster"), "hash", "height")
+    while not rows.isEmpty():
+        head = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= block)
+        centres = head.groupBy("template").applyInPandas(opened, "of string, centres array<long>")
+        round_ = kept(rows.join(centres, F.col("template").eqNullSafe(F.col("of"))).select("template", "id", "hash", "height", "base", F.size("centres").alias("n"), at.cast("int").alias("at")))
+        done = done.unionByName(round_.where("at > 0").select("template", "id", (F.col("base") + F.col("at") - 1).alias("cluster"), "hash", "height"))
+        rows = round_.where("at = 0").select("template", "id", "hash", "height", (F.col("base") + F.col("n")).alias("base"))
+        block = min(2 * block, most)
+    return done
 
 
 def cluster_centres(clusters: DataFrame) -> DataFrame:
@@ -124,10 +135,15 @@ def cluster_centres(clusters: DataFrame) -> DataFrame:
     return first_by(clusters, ["template", "cluster"], ["height", "id"]).select("template", "cluster", F.col("hash").alias("centre"))
 
 
-def assign_nearest(df: DataFrame, centres: DataFrame, eps: int = 10) -> DataFrame:
-    """(id, template, how) of shots without a template: the nearest centre of their section within eps bits. Takes id, section, hash; section, template, centre."""
-    near = df.join(centres, "section", "left").withColumn("d", hamming(F.col("hash"), F.col("centre")))
-    best = near.groupBy("id", "section").agg(F.min(F.when(F.col("centre").isNotNull(), F.struct("d", "template"))).alias("b"))
+def assign_nearest(df: DataFrame, centres: DataFrame, eps: int = 10, chunk: int = 1024) -> DataFrame:
+    """(id, template, how) of shots without a template: the nearest centre of their section within eps bits, ties to the smaller template. Takes id, section, hash; section, template, centre.
+
+    A shot meets a section's centres in arrays of at most `chunk`, so that no pair becomes a row.
+    """
+    part = F.floor((F.row_number().over(Window.partitionBy("section").orderBy("template", "centre")) - 1) / chunk)
+    packed = centres.where("centre IS NOT NULL").distinct().withColumn("part", part).groupBy("section", "part").agg(F.collect_list(F.struct("template", "centre")).alias("near"))
+    nearest = F.array_min(F.transform("near", lambda c: F.struct(hamming(F.col("hash"), c["centre"]).alias("d"), c["template"].alias("template"))))
+    best = df.join(packed, "section", "left").groupBy("id", "section").agg(F.min(nearest).alias("b"))
     hit = F.col("b.d") <= eps
     return best.select("id", F.when(hit, F.col("b.template")).otherwise(F.concat("section", F.lit("/[kesik]"))).alias("template"), F.when(hit, F.concat(F.lit("gorsel("), F.col("b.d"), F.lit(")"))).otherwise("yok").alias("how"))
 
