@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siteq.functions import urls as U
 from siteq.operators.tables import first_by, latest, ratio
@@ -107,6 +108,11 @@ def defect_types(rows: DataFrame) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("url").alias("n_pages"))
 
 
+def defective_pages(rows: DataFrame) -> DataFrame:
+    """(url, n): the pages with defects, the most first."""
+    return rows.groupBy("url").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "url")
+
+
 def broken_links(page_links: DataFrame, statuses: DataFrame) -> DataFrame:
     """Unique links with their first page and text whose probed status is 400 or more, or an error. Takes src, href, text, seq; url, status."""
     first = page_links.groupBy(F.col("href").alias("url")).agg(F.min_by(F.struct("src", "text"), F.col("seq")).alias("r")).select("url", F.col("r.src").alias("source_page"), F.col("r.text").alias("text"))
@@ -139,6 +145,13 @@ def route_verdict(df: DataFrame) -> DataFrame:
     return df.withColumn("in_app", in_app).withColumn("verdict", F.when(F.col("in_app") & (F.col("status") == 200), "ÇALIŞIYOR (200)").when(F.col("in_app"), text).otherwise("GERÇEKTEN KIRIK"))
 
 
+def referrer_pairs(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(dst, src): broken targets and each of the pages with status 200 that link them, once. Takes src, dst; url, status."""
+    bad = pages.where(F.col("status").isin(401, 403, 404)).select(F.col("url").alias("dst"))
+    good = pages.where("status = 200").select(F.col("url").alias("src"))
+    return links.join(bad, "dst").join(good, "src").select("dst", "src").distinct()
+
+
 def referrers(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Broken targets with the number and the first of the pages with status 200 that link them. Takes src, dst; url, status."""
     bad = pages.where(F.col("status").isin(401, 403, 404)).select(F.col("url").alias("dst"))
@@ -152,6 +165,13 @@ def internal_broken(rows: DataFrame, site: str, statuses=(401, 403, 404)) -> Dat
     return mine.groupBy("url").agg(F.max_by("status", "seq").alias("status"), F.count_distinct("referrer").alias("n_referrers"), F.min_by("referrer", "seq").alias("first_referrer"))
 
 
+def internal_referrers(rows: DataFrame, site: str, statuses=(401, 403, 404)) -> DataFrame:
+    """(url, referrer, pos): the different referrers of in-site broken URLs in their first order, from 1."""
+    mine = rows.where((F.col("host") == site) & F.col("status").isin(*statuses) & F.col("referrer").isNotNull())
+    once = mine.groupBy("url", "referrer").agg(F.min("seq").alias("first"))
+    return once.select("url", "referrer", F.row_number().over(Window.partitionBy("url").orderBy("first")).alias("pos"))
+
+
 def click_targets(broken: DataFrame, only: str = "", limit: int = 0) -> DataFrame:
     """Targets with a referrer whose URL holds `only`, by URL, up to `limit` (0: all)."""
     rows = broken.where((F.col("n_referrers") > 0) & F.col("url").contains(only)).select("url", "first_referrer")
@@ -186,7 +206,6 @@ DOCUMENT_CLASSES = (("SIZDIRILMIS", "Sızdırılmış yerel dosya yolu", True),
 def document_class(flag: Column) -> Column:
     """(name, is_problem) of a document flag."""
     f = F.coalesce(flag, F.lit(""))
-    name, bad = F, F
     name = F.when(f == "", "Bilinmiyor").otherwise(f)
     for start, text, problem in reversed(DOCUMENT_CLASSES):
         name = F.when(f.startswith(start), text).otherwise(name)
@@ -222,4 +241,10 @@ def document_report(documents: DataFrame) -> DataFrame:
     return documents.select(c.alias("c"), "flag").agg(F.count("*").alias("n"), F.count_if("c.is_problem").alias("problems"), F.count_if(F.col("flag").startswith("SIZDIRILMIS")).alias("leaked"))
 
 
+def document_rows(documents: DataFrame) -> DataFrame:
+    """Documents with class and is_problem, problems first."""
+    c = document_class(F.col("flag"))
+    return documents.withColumns({"class": c["name"], "is_problem": c["is_problem"]}).orderBy(F.desc("is_problem"), "class", "url")
+
+
 __all__ = ["first_by", "ratio"]

@@ -17,7 +17,7 @@ FIELD = "struct<id: string, type: string, name: string, aria: boolean>"
 CELL = "struct<text: string, colspan: int, header: boolean>"
 PAGE = (
     f"page_id long, url string, base string, lang string, title string, visible_text string, links array<{LINK}>, images array<struct<src: string, alt: string>>, h1_count int, "
-    f"fields array<{FIELD}>, labels array<string>, forms array<struct<action: string, method: string, n_fields: int>>, metas array<struct<name: string, content: string>>, has_media_query boolean, "
+    f"fields array<{FIELD}>, labels array<string>, forms array<struct<action: string, method: string, n_fields: int, values: array<struct<name: string, value: string>>>>, metas array<struct<name: string, content: string>>, has_media_query boolean, "
     f"embeds array<string>, tables array<struct<idx: int, label: string, title: string, rows: array<array<{CELL}>>, refs: array<array<string>>, classes: array<string>>>, "
     "spans array<struct<id: string, text: string>>, options array<struct<field: string, value: string, label: string, selected: boolean>>, "
     "marks array<struct<pos: int, last: int, tag: string, heading: boolean, links: boolean, label: string, text: string, refs: array<string>, deep: array<string>>>"
@@ -27,6 +27,9 @@ BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "
 HIDDEN = {"script", "style", "noscript", "template"}
 # Attributes that lead somewhere.
 REFS = ("href", "onclick", "data-url", "data-href", "value")
+# Inputs that a browser sends no value of, and those that it sends only when they are checked.
+UNSENT = {"submit", "button", "image", "reset", "file"}
+CHECKED = {"checkbox", "radio"}
 # Elements and class words of headings, what the addresses of units and programs hold, elements without an end tag.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "legend", "th", "optgroup"}
 HEADING_CLASSES = ("title", "heading", "header", "baslik", "unit")
@@ -55,6 +58,7 @@ class _Page(HTMLParser):
         self.tables: list[dict] = []
         self.span, self.select, self.option, self.unclosed = None, "", None, frozenset()
         self.open_marks: list[dict] = []
+        self.area, self.choice = None, None
         self.in_head = False
 
     def mark(self, tag: str, a: dict) -> None:
@@ -117,12 +121,13 @@ class _Page(HTMLParser):
         elif tag in ("iframe", "embed", "object") and (a.get("src") or a.get("data")):
             o["embeds"].append(a.get("src") or a.get("data"))
         elif tag == "form":
-            self.form = {"action": a.get("action", ""), "method": (a.get("method") or "get").lower(), "n_fields": 0}
+            self.form = {"action": a.get("action", ""), "method": (a.get("method") or "get").lower(), "n_fields": 0, "values": []}
             o["forms"].append(self.form)
         elif tag in ("input", "select", "textarea"):
             o["fields"].append({"id": a.get("id"), "type": a.get("type", "text" if tag == "input" else tag).lower(), "name": a.get("name"), "aria": bool(a.get("aria-label") or a.get("aria-labelledby"))})
             if self.form is not None:
                 self.form["n_fields"] += 1
+                self.default(tag, a)
             if tag == "select":
                 self.select = a.get("name", "")
         elif tag == "table":
@@ -145,7 +150,7 @@ class _Page(HTMLParser):
             self.span = {"id": a["id"], "text": ""}
             self.out["spans"].append(self.span)
         elif tag == "option":
-            self.option = {"field": self.select, "value": a.get("value", ""), "label": "", "selected": "selected" in a}
+            self.option = {"field": self.select, "value": a.get("value", ""), "label": "", "selected": "selected" in a, "bare": "value" not in a}
             self.out["options"].append(self.option)
         elif tag in ("td", "th") and self.tables:
             t = self.tables[-1]
@@ -156,6 +161,27 @@ class _Page(HTMLParser):
             t["cell"] = {"text": "", "colspan": _span(a.get("colspan", "")), "header": tag == "th" or t["head"]}
             t["rows"][-1].append(t["cell"])
 
+    def default(self, tag: str, a: dict) -> None:
+        """What a browser would send of a field; select and textarea are known at their end."""
+        name, kind = a.get("name", ""), a.get("type", "").lower()
+        if not name:
+            return
+        if tag == "input" and kind not in UNSENT and (kind not in CHECKED or "checked" in a):
+            self.form["values"].append({"name": name, "value": a.get("value", "on" if kind in CHECKED else "")})
+        elif tag == "select":
+            self.choice = (self.form["values"], name, len(self.out["options"]))
+        elif tag == "textarea":
+            self.area = {"name": name, "value": ""}
+            self.form["values"].append(self.area)
+
+    def chosen(self) -> None:
+        """The selected option of the select that ends, or its first one with a value."""
+        values, name, start = self.choice
+        options = [(" ".join(o["label"].split()) if o["bare"] else o["value"], o["selected"]) for o in self.out["options"][start:]]
+        value = next((v for v, on in options if on), next((v for v, _ in options if v), ""))
+        values[:] = [x for x in values if x["name"] != name] + [{"name": name, "value": value}]
+        self.choice = None
+
     def line(self) -> str:
         """The last line of text that isn't empty."""
         return next((x for x in reversed("".join(self.text[-400:]).split("\n")) if x.strip()), "").strip()
@@ -173,11 +199,15 @@ class _Page(HTMLParser):
             self.link = None
         elif tag == "form":
             self.form = None
+        elif tag == "textarea":
+            self.area = None
         elif tag == "span":
             self.span = None
         elif tag in ("option", "select"):
             self.option = None
             self.select = "" if tag == "select" else self.select
+            if tag == "select" and self.choice:
+                self.chosen()
         elif tag in ("td", "th") and self.tables:
             self.tables[-1]["cell"] = None
         elif tag == "thead" and self.tables:
@@ -211,6 +241,8 @@ class _Page(HTMLParser):
             self.span["text"] += data
         if self.option is not None:
             self.option["label"] += data
+        if self.area is not None:
+            self.area["value"] += data
         for m in self.open_marks:
             m["text"] += data
         for t in self.tables:
@@ -260,7 +292,13 @@ def accessibility(parsed: DataFrame) -> DataFrame:
 
 
 def forms(parsed: DataFrame) -> DataFrame:
-    return parsed.select("page_id", F.inline("forms"))
+    return parsed.select("page_id", F.inline("forms")).drop("values")
+
+
+def form_defaults(parsed: DataFrame) -> DataFrame:
+    """(page_id, form, action, pos, name, value): what a browser would send of each form as it stands, in document order."""
+    rows = parsed.select("page_id", F.posexplode("forms").alias("form", "f"))
+    return rows.select("page_id", "form", "f.action", F.posexplode("f.values").alias("pos", "v")).select("page_id", "form", "action", "pos", "v.name", "v.value")
 
 
 def responsive(parsed: DataFrame) -> DataFrame:

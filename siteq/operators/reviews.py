@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siteq.functions.urls import any_of
 from siteq.operators.tables import column_top, ratio
@@ -208,10 +207,35 @@ def overflow_by_template(flagged: DataFrame, n: int = 20) -> DataFrame:
     return flagged.where(F.col("flag").startswith("TASMA")).groupBy("template", "device").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "template", "device").limit(n)
 
 
+def overflow_by_device(flagged: DataFrame) -> DataFrame:
+    return flagged.where(F.col("flag").startswith("TASMA")).groupBy("device").agg(F.count("*").alias("n"))
+
+
+def report_totals(flagged: DataFrame, certain: DataFrame, http: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row: images, pages, overflowing images, pages with an HTTP error, pages with text damage, and certain findings by page and type and by slice.
+
+    Takes page, flag; page, type, slice, certain; url, status; url, n.
+    """
+    sure = F.col("certain")
+    return (
+        flagged.agg(F.count("*").alias("images"), F.count_distinct("page").alias("pages"), F.count_if(F.col("flag").startswith("TASMA")).alias("overflow"))
+        .crossJoin(http.agg(F.count_distinct(F.when(F.col("status") != 200, F.col("url"))).alias("http_pages")))
+        .crossJoin(texts.agg(F.count_distinct(F.when(F.col("n") > 0, F.col("url"))).alias("text_pages")))
+        .crossJoin(certain.agg(F.count_distinct(F.when(sure, F.struct("page", "type"))).alias("page_defects"), F.count_if(sure).alias("certain")))
+    )  # one row each
+
+
+def flag_totals(flagged: DataFrame) -> DataFrame:
+    """(name, n_pages, n) of each flag, without what it says in brackets."""
+    return flagged.where("flag <> ''").groupBy(F.substring_index("flag", "(", 1).alias("name")).agg(F.count_distinct("page").alias("n_pages"), F.count("*").alias("n"))
+
+
+def model_types(found: DataFrame) -> DataFrame:
+    return found.groupBy("model", "type").agg(F.count("*").alias("n"))
+
+
 def type_counts(found: DataFrame) -> DataFrame:
     """Single-model and unreliable findings by type."""
     one = found.groupBy("file", "slice", "type").agg(F.count_distinct("model").alias("m"))
     return one.groupBy("type", F.col("type").isin(*RELIABLE).alias("reliable")).agg(F.count("*").alias("n"), F.count_if(F.col("m") == 1).alias("single"))
 
-
-_ = Window

@@ -102,6 +102,14 @@ def same_look(df: DataFrame, min_pages: int = 3) -> DataFrame:
     return rows.groupBy("device", "look").agg(F.count("*").alias("n_images"), F.count_distinct("page").alias("n_pages")).where(F.col("n_pages") >= min_pages)
 
 
+def same_look_flags(df: DataFrame, min_pages: int = 3) -> DataFrame:
+    """df with AYNI_GORUNUM(n) among the flags of shots in a group of same_look, n its images."""
+    groups = same_look(df, min_pages).select(F.col("device").alias("_d"), F.col("look").alias("_l"), "n_images")
+    rows = df.join(groups, (F.col("device") == F.col("_d")) & (F.col("look") == F.col("_l")) & ~F.array_contains("flags", "BOS_SAYFA"), "left")
+    more = F.when(F.col("n_images").isNotNull(), F.array(F.concat(F.lit("AYNI_GORUNUM("), F.col("n_images"), F.lit(")")))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("flags", F.concat("flags", more)).drop("_d", "_l", "n_images")
+
+
 def greedy_clusters(df: DataFrame, eps: int = 10, block: int = 256, most: int = 4096) -> DataFrame:
     """(template, id, cluster, hash, height): in order of height a shot joins the first centre within eps bits, or opens a cluster. Shots without a hash are left out.
 
@@ -168,6 +176,17 @@ def template_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("template").agg(F.count_distinct("page").alias("n_pages"), F.count_if(F.size("flags") > 0).alias("n_flagged"), F.min("page").alias("sample"))
 
 
+def scan_totals(df: DataFrame) -> DataFrame:
+    """images, pages, templates, templates of a single page, truncated names, how many of these got a template by look, and the share of chosen shots in percent.
+
+    Takes page, template, truncated, how (as of assign_nearest) and chosen. Pages are counted in their own pass, since one may be in several templates.
+    """
+    each = df.groupBy("template").agg(F.count("*").alias("n"), F.count_distinct("page").alias("p"), F.count_if("truncated").alias("t"), F.count_if(F.col("truncated") & F.col("how").startswith("gorsel")).alias("g"), F.count_if("chosen").alias("c"))
+    share = F.try_divide(F.coalesce(F.sum("c"), F.lit(0)) * 100.0, F.coalesce(F.sum("n"), F.lit(0)))
+    sums = each.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(name) for x, name in (("n", "images"), ("t", "truncated"), ("g", "by_look"))), F.count("*").alias("templates"), F.count_if(F.col("p") == 1).alias("single_page"), share.alias("chosen_pct"))
+    return sums.crossJoin(df.agg(F.count_distinct("page").alias("pages")))  # one row each
+
+
 def flag_counts(df: DataFrame) -> DataFrame:
     return df.select("device", F.explode("flags").alias("f")).groupBy("device", F.substring_index("f", "(", 1).alias("flag")).agg(F.count("*").alias("n"))
 

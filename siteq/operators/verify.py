@@ -33,29 +33,33 @@ def resolve_finding_urls(findings: DataFrame, urls: DataFrame) -> tuple[DataFram
     return rows.where("url IS NOT NULL"), rows.agg(F.count_if(F.col("url").isNull()).alias("unresolved"))
 
 
-def verify_findings(pending: DataFrame, measured: DataFrame, text_again: DataFrame) -> DataFrame:
+def verify_findings(pending: DataFrame, measured: DataFrame, text_again: DataFrame | None) -> DataFrame:
     """Adds verdict: DOGRULANDI, GORULMEDI, ELLE or ACILAMADI.
 
     pending: source, type, url, device, y0, y1; measured (a row a url and device): http_status, scrolls, defects (type, y);
     text_again: url, pattern. A text finding must show its pattern again; an http one a status other than 200; others a
-    defect of the type in the same place, and overflow also a page that scrolls.
+    defect of the type in the same place, and overflow also a page that scrolls. Where measured has a column widest (y), the
+    element that widens a scrolling page stands in for a missing defect. Without text_again text findings are ELLE.
     """
-    again = text_again.select("url", F.col("pattern").alias("type"), F.lit(True).alias("_again")).distinct()
+    checked = text_again is not None
+    again = pending.limit(0).select("url", F.col("type"), F.lit(True).alias("_again")) if not checked else text_again.select("url", F.col("pattern").alias("type"), F.lit(True).alias("_again")).distinct()
     rows = pending.join(again, ["url", "type"], "left").join(measured.withColumn("_seen", F.lit(True)), ["url", "device"], "left")
     kind = reduce(lambda c, kv: c.when(F.col("type") == kv[0], kv[1]), MEASURED.items(), F.when(F.lit(False), ""))
     rows = rows.withColumn("_kind", kind)
     mine = F.filter(F.coalesce("defects", F.array().cast("array<struct<type: string, y: int>>")), lambda d: d["type"] == F.col("_kind"))
     near = F.filter(mine, lambda d: F.col("y0").isNull() | d["y"].isNull() | d["y"].between(F.col("y0") - MARGIN, F.col("y1") + MARGIN))
     overflow = F.col("_kind") == "icerik_tasmasi"
+    anywhere = F.col("y0").isNull() | F.col("y1").isNull()
+    widens = F.col("widest").isNotNull() & (anywhere | F.coalesce(F.col("widest.y"), F.lit(-1)).between(F.col("y0") - MARGIN, F.col("y1") + MARGIN)) if "widest" in measured.columns else F.lit(False)
     visual = (
         F.when(F.col("_kind").isNull(), "ELLE")
         .when(overflow & ~F.col("scrolls"), "GORULMEDI")
-        .when(overflow & F.col("scrolls") & (F.size(near) == 0), F.when(F.size(mine) == 0, "ELLE").otherwise("GORULMEDI"))
+        .when(overflow & F.col("scrolls") & (F.size(near) == 0), F.when(widens, "DOGRULANDI").when(F.size(mine) == 0, "ELLE").otherwise("GORULMEDI"))
         .when(F.size(near) > 0, "DOGRULANDI")
         .otherwise("GORULMEDI")
     )
     verdict = (
-        F.when(F.col("source") == "metin", F.when(F.col("_again"), "DOGRULANDI").otherwise("GORULMEDI"))
+        F.when(F.col("source") == "metin", F.when(F.col("_again"), "DOGRULANDI").otherwise("GORULMEDI" if checked else "ELLE"))
         .when(F.col("_seen").isNull(), "ACILAMADI")
         .when(F.col("source") == "http", F.when(F.col("http_status") == 200, "GORULMEDI").otherwise("DOGRULANDI"))
         .otherwise(visual)
@@ -64,8 +68,14 @@ def verify_findings(pending: DataFrame, measured: DataFrame, text_again: DataFra
 
 
 def root_causes(defects: DataFrame) -> DataFrame:
-    """Per device, type and selector: distinct pages, largest overflow, smallest URL."""
-    return defects.groupBy("device", "type", "selector").agg(F.count_distinct("url").alias("n_pages"), F.max("px").alias("max_px"), F.min("url").alias("example"))
+    """Per device, type and selector: distinct pages, largest overflow, smallest URL, and with columns text and seq the first text that isn't empty."""
+    more = [F.min_by("text", F.when(F.col("text") != "", F.col("seq"))).alias("text")] if "text" in defects.columns else []
+    return defects.groupBy("device", "type", "selector").agg(F.count_distinct("url").alias("n_pages"), F.max("px").alias("max_px"), F.min("url").alias("example"), *more)
+
+
+def remaining_causes(defects: DataFrame, n: int = 15) -> DataFrame:
+    """The n root causes on most pages: what is left after a fix."""
+    return root_causes(defects).orderBy(F.desc("n_pages"), "device", "type", "selector").limit(n)
 
 
 VERDICTS = ["DOGRULANDI", "GORULMEDI", "ELLE", "ACILAMADI"]

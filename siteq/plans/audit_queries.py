@@ -214,22 +214,29 @@ def _(spark, d):
 NODES = LINKS + f", edge AS (SELECT DISTINCT src, dst FROM (SELECT src, CASE WHEN pos = 0 THEN (SELECT min(url) FROM pages) WHEN pos = 1 THEN (SELECT max(url) FROM pages WHERE {STATUS} = 404) ELSE dst END AS dst FROM abs_)), st AS (SELECT url, {STATUS} AS status FROM pages)"
 
 
-@query("d4_referrers", f"WITH {NODES} SELECT e.dst, count(DISTINCT e.src) AS n_referrers, min(e.src) AS first_referrer FROM edge e JOIN st b ON b.url = e.dst AND b.status IN (401, 403, 404) JOIN st g ON g.url = e.src AND g.status = 200 GROUP BY e.dst")
-def _(spark, d):
+def edges_pages(spark, d):
     pages = table(spark, d, "pages").select("url", status().alias("status"))
     ends = pages.agg(F.min("url").alias("low"), F.max(F.when(F.col("status") == 404, F.col("url"))).alias("high"))
     edges = links(spark, d).crossJoin(ends).select("src", F.when(F.col("pos") == 0, F.col("low")).when(F.col("pos") == 1, F.col("high")).otherwise(F.col("dst")).alias("dst"))  # one row of constants
-    return A.referrers(edges, pages)
+    return edges, pages
+
+
+@query("d4_referrers", f"WITH {NODES} SELECT e.dst, count(DISTINCT e.src) AS n_referrers, min(e.src) AS first_referrer FROM edge e JOIN st b ON b.url = e.dst AND b.status IN (401, 403, 404) JOIN st g ON g.url = e.src AND g.status = 200 GROUP BY e.dst")
+def _(spark, d):
+    return A.referrers(*edges_pages(spark, d))
 
 
 CSV = f"csv AS (SELECT 'https://a.example.com/' || (page_id % 60) AS url, {STATUS} AS status, CASE WHEN page_id % 5 = 0 THEN NULL ELSE url END AS referrer, CASE WHEN page_id % 4 = 0 THEN 'b' ELSE 'a' END AS host, page_id AS seq FROM pages)"
 INTERNAL = CSV + ", internal AS (SELECT url, arg_max(status, seq) AS status, count(DISTINCT referrer) AS n_referrers, arg_min(referrer, seq) AS first_referrer FROM csv WHERE host = 'a' AND status IN (401, 403, 404) AND referrer IS NOT NULL GROUP BY url)"
 
 
-def internal(spark, d):
+def internal_rows(spark, d):
     p = F.col("page_id")
-    rows = table(spark, d, "pages").select(F.concat(F.lit("https://a.example.com/"), p % 60).alias("url"), status().alias("status"), F.when(p % 5 != 0, F.col("url")).alias("referrer"), F.when(p % 4 == 0, "b").otherwise("a").alias("host"), p.alias("seq"))
-    return A.internal_broken(rows, "a")
+    return table(spark, d, "pages").select(F.concat(F.lit("https://a.example.com/"), p % 60).alias("url"), status().alias("status"), F.when(p % 5 != 0, F.col("url")).alias("referrer"), F.when(p % 4 == 0, "b").otherwise("a").alias("host"), p.alias("seq"))
+
+
+def internal(spark, d):
+    return A.internal_broken(internal_rows(spark, d), "a")
 
 
 @query("d5_internal_broken", f"WITH {INTERNAL} SELECT * FROM internal")
@@ -325,4 +332,27 @@ def _(spark, d):
     return A.document_report(A.audit_documents(refs(spark, d)))
 
 
+@query("c14_defective_pages", f"WITH {VISUAL} SELECT url, count(*) AS n FROM vis GROUP BY url")
+def _(spark, d):
+    return A.defective_pages(A.visual_rows(visual(spark, d)))
+
+
+@query("d4_referrer_pairs", f"WITH {NODES} SELECT DISTINCT e.dst, e.src FROM edge e JOIN st b ON b.url = e.dst AND b.status IN (401, 403, 404) JOIN st g ON g.url = e.src AND g.status = 200")
+def _(spark, d):
+    return A.referrer_pairs(*edges_pages(spark, d))
+
+
+@query("d5_internal_referrers", f"WITH {CSV}, o AS (SELECT url, referrer, min(seq) AS first FROM csv WHERE host = 'a' AND status IN (401, 403, 404) AND referrer IS NOT NULL GROUP BY ALL) SELECT url, referrer, row_number() OVER (PARTITION BY url ORDER BY first) AS pos FROM o")
+def _(spark, d):
+    return A.internal_referrers(internal_rows(spark, d), "a")
+
+
+DOCUMENT_NAME = "CASE WHEN starts_with(flag, 'SIZ') THEN 'Sızdırılmış yerel dosya yolu' WHEN starts_with(flag, 'KIRIK') THEN 'Kırık / erişilemiyor' WHEN starts_with(flag, 'ULA') THEN 'Ulaşılamadı (bağlantı hatası)' ELSE 'Erişilebilir' END"
+
+
+@query("d15_document_rows", f"WITH {AUDITED} SELECT *, {DOCUMENT_NAME} AS class, flag <> 'erisilebilir' AS is_problem FROM audited")
+def _(spark, d):
+    return A.document_rows(A.audit_documents(refs(spark, d)))
+
+
 _ = S, U

@@ -94,3 +94,13 @@ ITEMS = "'Bölüm 4. kısım: 1) Kodlar' || p_partkey || ' ve sınar. 3.1 sürü
 def _(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.expr(ITEMS).alias("text"))
     return rows.select("p_partkey", F.posexplode(G.numbered_items(F.col("text"))).alias("k", "description")).select("p_partkey", (F.col("k") + 1).alias("no"), "description")
+
+
+FIELDS = """'<form action="/kaydet"><input type="hidden" name="durum" value="' || page_id || '"><input name="ad"><input type="checkbox" name="onay" checked><input type="radio" name="r" value="1"><input type="submit" name="yolla" value="x"><input value="adsız">'
+|| '<select name="yil"><option value="">-</option><option value="a' || page_id || '">A</option><option>B</option></select><select name="dil"><option value="tr">T<option selected> EN  dil </option></select><textarea name="not">satır ' || page_id || '</textarea></form>'"""
+
+
+@query("c6_form_defaults", """SELECT page_id, 0 AS form, '/kaydet' AS action, k - 1 AS pos, (['durum', 'ad', 'onay', 'yil', 'dil', 'not'])[k] AS name,
+    ([CAST(page_id AS VARCHAR), '', 'on', 'a' || page_id, 'EN dil', 'satır ' || page_id])[k] AS value FROM pages, (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS k)""")
+def _(spark, d):
+    return G.form_defaults(G.parse_pages(table(spark, d, "pages").select("page_id", "url", F.expr(FIELDS).alias("html"))))

@@ -258,6 +258,25 @@ def _(spark, d):
     return R.overflow_by_template(flagged(spark, d))
 
 
+@query("h4_overflow_by_device", f"WITH {FLAGS} SELECT device, count(*) AS n FROM fl WHERE starts_with(flag, 'TASMA') GROUP BY device")
+def _(spark, d):
+    return R.overflow_by_device(flagged(spark, d))
+
+
+@query("f13_model_types", f"WITH {REC} SELECT model, type, count(*) AS n FROM found GROUP BY ALL")
+def _(spark, d):
+    return R.model_types(found(spark, d))
+
+
+@query("h5_all_totals", f"""WITH {REC}, {SPLIT}, {FLAGS} SELECT (SELECT count(*) FROM fl) AS images, (SELECT count(DISTINCT template) FROM fl) AS pages, (SELECT count(*) FROM fl WHERE starts_with(flag, 'TASMA')) AS overflow, (SELECT count(DISTINCT url) FROM pages WHERE length(html) % 7 = 0) AS http_pages,
+    (SELECT count(DISTINCT page_id) FROM pages WHERE contains(html, '&')) AS text_pages, (SELECT count(DISTINCT (file, type)) FROM rel WHERE certain) AS page_defects, (SELECT count(*) FROM rel WHERE certain) AS certain""")
+def _(spark, d):
+    pages = table(spark, d, "pages")
+    http = pages.select("url", F.when(F.length("html") % 7 == 0, 404).otherwise(200).alias("status"))
+    texts = pages.select(F.col("page_id").alias("url"), F.regexp_count("html", F.lit("&")).alias("n"))
+    return R.report_totals(flagged(spark, d).withColumnRenamed("template", "page"), R.reliable_split(found(spark, d)).withColumnRenamed("file", "page"), http, texts)
+
+
 @query("h5_report_totals", f"WITH {REC}, {SPLIT}, {FLAGS} SELECT (SELECT count(*) FROM fl) AS images, (SELECT count(DISTINCT template) FROM fl) AS pages, (SELECT count(*) FROM fl WHERE starts_with(flag, 'TASMA')) AS overflow, (SELECT count(*) FROM rel WHERE certain) AS certain")
 def _(spark, d):
     f = flagged(spark, d).agg(F.count("*").alias("images"), F.count_distinct("template").alias("pages"), F.count_if(F.col("flag").startswith("TASMA")).alias("overflow"))
@@ -271,7 +290,7 @@ def _(spark, d):
 
 @query("h7_flag_totals", f"WITH {FLAGS} SELECT split_part(flag, '(', 1) AS name, count(DISTINCT template) AS n_pages, count(*) AS n FROM fl WHERE flag <> '' GROUP BY 1")
 def _(spark, d):
-    return flagged(spark, d).where("flag <> ''").groupBy(F.substring_index("flag", "(", 1).alias("name")).agg(F.count_distinct("template").alias("n_pages"), F.count("*").alias("n"))
+    return R.flag_totals(flagged(spark, d).withColumnRenamed("template", "page"))
 
 
 _ = T

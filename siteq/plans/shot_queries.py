@@ -120,6 +120,11 @@ def _(spark, d):
     return S.same_look(flagged(spark, d).withColumn("look", F.substring("look", 1, 2)))
 
 
+@query("e10_same_look_flags", f"WITH {SHOTS}, {STATS}, {FLAGS}, x AS (SELECT pos, device, page, flags, substr(look, 1, 2) AS look FROM flagged), g AS (SELECT device, look, count(*) AS n FROM x WHERE NOT list_contains(flags, 'BOS_SAYFA') GROUP BY ALL HAVING count(DISTINCT page) >= 3) SELECT pos, array_to_string(CASE WHEN g.n IS NOT NULL AND NOT list_contains(flags, 'BOS_SAYFA') THEN list_append(flags, 'AYNI_GORUNUM(' || g.n || ')') ELSE flags END, ',') AS flags FROM x LEFT JOIN g ON g.device = x.device AND g.look = x.look")
+def _(spark, d):
+    return S.same_look_flags(flagged(spark, d).withColumn("look", F.substring("look", 1, 2))).select("pos", F.array_join("flags", ",").alias("flags"))
+
+
 @query("e11_hamming", "SELECT s_suppkey, bit_count(xor(s_suppkey, CAST(s_nationkey * 77 AS BIGINT))) AS bits FROM supplier")
 def _(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", S.hamming(F.col("s_suppkey"), (F.col("s_nationkey") * 77).cast("long")).alias("bits"))
@@ -169,6 +174,16 @@ def _(spark, d):
     return flagged(spark, d).agg(F.count("*").alias("images"), F.count_distinct("page").alias("pages"), F.count_if(F.col("error").isNotNull()).alias("broken"), (F.count_if(F.size("flags") > 0) * 100.0 / F.count("*")).cast("double").alias("flagged_pct"))
 
 
+SCAN = "sc AS (SELECT doc_id // 2 AS page, 't' || (doc_id // 2) % 150 AS template, n_chars % 6 = 0 AS truncated, CASE WHEN n_chars % 4 = 0 THEN 'gorsel(3)' ELSE 'url' END AS how, n_chars % 5 = 0 AS chosen FROM documents), pt AS (SELECT template, count(DISTINCT page) AS p FROM sc GROUP BY template)"
+
+
+@query("e18_scan_report", f"WITH {SCAN} SELECT count(*) AS images, count(DISTINCT page) AS pages, (SELECT count(*) FROM pt) AS templates, (SELECT count(*) FROM pt WHERE p = 1) AS single_page, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE truncated AND starts_with(how, 'gorsel')) AS by_look, 100.0 * count(*) FILTER (WHERE chosen) / count(*) AS chosen_pct FROM sc")
+def _(spark, d):
+    k, n = F.expr("doc_id div 2"), F.col("n_chars")
+    rows = table(spark, d, "documents").select(k.alias("page"), F.concat(F.lit("t"), k % 150).alias("template"), (n % 6 == 0).alias("truncated"), F.when(n % 4 == 0, "gorsel(3)").otherwise("url").alias("how"), (n % 5 == 0).alias("chosen"))
+    return S.scan_totals(rows)
+
+
 # ---------------------------------------------------------------- G, K1, K5, K20
 
 DAMAGED = "CASE doc_id % 6 WHEN 0 THEN replace(text, 'e', '?') WHEN 1 THEN replace(text, ' ', '&nbsp;') WHEN 2 THEN replace(text, 'a', '�') WHEN 3 THEN replace(text, 'i', 'Ä±') WHEN 4 THEN replace(text, 'o', '<b>') ELSE text END"
@@ -239,11 +254,11 @@ def _(spark, d):
 # ---------------------------------------------------------------- I, J
 
 PENDING = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE l_linenumber % 4 WHEN 0 THEN 'metin' WHEN 1 THEN 'http' ELSE 'ai' END AS source, CASE l_suppkey % 4 WHEN 0 THEN 'overflow' WHEN 1 THEN 'overlap' WHEN 2 THEN 'missing_data' ELSE 'yer_tutucu' END AS type, 'u' || l_orderkey % 500 AS url, CASE WHEN l_partkey % 2 = 0 THEN 'desktop' ELSE 'mobile' END AS device, CASE WHEN l_linenumber > 2 THEN CAST(l_partkey % 900 AS INT) END AS y0, CASE WHEN l_linenumber > 2 THEN CAST(l_partkey % 900 AS INT) + 100 END AS y1 FROM lineitem"
-MEASURED = "SELECT 'u' || k AS url, dv AS device, CASE WHEN k % 9 = 0 THEN 404 ELSE 200 END AS http_status, k % 2 = 0 AS scrolls, k, CASE WHEN k % 3 = 0 THEN 'icerik_tasmasi' WHEN k % 3 = 1 THEN 'ust_uste_binme' END AS kind, CAST(k * 3 AS INT) AS y FROM (SELECT DISTINCT o_orderkey % 500 AS k FROM orders WHERE o_orderkey % 500 < 450) a, (SELECT 'desktop' AS dv UNION ALL SELECT 'mobile') b"
-VERIFIED = f"""p AS ({PENDING}), m AS ({MEASURED}), j AS (SELECT p.*, m.http_status, m.scrolls, m.kind, m.y, m.url IS NOT NULL AS seen, CASE p.type WHEN 'overflow' THEN 'icerik_tasmasi' WHEN 'overlap' THEN 'ust_uste_binme' END AS want FROM p LEFT JOIN m ON m.url = p.url AND m.device = p.device),
-v AS (SELECT *, coalesce(kind = want, false) AS mine, coalesce(kind = want, false) AND (y0 IS NULL OR y BETWEEN y0 - 200 AND y1 + 200) AS near FROM j),
+MEASURED = "SELECT 'u' || k AS url, dv AS device, CASE WHEN k % 9 = 0 THEN 404 ELSE 200 END AS http_status, k % 2 = 0 AS scrolls, k, CASE WHEN k % 3 = 0 THEN 'icerik_tasmasi' WHEN k % 3 = 1 THEN 'ust_uste_binme' END AS kind, CAST(k * 3 AS INT) AS y, CASE WHEN k % 4 = 2 THEN CAST(k * 2 AS INT) END AS wy FROM (SELECT DISTINCT o_orderkey % 500 AS k FROM orders WHERE o_orderkey % 500 < 450) a, (SELECT 'desktop' AS dv UNION ALL SELECT 'mobile') b"
+VERIFIED = f"""p AS ({PENDING}), m AS ({MEASURED}), j AS (SELECT p.*, m.http_status, m.scrolls, m.kind, m.y, m.wy, m.url IS NOT NULL AS seen, CASE p.type WHEN 'overflow' THEN 'icerik_tasmasi' WHEN 'overlap' THEN 'ust_uste_binme' END AS want FROM p LEFT JOIN m ON m.url = p.url AND m.device = p.device),
+v AS (SELECT *, coalesce(kind = want, false) AS mine, coalesce(kind = want, false) AND (y0 IS NULL OR y BETWEEN y0 - 200 AND y1 + 200) AS near, wy IS NOT NULL AND (y0 IS NULL OR wy BETWEEN y0 - 200 AND y1 + 200) AS wide FROM j),
 ver AS (SELECT *, CASE WHEN source = 'metin' THEN CASE WHEN type = 'yer_tutucu' AND CAST(substr(url, 2) AS INT) % 2 = 0 THEN 'DOGRULANDI' ELSE 'GORULMEDI' END WHEN NOT seen THEN 'ACILAMADI' WHEN source = 'http' THEN CASE WHEN http_status = 200 THEN 'GORULMEDI' ELSE 'DOGRULANDI' END
-WHEN want IS NULL THEN 'ELLE' WHEN want = 'icerik_tasmasi' AND NOT scrolls THEN 'GORULMEDI' WHEN want = 'icerik_tasmasi' AND NOT near THEN CASE WHEN mine THEN 'GORULMEDI' ELSE 'ELLE' END WHEN near THEN 'DOGRULANDI' ELSE 'GORULMEDI' END AS verdict FROM v)"""
+WHEN want IS NULL THEN 'ELLE' WHEN want = 'icerik_tasmasi' AND NOT scrolls THEN 'GORULMEDI' WHEN want = 'icerik_tasmasi' AND NOT near THEN CASE WHEN wide THEN 'DOGRULANDI' WHEN mine THEN 'GORULMEDI' ELSE 'ELLE' END WHEN near THEN 'DOGRULANDI' ELSE 'GORULMEDI' END AS verdict FROM v)"""
 
 
 def rel(spark, d, sql):
@@ -252,10 +267,10 @@ def rel(spark, d, sql):
     return spark.sql(sql)
 
 
-def verified(spark, d):
-    m = rel(spark, d, MEASURED).withColumn("defects", F.when(F.col("kind").isNotNull(), F.array(F.struct(F.col("kind").alias("type"), F.col("y").alias("y")))).otherwise(F.array().cast("array<struct<type: string, y: int>>"))).drop("kind", "y", "k")
+def verified(spark, d, text_check=True):
+    m = rel(spark, d, MEASURED).withColumn("defects", F.when(F.col("kind").isNotNull(), F.array(F.struct(F.col("kind").alias("type"), F.col("y").alias("y")))).otherwise(F.array().cast("array<struct<type: string, y: int>>"))).withColumn("widest", F.when(F.col("wy").isNotNull(), F.struct(F.col("wy").alias("y")))).drop("kind", "y", "k", "wy")
     again = rel(spark, d, PENDING).select("url").distinct().where("CAST(substr(url, 2) AS INT) % 2 = 0").withColumn("pattern", F.lit("yer_tutucu"))
-    return V.verify_findings(rel(spark, d, PENDING), m, again)
+    return V.verify_findings(rel(spark, d, PENDING), m, again if text_check else None)
 
 
 @query("i1_collect_findings", f"WITH {RQ.REC}, p AS ({PENDING}) SELECT source, type, CAST(count(*) AS BIGINT) AS n, count(device) AS with_device FROM (SELECT source, type, device FROM p UNION ALL SELECT 'kod', 'overflow', NULL FROM orders WHERE o_orderkey % 9 = 0) GROUP BY ALL")
@@ -292,10 +307,24 @@ def _(spark, d):
     return verified(spark, d).select("seq", "source", "type", "verdict")
 
 
-@query("i5_root_causes", "SELECT CASE WHEN l_partkey % 2 = 0 THEN 'desktop' ELSE 'mobile' END AS device, l_returnflag AS type, '#s' || l_suppkey % 30 AS selector, count(DISTINCT 'u' || l_orderkey % 500) AS n_pages, max(l_quantity) AS max_px, min('u' || l_orderkey % 500) AS example FROM lineitem GROUP BY ALL")
+CAUSES = """(SELECT CASE WHEN l_partkey % 2 = 0 THEN 'desktop' ELSE 'mobile' END AS device, l_returnflag AS type, '#s' || l_suppkey % 30 AS selector, 'u' || l_orderkey % 500 AS url, l_quantity AS px,
+    CASE WHEN l_linenumber > 2 THEN 'metin ' || l_partkey ELSE '' END AS text, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"""
+ROOTS = f"SELECT device, type, selector, count(DISTINCT url) AS n_pages, max(px) AS max_px, min(url) AS example, arg_min(text, seq) FILTER (WHERE text <> '') AS text FROM {CAUSES} c GROUP BY ALL"
+
+
+@query("i5_root_causes", ROOTS)
+def _(spark, d):
+    return V.root_causes(rel(spark, d, f"SELECT * FROM {CAUSES} c"))
+
+
+@query("j7_remaining_causes", f"{ROOTS} ORDER BY n_pages DESC, device, type, selector LIMIT 15")
+def _(spark, d):
+    return V.remaining_causes(rel(spark, d, f"SELECT * FROM {CAUSES} c"))
+
+
+@query("i4_without_text_check", f"WITH {VERIFIED} SELECT seq, CASE WHEN source = 'metin' THEN 'ELLE' ELSE verdict END AS verdict FROM ver")
 def _(spark, d):
-    rows = table(spark, d, "lineitem").select(F.when(F.col("l_partkey") % 2 == 0, "desktop").otherwise("mobile").alias("device"), F.col("l_returnflag").alias("type"), F.concat(F.lit("#s"), F.col("l_suppkey") % 30).alias("selector"), F.concat(F.lit("u"), F.col("l_orderkey") % 500).alias("url"), F.col("l_quantity").alias("px"))
-    return V.root_causes(rows)
+    return verified(spark, d, False).select("seq", "verdict")
 
 
 @query("i6_verdict_crosstab", f"WITH {VERIFIED} SELECT source, type, " + ", ".join(f'count(*) FILTER (WHERE verdict = \'{v}\') AS "{v}"' for v in V.VERDICTS) + ", count(*) AS total FROM ver GROUP BY GROUPING SETS ((source, type), ())")
