@@ -388,11 +388,12 @@ def unit_selection(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     programs: page_id, id, unit_id, name, unit_name, pos; the unit is that of the program's own link, else that of the last heading or unit link before it.
     units: page_id, id, name, url, pos. What lies inside a program, a unit link or a heading that names a unit isn't read again. Without a unit its columns are null.
     """
-    number = lambda refs, name: F.nullif(F.regexp_extract(F.array_join(refs, " "), rf"(?i){name}=([0-9]+)", 1).try_cast("long"), F.lit(0))
+    whole = lambda digits: F.nullif(digits.try_cast("long"), F.lit(0))
+    number = lambda refs, name: whole(F.regexp_extract(F.array_join(refs, " "), rf"(?i){name}=([0-9]+)", 1))
     m = parsed.select("page_id", F.inline("marks")).withColumn("text", clean(F.col("text")))
-    sunit, unit, deep_unit = number("refs", "curSunit"), number("refs", "curUnit"), number("deep", "curUnit")
+    sunit, unit, deep_unit = number("refs", "curSunit"), number("refs", "curUnit"), whole(F.col("deep_unit"))
     named = (F.col("text") != "") & (F.length("text") <= LONGEST_UNIT) & ~any_of(norm(F.col("text")).contains(w) for w in HELP)
-    heads = F.col("heading") & (F.col("tag") != "th") & deep_unit.isNotNull() & named & number("deep", "curSunit").isNull()
+    heads = F.col("heading") & (F.col("tag") != "th") & deep_unit.isNotNull() & named & whole(F.col("deep_program")).isNull()
     link = F.regexp_extract(F.array_join("refs", " "), r"""([^\s"'<>]+\.aspx[^\s"'<>]*)""", 1)
     kind = F.when(heads, "head").when(sunit.isNotNull(), "program").when(unit.isNotNull() & (F.col("text") != ""), "unit").when(F.col("heading") & named & ~F.col("links"), "plain").when(F.col("tag") == "optgroup", "group")
     name = F.when(F.col("kind") == "group", clean(F.col("label"))).otherwise(F.col("text"))

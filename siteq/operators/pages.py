@@ -1,13 +1,22 @@
-"""One pass over stored HTML, and what the audits read from it (A4, C5-C7, C16, G6) and curricula's leaf tables (K2-K4)."""
+"""One pass over stored HTML, and what the audits read from it (A4, C5-C7, C16, G6) and curricula's leaf tables (K2-K4).
+
+The pass takes time and gives output in proportion to the page, however its markup is nested or broken: text is collected in pieces, only the innermost
+table is read, and headings have places in one text of the page. It builds the columns that a reader asks for.
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from siteq.functions import urls as U
 from siteq.operators.text import clean, norm
@@ -15,13 +24,15 @@ from siteq.operators.text import clean, norm
 LINK = "struct<pos: int, tag: string, href: string, text: string, download: boolean>"
 FIELD = "struct<id: string, type: string, name: string, aria: boolean>"
 CELL = "struct<text: string, colspan: int, header: boolean>"
-PAGE = (
-    f"page_id long, url string, base string, lang string, title string, visible_text string, links array<{LINK}>, images array<struct<src: string, alt: string>>, h1_count int, "
-    f"fields array<{FIELD}>, labels array<string>, forms array<struct<action: string, method: string, n_fields: int, values: array<struct<name: string, value: string>>>>, metas array<struct<name: string, content: string>>, has_media_query boolean, "
-    f"embeds array<string>, tables array<struct<idx: int, label: string, title: string, rows: array<array<{CELL}>>, refs: array<array<string>>, classes: array<string>>>, "
-    "spans array<struct<id: string, text: string>>, options array<struct<field: string, value: string, label: string, selected: boolean>>, "
-    "marks array<struct<pos: int, last: int, tag: string, heading: boolean, links: boolean, label: string, text: string, refs: array<string>, deep: array<string>>>"
-)
+#: What the pass can give of a page.
+PARTS = {
+    "base": "string", "lang": "string", "title": "string", "visible_text": "string", "links": f"array<{LINK}>", "images": "array<struct<src: string, alt: string>>", "h1_count": "int",
+    "fields": f"array<{FIELD}>", "labels": "array<string>", "forms": "array<struct<action: string, method: string, n_fields: int, values: array<struct<name: string, value: string>>>>",
+    "metas": "array<struct<name: string, content: string>>", "has_media_query": "boolean", "embeds": "array<string>",
+    "tables": f"array<struct<idx: int, label: string, title: string, rows: array<array<{CELL}>>, refs: array<array<string>>, classes: array<string>>>",
+    "spans": "array<struct<id: string, text: string>>", "options": "array<struct<field: string, value: string, label: string, selected: boolean>>",
+    "marks": "array<struct<pos: int, last: int, tag: string, heading: boolean, links: boolean, label: string, text: string, refs: array<string>, deep_unit: string, deep_program: string>>",
+}
 # Elements that start a line of text, and elements whose text isn't shown.
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "td", "th", "form", "option", "title", "caption"}
 HIDDEN = {"script", "style", "noscript", "template"}
@@ -34,12 +45,29 @@ CHECKED = {"checkbox", "radio"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "legend", "th", "optgroup"}
 HEADING_CLASSES = ("title", "heading", "header", "baslik", "unit")
 UNIT_REF = "unit="
+UNIT_NUMBER, PROGRAM_NUMBER = re.compile(r"(?i)curUnit=([0-9]+)"), re.compile(r"(?i)curSunit=([0-9]+)")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+SPACES = re.compile("[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: In an attribute a name needs its semicolon, for addresses have parameters such as &copy=.
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;)")
+#: Elements without elements inside, and their end tags.
+RAW = {t: re.compile(rf"(?i)</{t}(?=[\s/>])") for t in ("script", "style", "title", "textarea")}
+#: Characters of text of a mark that neither leads to a unit or program itself nor is the outermost one that does: more than any name has.
+MARK_TEXT = 100
+#: Spans with an id that stand in so many others aren't read.
+SPAN_DEPTH = 16
+#: Characters of HTML that a batch of results is made of.
+BATCH_CHARS = 1 << 20
 
 
 def _refs(a: dict) -> list[str]:
     """The attributes that lead somewhere; a value only with a parameter."""
-    found = [(k, a.get(k, "").strip()) for k in REFS]
+    if not a:
+        return []
+    found = [(k, a[k].strip()) for k in REFS if k in a]
     return [v for k, v in found if v and v != "#" and not v.startswith("javascript:void") and (k != "value" or "=" in v)]
 
 
@@ -48,67 +76,166 @@ def _span(text: str) -> int:
     return min(int(text), 1000) if text.isascii() and text.isdigit() and len(text) < 10 and int(text) else 1
 
 
-class _Page(HTMLParser):
-    """Collects what the schema above names; broken markup is read as far as it goes."""
+class _Marks:
+    """Headings and elements that lead to a unit or program.
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out = {"base": None, "lang": None, "title": None, "links": [], "images": [], "h1_count": 0, "fields": [], "labels": [], "forms": [], "metas": [], "has_media_query": False, "embeds": [], "tables": [], "spans": [], "options": [], "marks": []}
-        self.text, self.hidden, self.link, self.form, self.in_title = [], [], None, None, False
-        self.tables: list[dict] = []
-        self.span, self.select, self.option, self.unclosed = None, "", None, frozenset()
-        self.open_marks: list[dict] = []
-        self.area, self.choice = None, None
-        self.in_head = False
+    Text without needless spaces and references are counted once for the page; a mark keeps where it starts and ends in them. deep_unit and deep_program are the
+    numbers in the first references within that name one; `last` is the last mark within. A mark ends with its element, with one that it stands in, or with the page.
+    """
 
-    def mark(self, tag: str, a: dict) -> None:
-        """Headings and elements that lead to a unit or program, with the references inside; `last` is the last mark within."""
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.open: list[int] = []  # places in rows, rising
+        self.elements: dict[str, list[int | None]] = defaultdict(list)  # open elements by tag: the place of a mark, or None
+        self.text: list[str] = []
+        self.size, self.spaced, self.in_head, self.leads = 0, True, False, 0
+        self.n_refs, self.n_links = 0, 0
+        self.found: dict[re.Pattern, tuple[list[int], list[str]]] = {UNIT_NUMBER: ([], []), PROGRAM_NUMBER: ([], [])}
+
+    def start(self, tag: str, a: dict) -> None:
         self.in_head = tag == "head" or (self.in_head and tag != "body")
         if tag in ("option", "optgroup"):  # these end where the next one starts
-            self.close_mark("option")
-        refs, marks = _refs(a), self.out["marks"]
-        heading = tag in HEADINGS or any(w in a.get("class", "").lower() for w in HEADING_CLASSES)
-        for m in self.open_marks:
-            m["deep"] += refs
-            m["links"] |= tag == "a" or bool(a.get("onclick"))
-            m["depth"] += tag == m["tag"] and tag not in VOID
-            if tag in BLOCKS:
-                m["text"] += "\n"
-        if self.in_head or tag in ("script", "style") or not (heading or any(UNIT_REF in r.lower() for r in refs)):
-            return
-        new = {"pos": len(marks), "last": len(marks), "tag": tag, "heading": heading, "links": False, "label": a.get("label", ""), "text": "", "refs": refs, "deep": list(refs), "depth": 0}
-        for m in self.open_marks:
-            m["last"] = new["pos"]
-        marks.append(new)
-        if tag not in VOID:
-            self.open_marks.append(new)
-
-    def close_mark(self, tag: str) -> None:
-        for m in reversed([m for m in self.open_marks if m["tag"] == tag]):
-            if m["depth"]:
-                m["depth"] -= 1
+            self.end("option")
+        refs = _refs(a)
+        if self.open and tag in BLOCKS:
+            self.data("\n")
+        own = any(UNIT_REF in r.lower() for r in refs)
+        heading = tag in HEADINGS or ("class" in a and any(w in a["class"].lower() for w in HEADING_CLASSES))
+        mark = not self.in_head and tag not in ("script", "style") and (heading or own)
+        self.n_links += tag == "a" or bool(a.get("onclick"))
+        first = self.n_refs
+        for r in refs:
+            for pattern, (places, numbers) in self.found.items():
+                if m := pattern.search(r):
+                    places.append(self.n_refs)
+                    numbers.append(m[1])
+            self.n_refs += 1
+        place = None
+        if mark:
+            place = len(self.rows)
+            leads = own and any(0 < len(m[1].lstrip("0")) < 19 for r in refs for p in self.found if (m := p.search(r)))
+            whole = leads and not self.leads  # the outermost one
+            self.rows.append({"pos": place, "last": place, "tag": tag, "heading": heading, "label": a.get("label", ""), "refs": refs, "at": self.size, "ref": first, "link": self.n_links, "leads": leads, "whole": whole})
+            if tag not in VOID:
+                self.open.append(place)
+                self.leads += leads
             else:
-                del self.open_marks[self.open_marks.index(m) :]
+                self.close(self.rows[place])
+        if tag not in VOID:
+            self.elements[tag].append(place)
 
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
+    def end(self, tag: str) -> None:
+        self.in_head &= tag != "head"
+        if (stack := self.elements.get(tag)) and (place := stack.pop()) is not None:
+            k = bisect_left(self.open, place)
+            if k < len(self.open) and self.open[k] == place:
+                self.cut(k)
+
+    def cut(self, k: int) -> None:
+        """Ends the open marks from the k-th on."""
+        for place in self.open[k:]:
+            self.leads -= self.rows[place]["leads"]
+            self.close(self.rows[place])
+        del self.open[k:]
+
+    def close(self, row: dict) -> None:
+        row["last"], row["end"] = len(self.rows) - 1, self.size
+        row["links"] = self.n_links > row["link"]
+        for name, pattern in (("deep_unit", UNIT_NUMBER), ("deep_program", PROGRAM_NUMBER)):
+            places, numbers = self.found[pattern]
+            k = bisect_left(places, row["ref"])
+            row[name] = numbers[k] if k < len(places) else None
+
+    def data(self, text: str) -> None:
+        text = SPACES.sub(" ", text)
+        if self.spaced and text[:1] == " ":
+            text = text[1:]
+        if text:
+            self.text.append(text)
+            self.size += len(text)
+            self.spaced = text[-1] == " "
+
+    def done(self) -> list[dict]:
+        self.cut(0)
+        text = "".join(self.text)
+        for r in self.rows:
+            r["text"] = text[r["at"] : r["end"] if r["whole"] else min(r["end"], r["at"] + MARK_TEXT)]
+        return self.rows
+
+
+class _Page:
+    """Collects the parts that are wanted; broken markup is read as far as it goes."""
+
+    def __init__(self, want: tuple[str, ...], unclosed: frozenset[str]):
+        self.want, self.unclosed = frozenset(want), unclosed
+        self.out: dict = {c: [] if kind.startswith("array") else None for c, kind in PARTS.items()} | {"h1_count": 0, "has_media_query": False}
+        self.marks = _Marks() if "marks" in self.want else None
+        self.lines = not self.want.isdisjoint(("visible_text", "spans"))
+        self.text: list[str] = []
+        self.hidden: list[str] = []
+        self.in_title, self.title = False, None
+        self.link = self.form = self.area = self.choice = self.option = None
+        self.select = ""
+        self.spans: list[dict | None] = []  # open spans, those that aren't read as None
+        self.n_spans = 0
+        self.tables: list[dict] = []
+        self.line: list[str] = []
+        self.last_line = ""
+
+    def feed(self, html: str) -> None:
+        """Tags and the text between, each character looked at a few times at most.
+
+        A tag or comment that the page ends in is dropped; of an attribute that comes twice the first counts; script, style, title and textarea end at their end tag only.
+        """
+        at, n = 0, len(html)
+        while m := _MARKUP.search(html, at):
+            if m.start() > at:
+                self.data(unescape(html[at : m.start()]))
+            at = m.end()
+            if (tag := m[2]) is None:
+                at = html.find("-->" if m[0] == "<!--" else ">", at) + 1 or n
+                continue
+            tag, attributes = tag.lower(), {}
+            while a := _ATTRIBUTE.match(html, at):
+                at = a.end()
+                if (name := a[1].lower()) not in attributes:
+                    value = a[a.lastindex] if a.lastindex > 1 else ""
+                    attributes[name] = _REFERENCE.sub(lambda r: unescape(r[0]), value) if "&" in value else value
+            at = _GAP.match(html, at).end() + 1
+            if at > n:
+                return
+            if m[1]:
+                self.end_tag(tag)
+                continue
+            self.start_tag(tag, attributes)
+            if tag in RAW:
+                end = RAW[tag].search(html, at)
+                text = html[at : end.start() if end else n]
+                if text:
+                    self.data(text if tag in HIDDEN else unescape(text))
+                at = end.start() if end else n
+        if at < n:
+            self.data(unescape(html[at:]))
+
+    def start_tag(self, tag: str, a: dict[str, str]) -> None:
         o = self.out
-        self.mark(tag, a)
+        if self.marks:
+            self.marks.start(tag, a)
         if tag in HIDDEN and tag not in self.unclosed:
             self.hidden.append(tag)
-        for t in self.tables:
-            if t["open"] and not (tag == "tr" and t is self.tables[-1]):
-                t["row_refs"] += _refs(a)
+        t = self.tables[-1] if self.tables else None
+        if t and t["open"] and tag != "tr":
+            t["row_refs"] += _refs(a)
         if tag in BLOCKS:
-            self.text.append("\n")
+            self.block()
         if tag == "html":
             o["lang"] = a.get("lang") or o["lang"]
         elif tag == "base" and o["base"] is None:
             o["base"] = a.get("href")
         elif tag == "title":
-            self.in_title = o["title"] is None
+            self.in_title = self.title is None
         elif tag in ("a", "area") and "href" in a:
-            self.link = {"pos": len(o["links"]), "tag": tag, "href": a["href"], "text": "", "download": "download" in a}
+            self.link = {"pos": len(o["links"]), "tag": tag, "href": a["href"], "text": [], "download": "download" in a}
             o["links"].append(self.link)
         elif tag == "img":
             o["images"].append({"src": a.get("src"), "alt": a.get("alt")})
@@ -121,7 +248,7 @@ class _Page(HTMLParser):
         elif tag in ("iframe", "embed", "object") and (a.get("src") or a.get("data")):
             o["embeds"].append(a.get("src") or a.get("data"))
         elif tag == "form":
-            self.form = {"action": a.get("action", ""), "method": (a.get("method") or "get").lower(), "n_fields": 0, "values": []}
+            self.form = {"action": a.get("action", ""), "method": (a.get("method") or "get").lower(), "n_fields": 0, "values": [], "at": {}}
             o["forms"].append(self.form)
         elif tag in ("input", "select", "textarea"):
             o["fields"].append({"id": a.get("id"), "type": a.get("type", "text" if tag == "input" else tag).lower(), "name": a.get("name"), "aria": bool(a.get("aria-label") or a.get("aria-labelledby"))})
@@ -130,69 +257,87 @@ class _Page(HTMLParser):
                 self.default(tag, a)
             if tag == "select":
                 self.select = a.get("name", "")
+        elif tag == "span":
+            span = {"id": a["id"], "at": len(self.text), "end": None} if a.get("id") and self.n_spans < SPAN_DEPTH else None
+            self.spans.append(span)
+            if span:
+                self.n_spans += 1
+                o["spans"].append(span)
+        elif tag == "option":
+            self.option = {"field": self.select, "value": a.get("value", ""), "label": [], "selected": "selected" in a, "bare": "value" not in a}
+            o["options"].append(self.option)
         elif tag == "table":
-            for t in self.tables:
-                t["nested"] = True
-            self.tables.append({"label": self.line(), "caption": None, "rows": [], "refs": [], "classes": [], "row_refs": [], "open": False, "nested": False, "cell": None, "head": False})
-        elif tag == "caption" and self.tables:
-            self.tables[-1]["caption"] = ""
-            self.tables[-1]["in_caption"] = True
-        elif tag in ("thead", "tbody", "tfoot") and self.tables:
-            self.tables[-1]["head"] = tag == "thead"
-        elif tag == "tr" and self.tables:
-            t = self.tables[-1]
-            t["row_refs"] = _refs(a)
-            t["rows"].append([])
-            t["refs"].append(t["row_refs"])
-            t["classes"].append(a.get("class", ""))
+            if t:  # a table around others isn't read
+                self.tables[-1] = {"nested": True, "open": False}
+            self.tables.append({"label": self.last_line, "caption": None, "rows": [], "refs": [], "classes": [], "row_refs": [], "open": False, "nested": False, "cell": None, "head": False, "in_caption": False})
+        elif t and not t["nested"]:
+            self.table_part(t, tag, a)
+
+    def table_part(self, t: dict, tag: str, a: dict) -> None:
+        if tag == "caption":
+            t["caption"], t["in_caption"] = [], True
+        elif tag in ("thead", "tbody", "tfoot"):
+            t["head"] = tag == "thead"
+        elif tag == "tr":
+            self.row(t, _refs(a), a.get("class", ""))
             t["open"], t["cell"] = True, None
-        elif tag == "span" and a.get("id"):
-            self.span = {"id": a["id"], "text": ""}
-            self.out["spans"].append(self.span)
-        elif tag == "option":
-            self.option = {"field": self.select, "value": a.get("value", ""), "label": "", "selected": "selected" in a, "bare": "value" not in a}
-            self.out["options"].append(self.option)
-        elif tag in ("td", "th") and self.tables:
-            t = self.tables[-1]
+        elif tag in ("td", "th"):
             if not t["rows"]:
-                t["rows"].append([])
-                t["refs"].append(t["row_refs"])
-                t["classes"].append("")
-            t["cell"] = {"text": "", "colspan": _span(a.get("colspan", "")), "header": tag == "th" or t["head"]}
+                self.row(t, t["row_refs"], "")
+            t["cell"] = {"text": [], "colspan": _span(a.get("colspan", "")), "header": tag == "th" or t["head"]}
             t["rows"][-1].append(t["cell"])
 
+    @staticmethod
+    def row(t: dict, refs: list[str], classes: str) -> None:
+        t["row_refs"] = refs
+        t["rows"].append([])
+        t["refs"].append(refs)
+        t["classes"].append(classes)
+
+    def block(self) -> None:
+        """A line of text ends."""
+        if self.lines:
+            self.text.append("\n")
+        if line := "".join(self.line).strip():
+            self.last_line = " ".join(line.split())
+        self.line = []
+
+    def sent(self, name: str, value) -> None:
+        self.form["at"].setdefault(name, []).append(len(self.form["values"]))
+        self.form["values"].append({"name": name, "value": value})
+
     def default(self, tag: str, a: dict) -> None:
         """What a browser would send of a field; select and textarea are known at their end."""
         name, kind = a.get("name", ""), a.get("type", "").lower()
         if not name:
             return
         if tag == "input" and kind not in UNSENT and (kind not in CHECKED or "checked" in a):
-            self.form["values"].append({"name": name, "value": a.get("value", "on" if kind in CHECKED else "")})
+            self.sent(name, a.get("value", "on" if kind in CHECKED else ""))
         elif tag == "select":
-            self.choice = (self.form["values"], name, len(self.out["options"]))
+            self.choice = (self.form, name, len(self.out["options"]))
         elif tag == "textarea":
-            self.area = {"name": name, "value": ""}
-            self.form["values"].append(self.area)
+            self.area = []
+            self.sent(name, self.area)
 
     def chosen(self) -> None:
-        """The selected option of the select that ends, or its first one with a value."""
-        values, name, start = self.choice
-        options = [(" ".join(o["label"].split()) if o["bare"] else o["value"], o["selected"]) for o in self.out["options"][start:]]
+        """The selected option of the select that ends, or its first one with a value, in place of what its name had before."""
+        form, name, start = self.choice
+        options = [(" ".join("".join(o["label"]).split()) if o["bare"] else o["value"], o["selected"]) for o in self.out["options"][start:]]
         value = next((v for v, on in options if on), next((v for v, _ in options if v), ""))
-        values[:] = [x for x in values if x["name"] != name] + [{"name": name, "value": value}]
+        for k in form["at"].pop(name, ()):
+            form["values"][k] = None
+        form["at"][name] = [len(form["values"])]
+        form["values"].append({"name": name, "value": value})
         self.choice = None
 
-    def line(self) -> str:
-        """The last line of text that isn't empty."""
-        return next((x for x in reversed("".join(self.text[-400:]).split("\n")) if x.strip()), "").strip()
-
-    def handle_endtag(self, tag):
-        self.in_head &= tag != "head"
-        self.close_mark(tag)
+    def end_tag(self, tag: str) -> None:
+        if self.marks:
+            self.marks.end(tag)
         if self.hidden and tag == self.hidden[-1]:
             self.hidden.pop()
         if tag in BLOCKS:
-            self.text.append("\n")
+            self.block()
+        t = self.tables[-1] if self.tables else None
         if tag == "title":
             self.in_title = False
         elif tag in ("a", "area"):
@@ -202,79 +347,126 @@ class _Page(HTMLParser):
         elif tag == "textarea":
             self.area = None
         elif tag == "span":
-            self.span = None
+            if self.spans and (span := self.spans.pop()):
+                self.n_spans -= 1
+                span["end"] = len(self.text)
         elif tag in ("option", "select"):
             self.option = None
             self.select = "" if tag == "select" else self.select
             if tag == "select" and self.choice:
                 self.chosen()
-        elif tag in ("td", "th") and self.tables:
-            self.tables[-1]["cell"] = None
-        elif tag == "thead" and self.tables:
-            self.tables[-1]["head"] = False
-        elif tag == "caption" and self.tables:
-            self.tables[-1]["in_caption"] = False
-        elif tag == "tr" and self.tables:
-            self.tables[-1]["open"] = False
-        elif tag == "table" and self.tables:
-            t = self.tables.pop()
+        elif t and tag == "table":
+            self.tables.pop()
             if not t["nested"]:
-                rows, title = [[{**c, "text": " ".join(c["text"].split())} for c in r] for r in t["rows"]], ""
-                if len(rows) > 1 and len(rows[0]) == 1 and rows[0][0]["colspan"] > 1:  # a first row over the whole width is the title
-                    title = rows[0][0]["text"]
-                    del rows[0], t["refs"][0], t["classes"][0]
-                label = " ".join((t["caption"] or "").split()) or t["label"]
-                self.out["tables"].append({"idx": len(self.out["tables"]), "label": label, "title": title, "rows": rows, "refs": t["refs"], "classes": t["classes"]})
-
-    def handle_data(self, data):
+                self.leaf(t)
+        elif t and not t["nested"]:
+            if tag in ("td", "th"):
+                t["cell"] = None
+            elif tag == "thead":
+                t["head"] = False
+            elif tag == "caption":
+                t["in_caption"] = False
+            elif tag == "tr":
+                t["open"] = False
+
+    def leaf(self, t: dict) -> None:
+        rows, title = [[{**c, "text": " ".join("".join(c["text"]).split())} for c in r] for r in t["rows"]], ""
+        if len(rows) > 1 and len(rows[0]) == 1 and rows[0][0]["colspan"] > 1:  # a first row over the whole width is the title
+            title = rows[0][0]["text"]
+            del rows[0], t["refs"][0], t["classes"][0]
+        label = " ".join("".join(t["caption"] or ()).split()) or t["label"]
+        self.out["tables"].append({"idx": len(self.out["tables"]), "label": label, "title": title, "rows": rows, "refs": t["refs"], "classes": t["classes"]})
+        self.line, self.last_line = [], ""  # the next table's label is after this one
+
+    def data(self, data: str) -> None:
         if self.in_title:
-            self.out["title"] = (self.out["title"] or "") + data
+            self.title = self.title if self.title is not None else []
+            self.title.append(data)
         if self.hidden:
             if self.hidden[-1] == "style" and "@media" in data:
                 self.out["has_media_query"] = True
             return
         if not self.in_title:
-            self.text.append(data)
+            if self.lines:
+                self.text.append(data)
+            first, *more = data.split("\n")
+            self.line.append(first)
+            for x in more:
+                if line := "".join(self.line).strip():
+                    self.last_line = " ".join(line.split())
+                self.line = [x]
         if self.link is not None:
-            self.link["text"] += data
-        if self.span is not None:
-            self.span["text"] += data
+            self.link["text"].append(data)
         if self.option is not None:
-            self.option["label"] += data
+            self.option["label"].append(data)
         if self.area is not None:
-            self.area["value"] += data
-        for m in self.open_marks:
-            m["text"] += data
-        for t in self.tables:
-            if t["cell"] is not None:
-                t["cell"]["text"] += data
-            elif t.get("in_caption"):
-                t["caption"] += data
-
-
-def parse_page(html: str | None) -> dict:
-    p = _Page()
+            self.area.append(data)
+        if self.marks and self.marks.open:
+            self.marks.data(data)
+        if self.tables:
+            t = self.tables[-1]
+            if not t["nested"]:
+                if t["cell"] is not None:
+                    t["cell"]["text"].append(data)
+                elif t["in_caption"]:
+                    t["caption"].append(data)
+
+    def done(self) -> dict:
+        o = self.out
+        text = lambda x: "".join(x) if isinstance(x, list) else x
+        o["title"] = text(self.title)
+        for x in o["links"]:
+            x["text"] = text(x["text"])
+        for x in o["options"]:
+            x["label"] = text(x["label"])
+        for f in o["forms"]:
+            f["values"] = [{"name": v["name"], "value": text(v["value"])} for v in f["values"] if v]
+        if "spans" in self.want:
+            for s in o["spans"]:
+                s["text"] = text(self.text[s["at"] : s["end"]])
+        if "visible_text" in self.want:
+            o["visible_text"] = "\n".join(x for x in (" ".join(s.split()) for s in text(self.text).split("\n")) if x)
+        if self.marks:
+            o["marks"] = self.marks.done()
+        return {c: o[c] for c in self.want}
+
+
+def parse_page(html: str | None, *want: str) -> dict:
+    """The wanted parts of a page, all without any. A null html is an empty page."""
     small = (html or "").lower()
-    p.unclosed = frozenset(t for t in ("noscript", "template") if f"</{t}" not in small)  # hides nothing, for all of the page would be gone
+    unclosed = frozenset(t for t in ("noscript", "template") if f"</{t}" not in small)  # hides nothing, for all of the page would be gone
+    p = _Page(want or tuple(PARTS), unclosed)
     p.feed(html or "")
-    p.close()
-    p.out["visible_text"] = "\n".join(x for x in (" ".join(s.split()) for s in "".join(p.text).split("\n")) if x)
-    return p.out
-
+    return p.done()
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """A row for each page (page_id, url, html) with everything that the audits need, so that a page is parsed once. A null html is an empty page."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "url", "base", "lang", "title", "visible_text", "links", "images", "h1_count", "fields", "labels", "forms", "metas", "has_media_query", "embeds", "tables", "spans", "options", "marks"]
-        for b in batches:
-            parsed = [parse_page(h) for h in b["html"]]
-            out = pd.DataFrame({n: [p[n] for p in parsed] for n in names[2:]})
-            out.insert(0, "url", b["url"].to_list())
-            out.insert(0, "page_id", b["page_id"].to_list())
-            yield out
+def parse_pages(pages: DataFrame, *want: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each page (page_id, url, html) with the wanted parts, all without any, and the columns to carry. A null html is an empty page.
 
-    return pages.select("page_id", "url", "html").mapInPandas(rows, PAGE)
+    Only what is asked for is built and leaves the task. Pages that come in fewer parts than there are cores, as from one file, are dealt out first.
+    """
+    spark = pages.sparkSession
+    want = want or tuple(PARTS)
+    rows = pages.select("page_id", "url", *carry, "html")
+    schema = StructType([*rows.drop("html").schema.fields, *StructType.fromDDL(", ".join(f"{c} {PARTS[c]}" for c in want)).fields])
+    if rows.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        rows = rows.repartition(cores)
+    arrow = to_arrow_schema(schema)
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, size = [], 0
+            for row in batch.to_pylist():
+                html = row.pop("html")
+                part.append(row | parse_page(html, *want))
+                size += len(html or "")
+                if size > BATCH_CHARS:
+                    yield pa.RecordBatch.from_pylist(part, arrow)
+                    part, size = [], 0
+            if part:
+                yield pa.RecordBatch.from_pylist(part, arrow)
+
+    return rows.mapInArrow(parsed, schema)
 
 
 def page_links(parsed: DataFrame) -> DataFrame:
