@@ -54,14 +54,19 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
 FILTER_BITS, ROW_BITS = 1 << 25, 1 << 15
 
 
-def mostly(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not null and one of wanted's, and few others: a filter of fixed size before a join, which only saves work."""
-    place = f"pmod(xxhash64(doc_id), {FILTER_BITS}L)"
+def marked(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with a boolean: true for a key, not null, that is one of wanted's, and for few others. The filter that is broadcast has FILTER_BITS bits at most, however many keys there are."""
+    place = f"pmod(xxhash64({key}), {FILTER_BITS}L)"
     row = F.expr(f"{place} div {ROW_BITS}L").alias("_row")
-    bits = wanted.where("doc_id IS NOT NULL").groupBy(row).agg(F.bitmap_construct_agg(F.expr(f"{place} % {ROW_BITS}L")).alias("_bits"))
+    bits = wanted.where(f"{key} IS NOT NULL").groupBy(row).agg(F.bitmap_construct_agg(F.expr(f"{place} % {ROW_BITS}L")).alias("_bits"))
     byte = f"cast(conv(hex(substring(_bits, cast({place} % {ROW_BITS}L div 8 as int) + 1, 1)), 16, 10) as int)"
-    held = F.expr(f"{byte} & shiftleft(1, cast({place} % 8 as int)) <> 0")
-    return rows.where("doc_id IS NOT NULL").select("*", row).join(F.broadcast(bits), "_row").where(held).select(*rows.columns)
+    held = F.expr(f"coalesce({key} IS NOT NULL AND {byte} & shiftleft(1, cast({place} % 8 as int)) <> 0, false)").alias(name)
+    return rows.select("*", row).join(F.broadcast(bits), "_row", "left").select(*rows.columns, held)
+
+
+def mostly(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not null and one of wanted's, and few others: a filter of fixed size before a join, which only saves work."""
+    return marked(rows, wanted, "doc_id", "_held").where("_held").select(*rows.columns)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word shingles. Equal sets are one node, named by a 64-bit sum over the set, whichever document
-holds it. The rest is filter and verify, over groups of similar nodes instead of single ones:
+Documents are sets of word shingles. Equal sets, by two 64-bit sums and their size, are one node, named by the first sum or, where
+different sets share that, by the second, whichever document holds it. The rest is filter and verify, over groups of similar nodes instead of single ones:
 
 1. Every node lists the first few of its shingles in one order of all shingles, the rare ones first: as many that
    two sets that link share at least `hits` of them. Shingles that no other node lists are dropped.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,6 +41,8 @@ LEADERS = 8
 BINS, MOST = 64, (1 << 16) - 1
 #: Shares of the rows of a hot group in a join.
 SALTS = 16
+#: Documents with a shingle for each task that its rows are dealt to, and first sums that several sets may share.
+HOT_ROWS, MOST_TWINS = 50_000, 100_000
 
 
 def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
@@ -65,6 +67,23 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
 
 
+def _name(sign: tuple[int, int], twins: frozenset[int]) -> int:
+    """A node's name: the first sum of its set, or the second where several sets share the first."""
+    return sign[1] if sign[0] in twins else sign[0]
+
+
+def _node(twins: frozenset[int]) -> Column:
+    return F.when(F.col("s1").isin(*twins), F.col("s2")).otherwise(F.col("s1")) if twins else F.col("s1")
+
+
+def _twins(reps: DataFrame) -> frozenset[int]:
+    """First sums that several sets share: none below some 10^9 sets, a handful beyond."""
+    found = reps.groupBy("s1").agg(F.count("*").alias("k")).where("k > 1").select("s1").limit(MOST_TWINS + 1).collect()
+    if len(found) > MOST_TWINS:
+        raise RuntimeError("too many sets share a 64-bit sum")
+    return frozenset(r["s1"] for r in found)
+
+
 def _sketch(s: np.ndarray) -> bytes | None:
     """Shingles in each bin of the hash's lowest bits, as 16-bit counts."""
     counts = np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
@@ -134,42 +153,44 @@ class Rule:
         return self.den * both >= self.num * (len(a) + len(b) - both)
 
 
-LISTED = "shingle long, node long, n int, pos int"
+LISTED = "shingle long, node long, n int, pos int, salts int"
 
 
-def _list(n: int, rule: Rule, order):
-    """(shingle, node, n, pos) of the listed shingles of each set in order; equal sets of one task are listed once."""
+def _list(n: int, rule: Rule, order, twins):
+    """(shingle, node, n, pos, salts) of the listed shingles of each set in order; equal sets of one task are listed once. salts: tasks for a shingle's rows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = order.value
         sent: set[tuple[int, int]] = set()
         for batch, texts in slices(batches, "text"):
-            out, ids, sizes = [], [], []
+            out, ids, sizes, salts = [], [], [], []
             for s in shingle_sets(Words(texts, lower=True), n):
                 if not len(s) or (sign := _signature(s)) in sent:
                     continue
                 if len(sent) >= MEMORY:
                     sent.clear()
                 sent.add(sign)
-                ids.append(sign[0])
+                ids.append(_name(sign, twins.value))
                 sizes.append(len(s))
-                p = rule.listed(len(s))
+                p, deal = rule.listed(len(s)), np.ones(len(s), np.int32)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     hit = common[at] == s
                     rare = s[~hit][:p]
-                    later = s[hit][np.argsort(often[at[hit]], kind="stable")[: p - len(rare)]]
-                    s = np.concatenate([rare, later])
+                    by = np.argsort(often[at[hit]], kind="stable")[: p - len(rare)]
+                    s = np.concatenate([rare, s[hit][by]])
+                    deal[len(rare) : len(s)] = 1 + often[at[hit]][by] // HOT_ROWS
                 out.append(s[:p])
+                salts.append(deal[: len(out[-1])])
             if out:
                 lengths = [len(x) for x in out]
-                yield pa.record_batch({"shingle": pa.array(np.concatenate(out).view(np.int64)), "node": pa.array(np.repeat(np.array(ids, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)), "pos": pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]))})
+                yield pa.record_batch({"shingle": pa.array(np.concatenate(out).view(np.int64)), "node": pa.array(np.repeat(np.array(ids, np.int64), lengths)), "n": pa.array(np.repeat(np.array(sizes, np.int32), lengths)), "pos": pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])), "salts": pa.array(np.concatenate(salts))})
 
     return rows
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops repeated rows and the shingles that only one node lists; rows come by shingle and node."""
+    """Drops repeated rows and the shingles that only one node lists, unless their rows are dealt to several tasks; rows come by shingle and node."""
     held, seen = None, None  # a shingle's only row so far; the shingle and node of the last row that has gone on
     for batch in batches:
         if held is not None and batch.num_rows:
@@ -183,6 +204,7 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, shingle, node = batch.filter(pa.array(first)), shingle[first], node[first]
         new = np.append(True, shingle[1:] != shingle[:-1])
         alone = new & np.append(new[1:], True)
+        alone &= batch.column(4).to_numpy() == 1
         if seen is not None:
             alone &= shingle != seen[0]
         held = batch.slice(batch.num_rows - 1) if alone[-1] else None
@@ -196,21 +218,21 @@ MATRIX = "shingle long, node long, n int, best int"
 def _lead(rule: Rule):
     """Adds the leader to the rows of each shingle: the first row that it may link with. Those that share most come first.
 
-    A shingle all of whose rows were compared and of which no two may link is dropped.
+    A shingle all of whose rows were compared and of which no two may link is dropped, unless they were dealt to several tasks.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leaders, waiting = None, [], []
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for *row, salts in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 shingle, node, n, best = row
                 if shingle != last:
                     last, leaders, waiting = shingle, [], []
                 lead = next((d for d, size, most in leaders if rule.may(n, best, size, most)), None)
                 if lead is None and len(leaders) < LEADERS:
                     leaders.append((node, n, best))
-                    if len(leaders) < LEADERS and (waiting or len(leaders) == 1):
+                    if salts == 1 and len(leaders) < LEADERS and (waiting or len(leaders) == 1):
                         waiting.append((*row, node))
                         continue
                 out += waiting
@@ -251,7 +273,7 @@ def _near(rule: Rule):
     return rows
 
 
-def _open(n: int, rule: Rule):
+def _open(n: int, rule: Rule, twins):
     """(a, b) of a query and the first member that it links with; a cell's members come before its queries."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +284,7 @@ def _open(n: int, rule: Rule):
             for (block, part, is_query, node), s in zip(keys, shingle_sets(Words(texts, lower=True), n), strict=True):
                 if (block, part) != cell:
                     cell, members, union = (block, part), [], None
-                if not len(s) or _signature(s)[0] != node:
+                if not len(s) or _name(_signature(s), twins.value) != node:
                     continue  # another row of the document that stands for the node
                 if not is_query:
                     members.append((node, s))
@@ -296,14 +318,14 @@ def _texts_of(nodes: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
     return mostly(known, wanted).join(wanted, "doc_id").select("node", "text")
 
 
-def _compare(asked: DataFrame, members: DataFrame, reps: DataFrame, known: DataFrame, n: int, rule: Rule, a_cell: int = 128) -> DataFrame:
+def _compare(asked: DataFrame, members: DataFrame, reps: DataFrame, known: DataFrame, n: int, rule: Rule, twins, a_cell: int = 128) -> DataFrame:
     """Links (a, b) of asked (block, node) with members (block, node): by sketches first, then by the texts of what they left."""
     rows = _cells(asked, members, a_cell).join(reps.select("node", "n", "sketch"), "node").select("block", "cell", "is_query", "node", "n", "sketch")
     near = written(rows.repartition("block", "cell").sortWithinPartitions("block", "cell", "is_query").mapInArrow(_near(rule), "block long, a long, b long"))
     asked, members = near.select("block", F.col("a").alias("node")).distinct(), near.select("block", F.col("b").alias("node")).distinct()
     texts = _texts_of(near.select(F.explode(F.array("a", "b")).alias("node")), reps, known)
     rows = _cells(asked, members, a_cell).join(texts, "node").select("block", "cell", "is_query", "node", "text")
-    return written(rows.repartition("block", "cell").sortWithinPartitions("block", "cell", "is_query").mapInArrow(_open(n, rule), "a long, b long"))
+    return written(rows.repartition("block", "cell").sortWithinPartitions("block", "cell", "is_query").mapInArrow(_open(n, rule, twins), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hits: int = 3, order_size: int = 1 << 18, min_count: int = 24, a_block: int = 128, leader_rounds: int = 2) -> DataFrame:
@@ -322,26 +344,32 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     described = written(known.mapInArrow(_describe(n), DESCRIBED))
     sets = described.where("doc_id IS NOT NULL")
     # equal sets are one node, for which the least document stands
-    reps = written(sets.where("n > 0").groupBy(F.col("s1").alias("node")).agg(F.min_by(F.struct("doc_id", F.col("n").cast("int").alias("n"), "sketch"), "doc_id").alias("x")).select("node", "x.*"))
+    reps = written(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min_by(F.struct("doc_id", "sketch"), "doc_id").alias("x")).select("s1", "s2", F.col("n").cast("int").alias("n"), "x.*"))
+    twins = _twins(reps)
+    reps = reps.select(_node(twins).alias("node"), "doc_id", "n", "sketch")
+    if twins and reps.select("node").distinct().count() < reps.count():
+        raise RuntimeError("different sets share both sums")
+    sets, twins = sets.withColumn("node", _node(twins)), spark.sparkContext.broadcast(twins)
     # the most common shingles, order_size at most, go to the end of the order
     common = described.where("doc_id IS NULL").groupBy("s1").agg(F.sum("n").alias("many")).where(F.col("many") >= min_count)
     common = common.orderBy(F.desc("many"), "s1").limit(order_size).toArrow()
     shingle, many = common.column("s1").to_numpy().view(np.uint64), common.column("many").to_numpy()
     at = np.argsort(shingle)
     order = spark.sparkContext.broadcast((shingle[at], many[at]))
-    listed = known.mapInArrow(_list(n, rule, order), LISTED)
-    shared = written(listed.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_several, LISTED))
+    listed = known.mapInArrow(_list(n, rule, order, twins), LISTED)
+    part = F.pmod(F.xxhash64("node"), "salts")  # a hot shingle's rows go to several tasks
+    shared = written(listed.repartition("shingle", part).sortWithinPartitions("shingle", "node").mapInArrow(_several, LISTED))
     need = F.least(F.lit(hits), F.ceil(F.col("n") * num / den)).cast("int")
     alive = shared.groupBy("node", "n").agg(F.count("*").alias("k")).where(F.col("k") >= need).select("node", "k")
     # what a node lists alone before a shingle is in no other that lists this shingle: it bounds their overlap
     alone = F.col("pos") - F.row_number().over(Window.partitionBy("node").orderBy("pos")) + 1
     bounded = shared.join(alive, "node").withColumn("best", F.col("n") - alone).where(F.col("best") * den >= F.col("n") * num)
-    matrix = written(bounded.repartition("shingle").sortWithinPartitions("shingle", F.desc("k"), "node").select("shingle", "node", "n", "best").mapInArrow(_lead(rule), MATRIX + ", leader long"))
+    matrix = written(bounded.repartition("shingle", part).sortWithinPartitions("shingle", F.desc("k"), "node").select("shingle", "node", "n", "best", "salts").mapInArrow(_lead(rule), MATRIX + ", leader long"))
     links = None
     for turn in range(leader_rounds):
         asked = written(matrix.where("node <> leader").groupBy("node", "n", F.col("leader").alias("block")).agg(F.count("*").alias("k")).where(F.col("k") >= need).select("block", "node"))
         members = asked.select("block").distinct().select("block", F.col("block").alias("node"))
-        more = _compare(asked, members, reps, known, n, rule)
+        more = _compare(asked, members, reps, known, n, rule, twins)
         links = more if links is None else written(links.union(more))
         matrix = _regroup(matrix.select("shingle", "node", "n", "best"), links)
         if turn == leader_rounds - 1:
@@ -350,7 +378,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
         lead = matrix.groupBy("shingle", band.alias("band")).agg(F.min_by(F.struct("node", "group"), F.xxhash64("group", F.lit(turn))).alias("x"))
         matrix = written(matrix.withColumn("band", band).join(lead, ["shingle", "band"]).withColumn("leader", F.when(F.col("group") == F.col("x.group"), F.col("node")).otherwise(F.col("x.node"))).drop("x", "band"))
-    links = links.union(_across(matrix, reps, known, n, rule, need, a_block))
+    links = links.union(_across(matrix, reps, known, n, rule, twins, need, a_block))
     return _answer(base, sets, reps, links)
 
 
@@ -372,7 +400,7 @@ def _salted(rows: DataFrame, per_group: DataFrame, keys: list[str], by: str = "n
     return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(spread, [*keys, "salt"], how).drop("salt")
 
 
-def _across(matrix: DataFrame, reps: DataFrame, known: DataFrame, n: int, rule: Rule, need, a_block: int) -> DataFrame:
+def _across(matrix: DataFrame, reps: DataFrame, known: DataFrame, n: int, rule: Rule, twins, need, a_block: int) -> DataFrame:
     """Links between groups: nodes of the smaller group ask the blocks of the larger one that enough of their shingles hit."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(rule.den / rule.num)))
     nodes = written(matrix.select("node", "group", "n").distinct().withColumn("band", band))
@@ -387,7 +415,7 @@ def _across(matrix: DataFrame, reps: DataFrame, known: DataFrame, n: int, rule:
     smaller = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("group") > F.col("to")))
     may = (rule.num + rule.den) * F.least("best", "to_best") >= rule.num * (F.col("n") + F.col("to_n"))
     asked = asks.join(unions, "shingle").where(smaller & may & (F.abs(F.col("band") - F.col("to_band")) <= 1)).groupBy("node", "n", "block").agg(F.count("*").alias("k")).where(F.col("k") >= need)
-    return _compare(written(asked.select("block", "node")), nodes.select("block", "node"), reps, known, n, rule)
+    return _compare(written(asked.select("block", "node")), nodes.select("block", "node"), reps, known, n, rule, twins)
 
 
 def _answer(base: DataFrame, sets: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
@@ -397,9 +425,9 @@ def _answer(base: DataFrame, sets: DataFrame, reps: DataFrame, links: DataFrame)
     """
     of = reps.select("node", "doc_id")
     between = links.join(of.withColumnRenamed("doc_id", "x"), F.col("a") == F.col("node")).drop("node").join(of.withColumnRenamed("doc_id", "y"), F.col("b") == F.col("node")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    rows = sets.withColumnRenamed("s1", "node")
-    copies = rows.where("n > 0").groupBy("node", "n", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = written(_salted(rows, copies, ["node", "n", "s2"], "doc_id", "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("first")))
+    rows = sets.select("doc_id", "n", "node")
+    copies = rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    rows = written(_salted(rows, copies, ["node", "n"], "doc_id", "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("first")))
     again = rows.groupBy("doc_id").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x <> y")
     again = again.select(F.col("doc_id").alias("a"), F.explode(F.array("x", "y")).alias("b"))
     reach = components(between.union(again)).withColumnRenamed("id", "first")

@@ -288,6 +288,7 @@ def _drop_by_shard(base: DataFrame, built: DataFrame, n: int, least: int, out: s
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines of all documents: keys of 40 code points or more in 5 documents or more, without the texts."""
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteq.llm.common import Words, plain, slices, table
+from siteq.llm.common import Words, marked, plain, slices, table
 
 #: Most pieces that a task remembers; then it starts anew, which only sends more on.
 MEMORY = 200_000
@@ -340,9 +340,9 @@ def placed_pieces(known: DataFrame, window: int, gram: int, hot_words: int) -> D
     shared = routed.sortWithinPartitions("anchor").mapInArrow(_shared, "anchor long, doc_id long")
     # an anchor's own place has all its counts; every column is used and keys are not null, so no filter or projection keeps both from reading one exchange
     hot = routed.groupBy("route", "anchor").agg(F.sum(F.abs("n")).alias("words"), F.min("n").alias("least"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    hot = hot.where((F.col("words") > hot_words) & ((F.col("least") < 0) | (F.col("low") < F.col("high")))).select("anchor", F.col("anchor").alias("hot"))
-    # at most one row for hot_words words of the documents' pieces
-    lists = shared.join(F.broadcast(hot), "anchor", "left").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
+    hot = hot.where((F.col("words") > hot_words) & ((F.col("least") < 0) | (F.col("low") < F.col("high")))).select("anchor")
+    # a filter of fixed size names the hot anchors; one that it names besides is split as well, for all documents alike
+    lists = marked(shared, hot, "anchor", "is_hot").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"))
     # both joins read the same exchange of the texts by doc_id: Spark plans it once and uses it twice
     return known.join(lists, "doc_id", "left").select("doc_id", "text", "anchors", "hot", "row").mapInArrow(_pieces(window, gram), PIECE)
 
@@ -366,6 +366,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, hot_words
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_substrings of all documents with windows of 13 words, without the words left."""
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from siteq.llm.common import plain, table, written
 
-BLOCK = "block long, n long, dims int, ids binary, body binary"
+BLOCK = "block long, n long, dims int, most double, sum double, ids binary, body binary"
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -44,8 +44,8 @@ def _blocks(rows_a_block: int):
                 dims = int(sizes.max(initial=0))
                 body = np.zeros((len(ids), dims), np.int64)  # a shorter vector is zero in the dimensions that it lacks
                 body[np.arange(dims) < sizes[:, None]] = col.flatten().to_numpy(zero_copy_only=False)
-                order = np.argsort(ids, kind="stable")
-                yield pa.record_batch({"block": pa.array([base + k], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "dims": pa.array([dims], pa.int32()), "ids": pa.array([ids[order].tobytes()]), "body": pa.array([_narrow(body[order]).tobytes()])})
+                order, size = np.argsort(ids, kind="stable"), np.abs(body.astype(np.float64))
+                yield pa.record_batch({"block": pa.array([base + k], pa.int64()), "n": pa.array([len(ids)], pa.int64()), "dims": pa.array([dims], pa.int32()), "most": pa.array([size.max(initial=0.0)]), "sum": pa.array([size.sum(axis=1).max(initial=0.0)]), "ids": pa.array([ids[order].tobytes()]), "body": pa.array([_narrow(body[order]).tobytes()])})
                 k += 1
 
     return rows
@@ -144,11 +144,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ro
     null, takes no part. Repeated rows with one vec_id and vector are one; a query is never its own candidate, by
     vec_id. Rows with one vec_id and several vectors are a candidate each; as queries they share one list. Shorter vectors
     count as zero where they end; a vector of any length is used whole. Scores are longs. An empty table gives no rows.
-    Other columns are ignored.
+    Other columns are ignored. Scores have 64 bits: if the largest quantised component times the largest sum of a query's
+    components, all without sign, reaches 2^63, no result would be sure, and a ValueError says so.
     """
     base = plain(vectors, "vec_id", "embedding").withColumn("vector", quantised(F.col("embedding"), scale)).where("vec_id IS NOT NULL AND vector IS NOT NULL").select("vec_id", "vector").distinct()
     packed = written(base.mapInArrow(_blocks(rows_a_block), BLOCK))
     asked = written(base.where(is_query).mapInArrow(_blocks(rows_a_block), BLOCK))
+    most, total = (x.agg(F.max(c)).first()[0] or 0.0 for x, c in ((packed, "most"), (asked, "sum")))
+    if max(most, total, most * total) >= 0.999 * 2**63:
+        raise ValueError(f"inner products may pass 64 bits: components up to {most:g}, a query's sum up to {total:g}")
     slots = max(1, -(-packed.count() // blocks_a_slot))
     parts = max(1, -(-asked.count() // blocks_a_part))
     deal = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
