@@ -30,10 +30,10 @@ CLASSES = {
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "[A-Za-z0-9+/_=-]", 3.7),
 }
 # Parts of a run, divided by / _ = or -: words of three letters or more in lower or camel case, one or two lower-case letters, digits, or what holds
-# a placeholder with up to 16 characters on either side. Each part has to be one of these up to the next divider, so that none excuses what stands beside it; possessive, as long runs
+# a placeholder with up to 20 characters on either side, as many as a window has. Each part has to be one of these up to the next divider, so that none excuses what stands beside it; possessive, as long runs
 # would overflow the stack of Java's regular expressions.
 _WORDS = r"[a-z]{1,2}|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*+|[0-9]+"
-_PLACEHOLDER = r"[A-Za-z0-9+]{0,16}(?i:example|sample|dummy|placeholder|changeme|xxxx|0{8}|1234567|abcdefg)[A-Za-z0-9+]{0,16}"
+_PLACEHOLDER = r"[A-Za-z0-9+]{0,20}(?i:example|sample|dummy|placeholder|changeme|xxxx|0{8}|1234567|abcdefg)[A-Za-z0-9+]{0,20}"
 _PART = rf"(?:{_WORDS}|{_PLACEHOLDER})?(?=[/_=-]|$)"
 # Runs that are no secrets: without a digit or without a letter, UUIDs, paths of words, digits and placeholders.
 ALLOWED = (
