@@ -1,4 +1,8 @@
-"""Curriculum pages as column logic over leaf tables (K6, K8-K15, K17, K18): tables are (page_id, idx, label, title, rows, refs, classes)."""
+"""Curriculum pages as column logic over leaf tables (K6, K8-K15, K17, K18): tables are (page_id, idx, label, title, rows, refs, classes).
+
+Each operator passes over its tables once, and folds each cell once (`folded`). `course_tables` keeps a page's tables with their sections for all
+readers of a course page.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,8 @@ from pyspark.sql.window import Window
 
 from siteq.functions.urls import any_of
 from siteq.operators.pages import numbered_items
-from siteq.operators.text import FOLD, clean, first_float, first_int, norm, ordinal_no, split_tul
+from siteq.operators.text import FOLD, clean, clean_lines, first_float, first_int, norm, ordinal_no, split_tul
+from siteq.sources.shared import kept
 
 # Words of folded labels and the field that they mean; the first rule that fits counts.
 PROGRAM_FIELDS = (
@@ -72,12 +77,17 @@ def _has(h: Column, words) -> Column:
     return any_of(h.contains(w) for w in words)
 
 
+def fold_cells(tables: DataFrame) -> DataFrame:
+    """Adds folded, the folded texts of the cells by row."""
+    return tables if "folded" in tables.columns else tables.withColumn("folded", F.transform("rows", lambda r: F.transform(r, lambda c: norm(c["text"]))))
+
+
 def with_header(tables: DataFrame, words) -> DataFrame:
     """Adds header_row, the first of the first four rows with a cell that holds one of the words (-1 without), and header, its folded cells."""
-    hit = lambda i: F.coalesce(F.exists(F.get("rows", i), lambda c: _has(norm(c["text"]), words)), F.lit(False))
+    hit = lambda i: F.coalesce(F.exists(F.get("folded", i), lambda c: _has(c, words)), F.lit(False))
     at = F.coalesce(*(F.when(hit(F.lit(i)), F.lit(i)) for i in range(4)), F.lit(-1))
-    cells = F.coalesce(F.transform(F.get("rows", F.col("header_row")), lambda c: norm(c["text"])), F.array().cast("array<string>"))
-    return tables.withColumn("header_row", at).withColumn("header", cells)
+    cells = F.coalesce(F.get("folded", F.col("header_row")), F.array().cast("array<string>"))
+    return fold_cells(tables).withColumn("header_row", at).withColumn("header", cells)
 
 
 def _column(*tests) -> Column:
@@ -108,20 +118,28 @@ def course_sections(tables: DataFrame) -> DataFrame:
 
     Tables of two columns with a key that starts with dersin are details, too; other tables are unknown, or null without any text.
     """
-    headed = with_header(tables, SUMMARY)
+    headed = with_header(tables, SUMMARY).withColumn("_name", norm(F.concat_ws(" ", "label", "title")))
     could = (F.col("header_row") >= 0) & F.exists("header", lambda h: _has(h, CODE))
     first = F.min(F.when(could, F.col("idx"))).over(Window.partitionBy("page_id"))  # a page's tables
-    name = norm(F.concat_ws(" ", "label", "title"))
     rule = F.when(could & (F.col("idx") == first), "summary")
     for section, groups in SECTIONS:
-        rule = rule.when(reduce(lambda x, y: x & y, (_has(name, g) for g in groups)), section)
-    pairs = (F.array_max(F.transform("rows", F.size)) == 2) & F.exists("rows", lambda r: (F.size(r) == 2) & norm(r[0]["text"]).startswith("dersin"))
+        rule = rule.when(reduce(lambda x, y: x & y, (_has(F.col("_name"), g) for g in groups)), section)
+    pairs = (F.array_max(F.transform("rows", F.size)) == 2) & F.exists("folded", lambda r: (F.size(r) == 2) & r[0].startswith("dersin"))
     text = F.exists("rows", lambda r: F.exists(r, lambda c: c["text"] != ""))
-    return headed.withColumn("section", rule.when(pairs, "details").when(text, "unknown")).drop("header_row", "header")
+    return headed.withColumn("section", rule.when(pairs, "details").when(text, "unknown")).drop("header_row", "header", "_name")
+
+
+def course_tables(tables: DataFrame) -> DataFrame:
+    """course_sections, written to the shared folder: what all readers of a course page take, so that pages are read and routed once."""
+    return kept(course_sections(tables))
+
+
+def _routed(tables: DataFrame) -> DataFrame:
+    return tables if "section" in tables.columns else course_sections(tables)
 
 
 def _rows_of(tables: DataFrame, section: str, words=()) -> DataFrame:
-    some = course_sections(tables).where(F.col("section") == section)
+    some = _routed(tables).where(F.col("section") == section)
     return table_rows(with_header(some, words) if words else some, *(("header_row", "header") if words else ()))
 
 
@@ -139,6 +157,12 @@ def _filled(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
 
+def table_text() -> Column:
+    """A table's filled cells, a line for each row that has one."""
+    line = lambda r: F.array_join(F.filter(F.transform(r, lambda c: c["text"]), lambda x: x != ""), " | ")
+    return F.array_join(F.filter(F.transform("rows", line), lambda x: x != ""), "\n")
+
+
 def _total(c: Column) -> Column:
     return norm(c).startswith("toplam") | norm(c).startswith("total")
 
@@ -156,16 +180,18 @@ def course_summary(tables: DataFrame) -> DataFrame:
 
 def course_details(tables: DataFrame) -> DataFrame:
     """(page_id, key, value): pairs of the details tables, the cells of the summary by their heads, and the text of unknown tables."""
-    found = course_sections(tables)
-    pairs = table_rows(found.where("section = 'details'")).select("page_id", "idx", "row", F.explode(F.sequence(F.lit(0), F.greatest(F.size("texts") - 2, F.lit(0)), F.lit(2))).alias("at"), "texts")
-    pairs = pairs.select("page_id", "idx", "row", "at", clean(F.get("texts", F.col("at"))).alias("key"), F.get("texts", F.col("at") + 1).alias("value")).where("key <> '' AND value IS NOT NULL")
-    s = with_header(found.where("section = 'summary'"), SUMMARY).select("page_id", "idx", F.lit(-1).alias("row"), F.get("rows", F.col("header_row")).alias("h"), F.get("rows", F.col("header_row") + 1).alias("v"))
-    s = s.where("v IS NOT NULL").select("page_id", "idx", "row", F.posexplode(F.arrays_zip("h", "v")).alias("at", "x")).select("page_id", "idx", "row", "at", clean(F.col("x.h.text")).alias("key"), clean(F.col("x.v.text")).alias("value")).where("key <> '' AND value <> ''")
-    line = lambda r: F.array_join(F.filter(F.transform(r, lambda c: c["text"]), lambda x: x != ""), " | ")
-    text = F.array_join(F.filter(F.transform("rows", line), lambda x: x != ""), "\n")
+    found = with_header(_routed(tables), SUMMARY)
+    entry = lambda row, at, key, value: F.struct(row.cast("int").alias("row"), at.cast("int").alias("at"), key.alias("key"), value.alias("value"))
+    text = lambda r, k: F.get(r, k)["text"]
+    places = lambda r: F.sequence(F.lit(0), F.greatest(F.size(r) - 2, F.lit(0)), F.lit(2))
+    pairs = F.flatten(F.transform("rows", lambda r, i: F.transform(places(r), lambda k: entry(i, k, clean(text(r, k)), text(r, k + 1)))))
+    pairs = F.filter(pairs, lambda e: (e["key"] != "") & e["value"].isNotNull())
+    zipped = F.arrays_zip(F.get("rows", F.col("header_row")).alias("h"), F.get("rows", F.col("header_row") + 1).alias("v"))
+    heads = F.filter(F.transform(zipped, lambda x, k: entry(F.lit(-1), k, clean(x["h"]["text"]), clean(x["v"]["text"]))), lambda e: (e["key"] != "") & (e["value"] != ""))
     name = F.when(_filled(F.col("title")), F.col("title")).when(_filled(F.col("label")), F.col("label")).otherwise(F.concat(F.lit("tablo_"), F.col("idx").cast("string")))
-    other = found.where("section = 'unknown'").select("page_id", "idx", F.lit(0).alias("row"), F.lit(0).alias("at"), F.concat(F.lit("tablo: "), name).alias("key"), text.alias("value"))
-    return pairs.union(s).union(other).groupBy("page_id", "key").agg(F.max_by("value", F.struct("idx", "row", "at")).alias("value"))
+    other = F.array(entry(F.lit(0), F.lit(0), F.concat(F.lit("tablo: "), name), table_text()))
+    entries = F.when(F.col("section") == "details", pairs).when(F.col("section") == "summary", heads).when(F.col("section") == "unknown", other)
+    return found.select("page_id", "idx", F.inline(entries)).groupBy("page_id", "key").agg(F.max_by("value", F.struct("idx", "row", "at")).alias("value"))
 
 
 def learning_outcomes(tables: DataFrame) -> DataFrame:
@@ -215,16 +241,17 @@ def resources(tables: DataFrame) -> DataFrame:
     return _ordered(rows.where(F.trim(F.replace("content", F.lit("\n"), F.lit(""))) != ""), "kind", "content")
 
 
+# Fixed value: heads such as PÇ1.
 OUTCOME_HEAD = r"^p[a-z.]{0,4}\s*([0-9]{1,2})$"
 
 
 def _wide(tables: DataFrame) -> DataFrame:
     """Adds wide_row, the first of the first four rows with two cells or more such as PÇ1, or null, and wide, the numbers of its cells."""
-    number = lambda c: F.regexp_extract(norm(c["text"]), OUTCOME_HEAD, 1).try_cast("int")
-    row = lambda i: F.coalesce(F.transform(F.get("rows", F.lit(i)), number), F.array().cast("array<int>"))
+    number = lambda c: F.regexp_extract(c, OUTCOME_HEAD, 1).try_cast("int")
+    row = lambda i: F.coalesce(F.transform(F.get("folded", F.lit(i)), number), F.array().cast("array<int>"))
     several = lambda i: F.size(F.filter(row(i), lambda n: n.isNotNull())) >= 2
     at = F.coalesce(*(F.when(several(i), F.lit(i)) for i in range(4)))
-    return tables.withColumn("wide_row", at).withColumn("wide", F.transform(F.get("rows", F.col("wide_row")), number))
+    return fold_cells(tables).withColumn("wide_row", at).withColumn("wide", F.transform(F.get("folded", F.col("wide_row")), number))
 
 
 def matrix_cells(tables: DataFrame) -> DataFrame:
@@ -246,24 +273,30 @@ def course_matrix(tables: DataFrame) -> DataFrame:
     Wide headers such as PÇ1: the highest level of all rows. Columns headed 0 to 5, three at least: the highest that is marked. Else
     the last filled cell of a numbered row.
     """
-    found = _wide(tables)
-    wide = found.where("wide_row IS NOT NULL").select("page_id", "idx", F.explode("wide").alias("po_no")).where("po_no IS NOT NULL").distinct()
-    best = matrix_cells(tables).groupBy("page_id", "idx", "po_no").agg(F.max("level").alias("level"))
-    wide = wide.join(best, ["page_id", "idx", "po_no"], "left").select("page_id", "idx", "po_no", F.lit("").alias("description"), "level")
     t = F.col("texts")
-    rows = table_rows(with_header(found.where("wide_row IS NULL"), ("katki", "duzey", "no", "cikti", "1", "5")), "header_row", "header").where((F.col("row") > F.col("header_row")) & (F.size(t) >= 2))
-    rows = rows.withColumn("po_no", ordinal_no(t[0])).where("po_no IS NOT NULL")
+    found = with_header(_wide(tables), ("katki", "duzey", "no", "cikti", "1", "5"))
+    rows = table_rows(found, "header_row", "header", "wide_row", "wide")
+    # key: the row of a contribution, -1 where all rows of a table add to one
+    entry = lambda key, po, text, level: F.struct(key.cast("int").alias("key"), po.alias("po_no"), text.alias("description"), level.cast("int").alias("level"))
+    shift = F.size(t) - F.size("wide")
+    none = F.lit(None).cast("int")
+    heads = F.transform("wide", lambda n: entry(F.lit(-1), n, F.lit(""), none))
+    most = lambda level: F.when(level <= 5, level)
+    cells = F.transform("wide", lambda n, k: entry(F.lit(-1), n, F.lit(""), most(first_int(_cell(k + shift)))))
     mark = lambda h: F.when(h.rlike("^[0-5]$"), h.cast("int"))
     marks = F.transform("header", mark)
     marked = F.size(F.filter(marks, lambda m: m.isNotNull())) >= 3
     of_marks = F.array_max(F.transform(marks, lambda m, k: F.when(m.isNotNull() & (F.trim(F.coalesce(F.get(t, k), F.lit(""))) != ""), m)))
     # from the right: the first cell that is a level, unless a filled cell that is none comes before it
-    ends = F.reverse(F.slice(F.transform(t, lambda x, k: F.struct(F.when(ordinal_no(x) <= 5, ordinal_no(x)).alias("level"), ((x != "") & (k > 1)).alias("stops"))), 2, F.size(t) - 1))
+    ends = F.reverse(F.slice(F.transform(t, lambda x, k: F.struct(most(ordinal_no(x)).alias("level"), ((x != "") & (k > 1)).alias("stops"))), 2, F.size(t) - 1))
     last = F.get(F.filter(ends, lambda e: e["level"].isNotNull() | e["stops"]), F.lit(0))["level"]
     level = F.when(marked, of_marks).otherwise(last)
-    text = (ordinal_no(t[1]).isNull() | (F.size(t) > 2)) & F.get(marks, F.lit(1)).isNull()
-    described = F.when(text & ~(~marked & level.isNotNull() & (F.size(t) == 2)), clean(t[1])).otherwise("")
-    return wide.union(rows.select("page_id", "idx", "po_no", described.alias("description"), level.alias("level")))
+    text = (ordinal_no(F.get(t, F.lit(1))).isNull() | (F.size(t) > 2)) & F.get(marks, F.lit(1)).isNull()
+    described = F.when(text & ~(~marked & level.isNotNull() & (F.size(t) == 2)), clean(F.get(t, F.lit(1)))).otherwise("")
+    own = F.array(entry(F.col("row"), ordinal_no(F.get(t, F.lit(0))), described, level))
+    entries = F.when(F.col("row") == F.col("wide_row"), heads).when(F.col("row") > F.col("wide_row"), cells).when(F.col("wide_row").isNull() & (F.col("row") > F.col("header_row")) & (F.size(t) >= 2), own)
+    found = rows.select("page_id", "idx", F.inline(F.filter(entries, lambda e: e["po_no"].isNotNull())))
+    return found.groupBy("page_id", "idx", "key", "po_no").agg(F.max("description").alias("description"), F.max("level").alias("level")).drop("key")
 
 
 # What a row of a plan leads to, a semester's heading, pages of the site.
@@ -286,25 +319,26 @@ def _course_type(text: Column) -> Column:
 
 def _plan_rows(tables: DataFrame) -> DataFrame:
     """The rows of plan tables with what each leads to, and the semester that the last heading before them names (K10)."""
-    named = with_header(tables, (*ECTS, *CODE))
     semester = lambda text: F.regexp_extract(norm(text), SEMESTER, 1).try_cast("int")
-    heads = named.select("page_id", "idx", F.lit(-1).alias("row"), semester(F.concat_ws(" ", "label", "title")).alias("says"))
-    rows = table_rows(named.where("header_row >= 0"), "header_row", "header", "refs", "classes")
+    named = with_header(tables, (*ECTS, *CODE)).withColumn("_head", F.concat_ws(" ", "label", "title"))
+    # a table's heading is its row -1; of tables that are no plan nothing else counts
+    lines = F.concat(F.array(F.array().cast("array<struct<text: string, colspan: int, header: boolean>>")), "rows")
+    rows = named.select("page_id", "idx", "header_row", "header", "refs", "classes", "_head", F.posexplode(lines).alias("row", "_c")).withColumn("row", F.col("row") - 1)
+    rows = rows.where("row < 0 OR header_row >= 0").withColumn("texts", F.transform("_c", lambda c: c["text"])).drop("_c")
     rows = rows.withColumns({"refs": F.get("refs", F.col("row")), "class": F.coalesce(F.get("classes", F.col("row")), F.lit(""))})
     course, group = _first_id(F.col("refs"), COURSE_ID), _first_id(F.col("refs"), GROUP_ID)
-    below = F.col("row") > F.col("header_row")
-    rows = rows.withColumn("id", F.when(below, F.coalesce(F.when(course != 0, course), F.when(group != 0, group)))).withColumn("is_group", F.coalesce(course, F.lit(0)) == 0)
-    says = F.when(F.col("id").isNull(), semester(F.array_join("texts", " ")))
-    rows = rows.withColumn("says", says).unionByName(heads, allowMissingColumns=True)
+    rows = rows.withColumn("below", (F.col("row") >= 0) & (F.col("row") > F.col("header_row")))
+    rows = rows.withColumn("id", F.when(F.col("below"), F.coalesce(F.when(course != 0, course), F.when(group != 0, group)))).withColumn("is_group", F.coalesce(course, F.lit(0)) == 0)
+    rows = rows.withColumn("says", F.when(F.col("row") < 0, semester(F.col("_head"))).when(F.col("id").isNull(), semester(F.array_join("texts", " "))))
     before = Window.partitionBy("page_id").orderBy("idx", "row").rowsBetween(Window.unboundedPreceding, 0)  # the rows of a page
-    return rows.withColumn("semester", F.last("says", ignorenulls=True).over(before)).where("row >= 0").withColumn("below", F.col("row") > F.col("header_row"))
+    return rows.withColumn("semester", F.last("says", ignorenulls=True).over(before)).where("row >= 0")
 
 
 def plan_entries(tables: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(page_id, ordinal, course_id, semester, code, name, type, theory, practice, lab, credit, ects, delivery, is_group, group_count, group_id) (K10).
 
-    A course comes once, where it stands first; a missing semester is filled from its next row that has one. With pages (page_id, html),
-    courses that are only linked outside of tables follow, without any fields.
+    A course comes once, where it stands first; a missing semester is filled from its next row that has one. With pages (page_id, linked: see
+    `linked_courses`), courses that are only linked outside of tables follow, without any fields.
     """
     pick = lambda *words, **kw: _cell(_column(_named(*words, **kw)))
     exact = lambda x: _cell(_column(lambda h: h == x))
@@ -324,14 +358,19 @@ def plan_entries(tables: DataFrame, pages: DataFrame | None = None) -> DataFrame
     )
     at = F.struct("idx", "row")
     fields = [c for c in rows.columns if c not in ("page_id", "idx", "row", "course_id", "semester")]
-    once = rows.groupBy("page_id", "course_id").agg(F.min(at).alias("at"), F.min_by(F.struct(*fields), at).alias("x"), F.min_by("semester", F.when(F.col("semester") > 0, at)).alias("semester"))
+    rows = rows.select("page_id", "course_id", at.alias("at"), "semester", F.struct(*fields).alias("x"))
     if pages is not None:
-        linked = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(COURSE_ID), F.lit(1))).alias("k", "c")).select("page_id", F.col("c").try_cast("long").alias("course_id"), "k").where("course_id <> 0")
-        linked = linked.join(once.select("page_id", "course_id"), ["page_id", "course_id"], "left_anti").groupBy("page_id", "course_id").agg(F.struct(F.lit(1 << 30).alias("idx"), F.min("k").alias("row")).alias("at"))
-        once = once.unionByName(linked, allowMissingColumns=True)
+        linked = pages.select("page_id", F.posexplode("linked").alias("k", "c")).select("page_id", F.col("c").try_cast("long").alias("course_id"), F.struct(F.lit(1 << 30).alias("idx"), F.col("k").alias("row")).alias("at")).where("course_id <> 0")
+        rows = rows.unionByName(linked, allowMissingColumns=True)
+    once = rows.groupBy("page_id", "course_id").agg(F.min("at").alias("at"), F.min_by("x", "at").alias("x"), F.min_by("semester", F.when(F.col("semester") > 0, F.col("at"))).alias("semester"))
     return once.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("at")).alias("ordinal"), "course_id", "semester", *(F.col(f"x.{c}").alias(c) for c in fields))
 
 
+def linked_courses(html: Column) -> Column:
+    """Numbers of all courses that a page's text links, in its order."""
+    return F.regexp_extract_all(html, F.lit(COURSE_ID), F.lit(1))
+
+
 def plan_links(tables: DataFrame) -> DataFrame:
     """(page_id, link): other pages that the rows of plan tables lead to, such as pools of electives."""
     rows = _plan_rows(tables).where("below AND id IS NULL AND says IS NULL")
@@ -382,6 +421,49 @@ def unit_about(header: Column, content: Column) -> Column:
     return F.struct(F.when(norm(name) != "fakulte", name).alias("name"), content.alias("about"))
 
 
+# The elements that hold a unit page's heading and text; words of the heading of a program page, and of its table of figures and their fields.
+UNIT_HEADER, UNIT_CONTENT = "lblheader", "lblcontent"
+PROGRAM_HEADING, FIGURES = ("program", "bilgi"), (("dili", "language"), ("azami", "max_duration_years"), ("suresi", "duration_years"), ("kontenjan", "quota"), ("staj", "internship"))
+
+
+def unit_about_pages(parsed: DataFrame) -> DataFrame:
+    """(page_id, name, about) of unit pages, parsed with their spans: the last heading element and the lines of the last content element; null without."""
+    last = lambda name: F.try_element_at(F.filter("spans", lambda s: F.lower(s["id"]) == name), F.lit(-1))["text"]
+    u = unit_about(F.coalesce(last(UNIT_HEADER), F.lit("")), clean_lines(last(UNIT_CONTENT)))
+    return parsed.select("page_id", u.alias("u")).select("page_id", F.nullif("u.name", F.lit("")).alias("name"), "u.about")
+
+
+def program_pages(tables: DataFrame) -> DataFrame:
+    """(page_id, name, language, duration_years, max_duration_years, quota, internship, fields, info, sections) of program pages (K6).
+
+    name is that of the first table whose label or title speaks of program information, up to ` - `. A table of two columns with a duration or a language gives
+    info; every other table with text is a section under its title or label. Figures and fields are read by the first rule that fits a key or a heading; of what
+    comes twice the last counts. A page without tables has no row.
+    """
+    folded = fold_cells(tables).withColumn("_name", norm(F.concat_ws(" ", "label", "title"))).withColumn("_text", table_text())
+    none = F.array().cast("array<struct<kind: string, key: string, value: string, row: int>>")
+    entry = lambda kind, key, value, row: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), row.cast("int").alias("row"))
+    rule = lambda text, rules: reduce(lambda c, r: c.when(text.contains(r[0]), r[1]), rules, F.when(F.lit(False), ""))
+    figure = (F.array_max(F.transform("rows", F.size)) == 2) & F.exists("folded", lambda r: (F.size(r) == 2) & (r[0] != "") & (r[0].contains("suresi") | (r[0] == "dili")))
+    pairs = F.filter(F.transform("rows", lambda r, k: F.struct(clean(F.get(r, F.lit(0))["text"]).alias("key"), F.get(r, F.lit(1))["text"].alias("value"), k.alias("row"))), lambda p: (p["key"] != "") & p["value"].isNotNull())
+    info = F.concat(F.transform(pairs, lambda p: entry("info", p["key"], p["value"], p["row"])), F.filter(F.transform(pairs, lambda p: entry("figure", rule(norm(p["key"]), FIGURES), p["value"], p["row"])), lambda e: e["key"].isNotNull()))
+    title = F.when(_filled(F.col("title")), F.col("title")).otherwise(F.coalesce("label", F.lit("")))
+    label = F.when(title != "", title).otherwise(F.concat(F.lit("tablo_"), F.col("idx").cast("string")))
+    field = rule(norm(label), PROGRAM_FIELDS)
+    section = F.when(F.col("_text") != "", F.concat(F.array(entry("section", label, F.col("_text"), F.lit(0))), F.when(field.isNotNull(), F.array(entry("field", field, F.col("_text"), F.lit(0)))).otherwise(none)))
+    name = clean(F.substring_index(title, " - ", 1))
+    named = F.when(reduce(lambda x, y: x & y, (F.col("_name").contains(w) for w in PROGRAM_HEADING)) & (name != ""), name)
+    rows = folded.select("page_id", "idx", named.alias("named"), F.coalesce(F.when(figure, info).otherwise(section), none).alias("e"))
+    # of the names the first counts
+    names = F.when(F.col("named").isNotNull(), F.array(entry("name", F.lit("name"), F.col("named"), -1 * F.col("idx")))).otherwise(none)
+    rows = rows.select("page_id", F.col("idx").alias("_i"), F.inline(F.concat("e", names))).withColumn("_i", F.when(F.col("kind") == "name", F.col("row")).otherwise(F.col("_i")))
+    pages = rows.groupBy("page_id", "kind", "key").agg(F.max_by("value", F.struct("_i", "row")).alias("value"))
+    of = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "value")))))
+    wide = pages.groupBy("page_id").agg(*(of(k).alias(k) for k in ("name", "figure", "field", "info", "section")))
+    x = F.col("figure")
+    return wide.select("page_id", F.col("name")["name"].alias("name"), x["language"].alias("language"), first_int(x["duration_years"]).alias("duration_years"), first_int(x["max_duration_years"]).alias("max_duration_years"), x["quota"].alias("quota"), x["internship"].alias("internship"), F.col("field").alias("fields"), "info", F.col("section").alias("sections"))
+
+
 def unit_selection(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(programs, units) of unit selection pages, once each by page and id.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from siteq.operators import curriculum as K
 from siteq.operators import pages as G
-from siteq.sources.shared import table
+from siteq.sources.shared import kept, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -48,13 +50,16 @@ HTML = " || ".join([
 ])
 
 
-def parsed(spark, d, html):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), F.expr(html).alias("html"))
-    return G.parse_pages(rows)
+def stored(spark, d, html):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), F.expr(html).alias("html"))
+
+
+def parsed(spark, d, html, *want):
+    return G.parse_pages(stored(spark, d, html), *want)
 
 
 def tables(spark, d, html=HTML):
-    return G.html_tables(parsed(spark, d, html))
+    return G.html_tables(parsed(spark, d, html, "tables"))
 
 
 @query("k6_labelled_fields", "SELECT p_partkey AS page_id, 'dil' || p_partkey AS language, 'amaç' AS objective, p_brand AS other FROM part")
@@ -163,8 +168,9 @@ PLAN = " || ".join([
     CAST(([p_size, 6, 4, 5, NULL])[n] AS DOUBLE) AS ects, ([false, true, false, false, NULL])[n] AS is_group, CASE n WHEN 2 THEN 2 END AS group_count, CASE n WHEN 3 THEN 900000 + p_partkey END AS group_id
     FROM part, (SELECT unnest([1, 2, 3, 4, 5]) AS n)""")
 def _(spark, d):
-    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(PLAN).alias("html"))
-    return K.plan_entries(tables(spark, d, PLAN), pages).drop("delivery")
+    pages = stored(spark, d, PLAN).withColumn("linked", K.linked_courses(F.col("html")))
+    pages = kept(G.parse_pages(pages, "tables", carry=("linked",)))  # read once for both
+    return K.plan_entries(G.html_tables(pages), pages).drop("delivery")
 
 
 @query("k10_plan_links", "SELECT p_partkey AS page_id, 'havuz.aspx?no=' || p_partkey AS link FROM part")
@@ -177,12 +183,45 @@ HEAD = """'<span id="lblProgInfoDers">Birim ' || p_size || ' / Bölüm - ' || p_
 
 @query("k11_plan_head", "SELECT p_partkey AS page_id, 'Birim ' || p_size AS unit_name, 'Bölüm - ' || p_partkey AS program_name, CASE WHEN p_partkey % 2 = 0 THEN 2019 + p_partkey % 4 ELSE 2031 END AS year, CASE WHEN p_partkey % 2 = 0 THEN 'b' || p_partkey END AS plan_id FROM part")
 def _(spark, d):
-    return K.plan_head(parsed(spark, d, HEAD))
+    return K.plan_head(parsed(spark, d, HEAD, "spans", "options"))
 
 
 @query("k11_plan_years", "SELECT p_partkey AS page_id, 'a' || p_partkey AS value, 2018 AS year, '2018 plan' AS label, false AS selected FROM part UNION ALL SELECT p_partkey, 'b' || p_partkey, 2019 + p_partkey % 4, CAST(2019 + p_partkey % 4 AS VARCHAR), p_partkey % 2 = 0 FROM part")
 def _(spark, d):
-    return K.plan_years(parsed(spark, d, HEAD))
+    return K.plan_years(parsed(spark, d, HEAD, "options"))
+
+
+@query("k13_course_rows", f"""SELECT p_partkey AS page_id, unnest(['details', 'matrix', 'learning_outcomes', 'weekly', 'workload', 'assessment', 'resources']) AS section,
+    unnest([10, CASE WHEN {K3} = 2 THEN 4 ELSE 2 END, 2, 2, 1, 1, 2]) AS n FROM part""")
+def _(spark, d):
+    """All sections of a course page from tables that are kept once."""
+    t = K.course_tables(tables(spark, d))
+    read = {"details": K.course_details(t), "matrix": K.course_matrix(t.where("section = 'matrix'")), "learning_outcomes": K.learning_outcomes(t), "weekly": K.weekly_topics(t), "workload": K.workloads(t), "assessment": K.assessments(t), "resources": K.resources(t)}
+    rows = [df.groupBy("page_id").agg(F.lit(name).alias("section"), F.count("*").alias("n")) for name, df in read.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows).select("page_id", "section", "n")
+
+
+PROGRAM = " || ".join([
+    "'<h2>Program Bilgileri</h2><table><tr><td colspan=\"2\">' || p_name || ' - Genel Bilgi Programı</td></tr><tr><td>Eğitim Süresi</td><td>' || (2 + p_partkey % 4) || ' yıl</td></tr><tr><td>Azami Süresi</td><td>7 yıl</td></tr>'",
+    "'<tr><td>Dili</td><td>dil' || p_size || '</td></tr><tr><td>Kontenjan </td><td>' || p_partkey || '</td></tr><tr><td>Zorunlu Staj</td><td>' || CASE WHEN p_partkey % 2 = 0 THEN 'var' ELSE 'yok' END || '</td></tr></table>'",
+    _table("Tarihçe", "p_brand", "'' | 'son' | ''"), _table("Mezuniyet Koşulları", "'eski'"), _table("Yeterlilik Koşulları", "'kural ' || p_partkey"), _table("Diğer", "'x' | 'y'"), "'<table><tr><td>adsız</td></tr></table><table><tr><td></td></tr></table>'",
+])
+
+
+@query("k6_program_pages", """SELECT p_partkey AS page_id, p_name AS name, 'dil' || p_size AS language, 2 + p_partkey % 4 AS duration_years, 7 AS max_duration_years, CAST(p_partkey AS VARCHAR) AS quota,
+    CASE WHEN p_partkey % 2 = 0 THEN 'var' ELSE 'yok' END AS internship, p_brand || chr(10) || 'son' AS history, 'kural ' || p_partkey AS graduation, 5 AS n_info, 'Diğer:x | y;Mezuniyet Koşulları:eski;Tarihçe:' || p_brand || chr(10) || 'son;Yeterlilik Koşulları:kural ' || p_partkey || ';tablo_5:adsız' AS sections FROM part""")
+def _(spark, d):
+    f = F.col("fields")
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("sections")), lambda e: F.concat_ws(":", e["key"], e["value"])), ";")
+    return K.program_pages(tables(spark, d, PROGRAM)).select("page_id", "name", "language", "duration_years", "max_duration_years", "quota", "internship", f["history"].alias("history"), f["graduation"].alias("graduation"), F.size("info").alias("n_info"), listed.alias("sections"))
+
+
+ABOUT = """'<span id="menu"><span id="lblHeader">' || CASE WHEN p_partkey % 3 = 0 THEN 'Fakülte' ELSE p_name || ' <i>Birimi</i>' END || ' Bilgi Paketi Tanımları</span></span><span id="lblContent"><p>İlk   ' || p_brand || '</p><div>ikinci <span>satır</span></div><br></span>'"""
+
+
+@query("k18_unit_about_pages", "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 > 0 THEN p_name || ' Birimi' END AS name, 'İlk ' || p_brand || chr(10) || 'ikinci satır' AS about FROM part")
+def _(spark, d):
+    return K.unit_about_pages(parsed(spark, d, ABOUT, "spans"))
 
 
 @query("k15_mark_empty", "SELECT p_partkey, p_partkey % 4 = 0 AS empty, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 1 END AS n_details FROM part")
@@ -208,9 +247,9 @@ UNITS = """'<head><title>curUnit=1</title></head><div class="panel-heading">List
     UNION ALL SELECT p_partkey, 70000 + p_partkey, 7, 'Bölüm B', 'Fakülte ' || p_partkey FROM part UNION ALL SELECT p_partkey, 60000 + p_partkey, NULL, 'Anabilim', 'Enstitü' FROM part
     UNION ALL SELECT p_partkey, 50000 + p_partkey, NULL, 'Program seçiniz', 'Yüksekokul' FROM part UNION ALL SELECT p_partkey, 40000 + p_partkey, NULL, p_brand, 'Yüksekokul' FROM part""")
 def _(spark, d):
-    return K.unit_selection(parsed(spark, d, UNITS))[0].drop("pos")
+    return K.unit_selection(parsed(spark, d, UNITS, "marks"))[0].drop("pos")
 
 
 @query("k17_units", "SELECT p_partkey AS page_id, 10 + p_partkey AS id, 'Fakülte ' || p_partkey AS name, NULL AS url FROM part UNION ALL SELECT p_partkey, 9, 'Okul', 'okul.aspx?curUnit=9' FROM part")
 def _(spark, d):
-    return K.unit_selection(parsed(spark, d, UNITS))[1].drop("pos")
+    return K.unit_selection(parsed(spark, d, UNITS, "marks"))[1].drop("pos")
