@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -191,15 +190,6 @@ def flag_counts(df: DataFrame) -> DataFrame:
     return df.select("device", F.explode("flags").alias("f")).groupBy("device", F.substring_index("f", "(", 1).alias("flag")).agg(F.count("*").alias("n"))
 
 
-def measure_images(files: DataFrame) -> DataFrame:
-    """(path, width, height, bytes, error) of PNG files read by the binaryFile source: from their headers, without decoding pixels."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for path, body in zip(b["path"], b["content"], strict=True):
-                png = body is not None and body[:8] == b"\x89PNG\r\n\x1a\n" and len(body) >= 24
-                out.append((path, int.from_bytes(body[16:20]) if png else None, int.from_bytes(body[20:24]) if png else None, len(body or b""), None if png else "no PNG header"))
-            yield pd.DataFrame(out, columns=["path", "width", "height", "bytes", "error"]).astype({"width": "Int64", "height": "Int64"})
-
-    return files.select("path", "content").mapInPandas(rows, "path string, width long, height long, bytes long, error string")
+def hash_bits(digits: Column) -> Column:
+    """A 64-bit hash in hexadecimal as long; null for an empty one."""
+    return F.conv(F.nullif(digits, F.lit("")), 16, -10).cast("long")

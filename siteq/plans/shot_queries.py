@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siteq.operators import shots as S
 from siteq.operators import text as X
 from siteq.operators import verify as V
 from siteq.plans import review_queries as RQ
+from siteq.sources import images as I
 from siteq.sources.shared import table
 
 QUERIES: dict = {}
@@ -52,6 +58,59 @@ def hashes(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("template"), S.dhash(F.concat("embedding", F.slice("embedding", 1, 8))).alias("hash"))
 
 
+def png(pixels: np.ndarray, colour: int) -> bytes:
+    """A PNG file of grey pixels, as colour type 0, 2 or 6; the rows take all five filters in turn."""
+    h, w = pixels.shape
+    x = np.repeat(pixels[:, :, None], {0: 1, 2: 3, 6: 4}[colour], axis=2).astype(np.int16)
+    left, up, corner = np.pad(x, ((0, 0), (1, 0), (0, 0)))[:, :-1], np.pad(x, ((1, 0), (0, 0), (0, 0)))[:-1], np.pad(x, ((1, 0), (1, 0), (0, 0)))[:-1, :-1]
+    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+    guesses = (0 * x, left, up, (left + up) >> 1, np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner)))
+    rows = b"".join(bytes([r % 5]) + ((x[r] - guesses[r % 5][r]) & 255).astype(np.uint8).tobytes() for r in range(h))
+    chunk = lambda kind, data: len(data).to_bytes(4) + kind + data + zlib.crc32(kind + data).to_bytes(4)
+    return I.START + chunk(b"IHDR", w.to_bytes(4) + h.to_bytes(4) + bytes([8, colour, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def pictures(spark, d):
+    """(path, content): a picture of 17 x 16 for each vector; of some the file is cut short."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grey = np.clip(np.floor(128 + 300 * np.resize(np.array(v, float), 272)), 0, 255).astype(np.uint8)
+                body = png(grey.reshape(16, 17), (0, 2, 6)[k % 3])
+                files.append(body[:-20] if k % 37 == 5 else body)
+            yield pa.record_batch({"path": batch.column(0).cast(pa.string()), "content": pa.array(files, pa.binary())})
+
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(rows, "path string, content binary")
+
+
+def _weight(n: int, to: int) -> str:
+    """SQL of the weights of a triangle filter, in parts of 2^22."""
+    return f"SELECT i, x, CAST(floor(0.5 + w / sum(w) OVER (PARTITION BY i) * 4194304) AS BIGINT) AS k FROM (SELECT i, x, greatest(0.0, 1 - abs(x + 0.5 - (i + 0.5) * ({n}.0 / {to})) / ({n}.0 / {to}))::DOUBLE AS w FROM range({to}) a(i), range({n}) b(x)) WHERE w > 0"
+
+
+def _hash(source: str, width: int) -> str:
+    """SQL of a hash in hexadecimal of (vec_id, r, c, p)."""
+    bits = f"SELECT vec_id, r * {width - 1} + c AS spot, CASE WHEN p > lead(p) OVER (PARTITION BY vec_id, r ORDER BY c) THEN 1 ELSE 0 END AS b, c FROM {source}"
+    nibbles = f"SELECT vec_id, spot // 4 AS n, sum(b * (8 >> (spot % 4)::INT)) AS x FROM ({bits}) WHERE c < {width - 1} GROUP BY ALL"
+    return f"SELECT vec_id, string_agg(substr('0123456789abcdef', x::INT + 1, 1), '' ORDER BY n) AS h FROM ({nibbles}) GROUP BY vec_id"
+
+
+IMAGES_SQL = f"""WITH px AS (SELECT vec_id, r, c, greatest(0, least(255, floor(128 + 300 * CAST(embedding[((r * 17 + c) % 64 + 1)::INT] AS DOUBLE))))::BIGINT AS p FROM embeddings, range(16) a(r), range(17) b(c)),
+wx AS ({_weight(17, 9)}), wy AS ({_weight(16, 8)}),
+across AS (SELECT vec_id, r, i AS c, least(255, (sum(k * p)::BIGINT + 2097152) >> 22) AS p FROM px JOIN wx ON c = x GROUP BY vec_id, r, i),
+down AS (SELECT vec_id, i AS r, c, least(255, (sum(k * p)::BIGINT + 2097152) >> 22) AS p FROM across JOIN wy ON r = x GROUP BY vec_id, i, c),
+h64 AS ({_hash("down", 9)}), h256 AS ({_hash("px", 17)}), s AS (SELECT vec_id, round(stddev_pop(p), 2) AS std FROM px GROUP BY vec_id)
+SELECT vec_id::VARCHAR AS path, CASE WHEN bad THEN 0 ELSE 17 END::BIGINT AS width, CASE WHEN bad THEN 0 ELSE 16 END::BIGINT AS height, CASE WHEN bad THEN 0 ELSE std END AS std, CASE WHEN bad THEN '' ELSE h64.h END AS dh64, CASE WHEN bad THEN '' ELSE h256.h END AS dh256,
+CASE WHEN bad THEN 'the file ends early' ELSE '' END AS error FROM (SELECT vec_id, vec_id % 37 = 5 AS bad FROM embeddings) JOIN s USING (vec_id) JOIN h64 USING (vec_id) JOIN h256 USING (vec_id)"""
+
+
+@query("e1_measure_images", IMAGES_SQL)
+def _(spark, d):
+    return I.measure_images(pictures(spark, d)).drop("bytes")
+
+
 @query("e2_dhash", f"SELECT vec_id, {BITS} AS bits FROM ({GRID})")
 def _(spark, d):
     return hashes(spark, d).select("vec_id", F.lpad(F.bin("hash"), 64, "0").alias("bits"))
