@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siteq.functions import urls as U
+from siteq.operators.text import norm
 
 
 def merge_policy(old: DataFrame, new: DataFrame, key: list[str], policy: dict[str, str]) -> DataFrame:
@@ -46,9 +47,15 @@ def purge_guesses(outcomes: DataFrame, official: DataFrame) -> DataFrame:
 def replace_plan(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old plan rows without those of a replaced plan, and the new rows. A plan is replaced by id, or, where the old row or the new plan has none, by its year (null equals null)."""
     plans = new.select("program_id", "plan_id", "plan_year").distinct().alias("p")
-    o = old.alias("o")
-    same = (F.col("o.plan_id") == F.col("p.plan_id")) | ((F.col("o.plan_id").isNull() | F.col("p.plan_id").isNull()) & F.col("o.plan_year").eqNullSafe(F.col("p.plan_year")))
-    return o.join(plans, (F.col("o.program_id") == F.col("p.program_id")) & same, "left_anti").unionByName(new)
+    by_id = old.join(plans.select("program_id", "plan_id"), ["program_id", "plan_id"], "left_anti").alias("o")
+    same = (F.col("o.program_id") == F.col("p.program_id")) & F.col("o.plan_year").eqNullSafe(F.col("p.plan_year")) & (F.col("o.plan_id").isNull() | F.col("p.plan_id").isNull())
+    return by_id.join(plans, same, "left_anti").select(*old.columns).unionByName(new)
+
+
+def curriculum_years(programs: DataFrame, plans: DataFrame) -> DataFrame:
+    """programs with curriculum_year from the last plan (program_id, plan_year, archived, seq) that has a year and is not archived; without one it stays."""
+    last = plans.where("plan_year IS NOT NULL AND NOT coalesce(archived, false)").groupBy("program_id").agg(F.max_by("plan_year", "seq").alias("_y"))
+    return programs.join(last, "program_id", "left").withColumn("curriculum_year", F.coalesce("_y", "curriculum_year")).select(*programs.columns)
 
 
 def replace_children(old: DataFrame, new: DataFrame, key: str, written: DataFrame) -> DataFrame:
@@ -122,6 +129,37 @@ def share_pool(entries: DataFrame) -> DataFrame:
     return pool.join(lead, "k").where("course_id <> source_id").select("course_id", F.col("source_id").alias("detail_source_id")).distinct()
 
 
+# Child tables whose rows a copy takes and those that stay a course's own, and the folded detail that is left out.
+COPIED, OWN = ("learning_outcomes", "weekly_topics", "resources", "assessments", "workloads"), ("contributions", "outcome_matrix")
+OWN_DETAIL = "bolumu / programi"
+
+
+def copy_content(courses: DataFrame, children: dict[str, DataFrame], shared: DataFrame, fields: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(courses, children) after the copies of share_pool (course_id, detail_source_id) have taken the content of their sources (L20).
+
+    A copy's fields become its source's, but for department, which goes, and the detail of the department; what it had in child tables is replaced: by its source's rows
+    in COPIED, under its own course_id and with their ordinals, by none in OWN. Columns `id` of children are dropped where rows are new, for the table gives them. Courses
+    that are no copy, and copies whose source is missing, stay.
+    """
+    sources = courses.select(F.col("course_id").alias("detail_source_id"), F.struct(*fields).alias("_s"))
+    taken = shared.select("course_id", "detail_source_id").join(sources, "detail_source_id")
+    value = lambda c: F.lit(None).cast(courses.schema[c].dataType) if c == "department" else F.map_filter("_s.details", lambda k, v: norm(k) != OWN_DETAIL) if c == "details" else F.col(f"_s.{c}")
+    rows = courses.drop("detail_source_id").join(taken, "course_id", "left")
+    out = rows.select(*(F.when(F.col("_s").isNotNull(), value(c)).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in courses.columns if c != "detail_source_id"), "detail_source_id")
+    copies = taken.select("course_id", "detail_source_id")
+    tables = {}
+    for name in (*COPIED, *OWN):
+        if name not in children:
+            continue
+        child = children[name]
+        own = child.join(copies.select("course_id"), "course_id", "left_anti").select(*child.columns)
+        if name in COPIED:
+            more = child.withColumnRenamed("course_id", "detail_source_id").join(copies, "detail_source_id").drop("detail_source_id", "id")
+            own = own.unionByName(more, allowMissingColumns=True)
+        tables[name] = own
+    return out, tables
+
+
 def detail_plan(entries: DataFrame, mode: str) -> DataFrame:
     """(course_id, owner) to fetch: direct rows always, pool rows by mode off, shared (one a code) or all; the first entry's program owns a course."""
     rows = entries.where("NOT is_group")
@@ -133,11 +171,20 @@ def detail_plan(entries: DataFrame, mode: str) -> DataFrame:
 
 
 def older_years(options: DataFrame, n: int) -> DataFrame:
-    """The n - 1 newest plans of each program that are neither selected nor current; n = 0: all."""
+    """The n - 1 newest plans of each program that are neither selected nor current: all below 0, none for 0 and 1."""
     rows = options.where(~F.col("selected") & (F.col("plan_id") != F.col("current_id")))
     w = Window.partitionBy("program_id").orderBy(F.desc("year"), F.desc("plan_id"))
     ranked = rows.withColumn("rank", F.row_number().over(w))
-    return (ranked.where(F.col("rank") <= n - 1) if n else ranked).select("program_id", "plan_id", "year", "rank")
+    return (ranked.where(F.col("rank") <= n - 1) if n >= 0 else ranked).select("program_id", "plan_id", "year", "rank")
+
+
+def find_plan(options: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(program_id, want, plan_id, year) for each wanted plan (program_id, want): the first option (program_id, plan_id, year, pos) whose id is the text wanted, else the first of that year; null without one."""
+    o = options.select("program_id", F.col("plan_id").cast("string").alias("_id"), "plan_id", "year", "pos")
+    rows = wanted.join(o, "program_id", "left")
+    rank = F.when(F.col("_id") == F.col("want"), 0).when(F.when(F.col("want").rlike("^[+-]?[0-9]+$"), F.col("want").try_cast("int")) == F.col("year"), 1)
+    best = F.min_by(F.struct("plan_id", "year"), F.when(rank.isNotNull(), F.struct(rank, "pos"))).alias("x")
+    return rows.groupBy("program_id", "want").agg(best).select("program_id", "want", "x.plan_id", "x.year")
 
 
 def merge_subpages(main: DataFrame, sub: DataFrame) -> DataFrame:
@@ -156,12 +203,12 @@ def correct_unit_names(units: DataFrame, plans: DataFrame) -> DataFrame:
     return units.join(plans, "unit_id", "left").select("unit_id", F.coalesce(F.nullif(F.trim("header_unit"), F.lit("")), F.col("name")).alias("name"))
 
 
-def site_key(url: Column) -> Column:
-    """The site's name from its host: known prefixes and suffixes off, other characters to _, public for the default site."""
+def site_key(url: Column, home: str | None = None) -> Column:
+    """The site's name from its host: known prefixes and suffixes off, other characters to _, public for the home site's host."""
     host = F.lower(U.authority(url))
     bare = F.regexp_replace(F.regexp_replace(host, "^(obs|www)[.]", ""), "([.](edu|com|org))?[.]tr$", "")
     name = F.regexp_replace(bare, "[^a-z0-9]+", "_")
-    return F.when(host == "obs.mersin.edu.tr", "public").when(name.rlike("^[0-9]"), F.concat(F.lit("s_"), name)).otherwise(name)
+    return F.when(host == (home or "").lower(), "public").when(name.rlike("^[0-9]"), F.concat(F.lit("s_"), name)).otherwise(name)
 
 
 def site_conflicts(urls: DataFrame) -> DataFrame:

@@ -171,8 +171,31 @@ def shot_representatives(clusters: DataFrame, n: int = 3, least: int = 5) -> Dat
     return ranked.where(((F.col("size") >= least) & (F.col("rank") <= n)) | (F.col("rank") == 1)).select("template", "cluster", "id", "size")
 
 
-def template_summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("template").agg(F.count_distinct("page").alias("n_pages"), F.count_if(F.size("flags") > 0).alias("n_flagged"), F.min("page").alias("sample"))
+def chosen_shots(shots: DataFrame, clusters: DataFrame, n: int = 3, least: int = 5) -> DataFrame:
+    """(template, page, reason, device, id, n_pages): the pages that stand for each template, with all their devices (E15).
+
+    Those of shot_representatives by falling size of their cluster, and the widest page of a template of which some shot overflows; a page that is picked twice has its
+    first reason. n_pages are those of the template. Takes shots (template, page, device, id, width, flags) and clusters (template, cluster, id, height).
+    """
+    page = shots.select("template", "id", "page")
+    middle = shot_representatives(clusters, n, least)
+    order = Window.partitionBy("template").orderBy(F.desc("size"), "cluster")
+    middle = middle.withColumn("rank", F.row_number().over(order)).join(page, ["template", "id"])  # n rows of a template
+    picks = middle.select("template", "page", "rank", F.concat(F.lit("görsel küme "), "rank", F.lit(" ("), "size", F.lit(" sayfa)")).alias("reason"))
+    over = shots.where(F.exists("flags", lambda f: f.startswith("TASMA"))).groupBy("template").agg(F.min_by("page", F.struct(-F.col("width"), "id")).alias("page"), F.count("*").alias("k"))
+    picks = picks.unionByName(over.select("template", "page", F.lit(1 << 30).alias("rank"), F.concat(F.lit("en çok taşan sayfa ("), "k", F.lit(" taşma)")).alias("reason")))
+    once = picks.groupBy("template", "page").agg(F.min_by("reason", "rank").alias("reason"))
+    pages = shots.groupBy("template").agg(F.count_distinct("page").alias("n_pages"))
+    return once.join(pages, "template").join(shots.select("page", "device", "id"), "page").select("template", "page", "reason", "device", "id", "n_pages")
+
+
+def template_summary(df: DataFrame, clusters: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """(template, n_pages, n_flagged, sample) of shots; with clusters and chosen_shots also n_clusters and n_chosen, the pages that stand for it (E16)."""
+    rows = df.groupBy("template").agg(F.count_distinct("page").alias("n_pages"), F.count_if(F.size("flags") > 0).alias("n_flagged"), F.min("page").alias("sample"))
+    for part, of, name in ((clusters, "cluster", "n_clusters"), (chosen, "page", "n_chosen")):
+        if part is not None:
+            rows = rows.join(part.groupBy("template").agg(F.count_distinct(of).alias(name)), "template", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return rows
 
 
 def scan_totals(df: DataFrame) -> DataFrame:

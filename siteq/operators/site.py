@@ -39,21 +39,46 @@ def first_seen(df: DataFrame, key: str, order: Column, keep: list[str]) -> DataF
     return df.groupBy(key).agg(F.min_by(F.struct(*keep), order).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in keep))
 
 
-def crawl_reach(links: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(url, depth, source): breadth-first reachability over links (src, dst) from seeds (url).
+def _numbered(rows: DataFrame, order: list[str], base: int) -> DataFrame:
+    """rows with ord: their place in the given order, counted on from base, written to the shared folder.
 
-    A level is one join of the frontier with the links and one anti join with what is known; levels are written to the
-    shared folder, so lineage stays short and lost executors cost nothing. The source is the smallest of the last level.
+    Ranges of the order go to tasks, rows are counted within each, and the tasks' counts, a number for each, are added up; no task sorts all rows.
     """
-    frontier = kept(seeds.select(F.col("url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("source")).dropDuplicates(["url"]))
-    known = frontier
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(links, frontier["url"] == links["src"]).groupBy(F.col("dst").alias("url")).agg(F.lit(depth).alias("depth"), F.min("src").alias("source"))
-        frontier = kept(step.join(known.select("url"), "url", "left_anti"))
+    spark = rows.sparkSession
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_k": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    parts = kept(parts)
+    starts, at = [], base
+    for r in parts.groupBy("_part").agg(F.max("_k").alias("k")).orderBy("_part").collect():
+        starts.append((r["_part"], at))
+        at += r["k"] + 1
+    starts = spark.createDataFrame(starts, "_part int, _at long")  # a row for each task
+    return parts.join(F.broadcast(starts), "_part").withColumn("ord", F.col("_at") + F.col("_k")).select(*rows.columns, "ord")
+
+
+def crawl_reach(links: DataFrame, seeds: DataFrame, max_depth: int = 10, max_pages: int | None = None) -> DataFrame:
+    """(url, depth, source, ord): breadth-first reachability over links (src, dst, and pos, their order on the page) from seeds (url, and pos), up to max_pages.
+
+    A URL's source is the page that a queue would have found it on: the first in order, and there the first link; ord is its place in the queue. Without pos, links
+    and seeds go by URL. A level is one join of the frontier with the links and one anti join with what is known. Levels are written to the shared folder, so
+    lineage stays short and lost executors cost nothing; a cap that falls inside a level cuts it in the order of the queue.
+    """
+    pos = lambda df: F.col("pos") if "pos" in df.columns else F.lit(0)
+    links = links.where("dst IS NOT NULL").select("src", "dst", pos(links).cast("long").alias("_pos"))
+    first = seeds.where("url IS NOT NULL").groupBy("url").agg(F.min(pos(seeds)).cast("long").alias("_pos")).select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("source"), F.lit(-1).cast("long").alias("_from"), "_pos")
+    level, known, n = first, None, 0
+    for depth in range(max_depth + 1):
+        frontier = _numbered(level, ["_from", "_pos", "url"], n)
+        frontier = kept(frontier.where(F.col("ord") < max_pages) if max_pages is not None else frontier).select("url", "depth", "source", "ord")
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier)
-    return known
+        known = frontier if known is None else known.unionByName(frontier)
+        n = frontier.agg(F.max("ord")).first()[0] + 1
+        if depth == max_depth or (max_pages is not None and n >= max_pages):
+            break
+        found = frontier.join(links, F.col("url") == F.col("src")).groupBy("dst").agg(F.min(F.struct("ord", "_pos", "src")).alias("x"))
+        level = found.select(F.col("dst").alias("url"), F.lit(depth + 1).alias("depth"), F.col("x.src").alias("source"), F.col("x.ord").alias("_from"), F.col("x._pos").alias("_pos"))
+        level = level.join(known.select("url"), "url", "left_anti")
+    return known if known is not None else kept(first.select("url", "depth", "source", F.col("_pos").alias("ord")))
 
 
 def document_links(classified: DataFrame) -> DataFrame:
@@ -89,19 +114,71 @@ def sitemap_urls(xml: DataFrame, col: str = "xml") -> tuple[DataFrame, DataFrame
     return loc.where(~nested).select("url", F.lit(1).alias("depth"), F.lit("sitemap").alias("source")).distinct(), loc.where(nested).distinct()
 
 
+def expand_sitemaps(maps: DataFrame, starts: DataFrame, hosts: list[str], exclude: list[str] | None = None, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(pages, read): what stored sitemaps (url, xml) list, from the starts (url, pos) on, following nested ones (A14).
+
+    read: url, depth and ord of the maps that were gone through, `most` at most, in the order in which they come up; each once, whatever cycles they make, and those
+    that are not stored count as well. pages: url, depth 1 and source sitemap, the pages of the site among their other addresses, normalised against the map, once each.
+    """
+    locs = maps.select(F.col("url").alias("src"), F.posexplode(F.regexp_extract_all("xml", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("pos", "dst"))
+    last = F.element_at(F.split(F.lower("dst"), "/"), -1)
+    locs = kept(locs.withColumn("nested", F.lower("dst").endswith(".xml") | last.contains("sitemap")))
+    read = crawl_reach(locs.where("nested"), starts, most, most)
+    pages = locs.where("NOT nested").join(read.select(F.col("url").alias("src")), "src").select(U.normalize_url(F.col("dst"), F.col("src")).alias("url")).distinct()
+    pages = pages.where(U.classify_url(F.col("url"), U.in_site(U.authority(F.col("url")), hosts), exclude=exclude or []) == "sayfa")
+    return pages.select("url", F.lit(1).alias("depth"), F.lit("sitemap").alias("source")), read
+
+
+def _unquoted(text: Column) -> Column:
+    """text with its percent codes read, or as it is if some are wrong."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """(host, rule_no, prefix, allow) of the groups of robots.txt bodies (host, body) that are for the agent (A15), for `robots_filter`.
+
+    A group is one or more user-agent lines and what follows up to a blank line or the next user-agent line after a rule; of these the first counts
+    whose name is part of the agent's, up to a slash and without case, else the first for all. Rules outside of groups are left out, as are comments and other fields.
+    A disallow line without a path allows all. A host's lines are one window.
+    """
+    lines = robots.select("host", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("k", "raw"))
+    bare = F.trim(F.regexp_replace("raw", "#.*$", ""))
+    pair = F.split(bare, ":", 2)
+    lines = lines.select("host", "k", (F.trim("raw") == "").alias("_blank"), F.lower(F.trim(F.get(pair, F.lit(0)))).alias("field"), F.trim(F.get(pair, F.lit(1))).alias("value"))
+    number = F.col("field").isin("crawl-delay") & F.col("value").rlike("^[0-9]+$") | ((F.col("field") == "request-rate") & F.col("value").rlike("^[0-9]+/[0-9]+$"))
+    kind = F.when(F.col("_blank"), "end").when(F.col("value").isNull(), None).when(F.col("field") == "user-agent", "agent").when(F.col("field").isin("allow", "disallow"), "rule").when(number, "other")
+    rows = lines.withColumn("kind", kind).where("kind IS NOT NULL")
+    w = Window.partitionBy("host").orderBy("k")  # a file's lines
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c: F.max(F.when(c, F.col("k"))).over(before)
+    # rules count from an agent line on, up to the next blank line
+    rows = rows.withColumn("_agent", last(F.col("kind") == "agent")).withColumn("_end", last(F.col("kind") == "end"))
+    rows = rows.where((F.col("kind").isin("agent", "end")) | (F.col("_agent") > F.coalesce("_end", F.lit(-1))))
+    rows = rows.withColumn("_new", ((F.col("kind") == "agent") & (F.coalesce(F.lag("kind").over(w), F.lit("end")) != "agent")).cast("int"))
+    rows = rows.withColumn("grp", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    name = F.lower(F.when(F.col("kind") == "agent", F.col("value")))
+    groups = rows.groupBy("host", "grp").agg(F.bool_or(F.col("kind").isin("rule", "other")).alias("some"), F.bool_or(name == "*").alias("_all"), F.bool_or(F.lit(agent.split("/")[0].lower()).contains(name)).alias("mine"))
+    rank = F.struct(F.col("_all").cast("int"), "grp")
+    chosen = groups.where("some AND (_all OR mine)").groupBy("host").agg(F.min_by("grp", rank).alias("grp"))
+    allow = (F.col("field") == "allow") | (F.col("value") == "")
+    prefix = F.when(F.col("value") == "*", "").otherwise(F.col("value"))
+    return rows.where("kind = 'rule'").join(chosen, ["host", "grp"]).select("host", F.col("k").alias("rule_no"), prefix.alias("prefix"), allow.alias("allow"))
+
+
 def robots_filter(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """URLs that the rules (rule_no, prefix, allow; of a host with a column host, else of all) let through: the first rule whose prefix starts the path decides; none allows.
+    """URLs that the rules (rule_no, prefix, allow; of a host with a column host, else of all) let through: the first rule whose prefix starts the path and query decides; none allows.
 
-    A host's rules, a few lines, come to each of its URLs as one array, so repeated rows stay and no URL meets another host's rules.
+    Percent codes are read on both sides. A host's rules, a few lines, come to each of its URLs as one array, so repeated rows stay and no URL meets another host's rules.
     """
-    path = F.when(U.path(F.col(url)) == "", F.lit("/")).otherwise(U.path(F.col(url)))
-    packed = F.array_sort(F.collect_list(F.struct("rule_no", "prefix", "allow"))).alias("_rules")
+    rest = F.regexp_replace(F.col(url), "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
+    path = _unquoted(F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+    packed = F.array_sort(F.collect_list(F.struct("rule_no", _unquoted(F.col("prefix")).alias("prefix"), "allow"))).alias("_rules")
     if "host" in rules.columns:
         hit = urls.withColumn("_host", U.host(F.col(url))).join(rules.groupBy(F.col("host").alias("_host")).agg(packed), "_host", "left")
     else:
         hit = urls.join(F.broadcast(rules.agg(packed)))  # one row
-    decides = F.get(F.filter("_rules", lambda r: path.startswith(r["prefix"])), F.lit(0))
-    return hit.where(F.coalesce(decides["allow"], F.lit(True))).select(*urls.columns)
+    decides = F.get(F.filter("_rules", lambda r: F.col("_path").startswith(r["prefix"])), F.lit(0))
+    return hit.withColumn("_path", path).where(F.coalesce(decides["allow"], F.lit(True))).select(*urls.columns)
 
 
 def clean_urls(df: DataFrame, order: Column, url: str = "url") -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from siteq.functions import urls as U
 from siteq.operators import audits as A
 from siteq.operators import site as S
 from siteq.operators import tables as T
 from siteq.plans.site_queries import LINKS, STATUS, links, part, status
-from siteq.sources.shared import table
+from siteq.sources import files
+from siteq.sources.shared import shared_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,6 +68,28 @@ def _(spark, d):
     return T.latest(log, "id", "seq").select("id", "seq", "status")
 
 
+LINE = "CASE WHEN page_id % 7 = 3 THEN '{\"id\": ' || page_id WHEN page_id % 11 = 5 THEN '[' || page_id || ']' WHEN page_id % 13 = 6 THEN '{\"id\": \"x' || page_id || '\"}' ELSE '{\"seq\":' || page_id || ',\"id\":' || (page_id % 50) || ',\"more\":[1]}' END"
+BAD = "(page_id % 7 = 3 OR page_id % 11 = 5 OR page_id % 13 = 6)"
+
+
+def log(spark, d):
+    """A log of JSON lines in several files, with lines that are cut short, are no objects or do not fit, and blank ones."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    lines = table(spark, d, "pages").select(F.expr(LINE).alias("value"))
+    lines.unionByName(lines.where("value LIKE '%5}%'").select(F.lit(" ").alias("value"))).repartition(3).write.text(path)
+    return files.read_results(spark, path, Ty.StructType([Ty.StructField("id", Ty.LongType()), Ty.StructField("seq", Ty.LongType())]))
+
+
+@query("c1_scan_latest", f"SELECT page_id % 50 AS id, max(page_id) AS seq FROM pages WHERE NOT {BAD} GROUP BY 1")
+def _(spark, d):
+    return T.latest(log(spark, d)[0].select("id", "seq"), "id", "seq")
+
+
+@query("c1_scan_rejected", f"SELECT {LINE} AS value FROM pages WHERE {BAD}")
+def _(spark, d):
+    return log(spark, d)[1].select("value")
+
+
 @query("c2_security_headers", "SELECT page_id, array_to_string(list_filter(['strict-transport-security', 'content-security-policy', 'x-frame-options', 'x-content-type-options', 'referrer-policy', 'permissions-policy'], lambda h: CASE h WHEN 'x-frame-options' THEN page_id % 2 = 0 WHEN 'referrer-policy' THEN page_id % 3 = 0 ELSE false END), ',') AS present, 6 - (CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END) - (CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END) AS n_missing, false AS all_present FROM pages")
 def _(spark, d):
     headers = F.map_from_entries(F.array_compact(F.array(F.struct(F.lit("Server"), F.lit("x")), F.when(F.col("page_id") % 2 == 0, F.struct(F.lit("X-Frame-Options"), F.lit("DENY"))), F.when(F.col("page_id") % 3 == 0, F.struct(F.lit("Referrer-Policy"), F.lit("same-origin"))))))

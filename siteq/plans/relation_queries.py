@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -93,6 +94,15 @@ def _(spark, d):
     return L.replace_plan(rel(spark, d, OLD_PLAN), rel(spark, d, NEW_PLAN))
 
 
+PLANS = "SELECT l_suppkey AS program_id, CASE WHEN l_quantity < 4 THEN NULL ELSE CAST(2000 + l_partkey % 25 AS INT) END AS plan_year, l_linenumber = 2 AS archived, CAST(l_orderkey AS BIGINT) * 100000000 + l_linenumber * 10000000 + l_partkey * 100 + l_suppkey % 100 AS seq FROM lineitem WHERE l_orderkey % 3 = 0 OR l_linenumber = 2"
+CURRENT = "SELECT s_suppkey AS program_id, CAST(s_nationkey AS INT) AS curriculum_year FROM supplier"
+
+
+@query("l6_curriculum_years", f"WITH p AS ({CURRENT}), n AS ({PLANS}), y AS (SELECT program_id, arg_max(plan_year, seq) AS y FROM n WHERE plan_year IS NOT NULL AND NOT archived GROUP BY 1) SELECT program_id, coalesce(y, curriculum_year) AS curriculum_year FROM p LEFT JOIN y USING (program_id)")
+def _(spark, d):
+    return L.curriculum_years(rel(spark, d, CURRENT), rel(spark, d, PLANS))
+
+
 CHILD_OLD = "SELECT l_partkey AS course_id, l_linenumber AS ordinal, l_orderkey AS topic FROM lineitem"
 CHILD_NEW = "SELECT l_partkey AS course_id, l_linenumber AS ordinal, -l_orderkey AS topic FROM lineitem WHERE l_partkey % 5 = 0 AND l_linenumber = 1"
 
@@ -211,6 +221,28 @@ def _(spark, d):
     return L.share_pool(rel(spark, d, ENTRIES))
 
 
+CONTENT = "SELECT p_partkey AS course_id, p_brand AS department, p_name AS objective, p_size AS ects FROM part"
+CHILD = "SELECT l_partkey AS course_id, l_orderkey AS ordinal, l_suppkey AS text, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS id FROM lineitem WHERE l_linenumber = {0}"
+
+
+def copied(spark, d):
+    details = F.map_from_arrays(F.array(F.lit("Bölümü / Programı"), F.lit("Dil")), F.array("department", "objective"))
+    children = {name: rel(spark, d, CHILD.format(k)) for k, name in enumerate((*L.COPIED, *L.OWN), 1)}
+    courses = rel(spark, d, CONTENT).withColumn("details", F.when(F.col("course_id") % 7 != 0, details))
+    return L.copy_content(courses, children, L.share_pool(rel(spark, d, ENTRIES)), ["department", "objective", "details"])
+
+
+@query("l20_copied_courses", f"WITH e0 AS ({ENTRIES}), {POOL}, c AS ({CONTENT}) SELECT c.course_id, CASE WHEN s.course_id IS NULL THEN c.department END AS department, coalesce(s.objective, c.objective) AS objective, c.ects, CASE WHEN s.course_id IS NULL THEN CASE WHEN c.course_id % 7 <> 0 THEN 2 END WHEN s.course_id % 7 <> 0 THEN 1 END AS n_details, x.detail_source_id FROM c LEFT JOIN (SELECT DISTINCT * FROM copies) x ON x.course_id = c.course_id LEFT JOIN c s ON s.course_id = x.detail_source_id")
+def _(spark, d):
+    return copied(spark, d)[0].select("course_id", "department", "objective", "ects", F.when(F.col("details").isNotNull(), F.size("details")).alias("n_details"), "detail_source_id")
+
+
+@query("l20_copied_children", f"WITH e0 AS ({ENTRIES}), {POOL}, x AS (SELECT DISTINCT * FROM copies), kids AS (SELECT l_partkey AS course_id, l_orderkey AS ordinal, l_suppkey AS text, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS id, (['learning_outcomes', 'weekly_topics', 'resources', 'assessments', 'workloads', 'contributions', 'outcome_matrix'])[l_linenumber] AS name FROM lineitem) SELECT name, course_id, ordinal, text, id FROM kids WHERE course_id NOT IN (SELECT course_id FROM x) UNION ALL SELECT name, x.course_id, ordinal, text, NULL FROM kids JOIN x ON x.detail_source_id = kids.course_id WHERE name NOT IN ('contributions', 'outcome_matrix')")
+def _(spark, d):
+    rows = [t.select(F.lit(name).alias("name"), "course_id", "ordinal", "text", "id") for name, t in copied(spark, d)[1].items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query("l21_detail_plan", f"WITH e AS ({ENTRIES}), e0 AS (SELECT * FROM e WHERE NOT is_group), {POOL} SELECT course_id, arg_min(program_id, seq) AS owner FROM e0 WHERE course_id NOT IN (SELECT course_id FROM copies) GROUP BY course_id")
 def _(spark, d):
     return L.detail_plan(rel(spark, d, ENTRIES), "shared")
@@ -224,6 +256,15 @@ def _(spark, d):
     return L.older_years(rel(spark, d, OPTIONS), 3)
 
 
+CHOICES = "SELECT o_custkey AS program_id, o_orderkey AS plan_id, CAST(2000 + o_orderkey % 25 AS INT) AS year, -o_orderkey AS pos FROM orders"
+WANTED = "SELECT c_custkey AS program_id, CASE c_custkey % 3 WHEN 0 THEN CAST((SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS VARCHAR(20)) WHEN 1 THEN CAST(2000 + c_custkey % 25 AS VARCHAR(20)) ELSE 'none' END AS want FROM customer"
+
+
+@query("l22_find_plan", f"WITH o AS ({CHOICES}), w AS ({WANTED}), j AS (SELECT w.program_id, want, plan_id, year, pos, CASE WHEN CAST(plan_id AS VARCHAR) = want THEN 0 WHEN year = TRY_CAST(want AS INT) THEN 1 END AS rank FROM w LEFT JOIN o ON o.program_id = w.program_id) SELECT program_id, want, arg_min(plan_id, (rank, pos)) FILTER (WHERE rank IS NOT NULL) AS plan_id, arg_min(year, (rank, pos)) FILTER (WHERE rank IS NOT NULL) AS year FROM j GROUP BY program_id, want")
+def _(spark, d):
+    return L.find_plan(rel(spark, d, CHOICES), rel(spark, d, WANTED))
+
+
 @query("l23_merge_subpages", "SELECT p_partkey AS course_id, 'zorunlu' AS kind FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'alan' ELSE 'secmeli' END FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 5 = 0")
 def _(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("course_id"))
@@ -322,29 +363,41 @@ def _(spark, d):
     return P.eta(rows, "run_id", "t", 200_000).select("run_id", "t", F.round("remaining", 3).alias("remaining"))
 
 
-def event_files(spark, d):
-    """The events written as JSON lines, for a stream to read."""
+def event_files(spark, d, end=None):
+    """The events written as JSON lines in files that each hold rows of any time, some of them twice, and a last file with an end mark some time after the rest."""
     path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
-    observations(spark, d).withColumn("ts", F.col("t").cast("timestamp")).select("run_id", "event_id", "ts", "ratio", "skip").orderBy("ts").coalesce(1).write.json(path)  # one file, so that a batch holds the log in order
+    rows = observations(spark, d).withColumn("ts", F.col("t").cast("timestamp")).select("run_id", "event_id", "ts", "ratio", "skip")
+    rows.unionByName(rows.where("event_id % 10 = 3")).repartition(4, F.col("event_id") % 11).write.json(path)
+    if end:
+        rows.agg((F.max("ts") + F.expr(f"INTERVAL {end}")).alias("ts")).select(F.lit(-1).cast("long").alias("run_id"), F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(0.0).alias("ratio"), F.lit(False).alias("skip")).write.mode("append").json(path)
     return path
 
 
 STREAM = Ty.StructType([Ty.StructField("run_id", Ty.LongType()), Ty.StructField("event_id", Ty.LongType()), Ty.StructField("ts", Ty.TimestampType()), Ty.StructField("ratio", Ty.DoubleType()), Ty.StructField("skip", Ty.BooleanType())])
 
 
-@query("m5_eta_stream")
+@query("m5_eta_stream", ETA.replace("SELECT x.run_id, x.t, round", "SELECT x.run_id, x.t AS ts, round"))
 def _(spark, d):
-    rows = spark.readStream.schema(STREAM).json(event_files(spark, d)).select("run_id", F.col("ts").cast("double").alias("ts"), "ratio", "skip")
+    rows = R.log_stream(spark, event_files(spark, d, "401 DAYS"), STREAM, files_a_batch=2)
     out, check = (f"{shared_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("eta", "check"))
-    R.eta_stream(rows, 200_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    R.eta_stream(rows, 200_000, "400 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("run_id long, ts double, remaining double").parquet(out).withColumn("remaining", F.round("remaining", 3))
 
 
 @query("m6_results_stream", "SELECT user_id AS run_id, count(*) AS n_events FROM events GROUP BY user_id")
 def _(spark, d):
     out, check = (f"{shared_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("latest", "check"))
-    R.latest_per_key(R.results_stream(spark, event_files(spark, d), STREAM), "event_id", "ts", out, check).awaitTermination()
-    return spark.read.parquet(f"{out}/v0").groupBy("run_id").agg(F.count("*").alias("n_events"))
+    R.latest_per_key(R.log_stream(spark, event_files(spark, d), STREAM, files_a_batch=2), "event_id", ["ts"], out, check).awaitTermination()
+    return R.latest_table(spark, out, "event_id", ["ts"], STREAM).groupBy("run_id").agg(F.count("*").alias("n_events"))
+
+
+@query("m6_latest_per_run", f"WITH o AS ({OBS}) SELECT run_id, arg_max(event_id, (t, event_id)) AS event_id, arg_max(ratio, (t, event_id)) AS ratio FROM o GROUP BY run_id")
+def _(spark, d):
+    """The last event of each run, in several batches, and all of them once more by a query that starts anew."""
+    path, out = event_files(spark, d), f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}"
+    for n in (1, 3):
+        R.latest_per_key(R.log_stream(spark, path, STREAM, files_a_batch=n), "run_id", ["ts", "event_id"], out, f"{shared_dir(spark)}/check-{uuid.uuid4().hex}").awaitTermination()
+    return R.latest_table(spark, out, "run_id", ["ts", "event_id"], STREAM).select("run_id", "event_id", "ratio")
 
 
 @query("m7_kpis", f"WITH {AQ.AUDITED}, {AQ.BROKEN}, {AQ.VISUAL} SELECT (SELECT count(*) FROM pages) AS map_size, (SELECT count(DISTINCT url) FROM pages WHERE page_id % 3 > 0) AS tested, (SELECT count(*) FROM pages WHERE page_id % 3 > 0 AND {AQ.STATUS} >= 400) AS broken_pages, (SELECT count(*) FROM broken) AS broken_links, (SELECT count(*) FROM audited WHERE flag <> 'erisilebilir') AS problem_documents, (SELECT count(*) FROM vis) AS visual_defects, (SELECT count(*) FROM vis WHERE type = 'overlap') AS certain_findings, (SELECT count(DISTINCT url) FROM pages WHERE page_id % 3 > 0) / (SELECT count(*) FROM pages) AS coverage")

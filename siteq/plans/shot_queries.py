@@ -218,6 +218,30 @@ def _(spark, d):
     return S.shot_representatives(rows)
 
 
+FLAGGED = f"{SHOTS}, {STATS}, {FLAGS}, m AS (SELECT pos AS id, page, 't' || page % 12 AS template, device, width, height, flags FROM flagged), cl AS (SELECT template, height % 4 AS cluster, id, height, page FROM m WHERE NOT list_contains(flags, 'BOS_SAYFA'))"
+CHOSEN = """sz AS (SELECT *, count(*) OVER (PARTITION BY template, cluster) AS size, row_number() OVER (PARTITION BY template, cluster ORDER BY height, id) - 1 AS k FROM cl), rk AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY size DESC, cluster) AS rank FROM sz WHERE k = size // 2),
+ov AS (SELECT template, arg_min(page, (-width, id)) AS page, count(*) AS k FROM m WHERE len(list_filter(flags, lambda f: starts_with(f, 'TASMA'))) > 0 GROUP BY template),
+pk AS (SELECT template, page, rank, 'görsel küme ' || rank || ' (' || size || ' sayfa)' AS reason FROM rk WHERE (size >= 5 AND rank <= 3) OR rank = 1 UNION ALL SELECT template, page, 1000000, 'en çok taşan sayfa (' || k || ' taşma)' FROM ov),
+ch AS (SELECT template, page, arg_min(reason, rank) AS reason FROM pk GROUP BY ALL)"""
+
+
+def members(spark, d):
+    shots = flagged(spark, d).select(F.col("pos").alias("id"), "page", F.concat(F.lit("t"), F.col("page") % 12).alias("template"), "device", "width", "height", "flags")
+    clusters = shots.where(~F.array_contains("flags", "BOS_SAYFA")).select("template", (F.col("height") % 4).alias("cluster"), "id", "height")
+    return shots, clusters
+
+
+@query("e15_chosen_shots", f"WITH {FLAGGED}, {CHOSEN} SELECT ch.template, ch.page, reason, m.device, m.id, n_pages FROM ch JOIN (SELECT template, count(DISTINCT page) AS n_pages FROM m GROUP BY template) g ON g.template = ch.template JOIN m ON m.page = ch.page")
+def _(spark, d):
+    return S.chosen_shots(*members(spark, d))
+
+
+@query("e16_template_groups", f"WITH {FLAGGED}, {CHOSEN} SELECT template, count(DISTINCT page) AS n_pages, count(*) FILTER (WHERE len(flags) > 0) AS n_flagged, min(page) AS sample, (SELECT count(DISTINCT cluster) FROM cl WHERE cl.template = m.template) AS n_clusters, (SELECT count(DISTINCT page) FROM ch WHERE ch.template = m.template) AS n_chosen FROM m GROUP BY template")
+def _(spark, d):
+    shots, clusters = members(spark, d)
+    return S.template_summary(shots, clusters, S.chosen_shots(shots, clusters))
+
+
 @query("e16_template_summary", f"WITH {SHOTS}, {STATS}, {FLAGS} SELECT 't' || page % 12 AS template, count(DISTINCT page) AS n_pages, count(*) FILTER (WHERE len(flags) > 0) AS n_flagged, min(page) AS sample FROM flagged GROUP BY 1")
 def _(spark, d):
     return S.template_summary(flagged(spark, d).withColumn("template", F.concat(F.lit("t"), F.col("page") % 12)))

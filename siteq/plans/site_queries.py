@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siteq.functions import urls as U
 from siteq.operators import site as S
 from siteq.operators import tables as T
-from siteq.sources.shared import table
+from siteq.sources import files
+from siteq.sources.shared import shared_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -127,6 +130,20 @@ def _(spark, d):
     return S.crawl_reach(g, g.where(F.col("src").startswith("f")).select(F.col("src").alias("url")), 5).select("url", "depth")
 
 
+TREE = "SELECT p_partkey + 1 AS k FROM part"
+
+
+@query("a8_crawl_capped", f"SELECT 'n' || k AS url, CAST(floor(log2(k)) AS INTEGER) AS depth, CASE WHEN k > 1 THEN 'n' || k // 2 END AS source, k - 1 AS ord FROM ({TREE}), (SELECT count(*) AS n FROM part) WHERE k <= least(n * 3 // 4, 2047)")
+def _(spark, d):
+    """Numbers that link their double, the next one, their half and the first: a queue finds them in order. The cap falls inside a level."""
+    part = table(spark, d, "part").select((F.col("p_partkey") + 1).alias("k"))
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    to = F.array(F.expr("k div 2"), 2 * F.col("k"), 2 * F.col("k") + 1, F.lit(1).cast("long"))
+    most = part.count()
+    links = part.select("k", F.posexplode(to).alias("pos", "to")).where(f"to BETWEEN 1 AND {most}").select(name(F.col("k")).alias("src"), name(F.col("to")).alias("dst"), "pos")
+    return S.crawl_reach(links, spark.sql("SELECT 'n1' AS url"), 10, most * 3 // 4)
+
+
 @query("a9_document_links", f"WITH {CLASSIFIED}, o AS (SELECT dst AS url, src, row_number() OVER (PARTITION BY dst ORDER BY src, pos) AS rn FROM cls WHERE cls = 'belge') SELECT url, src FROM o WHERE rn = 1")
 def _(spark, d):
     return S.document_links(classified(spark, d).withColumn("url", F.col("dst")))
@@ -175,6 +192,27 @@ def _(spark, d):
     return S.sitemap_urls(sitemaps(spark, d))[1]
 
 
+NESTED = "'https://x.example.com/maps/sitemap-' || {0} || '.xml'"
+MAPS = f"""'<urlset><url><loc>https://x.example.com/p/' || page_id || '?utm_source=z&b=' || page_id || '#f</loc></url><url><loc>/rel/' || page_id || '</loc><loc>https://x.example.com/d.pdf</loc><loc>https://elsewhere.example.org/p</loc></url><sitemap><loc> ' || {NESTED.format("(2 * page_id + 1)")} || '</loc></sitemap><sitemap><loc>' || {NESTED.format("(2 * page_id + 2)")} || '</loc><loc>' || {NESTED.format("0")} || '</loc></sitemap></urlset>'"""
+
+
+def expanded(spark, d):
+    """Maps that each list two more, and the first again; of the last ones some are not stored."""
+    maps = table(spark, d, "pages").select(F.expr(NESTED.format("page_id")).alias("url"), F.expr(MAPS).alias("xml"))
+    starts = spark.sql(f"SELECT {NESTED.format('0')} AS url, 0 AS pos UNION ALL SELECT {NESTED.format('0')}, 1")
+    return S.expand_sitemaps(maps, starts, ["x.example.com"])
+
+
+@query("a14_expanded_pages", "SELECT unnest(['https://x.example.com/p/' || page_id || '?b=' || page_id, 'https://x.example.com/rel/' || page_id]) AS url, 1 AS depth, 'sitemap' AS source FROM pages WHERE page_id < 200")
+def _(spark, d):
+    return expanded(spark, d)[0]
+
+
+@query("a14_read_maps", f"SELECT {NESTED.format('k')} AS url, CAST(floor(log2(k + 1)) AS INTEGER) AS depth, k AS ord FROM (SELECT unnest(range(200)) AS k), (SELECT count(*) AS n FROM pages) WHERE k <= 2 * n")
+def _(spark, d):
+    return expanded(spark, d)[1].select("url", "depth", "ord")
+
+
 @query("a15_robots_filter", f"SELECT page_id FROM pages WHERE NOT (starts_with({part('url', 3)}, '/en/1') OR (starts_with({part('url', 3)}, '/de') AND NOT starts_with({part('url', 3)}, '/de/2')))")
 def _(spark, d):
     rules = spark.createDataFrame([(1, "/en/1", False), (2, "/de/2", True), (3, "/de", False)], "rule_no int, prefix string, allow boolean")
@@ -192,6 +230,48 @@ def _(spark, d):
     return S.robots_filter(pages, rules).select("page_id")
 
 
+ROBOTS = {
+    0: "# ours\nUser-agent: other\nDisallow: /\n\nUser-Agent: SiteQ\nuser-agent:second\nAllow: /en/1\nDisallow: /en # all else\nCrawl-delay: 2\nDisallow: /d%65/2\n\nDisallow: /\nUser-agent: *\nDisallow: /fr\n",
+    1: "User-agent: nobody\n\nUser-agent: *\r\nDisallow: /fr\nDisallow:\nDisallow: /en",
+}
+
+
+@query("a15_robots_text", f"SELECT page_id FROM pages WHERE NOT (length({HOST}) % 2 = 0 AND (starts_with({part('url', 3)}, '/en') AND NOT starts_with({part('url', 3)}, '/en/1') OR starts_with({part('url', 3)}, '/de/2')) OR length({HOST}) % 2 = 1 AND starts_with({part('url', 3)}, '/fr'))")
+def _(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    hosts = pages.select(U.host(F.col("url")).alias("host")).distinct()
+    robots = hosts.withColumn("body", F.when(F.length("host") % 2 == 0, ROBOTS[0]).otherwise(ROBOTS[1]))
+    return S.robots_filter(pages, S.robots_rules(robots, "siteq-bot/2.1")).select("page_id")
+
+
+LAYOUTS = "CASE g % 5 WHEN 0 THEN to_json(named_struct('url_list', u)) WHEN 1 THEN to_json(named_struct('pages', map_from_arrays(u, transform(u, x -> 1)))) WHEN 2 THEN to_json(named_struct('urls', u)) WHEN 3 THEN to_json(u) ELSE to_json(transform(u, x -> named_struct('url', x))) END"
+
+
+@query("b1_url_list", "SELECT url || '#' || page_id AS url FROM pages")
+def _(spark, d):
+    """Lists of ten URLs in five layouts."""
+    rows = table(spark, d, "pages").select(F.expr("page_id div 10").alias("g"), F.concat("url", F.lit("#"), "page_id").alias("url"))
+    texts = rows.groupBy("g").agg(F.collect_list("url").alias("u")).select(F.expr(LAYOUTS).alias("value"))
+    return files.url_list(texts).select("url")
+
+
+@query("m8_csv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', \"x\"; y' AS name FROM customer")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("\ufeffc_custkey"), F.concat("c_name", F.lit(', "x"; y')).alias("name"))
+    rows.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return files.read_csv_auto(spark, path).select("c_custkey", F.col("name"))
+
+
+@query("k19_decode_pages", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<meta charset=\"iso-8859-1\">' ELSE '' END || 'ñé ' || url AS text FROM pages")
+def _(spark, d):
+    """Bytes of a declared charset, and of UTF-8 without a declaration."""
+    declared = F.col("page_id") % 3 == 0
+    said = F.concat(F.when(declared, '<meta charset="iso-8859-1">').otherwise(""), F.lit("ñé "), "url")
+    rows = table(spark, d, "pages").select("page_id", F.when(declared, F.encode(said, "ISO-8859-1")).otherwise(F.encode(said, "UTF-8")).alias("content"))
+    return files.decode_pages(rows).select("page_id", "text")
+
+
 @query("a16_pending", "SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 3 = 0)")
 def _(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")

@@ -1,4 +1,4 @@
-"""Streams: results that are appended to files, and time estimates kept as state."""
+"""Streams: the latest row of each key as keyed state with a log of changes, and time estimates in event-time order."""
 
 from __future__ import annotations
 
@@ -6,49 +6,108 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.utils import AnalysisException
 
 
-def results_stream(spark: SparkSession, path: str, schema: StructType, late: str = "1 hour") -> DataFrame:
-    """Appended JSON lines as a stream, without exact repeats within the watermark. The event time column is ts."""
-    rows = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([f.name for f in schema.fields])
+def log_stream(spark: SparkSession, path: str, schema: StructType, files_a_batch: int | None = None) -> DataFrame:
+    """Appended JSON lines as a stream; lines that are no record are dropped, which `siteq.sources.files.read_results` lists."""
+    reader = spark.readStream.schema(schema).option("mode", "DROPMALFORMED")
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(path)
 
 
-def latest_per_key(stream: DataFrame, key: str, order: str, out: str, checkpoint: str):
-    """Starts a query that keeps the table at `out` up to date with the last row of each key. Batches are merged, so a replay changes nothing."""
+def results_stream(spark: SparkSession, path: str, schema: StructType, late: str = "1 hour", files_a_batch: int | None = None) -> DataFrame:
+    """log_stream without exact repeats within the watermark. The event time column is ts."""
+    return log_stream(spark, path, schema, files_a_batch).withWatermark("ts", late).dropDuplicatesWithinWatermark([f.name for f in schema.fields])
 
-    def merge(batch: DataFrame, number: int) -> None:
-        from siteq.operators.tables import latest
 
+def _order(order: list[str]):
+    return F.struct(*order)
+
+
+def latest_per_key(stream: DataFrame, key: str, order: list[str], out: str, checkpoint: str):
+    """Starts a query that logs the rows of a stream that become the last of their key, by `order`; `latest_table` reads the table that they make.
+
+    The last row of each key is state, so a batch costs what it brings: it appends the keys that it changes as out/changes/batch=N. Once the log
+    since the last snapshot has as many rows as that, the next snapshot is made of both, so snapshots cost no more than the log, over time. Exact repeats and rows that come
+    late change nothing, and a batch that runs again overwrites what it wrote. Rows that tie in `order` are compared by their other columns.
+    """
+    rest = [c for c in stream.columns if c != key]
+    last = F.max(F.struct(_order(order).alias("_o"), F.struct(*rest).alias("_r"))).alias("_x")
+    changed = stream.groupBy(key).agg(last).select(key, *(F.col(f"_x._r.{c}").alias(c) for c in rest))
+
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target, before = f"{out}/v{number}", f"{out}/v{number - 1}"
-        if number:
-            batch = spark.read.schema(batch.schema).parquet(before).unionByName(batch)
-        latest(batch, key, order).select(*batch.columns).write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
+        upto, snapshot, changes = _parts(spark, out, batch.schema)
+        if changes.count() >= (snapshot.count() if snapshot is not None else 1):  # counts of Parquet footers
+            latest_table(spark, out, key, order, batch.schema).write.mode("overwrite").parquet(f"{out}/snapshots/upto={number}")
+
+    return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _parts(spark: SparkSession, out: str, schema: StructType) -> tuple[int, DataFrame | None, DataFrame]:
+    """The last snapshot's number, its rows, and the changes since."""
+    plain = [f.name for f in schema.fields]
+    try:
+        snapshots = spark.read.schema(StructType([*schema.fields, StructField("upto", LongType())])).parquet(f"{out}/snapshots")
+        upto = max((int(f.split("/upto=")[1].split("/")[0]) for f in snapshots.inputFiles()), default=-1)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        snapshots, upto = None, -1
+    changes = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{out}/changes")
+    return upto, snapshots.where(F.col("upto") == upto).select(*plain) if snapshots is not None else None, changes.where(F.col("batch") > upto).select(*plain)
+
+
+def latest_table(spark: SparkSession, out: str, key: str, order: list[str], schema: StructType) -> DataFrame:
+    """The last row of each key that a `latest_per_key` query has logged at `out`: the last snapshot and the changes since."""
+    _, snapshot, changes = _parts(spark, out, schema)
+    rows = snapshot.unionByName(changes) if snapshot is not None else changes
+    rest = [f.name for f in schema.fields if f.name != key]
+    last = rows.groupBy(key).agg(F.max(F.struct(_order(order).alias("_o"), F.struct(*rest).alias("_r"))).alias("_x"))
+    return last.select(key, *(F.col(f"_x._r.{c}").alias(c) for c in rest)).select(*schema.names)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def eta_stream(stream: DataFrame, window_s: float = 600.0, late: str = "10 minutes") -> DataFrame:
+    """(run_id, ts, remaining) for each time of a run of a stream of observations (run_id, ts timestamp, ratio, skip), as `progress.eta` gives for a table.
 
-def eta_stream(stream: DataFrame, window_s: float = 600.0) -> DataFrame:
-    """(run_id, ts, remaining) for each observation (run_id, ts seconds, ratio, skip) of a stream; state is the window's observations."""
+    Files may come in any order: a run's rows wait in its state until the watermark, the latest time seen less `late`, has passed them, and are then taken in order of time.
+    Rows of one time are one observation with the largest ratio, a skip if one of them is. Rows that come after the watermark has passed their time are dropped, and the last
+    rows wait until later ones, of any run, move it. The state is those rows, and the observations of the window.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top, worked, seen = state.get if state.exists else (0.0, 0.0, [])
-        seen = [tuple(x) for x in seen]
+        top, worked, upto, seen, held = state.get if state.exists else (0.0, 0.0, float("-inf"), [], [])
+        seen, held = [tuple(x) for x in seen], [tuple(x) for x in held]
+        mark = state.getCurrentWatermarkMs() / 1000
+        for p in parts:
+            held += [(float(t), float(r), bool(s)) for t, r, s in zip(p["t"], p["ratio"], p["skip"], strict=True) if t >= upto]
+        ready: dict[float, tuple[float, bool]] = {}
+        for t, ratio, skip in held:
+            if t < mark:
+                before = ready.get(t, (0.0, False))
+                ready[t] = max(before[0], ratio), before[1] or skip
         rows = []
-        for r in pd.concat(list(parts)).sort_values("ts").itertuples():
-            gain = max(0.0, r.ratio - top)
-            top = max(top, r.ratio)
-            worked += 0.0 if r.skip else gain
-            seen.append((float(r.ts), worked))
-            while len(seen) > 2 and seen[1][0] <= r.ts - window_s:
+        for t in sorted(ready):
+            ratio, skip = ready[t]
+            gain = max(0.0, ratio - top)
+            top = max(top, ratio)
+            worked += 0.0 if skip else gain
+            seen.append((t, worked))
+            while len(seen) > 2 and seen[1][0] <= t - window_s:
                 seen.pop(0)
-            passed, done = r.ts - seen[0][0], worked - seen[0][1]
-            rows.append((key[0], r.ts, (1 - top) * passed / done if passed >= 5 and done > 0 else None))
-        state.update((top, worked, seen))
-        yield pd.DataFrame(rows, columns=["run_id", "ts", "remaining"])
+            passed, done = t - seen[0][0], worked - seen[0][1]
+            rows.append((key[0], t, (1 - top) * passed / done if passed >= 5 and done > 0 else None))
+        held = [x for x in held if x[0] >= mark]
+        state.update((top, worked, max(upto, mark), seen, held))
+        if held:
+            state.setTimeoutTimestamp(max(int(min(x[0] for x in held) * 1000), int(mark * 1000)) + 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=["run_id", "ts", "remaining"])
 
-    seen = "array<struct<t: double, w: double>>"
-    return stream.groupBy("run_id").applyInPandasWithState(step, "run_id long, ts double, remaining double", f"top double, worked double, seen {seen}", "append", GroupStateTimeout.NoTimeout)
+    kept = "top double, worked double, upto double, seen array<struct<t: double, w: double>>, held array<struct<t: double, ratio: double, skip: boolean>>"
+    rows = stream.withWatermark("ts", late).withColumn("t", F.col("ts").cast("double")).select("run_id", "ts", "t", F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.coalesce("skip", F.lit(False)).alias("skip"))
+    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id long, ts double, remaining double", kept, "append", GroupStateTimeout.EventTimeTimeout)
