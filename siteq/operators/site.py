@@ -139,14 +139,13 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
 
     A group is one or more user-agent lines and what follows up to a blank line or the next user-agent line after a rule; of these the first counts
     whose name is part of the agent's, up to a slash and without case, else the first for all. Rules outside of groups are left out, as are comments and other fields.
-    A disallow line without a path allows all. A host's lines are one window.
+    A disallow line without a path allows all; an asterisk in a path is one like any letter. A host's lines are one window.
     """
     lines = robots.select("host", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("k", "raw"))
     bare = F.trim(F.regexp_replace("raw", "#.*$", ""))
     pair = F.split(bare, ":", 2)
     lines = lines.select("host", "k", (F.trim("raw") == "").alias("_blank"), F.lower(F.trim(F.get(pair, F.lit(0)))).alias("field"), F.trim(F.get(pair, F.lit(1))).alias("value"))
-    number = F.col("field").isin("crawl-delay") & F.col("value").rlike("^[0-9]+$") | ((F.col("field") == "request-rate") & F.col("value").rlike("^[0-9]+/[0-9]+$"))
-    kind = F.when(F.col("_blank"), "end").when(F.col("value").isNull(), None).when(F.col("field") == "user-agent", "agent").when(F.col("field").isin("allow", "disallow"), "rule").when(number, "other")
+    kind = F.when(F.col("_blank"), "end").when(F.col("value").isNull(), None).when(F.col("field") == "user-agent", "agent").when(F.col("field").isin("allow", "disallow"), "rule").when(F.col("field").isin("crawl-delay", "request-rate"), "other")
     rows = lines.withColumn("kind", kind).where("kind IS NOT NULL")
     w = Window.partitionBy("host").orderBy("k")  # a file's lines
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -161,8 +160,7 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     rank = F.struct(F.col("_all").cast("int"), "grp")
     chosen = groups.where("some AND (_all OR mine)").groupBy("host").agg(F.min_by("grp", rank).alias("grp"))
     allow = (F.col("field") == "allow") | (F.col("value") == "")
-    prefix = F.when(F.col("value") == "*", "").otherwise(F.col("value"))
-    return rows.where("kind = 'rule'").join(chosen, ["host", "grp"]).select("host", F.col("k").alias("rule_no"), prefix.alias("prefix"), allow.alias("allow"))
+    return rows.where("kind = 'rule'").join(chosen, ["host", "grp"]).select("host", F.col("k").alias("rule_no"), F.col("value").alias("prefix"), allow.alias("allow"))
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
