@@ -57,7 +57,7 @@ FILTER_BITS, ROW_BITS = 1 << 25, 1 << 15
 def marked(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
     """rows with a boolean: true for a key, not null, that is one of wanted's, and for few others. The filter that is broadcast has FILTER_BITS bits at most, however many keys there are."""
     place = f"pmod(xxhash64({key}), {FILTER_BITS}L)"
-    row = F.expr(f"{place} div {ROW_BITS}L").alias("_row")
+    row = F.expr(f"coalesce({place} div {ROW_BITS}L, 0L)").alias("_row")  # never null, so that no filter for it gets between the rows and an exchange that others read, too
     bits = wanted.where(f"{key} IS NOT NULL").groupBy(row).agg(F.bitmap_construct_agg(F.expr(f"{place} % {ROW_BITS}L")).alias("_bits"))
     byte = f"cast(conv(hex(substring(_bits, cast({place} % {ROW_BITS}L div 8 as int) + 1, 1)), 16, 10) as int)"
     held = F.expr(f"coalesce({key} IS NOT NULL AND {byte} & shiftleft(1, cast({place} % 8 as int)) <> 0, false)").alias(name)
