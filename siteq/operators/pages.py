@@ -49,6 +49,7 @@ UNIT_NUMBER, PROGRAM_NUMBER = re.compile(r"(?i)curUnit=([0-9]+)"), re.compile(r"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SPACES = re.compile("[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+_COMMENT_END = re.compile("--!?>")
 _GAP = re.compile(r"[\s/]*")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: In an attribute a name needs its semicolon, for addresses have parameters such as &copy=.
@@ -193,7 +194,11 @@ class _Page:
                 self.data(unescape(html[at : m.start()]))
             at = m.end()
             if (tag := m[2]) is None:
-                at = html.find("-->" if m[0] == "<!--" else ">", at) + 1 or n
+                if m[0] == "<!--" and not html.startswith((">", "->"), at):
+                    end = _COMMENT_END.search(html, at)
+                    at = end.end() if end else n
+                else:
+                    at = html.find(">", at) + 1 or n
                 continue
             tag, attributes = tag.lower(), {}
             while a := _ATTRIBUTE.match(html, at):

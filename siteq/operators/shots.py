@@ -109,11 +109,12 @@ def same_look_flags(df: DataFrame, min_pages: int = 3) -> DataFrame:
     return rows.withColumn("flags", F.concat("flags", more)).drop("_d", "_l", "n_images")
 
 
-def greedy_clusters(df: DataFrame, eps: int = 10, block: int = 256, most: int = 4096) -> DataFrame:
+def greedy_clusters(df: DataFrame, eps: int = 10, block: int = 256, most: int = 1000) -> DataFrame:
     """(template, id, cluster, hash, height): in order of height a shot joins the first centre within eps bits, or opens a cluster. Shots without a hash are left out.
 
     Rounds: the first open shots of each template, `block` of them and twice as many each time up to `most`, name the next centres, and every open shot is held against
-    those alone, in order. A centre comes before all shots that it is new to, so the outcome is that of one pass, but no task holds more than a block of a template.
+    those alone, in order. A centre comes before all shots that it is new to, so the outcome is that of one pass, but no task holds more than a block of a template: up
+    to 1,000 rows a group Spark cuts within the tasks, before it sorts.
     """
 
     def opened(rows: pd.DataFrame) -> pd.DataFrame:
@@ -145,14 +146,17 @@ def cluster_centres(clusters: DataFrame) -> DataFrame:
 def assign_nearest(df: DataFrame, centres: DataFrame, eps: int = 10, chunk: int = 1024) -> DataFrame:
     """(id, template, how) of shots without a template: the nearest centre of their section within eps bits, ties to the smaller template. Takes id, section, hash; section, template, centre.
 
-    A shot meets a section's centres in arrays of at most `chunk`, so that no pair becomes a row.
+    With a column lang on both sides a section is one of its language. A shot meets a section's centres in arrays of about `chunk`, dealt by hash, so that no pair becomes a row.
     """
-    part = F.floor((F.row_number().over(Window.partitionBy("section").orderBy("template", "centre")) - 1) / chunk)
-    packed = centres.where("centre IS NOT NULL").distinct().withColumn("part", part).groupBy("section", "part").agg(F.collect_list(F.struct("template", "centre")).alias("near"))
+    keys = [c for c in ("lang", "section") if c in centres.columns]
+    known = centres.where("centre IS NOT NULL").select(*keys, "template", "centre").distinct()
+    parts = known.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts"))
+    packed = known.join(parts, keys).groupBy(*keys, F.pmod(F.xxhash64("template", "centre"), "parts").alias("part")).agg(F.collect_list(F.struct("template", "centre")).alias("near"))
     nearest = F.array_min(F.transform("near", lambda c: F.struct(hamming(F.col("hash"), c["centre"]).alias("d"), c["template"].alias("template"))))
-    best = df.join(packed, "section", "left").groupBy("id", "section").agg(F.min(nearest).alias("b"))
+    best = df.join(packed, keys, "left").groupBy("id", *keys).agg(F.min(nearest).alias("b"))
     hit = F.col("b.d") <= eps
-    return best.select("id", F.when(hit, F.col("b.template")).otherwise(F.concat("section", F.lit("/[kesik]"))).alias("template"), F.when(hit, F.concat(F.lit("gorsel("), F.col("b.d"), F.lit(")"))).otherwise("yok").alias("how"))
+    cut = F.concat(*(x for k in keys for x in (F.col(k), F.lit("/"))), F.lit("[kesik]"))
+    return best.select("id", F.when(hit, F.col("b.template")).otherwise(cut).alias("template"), F.when(hit, F.concat(F.lit("gorsel("), F.col("b.d"), F.lit(")"))).otherwise("yok").alias("how"))
 
 
 def propagate_template(df: DataFrame, main: str) -> DataFrame:

@@ -356,9 +356,9 @@ def verified(spark, d, text_check=True):
     return V.verify_findings(rel(spark, d, PENDING), m, again if text_check else None)
 
 
-@query("i1_collect_findings", f"WITH {RQ.REC}, p AS ({PENDING}) SELECT source, type, CAST(count(*) AS BIGINT) AS n, count(device) AS with_device FROM (SELECT source, type, device FROM p UNION ALL SELECT 'kod', 'overflow', NULL FROM orders WHERE o_orderkey % 9 = 0) GROUP BY ALL")
+@query("i1_collect_findings", f"WITH {RQ.REC}, p AS ({PENDING}) SELECT source, type, CAST(count(*) AS BIGINT) AS n, count(device) AS with_device FROM (SELECT source, type, device FROM p UNION ALL SELECT 'kod', 'overflow', NULL FROM orders) GROUP BY ALL")
 def _(spark, d):
-    code = table(spark, d, "orders").where("o_orderkey % 9 = 0").select(F.lit("kod").alias("source"), F.lit("overflow").alias("type"))
+    code = table(spark, d, "orders").select(F.lit("kod").alias("source"), F.lit("overflow").alias("type"))
     return V.collect_findings(rel(spark, d, PENDING).select("source", "type", "device"), code).groupBy("source", "type").agg(F.count("*").alias("n"), F.count("device").alias("with_device"))
 
 

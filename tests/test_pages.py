@@ -64,6 +64,11 @@ def test_markup_as_browsers_read_it():
     assert p["images"] == [{"src": "i", "alt": ""}] and p["visible_text"].startswith("1 < 2 & 3")
 
 
+def test_comments_leave_nothing_behind():
+    p = parse_page("a<!-- x > y <b>no</b> -->b<!-->c<!--->d<!--e--!>f<!---->g<!x>h<?php i ?>j</ k>l<!-- m", "visible_text", "marks")
+    assert p["visible_text"] == "abcdfghjl" and p["marks"] == []
+
+
 def test_only_leaf_tables_with_labels_of_their_own():
     p = parse_page("<p>first<table><tr><td>a</table><table><tr><th>b<td>c</table><p>outer <table><tr><td>inner label<table><tr><td>d</table></table><table><caption>cap</caption><tr><td>e</table>", "tables")
     assert [(t["label"], [[c["text"] for c in r] for r in t["rows"]]) for t in p["tables"]] == [("first", [["a"]]), ("", [["b", "c"]]), ("inner label", [["d"]]), ("cap", [["e"]])]
