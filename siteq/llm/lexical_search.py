@@ -252,8 +252,9 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def search(docs: DataFrame, items: DataFrame, k: int = K, query_bytes: int = QUERY_BYTES, most_terms: int = MOST_TERMS, **index) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents (doc_id, text) of each item (item_id, text), fewer if fewer score above 0.
 
-    Scores are the sums that the README gives, in whole numbers; equal ones go by doc_id, null ids last. Terms are compared by 64-bit hash, letters A-Z
-    without case. A null or empty text has no terms: such an item has no rows, such a document is never found. Documents are rows: those that share an id are found each.
+    A score is the sum over the item's terms, repeats included, of w * (10^9 * tf div (1000 * tf + 12 * m)), in whole numbers: w is 1000 * ln((2N + 2) / (2df + 1)) rounded down, m is
+    75 + 25 * n * N div L, of N documents with a term, L terms in all, n terms of the document, tf of them this one, which df documents hold. Equal scores go by doc_id,
+    null ids last. Terms are compared by 64-bit hash, letters A-Z without case. A null or empty text has no terms: such an item has no rows, such a document is never found. Documents are rows: those that share an id are found each.
     Items are the distinct pairs of id and text. Empty tables give no rows. Texts of any length are indexed whole. Other columns are ignored.
 
     The size of the items is measured: query_bytes of their text are searched at once, more in so many passes over the index, and an index of the items' terms only is
