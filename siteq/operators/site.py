@@ -11,11 +11,11 @@ from siteq.operators.tables import first_by
 from siteq.sources.shared import kept
 
 
-def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, pos, href, text) of the anchors of each page, by the built-in path: quoted href and the text up to </a>."""
+def extract_links(pages: DataFrame, url: str = "url", html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(src, pos, href, text) of the anchors of each page, and the columns to carry, by the built-in path: quoted href and the text up to </a>."""
     anchors = F.regexp_extract_all(html, F.lit(r'(<a href="[^"]*"[^>]*>[^<]*)'), F.lit(1))
-    rows = pages.select(F.col(url).alias("src"), F.posexplode(anchors).alias("pos", "_a"))
-    return rows.select("src", "pos", F.regexp_extract("_a", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("_a", ">([^<]*)$", 1).alias("text"))
+    rows = pages.select(*carry, F.col(url).alias("src"), F.posexplode(anchors).alias("pos", "_a"))
+    return rows.select(*carry, "src", "pos", F.regexp_extract("_a", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("_a", ">([^<]*)$", 1).alias("text"))
 
 
 def page_links(links: DataFrame, most: int = 90) -> DataFrame:

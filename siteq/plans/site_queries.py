@@ -52,7 +52,8 @@ abs_ AS (SELECT *, """ + part("src", 1) + " || '://' || lower(" + part("src", 2)
 
 
 def links(spark, d):
-    return S.extract_links(table(spark, d, "pages")).withColumn("dst", U.normalize_url(F.col("href"), F.col("src")))
+    """Links with the page they are on; a URL may be that of several pages."""
+    return S.extract_links(table(spark, d, "pages"), carry=("page_id",)).withColumn("dst", U.normalize_url(F.col("href"), F.col("src")))
 
 
 @query("a1_normalize_url", f"SELECT page_id, {normal('url')} AS url FROM pages")
@@ -62,8 +63,7 @@ def _(spark, d):
 
 @query("a1_resolve_links", f"WITH {LINKS} SELECT page_id, pos, dst FROM abs_")
 def _(spark, d):
-    ids = table(spark, d, "pages").select(F.col("url").alias("src"), "page_id")
-    return links(spark, d).join(ids, "src").select("page_id", F.col("pos"), "dst")
+    return links(spark, d).select("page_id", F.col("pos"), "dst")
 
 
 CLASS = f"CASE WHEN NOT (ends_with(lower({part('dst', 2)}), 'example.com')) THEN 'dis' WHEN ends_with(lower({part('dst', 3)}), '.pdf') THEN 'belge' WHEN ends_with(lower({part('dst', 3)}), '.js') THEN 'dosya' WHEN regexp_matches(dst, '/(the|in|of)$') THEN 'haric' ELSE 'sayfa' END"
