@@ -109,8 +109,7 @@ def _(spark, d):
 
 @query("a7_first_seen", f"WITH {LINKS}, o AS (SELECT dst, page_id, pos, row_number() OVER (PARTITION BY dst ORDER BY page_id, pos) AS rn FROM abs_) SELECT dst, page_id, pos FROM o WHERE rn = 1")
 def _(spark, d):
-    ids = table(spark, d, "pages").select(F.col("url").alias("src"), "page_id")
-    return S.first_seen(links(spark, d).join(ids, "src"), "dst", F.struct("page_id", "pos"), ["page_id", "pos"])
+    return S.first_seen(links(spark, d), "dst", F.struct("page_id", "pos"), ["page_id", "pos"])
 
 
 def graph(spark, d):

@@ -8,7 +8,7 @@ from siteq.plans import catalog
 from .conftest import SF
 from .test_oracles import rows
 
-LINKED = ["a1_resolve_links"]
+LINKED = ["a1_resolve_links", "a7_first_seen"]
 CONFIRMED = []
 
 
