@@ -279,8 +279,7 @@ def _(spark, d):
 
 @query("b2_clean_urls", f"WITH {LINKS} SELECT dst AS url, min(page_id * 1000 + pos) AS pos FROM abs_ WHERE regexp_full_match(dst, 'http[\\x21-\\x7eçÇğĞıİöÖşŞüÜ]*') GROUP BY dst")
 def _(spark, d):
-    ids = table(spark, d, "pages").select(F.col("url").alias("src"), "page_id")
-    rows = links(spark, d).join(ids, "src").select(F.col("dst").alias("url"), (F.col("page_id") * 1000 + F.col("pos")).alias("at"))
+    rows = links(spark, d).select(F.col("dst").alias("url"), (F.col("page_id") * 1000 + F.col("pos")).alias("at"))
     return S.clean_urls(rows, F.col("at"))
 
 
