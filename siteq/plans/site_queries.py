@@ -299,8 +299,7 @@ URLS = f"WITH {LINKS}, u AS (SELECT page_id * 1000 + pos AS src_id, dst AS url F
 
 def all_urls(spark, d):
     pages = table(spark, d, "pages")
-    ids = pages.select(F.col("url").alias("src"), "page_id")
-    rows = links(spark, d).join(ids, "src").select((F.col("page_id") * 1000 + F.col("pos")).alias("src_id"), F.col("dst").alias("url"))
+    rows = links(spark, d).select((F.col("page_id") * 1000 + F.col("pos")).alias("src_id"), F.col("dst").alias("url"))
     return rows.union(pages.select(-1 - F.col("page_id"), "url"))
 
 

@@ -8,7 +8,7 @@ from siteq.plans import catalog
 from .conftest import SF
 from .test_oracles import rows
 
-LINKED = ["a1_resolve_links", "a7_first_seen", "b2_clean_urls"]
+LINKED = ["a1_resolve_links", "a7_first_seen", "b2_clean_urls", "b4_leaf_of", "b5_leaf_vocab", "b6_template_signature", "b7_template_clusters", "b9_with_affected"]
 CONFIRMED = []
 
 
