@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from siteq.functions.urls import any_of
 from siteq.operators.pages import numbered_items
+from siteq.operators.tables import computed
 from siteq.operators.text import FOLD, clean, clean_lines, first_float, first_int, norm, ordinal_no, split_tul
 from siteq.sources.shared import kept
 
@@ -79,7 +80,7 @@ def _has(h: Column, words) -> Column:
 
 def fold_cells(tables: DataFrame) -> DataFrame:
     """Adds folded, the folded texts of the cells by row."""
-    return tables if "folded" in tables.columns else tables.withColumn("folded", F.transform("rows", lambda r: F.transform(r, lambda c: norm(c["text"]))))
+    return tables if "folded" in tables.columns else computed(tables, folded=F.transform("rows", lambda r: F.transform(r, lambda c: norm(c["text"]))))
 
 
 def with_header(tables: DataFrame, words) -> DataFrame:
@@ -87,7 +88,7 @@ def with_header(tables: DataFrame, words) -> DataFrame:
     hit = lambda i: F.coalesce(F.exists(F.get("folded", i), lambda c: _has(c, words)), F.lit(False))
     at = F.coalesce(*(F.when(hit(F.lit(i)), F.lit(i)) for i in range(4)), F.lit(-1))
     cells = F.coalesce(F.get("folded", F.col("header_row")), F.array().cast("array<string>"))
-    return fold_cells(tables).withColumn("header_row", at).withColumn("header", cells)
+    return computed(computed(fold_cells(tables), header_row=at), header=cells)
 
 
 def _column(*tests) -> Column:
@@ -118,15 +119,15 @@ def course_sections(tables: DataFrame) -> DataFrame:
 
     Tables of two columns with a key that starts with dersin are details, too; other tables are unknown, or null without any text.
     """
-    headed = with_header(tables, SUMMARY).withColumn("_name", norm(F.concat_ws(" ", "label", "title")))
+    headed = computed(with_header(tables, SUMMARY), _name=norm(F.concat_ws(" ", "label", "title")))
     could = (F.col("header_row") >= 0) & F.exists("header", lambda h: _has(h, CODE))
     first = F.min(F.when(could, F.col("idx"))).over(Window.partitionBy("page_id"))  # a page's tables
-    rule = F.when(could & (F.col("idx") == first), "summary")
+    rule = F.when(could & (F.col("idx") == F.col("_first")), "summary")
     for section, groups in SECTIONS:
         rule = rule.when(reduce(lambda x, y: x & y, (_has(F.col("_name"), g) for g in groups)), section)
     pairs = (F.array_max(F.transform("rows", F.size)) == 2) & F.exists("folded", lambda r: (F.size(r) == 2) & r[0].startswith("dersin"))
     text = F.exists("rows", lambda r: F.exists(r, lambda c: c["text"] != ""))
-    return headed.withColumn("section", rule.when(pairs, "details").when(text, "unknown")).drop("header_row", "header", "_name")
+    return computed(headed.withColumn("_first", first), section=rule.when(pairs, "details").when(text, "unknown")).drop("header_row", "header", "_name", "_first")
 
 
 def course_tables(tables: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ def _wide(tables: DataFrame) -> DataFrame:
     row = lambda i: F.coalesce(F.transform(F.get("folded", F.lit(i)), number), F.array().cast("array<int>"))
     several = lambda i: F.size(F.filter(row(i), lambda n: n.isNotNull())) >= 2
     at = F.coalesce(*(F.when(several(i), F.lit(i)) for i in range(4)))
-    return fold_cells(tables).withColumn("wide_row", at).withColumn("wide", F.transform(F.get("folded", F.col("wide_row")), number))
+    return computed(computed(fold_cells(tables), wide_row=at), wide=F.transform(F.get("folded", F.col("wide_row")), number))
 
 
 def matrix_cells(tables: DataFrame) -> DataFrame:

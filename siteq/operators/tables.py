@@ -13,6 +13,11 @@ def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with costly columns that are worked out once a row: filters and expressions above would repeat those of a projection, but stop at a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key by `order`; a grouped maximum, so rows are combined before the shuffle."""
     rest = [c for c in df.columns if c != key]
