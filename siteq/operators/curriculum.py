@@ -473,14 +473,16 @@ def unit_selection(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     whole = lambda digits: F.nullif(digits.try_cast("long"), F.lit(0))
     number = lambda refs, name: whole(F.regexp_extract(F.array_join(refs, " "), rf"(?i){name}=([0-9]+)", 1))
-    m = parsed.select("page_id", F.inline("marks")).withColumn("text", clean(F.col("text")))
-    sunit, unit, deep_unit = number("refs", "curSunit"), number("refs", "curUnit"), whole(F.col("deep_unit"))
-    named = (F.col("text") != "") & (F.length("text") <= LONGEST_UNIT) & ~any_of(norm(F.col("text")).contains(w) for w in HELP)
-    heads = F.col("heading") & (F.col("tag") != "th") & deep_unit.isNotNull() & named & whole(F.col("deep_program")).isNull()
+    m = computed(parsed.select("page_id", F.inline("marks")).withColumnRenamed("text", "_raw"), text=clean(F.col("_raw")))
+    m = computed(m, sunit=number("refs", "curSunit"), _unit=number("refs", "curUnit"), folded=norm(F.col("text")))
+    sunit, unit, deep_unit = F.col("sunit"), F.col("_unit"), whole(F.col("deep_unit"))
+    named = (F.col("text") != "") & (F.length("text") <= LONGEST_UNIT) & ~any_of(F.col("folded").contains(w) for w in HELP)
+    m = computed(m, heads=F.col("heading") & (F.col("tag") != "th") & deep_unit.isNotNull() & named & whole(F.col("deep_program")).isNull())
+    heads = F.col("heads")
     link = F.regexp_extract(F.array_join("refs", " "), r"""([^\s"'<>]+\.aspx[^\s"'<>]*)""", 1)
     kind = F.when(heads, "head").when(sunit.isNotNull(), "program").when(unit.isNotNull() & (F.col("text") != ""), "unit").when(F.col("heading") & named & ~F.col("links"), "plain").when(F.col("tag") == "optgroup", "group")
     name = F.when(F.col("kind") == "group", clean(F.col("label"))).otherwise(F.col("text"))
-    rows = m.select("page_id", "pos", "last", "label", "text", kind.alias("kind"), sunit.alias("sunit"), F.when(heads, deep_unit).otherwise(unit).alias("unit"), F.when(~heads & (link != ""), link).alias("url"))
+    rows = computed(m, kind=kind).select("page_id", "pos", "last", "label", "text", "kind", "sunit", F.when(heads, deep_unit).otherwise(unit).alias("unit"), F.when(~heads & (link != ""), link).alias("url"))
     w = Window.partitionBy("page_id").orderBy("pos")
     inside = F.max(F.when(F.col("kind").isin("head", "program", "unit"), F.col("last"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     read = rows.where("kind IS NOT NULL").withColumn("inside", inside).where("inside IS NULL OR inside < pos")

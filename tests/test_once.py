@@ -28,3 +28,8 @@ def test_cells_are_folded_once(spark, sf, name):
 def test_activities_are_folded_once(spark, sf, name):
     # and the words of an activity that is a total, in two ways
     assert plan(Q.QUERIES[name](spark, sf)).count("translate(") <= 4
+
+
+@pytest.mark.parametrize("name", ["k17_programs", "k17_units", "k8_outcomes_from_text"])
+def test_texts_are_folded_once(spark, sf, name):
+    assert plan(Q.QUERIES[name](spark, sf)).count("translate(") == 1
