@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteq.operators.tables import computed
+
 # Letters, patterns of damage, what makes a word an address.
 LETTERS = "A-Za-zÇĞİÖŞÜçğıöşü"
 PATTERNS = {
@@ -28,19 +30,21 @@ def text_patterns(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def text_pattern_samples(df: DataFrame, key: str, pattern: str, text: str = "text") -> DataFrame:
     """(key, samples): the first three different hits with 25 characters on either side. Contexts may overlap."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    hits = F.regexp_extract_all(whole, F.lit(PATTERNS[pattern]), F.lit(0))
-    gaps = F.split(whole, PATTERNS[pattern], -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("found"))
+    some = df.select(key, whole.alias("_t")).where(F.col("_t").rlike(PATTERNS[pattern]))
+    # worked out once a row, for a step looks at a few places of them: hits, what is between them, and the ends of that
+    some = computed(some, _hits=F.regexp_extract_all("_t", F.lit(PATTERNS[pattern]), F.lit(0)), _gaps=F.split("_t", PATTERNS[pattern], -1))
+    some = computed(some, _heads=F.transform("_gaps", lambda g: F.left(g, F.lit(25))), _tails=F.transform("_gaps", lambda g: F.right(g, F.lit(25)))).drop("_gaps", "_t")
+    zero = F.struct(F.lit("").alias("before"), F.array().cast("array<string>").alias("found"))
 
     def step(acc: Column, k: Column) -> Column:
-        start, size = acc["at"] + F.length(F.get(gaps, k)), F.length(F.get(hits, k))
-        first = F.greatest(start - 25, F.lit(0))
-        context = F.trim(F.replace(F.substring(whole, first + 1, start + size + 25 - first), F.lit("\n"), F.lit(" ")))
-        more = F.when(F.size(acc["found"]) >= 3, acc["found"]).otherwise(F.array_union(acc["found"], F.array(context)))
-        return F.struct((start + size).alias("at"), more.alias("found"))
-
-    samples = F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<string>"))
-    return df.select(key, samples.alias("samples")).where(F.size("samples") > 0)
+        hit, before = F.get("_hits", k), F.right(F.concat(acc["before"], F.get("_tails", k)), F.lit(25))
+        # a hit has a character at least, so 25 more hits and the gaps between reach as far as a context
+        after = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(26)), lambda j: F.concat(F.get("_heads", k + j), F.coalesce(F.get("_hits", k + j), F.lit("")))), "")
+        context = F.trim(F.replace(F.concat(before, hit, F.left(after, F.lit(25))), F.lit("\n"), F.lit(" ")))
+        return F.struct(F.right(F.concat(before, hit), F.lit(25)).alias("before"), F.array_union(acc["found"], F.array(context)).alias("found"))
+
+    go = lambda acc, k: F.when(F.size(acc["found"]) >= 3, acc).otherwise(step(acc, k))
+    return some.select(key, F.aggregate(F.sequence(F.lit(0), F.size("_hits") - 1), zero, go, lambda acc: acc["found"]).alias("samples"))
 
 
 def pattern_by_lang(found: DataFrame) -> DataFrame:

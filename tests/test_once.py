@@ -33,3 +33,20 @@ def test_activities_are_folded_once(spark, sf, name):
 @pytest.mark.parametrize("name", ["k17_programs", "k17_units", "k8_outcomes_from_text"])
 def test_texts_are_folded_once(spark, sf, name):
     assert plan(Q.QUERIES[name](spark, sf)).count("translate(") == 1
+
+
+def samples(text, n=25):
+    found = []
+    for m in re.finditer("�", text):
+        c = text[max(m.start() - n, 0) : m.end() + n].replace("\n", " ").strip(" ")
+        if c not in found:
+            found.append(c)
+    return found[:3]
+
+
+def test_samples_of_dense_hits(spark):
+    texts = ["�" * 5000 + "end", "a" * 40 + "��b�" + "😀" * 30 + "�", "�", "x\n� y", "none", "", None, "ab�" * 60 + "z" * 30 + "�"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    out = X.text_pattern_samples(rows, "k", "yer_tutucu")
+    assert {r["k"]: r["samples"] for r in out.collect()} == {k: samples(t) for k, t in enumerate(texts) if t and "�" in t}
+    assert plan(out).count("regexp_extract_all(") == 1
