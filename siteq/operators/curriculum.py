@@ -60,10 +60,10 @@ def labelled_fields(kv: DataFrame, rules) -> DataFrame:
 
 def outcomes_from_text(texts: DataFrame, key: str, text: str = "content") -> DataFrame:
     """(key, no, description): numbered items after the last heading that announces outcomes."""
-    folded = F.lower(F.translate(text, *FOLD))
+    texts, folded = computed(texts, _folded=F.lower(F.translate(text, *FOLD))), F.col("_folded")
     last = lambda h: F.when(folded.contains(h), F.length(folded) - F.length(F.substring_index(folded, h, -1)) - len(h) + 1)
     at = F.greatest(*(F.coalesce(last(h), F.lit(0)) for h in OUTCOME_HEADINGS))
-    rows = texts.withColumn("_at", at).where("_at > 0").withColumn("_tail", F.substring(F.col(text), F.col("_at"), F.length(text)))
+    rows = computed(texts, _at=at).where("_at > 0").withColumn("_tail", F.substring(F.col(text), F.col("_at"), F.length(text)))
     return rows.select(key, F.posexplode(numbered_items(F.col("_tail"))).alias("k", "description")).select(key, (F.col("k") + 1).alias("no"), "description")
 
 

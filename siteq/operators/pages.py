@@ -541,17 +541,26 @@ def numbered_items(text: Column, most: int = 60) -> Column:
     """Items 1, 2, 3 ... of a text such as `1. Analiz eder. 2) Tasarlar`: consecutive numbers only, null below two. The last ends at a line end."""
     parts = F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(r"(?<=[\s])([0-9]{1,2})[.)](?=\s)"), F.lit(1))
     spots = F.split(F.concat(F.lit(" "), text), r"(?<=[\s])[0-9]{1,2}[.)](?=\s)")
+    found = F.struct(parts.alias("parts"), spots.alias("spots"))
+    return U.let(found, lambda x: U.let(_items(x["parts"], x["spots"], most), lambda items: _described(items)))
+
+
+def _items(parts: Column, spots: Column, most: int) -> Column:
+    """The first items; what comes after the one that follows them changes none."""
     step = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
         F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("items")),
-        lambda acc, i: F.when(
+        lambda acc, i: F.when(acc["n"] > most, acc).when(
             F.get(parts, i - 1).cast("int") == acc["n"] + 1, F.struct((acc["n"] + 1).alias("n"), F.concat(acc["items"], F.array(F.get(spots, i))).alias("items"))
         ).when(
             F.size(acc["items"]) > 0,
             F.struct(acc["n"].alias("n"), F.concat(F.slice(acc["items"], 1, F.size(acc["items"]) - 1), F.array(F.concat(F.element_at(acc["items"], -1), F.coalesce(F.get(parts, i - 1), F.lit("")), F.lit("."), F.coalesce(F.get(spots, i), F.lit(""))))).alias("items")),
         ).otherwise(acc),
     )
-    items = F.slice(step["items"], 1, most)
+    return F.slice(step["items"], 1, most)
+
+
+def _described(items: Column) -> Column:
     last = F.regexp_replace(F.element_at(items, -1), r"(?s)\n.*$", "")
     done = F.transform(F.concat(F.slice(items, 1, F.size(items) - 1), F.array(last)), lambda s: F.regexp_replace(clean(s), r"[.]$", ""))
     return F.when(F.size(items) >= 2, done)
