@@ -33,8 +33,9 @@ PARTS = {
     "spans": "array<struct<id: string, text: string>>", "options": "array<struct<field: string, value: string, label: string, selected: boolean>>",
     "marks": "array<struct<pos: int, last: int, tag: string, heading: boolean, links: boolean, label: string, text: string, refs: array<string>, deep_unit: string, deep_program: string>>",
 }
-# Elements that start a line of text, and elements whose text isn't shown.
+# Elements that start a line of text, those inside a table, and elements whose text isn't shown.
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "td", "th", "form", "option", "title", "caption"}
+TABLE_PARTS = {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 HIDDEN = {"script", "style", "noscript", "template"}
 # Attributes that lead somewhere.
 REFS = ("href", "onclick", "data-url", "data-href", "value")
@@ -62,6 +63,8 @@ MARK_TEXT = 100
 SPAN_DEPTH = 16
 #: Characters of HTML that a batch of results is made of.
 BATCH_CHARS = 1 << 20
+#: Pages of a batch that are Python objects at a time.
+BATCH_PAGES = 256
 
 
 def _refs(a: dict) -> list[str]:
@@ -191,7 +194,8 @@ class _Page:
         at, n = 0, len(html)
         while m := _MARKUP.search(html, at):
             if m.start() > at:
-                self.data(unescape(html[at : m.start()]))
+                text = html[at : m.start()]
+                self.data(unescape(text) if "&" in text else text)
             at = m.end()
             if (tag := m[2]) is None:
                 if m[0] == "<!--" and not html.startswith((">", "->"), at):
@@ -201,14 +205,17 @@ class _Page:
                     at = html.find(">", at) + 1 or n
                 continue
             tag, attributes = tag.lower(), {}
-            while a := _ATTRIBUTE.match(html, at):
-                at = a.end()
-                if (name := a[1].lower()) not in attributes:
-                    value = a[a.lastindex] if a.lastindex > 1 else ""
-                    attributes[name] = _REFERENCE.sub(lambda r: unescape(r[0]), value) if "&" in value else value
-            at = _GAP.match(html, at).end() + 1
-            if at > n:
-                return
+            if html.startswith(">", at):
+                at += 1
+            else:
+                while a := _ATTRIBUTE.match(html, at):
+                    at = a.end()
+                    if (name := a[1].lower()) not in attributes:
+                        value = a[a.lastindex] if a.lastindex > 1 else ""
+                        attributes[name] = _REFERENCE.sub(lambda r: unescape(r[0]), value) if "&" in value else value
+                at = _GAP.match(html, at).end() + 1
+                if at > n:
+                    return
             if m[1]:
                 self.end_tag(tag)
                 continue
@@ -229,11 +236,14 @@ class _Page:
         if tag in HIDDEN and tag not in self.unclosed:
             self.hidden.append(tag)
         t = self.tables[-1] if self.tables else None
-        if t and t["open"] and tag != "tr":
+        if a and t and t["open"] and tag != "tr":
             t["row_refs"] += _refs(a)
         if tag in BLOCKS:
             self.block()
-        if tag == "html":
+        if tag in TABLE_PARTS:
+            if t and not t["nested"]:
+                self.table_part(t, tag, a)
+        elif tag == "html":
             o["lang"] = a.get("lang") or o["lang"]
         elif tag == "base" and o["base"] is None:
             o["base"] = a.get("href")
@@ -275,22 +285,20 @@ class _Page:
             if t:  # a table around others isn't read
                 self.tables[-1] = {"nested": True, "open": False}
             self.tables.append({"label": self.last_line, "caption": None, "rows": [], "refs": [], "classes": [], "row_refs": [], "open": False, "nested": False, "cell": None, "head": False, "in_caption": False})
-        elif t and not t["nested"]:
-            self.table_part(t, tag, a)
 
     def table_part(self, t: dict, tag: str, a: dict) -> None:
-        if tag == "caption":
-            t["caption"], t["in_caption"] = [], True
-        elif tag in ("thead", "tbody", "tfoot"):
-            t["head"] = tag == "thead"
-        elif tag == "tr":
-            self.row(t, _refs(a), a.get("class", ""))
-            t["open"], t["cell"] = True, None
-        elif tag in ("td", "th"):
+        if tag in ("td", "th"):
             if not t["rows"]:
                 self.row(t, t["row_refs"], "")
-            t["cell"] = {"text": [], "colspan": _span(a.get("colspan", "")), "header": tag == "th" or t["head"]}
+            t["cell"] = {"text": [], "colspan": _span(a.get("colspan", "")) if a else 1, "header": tag == "th" or t["head"]}
             t["rows"][-1].append(t["cell"])
+        elif tag == "tr":
+            self.row(t, _refs(a), a.get("class", ""))
+            t["open"], t["cell"] = True, None
+        elif tag == "caption":
+            t["caption"], t["in_caption"] = [], True
+        else:
+            t["head"] = tag == "thead"
 
     @staticmethod
     def row(t: dict, refs: list[str], classes: str) -> None:
@@ -303,9 +311,10 @@ class _Page:
         """A line of text ends."""
         if self.lines:
             self.text.append("\n")
-        if line := "".join(self.line).strip():
-            self.last_line = " ".join(line.split())
-        self.line = []
+        if self.line:
+            if line := "".join(self.line).strip():
+                self.last_line = " ".join(line.split())
+            self.line = []
 
     def sent(self, name: str, value) -> None:
         self.form["at"].setdefault(name, []).append(len(self.form["values"]))
@@ -343,7 +352,17 @@ class _Page:
         if tag in BLOCKS:
             self.block()
         t = self.tables[-1] if self.tables else None
-        if tag == "title":
+        if tag in TABLE_PARTS:
+            if t and not t["nested"]:
+                if tag in ("td", "th"):
+                    t["cell"] = None
+                elif tag == "tr":
+                    t["open"] = False
+                elif tag == "thead":
+                    t["head"] = False
+                elif tag == "caption":
+                    t["in_caption"] = False
+        elif tag == "title":
             self.in_title = False
         elif tag in ("a", "area"):
             self.link = None
@@ -364,15 +383,6 @@ class _Page:
             self.tables.pop()
             if not t["nested"]:
                 self.leaf(t)
-        elif t and not t["nested"]:
-            if tag in ("td", "th"):
-                t["cell"] = None
-            elif tag == "thead":
-                t["head"] = False
-            elif tag == "caption":
-                t["in_caption"] = False
-            elif tag == "tr":
-                t["open"] = False
 
     def leaf(self, t: dict) -> None:
         rows, title = [[{**c, "text": " ".join("".join(c["text"]).split())} for c in r] for r in t["rows"]], ""
@@ -394,7 +404,7 @@ class _Page:
         if not self.in_title:
             if self.lines:
                 self.text.append(data)
-            first, *more = data.split("\n")
+            first, *more = data.split("\n") if "\n" in data else (data,)
             self.line.append(first)
             for x in more:
                 if line := "".join(self.line).strip():
@@ -461,13 +471,14 @@ def parse_pages(pages: DataFrame, *want: str, carry: tuple[str, ...] = ()) -> Da
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, size = [], 0
-            for row in batch.to_pylist():
-                html = row.pop("html")
-                part.append(row | parse_page(html, *want))
-                size += len(html or "")
-                if size > BATCH_CHARS:
-                    yield pa.RecordBatch.from_pylist(part, arrow)
-                    part, size = [], 0
+            for start in range(0, batch.num_rows, BATCH_PAGES):
+                for row in batch.slice(start, BATCH_PAGES).to_pylist():
+                    html = row.pop("html")
+                    part.append(row | parse_page(html, *want))
+                    size += len(html or "")
+                    if size > BATCH_CHARS:
+                        yield pa.RecordBatch.from_pylist(part, arrow)
+                        part, size = [], 0
             if part:
                 yield pa.RecordBatch.from_pylist(part, arrow)
 

@@ -51,7 +51,9 @@ HTML = " || ".join([
 
 
 def stored(spark, d, html):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), F.expr(html).alias("html"))
+    """Pages, dealt out before their HTML is made: a small file of parts is one task's, and pages are a hundred times as large."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, d, "part").repartition(n).select(F.col("p_partkey").alias("page_id"), F.lit("https://x.example/").alias("url"), F.expr(html).alias("html"))
 
 
 def parsed(spark, d, html, *want):

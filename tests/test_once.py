@@ -50,3 +50,7 @@ def test_samples_of_dense_hits(spark):
     out = X.text_pattern_samples(rows, "k", "yer_tutucu")
     assert {r["k"]: r["samples"] for r in out.collect()} == {k: samples(t) for k, t in enumerate(texts) if t and "�" in t}
     assert plan(out).count("regexp_extract_all(") == 1
+
+
+def test_pages_are_dealt_out_before_their_html_is_made(spark, sf):
+    assert Q.stored(spark, sf, "'x'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
