@@ -91,7 +91,7 @@ def v_course_lo_po_matrix(cells: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def lo_po_wide(cells: DataFrame, numbers: list[int]) -> DataFrame:
     """One row a learning outcome, one column a program outcome."""
-    return cells.groupBy("course_id", "lo_no").pivot("po_no", numbers).agg(F.max("level"))
+    return cells.groupBy("course_id", "lo_no").agg(*(F.max(F.when(F.col("po_no") == k, F.col("level"))).alias(str(k)) for k in numbers))
 
 
 def program_ects(view: DataFrame, kind: Column) -> DataFrame:

@@ -52,5 +52,12 @@ def test_samples_of_dense_hits(spark):
     assert plan(out).count("regexp_extract_all(") == 1
 
 
+def test_wide_relation_is_one_aggregate(spark):
+    cells = spark.createDataFrame([(1, 1, 1, 3), (1, 1, 1, 4), (1, 1, 2, None), (1, 2, 9, 5)], "course_id int, lo_no int, po_no int, level int")
+    out = L.lo_po_wide(cells, [1, 2])
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 4, None), (1, 2, None, None)]
+    assert plan(out).count("Aggregate [") == 1
+
+
 def test_pages_are_dealt_out_before_their_html_is_made(spark, sf):
     assert Q.stored(spark, sf, "'x'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
