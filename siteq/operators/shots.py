@@ -153,7 +153,8 @@ def assign_nearest(df: DataFrame, centres: DataFrame, eps: int = 10, chunk: int
     parts = known.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts"))
     packed = known.join(parts, keys).groupBy(*keys, F.pmod(F.xxhash64("template", "centre"), "parts").alias("part")).agg(F.collect_list(F.struct("template", "centre")).alias("near"))
     nearest = F.array_min(F.transform("near", lambda c: F.struct(hamming(F.col("hash"), c["centre"]).alias("d"), c["template"].alias("template"))))
-    best = df.join(packed, keys, "left").groupBy("id", *keys).agg(F.min(nearest).alias("b"))
+    # the arrays end here: what is sorted and grouped is a distance and a name
+    best = df.join(packed, keys, "left").select("id", *keys, nearest.alias("b")).groupBy("id", *keys).agg(F.min("b").alias("b"))
     hit = F.col("b.d") <= eps
     cut = F.concat(*(x for k in keys for x in (F.col(k), F.lit("/"))), F.lit("[kesik]"))
     return best.select("id", F.when(hit, F.col("b.template")).otherwise(cut).alias("template"), F.when(hit, F.concat(F.lit("gorsel("), F.col("b.d"), F.lit(")"))).otherwise("yok").alias("how"))

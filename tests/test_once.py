@@ -59,5 +59,14 @@ def test_wide_relation_is_one_aggregate(spark):
     assert plan(out).count("Aggregate [") == 1
 
 
+def test_nearest_is_grouped_without_centres(spark):
+    df = spark.createDataFrame([(1, "s", 7), (2, "s", 0)], "id long, section string, hash long")
+    centres = spark.createDataFrame([("s", "a", 7), ("s", "b", 6)], "section string, template string, centre long")
+    out = S.assign_nearest(df, centres)
+    assert sorted((r["id"], r["template"]) for r in out.collect()) == [(1, "a"), (2, "b")]
+    top = next(line for line in plan(out).splitlines() if "Aggregate [" in line and "min(" in line)
+    assert "near#" not in top
+
+
 def test_pages_are_dealt_out_before_their_html_is_made(spark, sf):
     assert Q.stored(spark, sf, "'x'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
