@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,43 +72,72 @@ def latest_table(spark: SparkSession, out: str, key: str, order: list[str], sche
     return last.select(key, *(F.col(f"_x._r.{c}").alias(c) for c in rest)).select(*schema.names)
 
 
-def eta_stream(stream: DataFrame, window_s: float = 600.0, late: str = "10 minutes") -> DataFrame:
+# What eta_stream keeps, as packed records: observations of the window, of which a run's last one has its counters, and rows that wait for the watermark.
+SEEN = np.dtype([("run", "i8"), ("t", "f8"), ("top", "f8"), ("worked", "f8")])
+HELD = np.dtype([("run", "i8"), ("t", "f8"), ("ratio", "f8"), ("skip", "?")])
+
+
+def _runs(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each run of rows that are sorted by it, and its rows."""
+    ends = np.append(np.flatnonzero(np.diff(rows["run"])) + 1, len(rows)) if len(rows) else []
+    for a, b in zip([0, *ends], ends):
+        yield int(rows["run"][a]), rows[a:b]
+
+
+def _estimates(seen: np.ndarray, rows: np.ndarray, window_s: float) -> tuple[pd.DataFrame, np.ndarray]:
+    """The estimates at rows that come after those seen, and what is seen then."""
+    rows = rows[np.lexsort((rows["t"], rows["run"]))]
+    first = np.flatnonzero(np.append(True, (np.diff(rows["run"]) != 0) | (np.diff(rows["t"]) != 0)))
+    once = rows[first]
+    once["ratio"], once["skip"] = np.fmax.reduceat(rows["ratio"], first), np.logical_or.reduceat(rows["skip"], first)
+    known, remaining = dict(_runs(seen)), []
+    for run, new in _runs(once):
+        old = known.get(run, np.zeros(0, SEEN))
+        top, worked = (old["top"][-1], old["worked"][-1]) if len(old) else (0.0, 0.0)
+        tops = np.fmax.accumulate(np.append(top, new["ratio"]))
+        points = np.empty(len(old) + len(new), SEEN)
+        points[: len(old)], added = old, points[len(old) :]
+        added["run"], added["t"], added["top"] = run, new["t"], tops[1:]
+        added["worked"] = np.cumsum(np.append(worked, np.where(new["skip"], 0.0, np.fmax(np.diff(tops), 0.0))))[1:]
+        start = np.maximum(np.searchsorted(points["t"], new["t"] - window_s, "right") - 1, 0)
+        passed, done = new["t"] - points["t"][start], added["worked"] - points["worked"][start]
+        known[run], fits = points[start[-1] :], (passed >= 5) & (done > 0)
+        remaining.append(np.where(fits, (1 - tops[1:]) * passed / np.where(fits, done, 1.0), np.nan))
+    return pd.DataFrame({"run_id": once["run"], "ts": once["t"], "remaining": np.concatenate(remaining)}), np.concatenate([known[run] for run in sorted(known)])
+
+
+def eta_stream(stream: DataFrame, window_s: float = 600.0, late: str = "10 minutes", buckets: int = 4096) -> DataFrame:
     """(run_id, ts, remaining) for each time of a run of a stream of observations (run_id, ts timestamp, ratio, skip), as `progress.eta` gives for a table.
 
-    Files may come in any order: a run's rows wait in its state until the watermark, the latest time seen less `late`, has passed them, and are then taken in order of time.
+    Files may come in any order: a run's rows wait in the state until the watermark, the latest time seen less `late`, has passed them, and are then taken in order of time.
     Rows of one time are one observation with the largest ratio, a skip if one of them is. Rows that come after the watermark has passed their time are dropped, and the last
     rows wait until later ones, of any run, move it. The state is those rows, and the observations of the window.
+
+    Runs are dealt to buckets, and a bucket is a key of the state: a call of Python for each run takes milliseconds, much longer than its rows. More buckets make states
+    smaller; like the number of partitions of the state, theirs is fixed by the first batch of a checkpoint.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top, worked, upto, seen, held = state.get if state.exists else (0.0, 0.0, float("-inf"), [], [])
-        seen, held = [tuple(x) for x in seen], [tuple(x) for x in held]
+        upto, *packed = state.get if state.exists else (float("-inf"), b"", b"")
+        seen, held = (np.frombuffer(x, kind) for x, kind in zip(packed, (SEEN, HELD), strict=True))
         mark = state.getCurrentWatermarkMs() / 1000
+        came = [held]
         for p in parts:
-            held += [(float(t), float(r), bool(s)) for t, r, s in zip(p["t"], p["ratio"], p["skip"], strict=True) if t >= upto]
-        ready: dict[float, tuple[float, bool]] = {}
-        for t, ratio, skip in held:
-            if t < mark:
-                before = ready.get(t, (0.0, False))
-                ready[t] = max(before[0], ratio), before[1] or skip
-        rows = []
-        for t in sorted(ready):
-            ratio, skip = ready[t]
-            gain = max(0.0, ratio - top)
-            top = max(top, ratio)
-            worked += 0.0 if skip else gain
-            seen.append((t, worked))
-            while len(seen) > 2 and seen[1][0] <= t - window_s:
-                seen.pop(0)
-            passed, done = t - seen[0][0], worked - seen[0][1]
-            rows.append((key[0], t, (1 - top) * passed / done if passed >= 5 and done > 0 else None))
-        held = [x for x in held if x[0] >= mark]
-        state.update((top, worked, max(upto, mark), seen, held))
-        if held:
-            state.setTimeoutTimestamp(max(int(min(x[0] for x in held) * 1000), int(mark * 1000)) + 1)
-        if rows:
-            yield pd.DataFrame(rows, columns=["run_id", "ts", "remaining"])
-
-    kept = "top double, worked double, upto double, seen array<struct<t: double, w: double>>, held array<struct<t: double, ratio: double, skip: boolean>>"
-    rows = stream.withWatermark("ts", late).withColumn("t", F.col("ts").cast("double")).select("run_id", "ts", "t", F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.coalesce("skip", F.lit(False)).alias("skip"))
-    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id long, ts double, remaining double", kept, "append", GroupStateTimeout.EventTimeTimeout)
+            rows = np.empty(len(p), HELD)
+            rows["run"], rows["t"], rows["ratio"], rows["skip"] = p["run"], p["t"], p["ratio"], p["skip"]
+            came.append(rows[rows["t"] >= upto])
+        held = np.concatenate(came)
+        ready, held = held[held["t"] < mark], held[held["t"] >= mark]
+        out = None
+        if len(ready):
+            out, seen = _estimates(seen, ready, window_s)
+        state.update((max(upto, mark), seen.tobytes(), held.tobytes()))
+        if len(held):
+            state.setTimeoutTimestamp(max(int(held["t"].min() * 1000), int(mark * 1000)) + 1)
+        if out is not None:
+            yield out.assign(run_id=pd.array([None] * len(out), "Int64")) if key[0] < 0 else out
+
+    run = F.col("run_id").cast("long")
+    bucket = F.when(run.isNull(), -1).otherwise(F.pmod(F.xxhash64(run), F.lit(buckets)))  # rows without a run are one of their own
+    rows = stream.withWatermark("ts", late).select(bucket.alias("bucket"), F.coalesce(run, F.lit(0)).alias("run"), "ts", F.col("ts").cast("double").alias("t"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.coalesce("skip", F.lit(False)).alias("skip"))
+    return rows.groupBy("bucket").applyInPandasWithState(step, "run_id long, ts double, remaining double", "upto double, seen binary, held binary", "append", GroupStateTimeout.EventTimeTimeout)

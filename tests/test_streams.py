@@ -39,6 +39,36 @@ def test_eta_of_files_in_any_order(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_eta_of_many_runs(spark, tmp_path):
+    """Many runs with few rows, some without a number and some with large ones, are a few keys of the state, and each has its own estimates."""
+    r = random.Random(7)
+    rows = [(None if k % 50 == 0 else 2**62 + k if k % 3 == 0 else k, 1000.0 + 7 * r.randrange(20), r.random(), r.random() < 0.2) for k in r.choices(range(400), k=2000)]
+    schema = "run_id long, t double, ratio double, skip boolean"
+    for k in range(3):
+        spark.createDataFrame(rows[k::3] if k < 2 else rows[k::3] + [(-1, 10_000.0, 0.0, False)], schema).select("run_id", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), "ratio", "skip").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = results.eta_stream(results.log_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], OBSERVED).schema, 1), 30.0, "500 seconds", buckets=8)
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(x.run_id, x.ts): x.remaining for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    once = spark.createDataFrame(rows, schema).groupBy("run_id", "t").agg(F.max("ratio").alias("ratio"), F.bool_or("skip").alias("skip"))
+    want = {(x.run_id, x.t): x.remaining for x in progress.eta(once, "run_id", "t", 30).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert any(k is None for k, _ in got) and max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) <= 9
+
+
+def test_eta_over_several_moves_of_the_watermark(spark, tmp_path):
+    """Runs go on from what the state keeps of them: counters, the window's observations and rows that wait."""
+    r = random.Random(8)
+    rows = [(k % 40, 1000.0 + 5 * (k // 40), min(1.0, k / 2000 + r.random() / 50), r.random() < 0.2) for k in range(1600)]
+    schema = "run_id long, t double, ratio double, skip boolean"
+    for part in (rows[:500], rows[500:900], rows[900:], [(-1, 10_000.0, 0.0, False)]):
+        spark.createDataFrame(r.sample(part, len(part)), schema).select("run_id", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), "ratio", "skip").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        run(results.eta_stream(results.log_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], OBSERVED).schema), 30.0, "20 seconds", buckets=4), tmp_path)
+    got = [(x.run_id, x.ts, x.remaining) for x in spark.read.parquet(str(tmp_path / "out")).collect()]
+    want = {(x.run_id, x.t): x.remaining for x in progress.eta(spark.createDataFrame(rows, schema), "run_id", "t", 30).collect()}
+    assert len(got) == len(want) and all(x == pytest.approx(want[a, t]) for a, t, x in got)
+
+
 def test_rows_after_the_watermark_are_dropped(spark, tmp_path):
     for rows in ([(1, 100.0, 0.1, False)], [(1, 500.0, 0.3, False)], [(1, 510.0, 0.35, False)], [(1, 200.0, 0.9, False)], [(1, 2000.0, 0.5, False)]):
         written(spark, at(spark, rows), tmp_path / "in", OBSERVED)
